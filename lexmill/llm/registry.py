@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate
+from lexmill.llm import decontaminate, simhash
 
 QUERIES = {
     "op7_benchmark_decontamination": decontaminate.op7,
+    "op9_simhash_near_dedup": simhash.op9,
 }
 
 ORACLES = {

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, simhash
+from lexmill.llm import decontaminate, packing, repair, simhash, syncmers
 
 QUERIES = {
+    "op4_token_ids_repair": repair.op4,
+    "op6_best_two_fit_packing": packing.op6,
     "op7_benchmark_decontamination": decontaminate.op7,
     "op9_simhash_near_dedup": simhash.op9,
+    "op10_closed_syncmer_fingerprints": syncmers.op10,
 }
 
 ORACLES = {

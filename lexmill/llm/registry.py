@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, packing, repair, simhash, syncmers
+from lexmill.llm import decontaminate, packing, quality, repair, simhash, syncmers, toxicity
 
 QUERIES = {
     "op4_token_ids_repair": repair.op4,
+    "op5_subword_toxicity": toxicity.op5,
     "op6_best_two_fit_packing": packing.op6,
     "op7_benchmark_decontamination": decontaminate.op7,
+    "op8_attention_mil_quality": quality.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_closed_syncmer_fingerprints": syncmers.op10,
 }

@@ -3,11 +3,13 @@
 A text is cut only where the tokenizer itself always starts a new pre-token, so the ids of a
 text are the ids of its chunks in a row.  The two cuts:
 
-* ``words``: at spaces and line feeds, for a tokenizer that drops white space;
+* ``words``: at ASCII white space, for a lower-casing tokenizer that drops white space;
 * ``spaced``: before a single space between two characters that aren't white space, for
   byte-level BPE, where that space opens the next pre-token.
 
-The ids of chunks are kept in a cache of bounded size in the Python worker.
+Distinct chunks are found with Arrow; their ids are kept in a cache of bounded size in the
+Python worker.  New chunks of letters are encoded many at a time in one text, and parted by
+the tokens that close (or open) a word; where that doesn't come out even, one by one.
 """
 
 from __future__ import annotations
@@ -18,10 +20,16 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_CHUNKS = 800_000
-_CUT = {"words": re.compile(r"[ \n]+"), "spaced": re.compile(r"(?<=\S) (?=\S)")}
-_UNEVEN = re.compile(r"\s ?\s|^\s|\s$")
+from lexmill.llm.words import numbered_words
+
+CACHE_CHUNKS, JOINED = 500_000, 500
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
+_SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_CLOSED = re.compile(r".*[A-Za-z][.,]", re.DOTALL)
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,52 +47,110 @@ class ChunkTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._cut = cut
+        size = self._tokenizer.get_vocab_size()
+        marks = lambda t: t.endswith("</w>") if cut == "words" else t.startswith("Ġ")
+        self._marked = np.array([marks(self._tokenizer.id_to_token(i) or "") for i in range(size)])
         self._clear()
 
     def _clear(self) -> None:
         self._number: dict[str, int] = {}
-        self._ids: list[np.ndarray] = []
         self._flat, self._start, self._length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def chunks(self, text: str) -> list[str]:
+    def _even(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct chunks, the number of each chunk in turn, chunks per text), cut with Arrow."""
+        if self._cut == "words":
+            numbers, words, counts = numbered_words(texts, lower=True)
+            return words.to_pylist(), numbers.astype(np.int64), counts
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        encoded = lists.flatten().dictionary_encode()
+        numbers, words = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_pylist()
+        opening = np.cumsum(counts) - counts  # the first chunk of a text has no space before it
+        bare, number_of = np.unique(numbers[opening], return_inverse=True)
+        numbers[opening] = len(words) + number_of
+        return [" " + w for w in words] + [words[i] for i in bare.tolist()], numbers, counts
+
+    def _odd(self, text: str) -> list[str]:
         if self._cut == "words":
             return [c for c in text.replace("\n", " ").split(" ") if c]
-        if not text:
-            return []
-        if _UNEVEN.search(text):
-            pieces = _CUT["spaced"].split(text)
-        else:
-            pieces = text.split(" ")
-        return [pieces[0], *(" " + p for p in pieces[1:])]
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [np.array(e.ids, dtype=np.uint32) for e in encoded]
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        starts = len(self._flat) + np.cumsum(lengths) - lengths
-        self._flat = np.concatenate([self._flat, *ids])
-        self._start, self._length = np.concatenate([self._start, starts]), np.concatenate([self._length, lengths])
-        for chunk in new:
-            self._number[chunk] = len(self._number)
+        pieces = _SPACE_BETWEEN.split(text) if text else []
+        return pieces[:1] + [" " + p for p in pieces[1:]]
+
+    def _add(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(lengths) - lengths])
+        self._flat, self._length = np.concatenate([self._flat, flat]), np.concatenate([self._length, lengths])
+        self._number.update(zip(chunks, range(len(self._number), len(self._number) + len(chunks))))
+
+    def _encode_each(self, chunks: list[str]) -> None:
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(chunks, np.fromiter((x for own in ids for x in own), np.uint32, int(lengths.sum())), lengths)
+
+    def _encode_joined(self, chunks: list[str]) -> None:
+        """Chunks of letters only (after the space, if it is cut ``spaced``)."""
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        glue = " " if self._cut == "words" else ""
+        for group, encoded in zip(groups, self._tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype=np.uint32)
+            at = np.flatnonzero(self._marked[ids])
+            if len(at) != len(group):
+                self._encode_each(group)
+            elif self._cut == "words":
+                self._add(group, ids, np.diff(at, prepend=-1))
+            else:
+                self._add(group, ids, np.diff(at, append=len(ids)))
+
+    def _learn(self, chunks: list[str]) -> None:
+        known = self._number
+        closed = [c for c in chunks if c not in known and c[-1:] in (".", ",") and _CLOSED.fullmatch(c) and "<|" not in c]
+        if closed:
+            # A full stop or comma after a letter, with nothing behind it, is a pre-token of its own.
+            self._learn([*{c[:-1] for c in closed}, ".", ","])
+            a = np.array([known[c[:-1]] for c in closed])
+            b = np.array([known[c[-1]] for c in closed])
+            both = np.stack([a, b], axis=1).ravel()
+            self._add(closed, self._gather(both), self._length[a] + self._length[b])
+        rest = [c for c in chunks if c not in known]
+        letters = [c for c in rest if (c.isalpha() if self._cut == "words" else c[:1] == " " and c[1:].isalpha())]
+        if letters:
+            self._encode_joined(letters)
+        rest = [c for c in rest if c not in known]
+        if rest:
+            self._encode_each(rest)
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        lengths = self._length[which]
+        place = np.cumsum(lengths) - lengths
+        return self._flat[np.repeat(self._start[which] - place, lengths) + np.arange(int(lengths.sum()))]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the number of each text's ids."""
         if len(self._number) > CACHE_CHUNKS:
             self._clear()
-        cut = [self.chunks(t) for t in texts]
+        column = pa.array(texts, pa.large_string())
+        # Lower-casing could make a special token of what is none.
+        odd = pc.match_substring(column, "<|") if self._cut == "words" else pc.match_substring_regex(column, _UNEVEN)
+        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+        chunks, numbers, counts = self._even(column.filter(pa.array(~odd)))
+        cut = {i: self._odd(texts[i]) for i in np.flatnonzero(odd).tolist()}
+        all_chunks = chunks + [c for own in cut.values() for c in own]
         known = self._number
-        new = list(dict.fromkeys(c for own in cut for c in own if c not in known))
+        new = list(dict.fromkeys(c for c in all_chunks if c not in known))
         if new:
             self._learn(new)
-        counts = np.array([len(own) for own in cut], dtype=np.int64)
-        which = np.fromiter((known[c] for own in cut for c in own), dtype=np.int64, count=int(counts.sum()))
+        cached = np.fromiter((known[c] for c in all_chunks), np.int64, len(all_chunks))
+        n_chunks = np.zeros(len(texts), np.int64)
+        n_chunks[~odd], n_chunks[odd] = counts, [len(own) for own in cut.values()]
+        text_of = np.repeat(np.arange(len(texts)), n_chunks)
+        which = np.empty(len(text_of), np.int64)
+        from_odd = odd[text_of]
+        which[~from_odd], which[from_odd] = cached[numbers], cached[len(chunks) :]
         lengths = self._length[which]
-        text_of = np.repeat(np.arange(len(texts)), counts)
         n_ids = np.bincount(text_of, weights=lengths, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(n_ids.sum()), end_id, dtype=np.uint32)
-        place = np.cumsum(lengths) - lengths  # where each chunk's ids go, without the end ids
-        source = np.repeat(self._start[which] - place, lengths) + np.arange(int(lengths.sum()))
-        out[np.arange(len(source)) + np.repeat(text_of, lengths)] = self._flat[source]
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(n_ids) - 1] = False
+        out[inside] = self._gather(which)
         return out, n_ids
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, packing, quality, repair, simhash, syncmers, toxicity
+from lexmill.llm import decontaminate, packing, quality, quotes, repair, simhash, syncmers, toxicity, warc
 
 QUERIES = {
+    "op2_warc_index": warc.op2,
+    "op3_quotation_linking": quotes.op3,
     "op4_token_ids_repair": repair.op4,
     "op5_subword_toxicity": toxicity.op5,
     "op6_best_two_fit_packing": packing.op6,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_index": warc.OP2_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }

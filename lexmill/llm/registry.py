@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, packing, quality, quotes, repair, simhash, syncmers, toxicity, warc
+from lexmill.llm import decontaminate, katz, packing, quality, quotes, repair, simhash, syncmers, toxicity, warc
 
 QUERIES = {
+    "op1_katz_backoff_lm": katz.op1,
     "op2_warc_index": warc.op2,
     "op3_quotation_linking": quotes.op3,
     "op4_token_ids_repair": repair.op4,

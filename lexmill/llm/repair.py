@@ -50,10 +50,9 @@ def _frequent_pairs(keys: np.ndarray, buckets: np.ndarray, min_count: int, most:
     found, counts = np.unique(keys[in_bucket[buckets] >= min_count], return_counts=True)
     frequent = np.flatnonzero(counts >= min_count)
     frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+    left, right = found[frequent] >> np.uint64(32), found[frequent] & np.uint64(0xFFFFFFFF)
     lefts, rights, taken, chosen = set(), set(), set(), []
-    for key in found[frequent].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
-        place = int(_bucket(np.uint64([a]), np.uint64([b]))[0])
+    for key, a, b, place in zip(found[frequent].tolist(), left.tolist(), right.tolist(), _bucket(left, right).tolist()):
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or place in taken:
             continue
         lefts.add(a), rights.add(b), taken.add(place), chosen.append(key)

@@ -1,7 +1,7 @@
 """Bounded samples of labelled documents to fit a classifier on.
 
 Only rows whose crc32(doc_id as text) modulo ``FOLDS`` is not 0 are ever learned from.  The
-sample is, for each class, the ``per_class`` rows whose hashed ids come first: the bound does
+sample is, for each class, the ``per_class[class]`` rows whose hashed ids come first: the bound does
 not depend on the size of the tables, and the same rows are drawn on every run.  A doc_id that
 is labelled more than once has the highest of its labels.
 """
@@ -20,12 +20,12 @@ def held_out(doc_id: Column) -> Column:
     return crc_bucket(doc_id, FOLDS) == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> tuple[DataFrame, float]:
     """(text, label) of the sampled documents, and the share of class 1 among all rows that may be learned from."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("y")).filter(F.col("y").isin(0, 1))
     share = usable.agg(F.avg("y")).first()[0]
     order = F.xxhash64("doc_id")
-    picked = [usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).select("doc_id", "y") for y in (0, 1)]
+    picked = [usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]).select("doc_id", "y") for y in (0, 1)]
     ids = picked[0].union(picked[1])
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y"), 0.5 if share is None else float(share)

@@ -29,7 +29,7 @@ PASSAGE = 48
 SHAPE, HASHED = 9, 8
 ENCODED = SHAPE + HASHED + 4
 HIDDEN, GATE = 16, 8
-PER_CLASS, STEPS, RATE, DECAY = 1500, 150, 0.03, 1e-3
+PER_CLASS, STEPS, RATE, DECAY = (1500, 1500), 150, 0.03, 1e-3
 THRESHOLD = 0.3
 WORD_CACHE = 400_000
 
@@ -171,8 +171,8 @@ def _bags(batches):
             yield pa.RecordBatch.from_pydict({"passages": pa.array(parts, pa.binary()), "y": batch.column("y").slice(first, last - first)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` labelled documents of each class (whole texts)."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts)."""
     sample, share = labelled_sample(docs, labels, "quality", per_class)
     drawn = sample.select("text", F.col("y").cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "y", "text").select("text", "y")
     rows = drawn.mapInArrow(_bags, "passages binary, y int").collect()

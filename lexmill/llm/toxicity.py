@@ -32,7 +32,7 @@ from lexmill.llm.labelled import held_out, labelled_sample
 from lexmill.llm.words import numbered_words, slices_of
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-PER_CLASS, MIN_DOCS = 2000, 5
+PER_CLASS, MIN_DOCS = (1300, 700), 5
 STEPS, RATE, SOFTMAX_RATE, MOMENTUM = 150, 1.0, 0.05, 0.8
 THRESHOLD = 0.5
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
@@ -83,11 +83,16 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     documents = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS)
     kept = documents >= min(MIN_DOCS, max(1, len(bags) // 50))
-    parts = [(b[kept[b]].astype(np.int64), c[kept[b]] / max(1.0, c.sum())) for b, c in bags]
+    parts = [(b[kept[b]], (c[kept[b]] / max(1.0, c.sum())).astype(np.float32)) for b, c in bags]
     n = np.array([len(b) for b, _ in parts])
-    row, weight = np.repeat(np.arange(len(parts)), n), np.concatenate([w for _, w in parts]).astype(np.float32)
-    used, column = np.unique(np.concatenate([b for b, _ in parts]).astype(np.int32), return_inverse=True)
-    by_column = np.argsort(column, kind="stable")
+    # 32-bit places throughout: the driver holds some million entries.
+    row, weight = np.repeat(np.arange(len(parts), dtype=np.int32), n), np.concatenate([w for _, w in parts])
+    all_buckets = np.concatenate([b for b, _ in parts])
+    used = np.unique(all_buckets)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    column = place[all_buckets]
+    by_column = np.argsort(column, kind="stable").astype(np.int32)
     column_start = np.flatnonzero(np.diff(column[by_column], prepend=-1))
     column_row, column_weight = row[by_column], weight[by_column]
     row_start, filled = (np.cumsum(n) - n)[n > 0], np.flatnonzero(n > 0)
@@ -155,8 +160,8 @@ def _bags(batches):
             yield pa.RecordBatch.from_pydict({"buckets": pa.array([b.tobytes() for b, _ in part], pa.binary()), "counts": pa.array([c.tobytes() for _, c in part], pa.binary()), "y": batch.column("y").slice(first, last - first)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` labelled documents of each class (whole texts)."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts)."""
     sample, share = labelled_sample(docs, labels, "toxic", per_class)
     drawn = sample.select("text", F.col("y").cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "y", "text").select("text", "y")
     rows = drawn.mapInArrow(_bags, "buckets binary, counts binary, y int").collect()

@@ -25,7 +25,7 @@ def hit_rates(results: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     mrr = (F.sum(F.coalesce(F.when(F.col("gold_rank") <= 10, 1.0 / F.col("gold_rank")), F.lit(0.0))) / F.count("*")).alias("mrr_10")
     sets = results.groupingSets([["mode", "lang"], ["mode"]], "mode", "lang")
     out = sets.agg(F.grouping("lang").alias("whole"), F.count("*").alias("n"), *hit.values(), mrr)
-    return out.select("mode", F.when(F.col("whole") == 1, "all").otherwise(F.col("lang")).alias("lang"), "n", *hit, "mrr_10")
+    return out.select("mode", F.when(F.col("whole") == 1, "all").otherwise(F.col("lang")).alias("lang"), "n", *(f"hit_{k}" for k in ks), "mrr_10")
 
 
 def median_of(rows: DataFrame, by: list[str], value: str) -> DataFrame:

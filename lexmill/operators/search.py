@@ -11,6 +11,8 @@ from lexmill.functions.text import query_terms, terms
 from lexmill.operators.vectors import nearest
 
 K1, B = 1.2, 0.75
+#: Scores are sums in no fixed order: rounding makes ties ties again, for the key to decide.
+SCORE_DIGITS = 9
 RRF_K, CANDIDATES, LIMIT = 60, 50, 8
 ORIGINS = ("code", "doc")
 _HEX = re.compile(r"[0-9a-f]+\Z")
@@ -91,7 +93,7 @@ def bm25(docs: DataFrame, query: str, k: int, key: str, text: str, where: Column
     spark = docs.sparkSession
     wanted = spark.range(1).select(F.explode(query_terms(F.lit(query))).alias("term"))
     hits = _matches(docs, key, text, wanted)
-    scored = _weighted(hits, _text_stats(docs, text), key).groupBy(key).agg(F.sum("weight").alias("score"))
+    scored = _weighted(hits, _text_stats(docs, text), key).groupBy(key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
     if where is not None:
         scored = scored.join(docs.filter(where).select(key), key, "left_semi")
     return scored.orderBy(F.desc("score"), key).limit(k)
@@ -102,7 +104,7 @@ def bm25_each(docs: DataFrame, queries: DataFrame, k: int, key: str, text: str,
     asked = queries.select(query_key, F.explode(query_terms(F.coalesce(query_text, F.lit("")))).alias("term"))
     hits = _matches(docs, key, text, asked)
     weighted = _weighted(hits, _text_stats(docs, text), key)
-    scored = weighted.join(F.broadcast(asked), "term").groupBy(query_key, key).agg(F.sum("weight").alias("score"))
+    scored = weighted.join(F.broadcast(asked), "term").groupBy(query_key, key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -112,7 +114,7 @@ def bm25_from_index(posted: DataFrame, lengths: DataFrame, query: str, k: int, k
     spark = posted.sparkSession
     wanted = [r.term for r in spark.range(1).select(F.explode(query_terms(F.lit(query))).alias("term")).collect()]
     hits = posted.filter(F.col("term").isin(wanted)).join(lengths, key)
-    scored = _weighted(hits, corpus_stats(lengths), key).groupBy(key).agg(F.sum("weight").alias("score"))
+    scored = _weighted(hits, corpus_stats(lengths), key).groupBy(key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 

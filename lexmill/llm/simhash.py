@@ -35,6 +35,7 @@ from pyspark.sql.types import LongType
 
 from lexmill.llm.common import materialize, table
 from lexmill.llm.components import components
+from lexmill.llm.words import whole_texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 HOT = 4096
@@ -51,7 +52,7 @@ def _votes(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
     """The fingerprint of each text, as a signed 64-bit number."""
-    lowered = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lowered = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     out = np.zeros(len(texts), dtype=np.uint64)
     digest, hashes, rows, counts, pending = xxhash.xxh64_intdigest, [], [], [], 0
 

@@ -7,11 +7,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """Texts with 64-bit offsets and empty texts for nulls, copied so that the offsets begin at 0:
+    Arrow's ascii_lower misreads a slice that was cast."""
+    return pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+
+
 def numbered_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(number of each word in turn, the distinct words, the number of words of each text).
 
     Words are what ASCII white space parts; a null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = whole_texts(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     filled = pc.not_equal(words, "")

@@ -37,11 +37,11 @@ FIRST_RULE, MAX_RULES = 49_408, 16_000  # symbols stay below 2**16
 MIN_COUNT, ROUNDS, PER_ROUND = 32, 10, 2_000
 SHARD_IDS, RANGE_BYTES = 4_000_000, 24_000_000
 MAGIC = b"LMRP0001"
-_BUCKETS = 1 << 21
+_BUCKETS = 1 << 18
 
 
 def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(43)).astype(np.int64)
+    return ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(46)).astype(np.int64)
 
 
 def _frequent_pairs(keys: np.ndarray, buckets: np.ndarray, min_count: int, most: int) -> np.ndarray:

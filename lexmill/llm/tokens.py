@@ -29,7 +29,6 @@ CACHE_CHUNKS, JOINED = 500_000, 500
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_CLOSED = re.compile(r".*[A-Za-z][.,]", re.DOTALL)
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,22 +100,29 @@ class ChunkTokenizer:
                 self._add(group, ids, np.diff(at, append=len(ids)))
 
     def _learn(self, chunks: list[str]) -> None:
-        known = self._number
-        closed = [c for c in chunks if c not in known and c[-1:] in (".", ",") and _CLOSED.fullmatch(c) and "<|" not in c]
+        """Encode distinct chunks that are not known yet."""
+        known, opening = self._number, self._cut == "spaced"
+        closed, letters, rest = [], [], []
+        for c in chunks:
+            if c[-1:] in (".", ",") and c[-2:-1].isascii() and c[-2:-1].isalpha():
+                closed.append(c)
+            elif (c[1:] if opening else c).isalpha() and (not opening or c[:1] == " "):
+                letters.append(c)
+            else:
+                rest.append(c)
         if closed:
             # A full stop or comma after a letter, with nothing behind it, is a pre-token of its own.
-            self._learn([*{c[:-1] for c in closed}, ".", ","])
-            a = np.array([known[c[:-1]] for c in closed])
-            b = np.array([known[c[-1]] for c in closed])
-            both = np.stack([a, b], axis=1).ravel()
-            self._add(closed, self._gather(both), self._length[a] + self._length[b])
-        rest = [c for c in chunks if c not in known]
-        letters = [c for c in rest if (c.isalpha() if self._cut == "words" else c[:1] == " " and c[1:].isalpha())]
+            bare = {c[:-1] for c in closed} | {".", ","}
+            bare.difference_update(known, letters, rest)
+            letters += [c for c in bare if (c[1:] if opening else c).isalpha() and (not opening or c[:1] == " ")]
+            rest += [c for c in bare if not ((c[1:] if opening else c).isalpha() and (not opening or c[:1] == " "))]
         if letters:
             self._encode_joined(letters)
-        rest = [c for c in rest if c not in known]
         if rest:
             self._encode_each(rest)
+        if closed:
+            a, b = np.array([known[c[:-1]] for c in closed]), np.array([known[c[-1]] for c in closed])
+            self._add(closed, self._gather(np.stack([a, b], axis=1).ravel()), self._length[a] + self._length[b])
 
     def _gather(self, which: np.ndarray) -> np.ndarray:
         lengths = self._length[which]
@@ -134,11 +140,14 @@ class ChunkTokenizer:
         chunks, numbers, counts = self._even(column.filter(pa.array(~odd)))
         cut = {i: self._odd(texts[i]) for i in np.flatnonzero(odd).tolist()}
         all_chunks = chunks + [c for own in cut.values() for c in own]
-        known = self._number
-        new = list(dict.fromkeys(c for c in all_chunks if c not in known))
-        if new:
-            self._learn(new)
-        cached = np.fromiter((known[c] for c in all_chunks), np.int64, len(all_chunks))
+        get = self._number.get
+        numbers_of = [get(c, -1) for c in all_chunks]
+        cached = np.array(numbers_of, dtype=np.int64)
+        unknown = np.flatnonzero(cached < 0)
+        if len(unknown):
+            new = [all_chunks[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            cached[unknown] = [get(c) for c in new]
         n_chunks = np.zeros(len(texts), np.int64)
         n_chunks[~odd], n_chunks[odd] = counts, [len(own) for own in cut.values()]
         text_of = np.repeat(np.arange(len(texts)), n_chunks)
@@ -159,7 +168,7 @@ def chunk_tokenizer(path: str, cut: str) -> ChunkTokenizer:
     return ChunkTokenizer(path, cut)
 
 
-def batches(texts: list[str], max_chars: int = 4_000_000):
+def batches(texts: list[str], max_chars: int = 8_000_000):
     """(first, last) of runs of texts of about ``max_chars`` characters, a longer text alone."""
     first, held = 0, 0
     for i, text in enumerate(texts):

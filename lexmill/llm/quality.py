@@ -31,7 +31,7 @@ ENCODED = SHAPE + HASHED + 4
 HIDDEN, GATE = 16, 8
 PER_CLASS, STEPS, RATE, DECAY = (1500, 1500), 150, 0.03, 1e-3
 THRESHOLD = 0.3
-WORD_CACHE = 400_000
+WORD_CACHE = 300_000
 
 
 def word_shape(word: str) -> list[float]:
@@ -55,20 +55,22 @@ class Encoder:
     """Encodes all passages of texts; keeps the shapes of distinct words in a bounded cache."""
 
     def __init__(self) -> None:
-        self._known: dict[str, list[float]] = {}
+        self._known: dict[str, int] = {}
+        self._table = np.zeros((0, SHAPE + HASHED), np.float32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(passages x ENCODED, the number of passages of each text, at least one)."""
         numbers, words, counts = numbered_words(texts, lower=False)
         if len(self._known) > WORD_CACHE:
             self._known.clear()
-        known, shapes = self._known, []
-        for w in words.to_pylist():
-            shape = known.get(w)
-            if shape is None:
-                shape = known[w] = word_shape(w)
-            shapes.append(shape)
-        table = np.array(shapes, dtype=np.float32).reshape(-1, SHAPE + HASHED)
+            self._table = self._table[:0]
+        known, distinct_words = self._known, words.to_pylist()
+        new = [w for w in distinct_words if w not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            shapes = np.fromiter((x for w in new for x in word_shape(w)), np.float32, len(new) * (SHAPE + HASHED))
+            self._table = np.concatenate([self._table, shapes.reshape(len(new), -1)])
+        table = self._table[[known[w] for w in distinct_words]] if distinct_words else self._table[:0]
         passages = np.maximum(-(-counts // PASSAGE), 1)
         out = np.zeros((int(passages.sum()), ENCODED), np.float32)
         if len(numbers):

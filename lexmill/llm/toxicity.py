@@ -36,7 +36,7 @@ PER_CLASS, MIN_DOCS = (1300, 700), 5
 STEPS, RATE, SOFTMAX_RATE, MOMENTUM = 150, 1.0, 0.05, 0.8
 THRESHOLD = 0.5
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
-WORD_CACHE = 400_000
+WORD_CACHE = 300_000
 
 
 def word_features(word: str) -> list[int]:

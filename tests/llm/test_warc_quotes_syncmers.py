@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -64,6 +65,17 @@ def test_quotations_are_linked(spark):
     assert quotes.linked_conversations(frame.limit(0)).count() == 0
 
 
+def test_quotations_against_sql(spark):
+    frame = spark.createDataFrame(THREADS, "conv_id long, turn long, role string, text string")
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", THREADS)
+    answer = connection.execute(quotes.OP3_SQL)
+    columns = [c[0] for c in answer.description]
+    own = [tuple(r[c] for c in columns) for r in quotes.digests(frame).collect()]
+    assert sorted(own, key=str) == sorted(answer.fetchall(), key=str)
+
+
 def test_long_chain_of_replies(spark):
     rows = [(7, 0, "u", "start")] + [(7, i, "u", f"> {'start' if i == 1 else f'say {i - 1}'}\nsay {i}") for i in range(1, 40)]
     found = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

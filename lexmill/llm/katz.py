@@ -41,7 +41,7 @@ from lexmill.llm.words import numbered_words, slices_of
 
 FOLDS, HELD_OUT = 7, 2
 ORDER, GT_MAX = 2, 5
-BLOCK_TOKENS, HOT = 2_500_000, 1_000_000
+BLOCK_TOKENS, HOT = 1_400_000, 1_000_000
 #: White space is in no word.
 END, BEGIN = xxhash.xxh64_intdigest(" "), xxhash.xxh64_intdigest("\n")
 UNKNOWN = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -460,7 +460,7 @@ def train(docs: DataFrame, order: int = ORDER) -> KatzModel:
     source = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("test"))
     manifest = materialize(source.mapInArrow(_make_blocks(folder), "block long, uri string, documents long"), "blocks")
     n_blocks, documents = manifest.agg(F.count("*"), F.coalesce(F.sum("documents"), F.lit(0))).first()
-    buckets = max(8, n_blocks + n_blocks // 2)
+    buckets = max(8, n_blocks)
     asked = manifest.select("block", "uri").repartitionByRange(max(1, n_blocks), "block").mapInArrow(_ask_words(buckets), MESSAGE)
     counted = {1: materialize(asked.groupBy("bucket").applyInArrow(_count_words(buckets), MESSAGE), "ngrams-1", ["kind"])}
     total, distinct, *counts_of_counts = _sums(counted[1])

@@ -41,7 +41,7 @@ from lexmill.llm.words import numbered_words, slices_of
 
 FOLDS, HELD_OUT = 7, 2
 ORDER, GT_MAX = 2, 5
-BLOCK_TOKENS, HOT = 1_400_000, 1_000_000
+BLOCK_TOKENS, HOT = 1_200_000, 1_000_000
 #: White space is in no word.
 END, BEGIN = xxhash.xxh64_intdigest(" "), xxhash.xxh64_intdigest("\n")
 UNKNOWN = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -243,8 +243,7 @@ class Block:
         self.unigrams = unigrams
         # The history of order 2 is the word before; BEGIN (which is no word's id) opens a document.
         self.gram, self.gram_count = self.word, self.count
-        self.begin, self.buckets = np.uint64(BEGIN), buckets
-        self.grams()
+        self.begin, self.buckets, self.shorter_is_unigram = np.uint64(BEGIN), buckets, True
 
     def grams(self) -> None:
         """The distinct (history, word) pairs to ask for, and which of them each token is."""
@@ -256,7 +255,7 @@ class Block:
         key = mixed(h, w)
         _, at, self.pair_of = np.unique(key, return_index=True, return_inverse=True)
         n = np.bincount(self.pair_of, weights=self.trained[self.known], minlength=len(at)).astype(np.uint64)
-        self.asked = {"history": h[at], "word": w[at], "n": n, "c_h": c[at], "p": self.p[self.known][at]}
+        self.asked = {"history": h[at], "word": w[at], "n": n, "c_h": c[at], "c_w": self.count[self.known][at], "p": self.p[self.known][at]}
         salts = np.maximum(-(-self.asked["c_h"] // HOT), 1).astype(np.uint64)
         bucket = _bucket_of(mixed(self.asked["history"], mixed(self.asked["word"], np.uint64(1) + np.zeros_like(salts)) % salts), self.buckets)
         self.order = np.lexsort((self.asked["word"], self.asked["history"], bucket))
@@ -269,7 +268,8 @@ class Block:
             own = {k: v[x:y] for k, v in self.asked.items()}
             opens = np.flatnonzero(np.concatenate(([True], own["history"][1:] != own["history"][:-1])))
             lengths = np.diff(np.append(opens, y - x))
-            out.append((b, block, "ask", pack_arrays(history=own["history"][opens], c_h=own["c_h"][opens], runs=lengths, word=own["word"], n=own["n"], p=own["p"])))
+            shorter = {"c_w": own["c_w"]} if self.shorter_is_unigram else {"p": own["p"]}  # counts pack far smaller than probabilities
+            out.append((b, block, "ask", pack_arrays(history=own["history"][opens], c_h=own["c_h"][opens], runs=lengths, word=own["word"], n=own["n"], **shorter)))
         return out
 
     def answered(self, answers: dict[int, dict[str, np.ndarray]], hot: dict[str, np.ndarray], discounts: Discounts) -> None:
@@ -292,7 +292,7 @@ class Block:
             by_pair[self.order], n_of[self.order] = p, n
         else:
             by_pair, n_of = np.zeros(0), np.zeros(0, np.int64)
-        self.p = self.p.copy()
+        self.p, self.shorter_is_unigram = self.p.copy(), False
         self.p[self.known] = by_pair[self.pair_of]
         gram, count = np.zeros_like(self.word), np.zeros_like(self.count)
         previous = np.empty_like(self.gram)
@@ -306,18 +306,26 @@ class Block:
 HISTORY_SUMS = ("many", "lower", *(f"seen{r}" for r in range(1, GT_MAX + 1)))
 
 
-def _count_ngrams(group: pa.Table) -> pa.Table:
+def _count_ngrams(unigrams: Unigrams):
+    def run(group: pa.Table) -> pa.Table:
+        return _counted_bucket(group, unigrams)
+
+    return run
+
+
+def _counted_bucket(group: pa.Table, unigrams: Unigrams) -> pa.Table:
     """Add up a bucket's n-grams and answer each block in the order it asked."""
     asked = [(row["block"], row["kind"], unpack_arrays(row["payload"])) for row in group.to_pylist()]
     bucket = group.column("bucket")[0].as_py()
-    whole = {k: np.concatenate([a[k] for _, _, a in asked]) for k in ("history", "c_h", "runs", "word", "n", "p")}
+    whole = {k: np.concatenate([a[k] for _, _, a in asked]) for k in asked[0][2]}
     run_of = np.repeat(np.arange(len(whole["runs"])), whole["runs"])
     _, at, place = np.unique(mixed(whole["history"][run_of], whole["word"]), return_index=True, return_inverse=True)
     n = np.bincount(place, weights=whole["n"], minlength=len(at)).astype(np.int64)
     histories, first_run, history_of_run = np.unique(whole["history"], return_index=True, return_inverse=True)
     mine = history_of_run[run_of[at]]
     add = lambda values: np.bincount(mine, weights=values, minlength=len(histories))
-    sums = {"many": add(np.where(n > GT_MAX, n, 0)).astype(np.uint64), "lower": add(np.where(n > 0, whole["p"][at], 0.0))}
+    shorter = whole["p"][at] if "p" in whole else unigrams.p(whole["c_w"][at])
+    sums = {"many": add(np.where(n > GT_MAX, n, 0)).astype(np.uint64), "lower": add(np.where(n > 0, shorter, 0.0))}
     sums |= {f"seen{r}": add(n == r).astype(np.uint64) for r in range(1, GT_MAX + 1)}
     is_hot = whole["c_h"][first_run] > HOT
     out, pairs, runs = [], 0, 0
@@ -381,18 +389,16 @@ def _block_of(group: pa.Table, buckets: int, unigrams: Unigrams, discounts: dict
             kinds.setdefault(row["kind"], {})[row["bucket"]] = unpack_arrays(row["payload"])
     block = Block(uri, kinds["answer1"], buckets, unigrams)
     for order in sorted(discounts):
-        if order > 2:
-            block.grams()
+        block.grams()
         hot = kinds.get(f"hot-answer{order}", {}).get(-2, {"history": np.zeros(0, np.uint64)})
         block.answered(kinds.get(f"answer{order}", {}), hot, discounts[order])
-    if discounts:
-        block.grams()
     return rows[0]["block"], block
 
 
 def _ask_ngrams(buckets: int, unigrams: Unigrams, discounts: dict[int, Discounts]):
     def run(group: pa.Table) -> pa.Table:
         number, block = _block_of(group, buckets, unigrams, discounts)
+        block.grams()
         return _messages(block.questions(number))
 
     return run
@@ -467,7 +473,7 @@ def train(docs: DataFrame, order: int = ORDER) -> KatzModel:
     unigrams, discounts = Unigrams.of(total, distinct, documents, counts_of_counts), {}
     for n in range(2, order + 1):
         asked = _to_blocks(manifest, counted).groupBy("block").applyInArrow(_ask_ngrams(buckets, unigrams, dict(discounts)), MESSAGE)
-        counted[n] = materialize(asked.groupBy("bucket").applyInArrow(_count_ngrams, MESSAGE), f"ngrams-{n}", ["kind"])
+        counted[n] = materialize(asked.groupBy("bucket").applyInArrow(_count_ngrams(unigrams), MESSAGE), f"ngrams-{n}", ["kind"])
         discounts[n] = Discounts.of(_sums(counted[n])[2:])
     return KatzModel(manifest, counted, unigrams, discounts, buckets)
 

@@ -35,30 +35,32 @@ from lexmill.llm.tokens import batches, chunk_tokenizer, crc32_of, tokenizer_pat
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 FIRST_RULE, MAX_RULES = 49_408, 16_000  # symbols stay below 2**16
 MIN_COUNT, ROUNDS, PER_ROUND = 32, 10, 2_000
-SHARD_IDS, RANGE_BYTES = 4_000_000, 24_000_000
+SHARD_IDS, RANGE_BYTES = 2_000_000, 24_000_000
 MAGIC = b"LMRP0001"
 _BUCKETS = 1 << 18
 
 
-def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(46)).astype(np.int64)
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    """One of ``_BUCKETS`` for each pair, by multiplication in the width of the keys."""
+    factor, shift = (0x9E3779B1, 14) if keys.dtype == np.uint32 else (0x9E3779B97F4A7C15, 46)
+    return ((keys * keys.dtype.type(factor)) >> keys.dtype.type(shift)).astype(np.int32)
 
 
-def _frequent_pairs(keys: np.ndarray, buckets: np.ndarray, min_count: int, most: int) -> np.ndarray:
+def _frequent_pairs(keys: np.ndarray, buckets: np.ndarray, width: int, min_count: int, most: int) -> np.ndarray:
     """The most frequent pairs, no two of which can overlap or share a bucket."""
     in_bucket = np.bincount(buckets, minlength=_BUCKETS)
     found, counts = np.unique(keys[in_bucket[buckets] >= min_count], return_counts=True)
     frequent = np.flatnonzero(counts >= min_count)
     frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
-    left, right = found[frequent] >> np.uint64(32), found[frequent] & np.uint64(0xFFFFFFFF)
+    found, low = found[frequent], keys.dtype.type((1 << width) - 1)
     lefts, rights, taken, chosen = set(), set(), set(), []
-    for key, a, b, place in zip(found[frequent].tolist(), left.tolist(), right.tolist(), _bucket(left, right).tolist()):
+    for key, a, b, place in zip(found.tolist(), (found >> keys.dtype.type(width)).tolist(), (found & low).tolist(), _bucket(found).tolist()):
         if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or place in taken:
             continue
         lefts.add(a), rights.add(b), taken.add(place), chosen.append(key)
         if len(chosen) == most:
             break
-    return np.array(chosen, dtype=np.uint64)
+    return np.array(chosen, dtype=keys.dtype)
 
 
 def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, min_count: int = MIN_COUNT, rounds: int = ROUNDS, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,17 +69,19 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, m
     closes[np.cumsum(n_ids)[n_ids > 0] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
+    # Pairs of symbols below 2**16 are 32-bit keys.
+    width, kind = (16, np.uint32) if max(int(symbols.max(initial=0)), first_rule + max_rules - 1) < 1 << 16 else (32, np.uint64)
     for _ in range(rounds):
         if len(symbols) < 2 or n_rules >= max_rules:
             break
-        left, right = symbols[:-1].astype(np.uint64), symbols[1:].astype(np.uint64)
-        keys, buckets = left << np.uint64(32) | right, _bucket(left, right)
+        keys = symbols[:-1].astype(kind) << kind(width) | symbols[1:]
+        buckets = _bucket(keys)
         inside = ~closes[:-1]
-        chosen = _frequent_pairs(keys[inside], buckets[inside], min_count, min(PER_ROUND, max_rules - n_rules))
+        chosen = _frequent_pairs(keys[inside], buckets[inside], width, min_count, min(PER_ROUND, max_rules - n_rules))
         if not len(chosen):
             break
         table = np.full(_BUCKETS, -1, dtype=np.int32)
-        table[_bucket(chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF))] = np.arange(len(chosen))
+        table[_bucket(chosen)] = np.arange(len(chosen))
         rule = table[buckets]
         at = np.flatnonzero((rule >= 0) & inside)
         at = at[chosen[rule[at]] == keys[at]]
@@ -91,7 +95,7 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, m
         keep[at + 1] = False
         before = len(symbols)
         symbols, closes = symbols[keep], closes[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([chosen >> kind(width), chosen & kind((1 << width) - 1)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
         if before - len(symbols) < before // 200:
             break

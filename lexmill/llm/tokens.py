@@ -88,16 +88,17 @@ class ChunkTokenizer:
     def _encode_joined(self, chunks: list[str]) -> None:
         """Chunks of letters only (after the space, if it is cut ``spaced``)."""
         groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
-        glue = " " if self._cut == "words" else ""
+        glue, added = " " if self._cut == "words" else "", []
         for group, encoded in zip(groups, self._tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(encoded.ids, dtype=np.uint32)
             at = np.flatnonzero(self._marked[ids])
             if len(at) != len(group):
                 self._encode_each(group)
-            elif self._cut == "words":
-                self._add(group, ids, np.diff(at, prepend=-1))
             else:
-                self._add(group, ids, np.diff(at, append=len(ids)))
+                added.append((group, ids, np.diff(at, prepend=-1) if self._cut == "words" else np.diff(at, append=len(ids))))
+        if added:
+            in_groups, ids, lengths = zip(*added)
+            self._add([c for group in in_groups for c in group], np.concatenate(ids), np.concatenate(lengths))
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode distinct chunks that are not known yet."""

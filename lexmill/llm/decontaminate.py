@@ -113,11 +113,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The documents (all their columns) in which no benchmark window occurs.  A null id with a
-    hit goes with its kind: ids are compared null-safely."""
-    hit = contamination(docs.select("doc_id", "text"), benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    """The rows (all their columns) in which no benchmark window occurs.  A hit depends on the text
+    alone, so rows are told apart by its SHA-256 and never by their ids, which may be null or repeated."""
+    text_hash = F.unhex(F.sha2("text", 256))
+    hit = contamination(docs.select(text_hash.alias("doc_id"), "text"), benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("hit_hash")).distinct()
     hit = materialize(hit, "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    return docs.join(hit, text_hash == hit["hit_hash"], "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

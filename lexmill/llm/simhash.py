@@ -219,24 +219,39 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) ->
     return groups.union(fine).mapInArrow(_compare(radius), "u long, v long")
 
 
+def _with_components(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
+    """``nodes`` (distinct fingerprints ``fp``) with the fingerprint that stands for their component."""
+    linked = components(fingerprint_links(nodes, radius, hot))
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select(*nodes.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     own = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    linked = components(fingerprint_links(nodes, radius, hot))
-    reach = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    reach = _with_components(nodes, radius, hot)
     named = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = reach.join(named, "component").select("fp", "component_id")
     return own.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, that with the group's smallest doc_id, with all its columns.
-    Of repeated rows of that id one stays; a group in which all ids are null keeps one row."""
-    member = near_duplicates(docs.select("doc_id", "text"), radius).select(F.col("doc_id").alias("own_id"), "component_id").distinct()
-    keep = materialize(member.filter(F.col("own_id").eqNullSafe(F.col("component_id"))).select("own_id").distinct(), "kept-ids")
-    stays = docs.join(keep, docs["doc_id"].eqNullSafe(keep["own_id"]), "left_semi")
-    return stays.dropDuplicates(["doc_id"])
+def _row_hash() -> Column:
+    """SHA-256 over a row's id and text (nulls apart from empty ones): rows that share it are the same document."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(part(F.col("doc_id").cast("string")), F.lit("\0"), part(F.col("text"))), 256))
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """One row of each group, that with the group's smallest doc_id, with all its columns.  A null
+    id comes after all others; of rows that share the id, the hash over id and text decides, and
+    of rows that share the text as well one stays.  What an id does elsewhere plays no part."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
+    own = materialize(docs.select("doc_id", _row_hash().alias("row_hash"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    nodes = materialize(own.groupBy("fp").agg(first), "nodes")
+    keep = _with_components(nodes, radius, hot).groupBy("component").agg(F.min("first").alias("first")).select("first.row_hash")
+    stays = docs.withColumn("row_hash", _row_hash()).join(materialize(keep, "kept-rows"), "row_hash", "left_semi")
+    # The join has dealt and sorted the rows by this column: no second shuffle.
+    return stays.dropDuplicates(["row_hash"]).drop("row_hash")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

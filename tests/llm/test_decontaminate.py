@@ -51,6 +51,12 @@ def test_only_clean_documents_stay(spark, documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "7", "8", "None"]
 
 
+def test_only_the_hit_rows_of_an_id_go(spark):
+    rows = [(None, "clean"), (None, "a SINGLE hit"), (None, "clean too"), (None, None), (7, "nothing here"), (7, "another single one"), (7, "nothing here")]
+    kept = decontaminate.decontaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((r for r in rows if "single" not in (r[1] or "").lower()), key=str)
+
+
 @pytest.mark.parametrize("size", [1, 2, 4, 5, 9])
 def test_short_items(spark, size):
     item = " ".join(f"w{i}" for i in range(size))

@@ -83,3 +83,22 @@ def test_one_of_each_group_stays(spark, documents):
     kept = simhash.deduplicated(documents)
     assert kept.columns == documents.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "6", "8", "None"]
+
+
+LONG = " ".join(f"w{i}" for i in range(400))
+ROWS = [
+    (None, "alpha beta gamma delta", "a"), (None, "one two three four five", "b"), (None, "one two three four five", "c"), (None, "ein anderer Text ganz ohne Nummer", "d"), (None, None, "e"), (None, "", "f"),
+    (1, LONG, "g"), (2, LONG, "h"), (2, "a second text under the same number", "i"), (2, "and a third one, unlike both", "j"), (None, LONG, "k"),
+]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, block string").repartition(3)
+    groups = linked_groups([fingerprint(t) for _, t, _ in ROWS], [n for n, _ in enumerate(ROWS)], 2)
+    for hot in (4096, 1):
+        kept = simhash.deduplicated(docs, hot=hot)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        place = {block: n for n, (_, _, block) in enumerate(ROWS)}
+        assert sorted(groups[place[r.block]] for r in rows) == sorted(set(groups))
+        assert {(r.doc_id, r.text) for r in rows} >= {(1, LONG), ROWS[0][:2], ROWS[1][:2], ROWS[3][:2], ROWS[8][:2], ROWS[9][:2]} and (2, LONG) not in {(r.doc_id, r.text) for r in rows}

@@ -2,10 +2,11 @@
 
 A line that opens with ``>`` marks is quoted, as deep as it has marks.  Neighbouring lines of one
 depth are a passage.  Every message also offers its own words as passages: its whole unquoted
-text, each run of its unquoted lines, each of its paragraphs, and each line.  Passages are
-normalised (lower case, white space runs to one space) and hashed; a quoted passage, or, where
-the whole passage is nobody's, each of its lines, links to the earliest earlier message of the
-same conversation that has it as its own.
+text, each run of its unquoted lines, each of its paragraphs, each sentence, and each line.
+Passages are normalised (lower case, white space runs to one space) and hashed; a quoted passage
+links to the earliest earlier message of the same conversation that has it as its own.  Where the
+whole passage is nobody's, it is cut at blank quoted lines, and each paragraph links by itself:
+whole, or else by its sentences, or else by its lines; the latest of these messages counts.
 
 The parent of a message is the latest message that its shallowest linked passages come from.
 Messages without a linked quotation open a thread.  A conversation without quotations is the
@@ -29,6 +30,9 @@ from lexmill.llm.common import drop_table, materialize, table, text_or_empty
 
 #: A line's marks: ``>`` signs with single blanks between or before them.
 MARKS = r"^[ \t]?(?:>[ \t]?)+"
+PARAGRAPH_BREAK = r"\n[ \t]*\n"
+#: In normalised text: the space after a sentence's last sign and what closes with it.
+SENTENCE_BREAK = r"(?<=[.!?…][\"'”’»)\]]{0,2}) "
 KEY = ["conv_id", "turn"]
 
 
@@ -40,6 +44,10 @@ def passage_hash(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
+def sentences(text: Column) -> Column:
+    return F.split(normalized(text), SENTENCE_BREAK)
+
+
 def line_depths(text: Column) -> Column:
     """An array of (depth, line without marks, is blank) for a column of texts."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
@@ -66,12 +74,12 @@ def _runs(lines: Column) -> Column:
 
 
 def _own_passages(runs: Column) -> Column:
-    """What a message says itself: the whole, each run, each paragraph and each line."""
+    """What a message says itself: the whole, each run, each paragraph, each sentence and each line."""
     own = F.filter(runs, lambda r: r.depth == 0)
     joined = F.transform(own, lambda r: F.array_join(r.lines, "\n"))
-    paragraphs = F.flatten(F.transform(joined, lambda t: F.split(t, r"\n[ \t]*\n")))
+    paragraphs = F.flatten(F.transform(joined, lambda t: F.split(t, PARAGRAPH_BREAK)))
     lines = F.flatten(F.transform(own, lambda r: r.lines))
-    passages = F.concat(F.array(F.array_join(joined, "\n")), joined, paragraphs, lines)
+    passages = F.concat(F.array(F.array_join(joined, "\n")), joined, paragraphs, F.flatten(F.transform(paragraphs, sentences)), lines)
     return F.array_distinct(F.filter(F.transform(passages, normalized), lambda t: t != ""))
 
 
@@ -86,29 +94,44 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 
 def _quoted(parsed: DataFrame) -> DataFrame:
-    """A row for each quoted passage: its place, depth, own hash and its lines' hashes."""
+    """A row for each quoted passage: its place, depth, own hash, its lines' hashes and, for
+    each of its paragraphs, the (level, hash) of what it may be known by."""
     runs = parsed.filter("quoting").select(*KEY, F.posexplode(F.filter("runs", lambda r: r.depth > 0)).alias("place", "run"))
     lines = F.filter(F.transform("run.lines", normalized), lambda t: t != "")
     held = runs.select(*KEY, "place", F.col("run.depth").alias("depth"), F.array_join("run.lines", "\n").alias("passage"), lines.alias("lines"))
-    return held.filter(F.size("lines") > 0).select(*KEY, "place", "depth", passage_hash(F.col("passage")).alias("hash"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_hashes"))
+
+    def known_by(paragraph: Column) -> Column:
+        levels = (F.array(normalized(paragraph)), sentences(paragraph), F.transform(F.split(paragraph, "\n"), normalized))
+        pieces = [F.transform(F.filter(texts, lambda t: t != ""), lambda t, n=n: F.struct(F.lit(n).alias("level"), F.sha2(t, 256).alias("hash"))) for n, texts in enumerate(levels)]
+        return F.array_distinct(F.concat(*pieces))
+
+    parts = F.transform(F.split("passage", PARAGRAPH_BREAK), known_by)
+    return held.filter(F.size("lines") > 0).select(*KEY, "place", "depth", passage_hash(F.col("passage")).alias("hash"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_hashes"), parts.alias("parts"))
 
 
 def quotation_links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, place, depth, source_turn): source_turn is null where nothing was found."""
     # Repeated rows quote the same passages: those count once.
-    quoted = materialize(_quoted(parsed).filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct(), "quoted")
-    wanted = quoted.select("conv_id", F.col("hash")).union(quoted.select("conv_id", F.explode("line_hashes"))).distinct()
+    quoted = _quoted(parsed).filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    quoted = quoted.groupBy(*KEY, "place", "depth", "hash", "line_hashes").agg(F.min("parts").alias("parts")).drop("line_hashes")
+    quoted = materialize(quoted.withColumn("n", F.monotonically_increasing_id()), "quoted")
+    wanted = quoted.select("conv_id", F.col("hash")).union(quoted.select("conv_id", F.explode(F.flatten("parts")).alias("piece")).select("conv_id", "piece.hash")).distinct()
     offered = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     # Only conversations that hold quotations offer anything.
     offered = offered.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
     first = offered.select(*KEY, F.explode(_own_passages(F.col("runs"))).alias("said")).groupBy("conv_id", F.sha2("said", 256).alias("hash")).agg(F.min("turn").alias("source_turn"))
     first = first.join(wanted, ["conv_id", "hash"], "left_semi")
     earlier = F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn"))
-    whole = quoted.join(first, ["conv_id", "hash"], "left").select(*KEY, "place", "depth", F.col("hash").alias("passage"), "line_hashes", earlier.alias("source_turn"))
+    whole = quoted.join(first, ["conv_id", "hash"], "left").select("n", *KEY, "place", "depth", "parts", earlier.alias("source_turn"))
     whole = materialize(whole, "whole-links")
-    by_line = whole.filter(F.col("source_turn").isNull()).select(*KEY, "place", "depth", "passage", F.explode("line_hashes").alias("hash"))
-    by_line = by_line.join(first, ["conv_id", "hash"], "left").groupBy(*KEY, "place", "depth", "passage").agg(F.max(earlier).alias("source_turn")).drop("passage")
-    return whole.filter(F.col("source_turn").isNotNull()).select(*KEY, "place", "depth", "source_turn").union(by_line)
+    run = ["n", *KEY, "place", "depth"]
+    pieces = whole.filter(F.col("source_turn").isNull()).select(*run, F.posexplode("parts").alias("part", "pieces"))
+    pieces = pieces.select(*run, "part", F.explode("pieces").alias("piece")).select(*run, "part", "piece.level", "piece.hash")
+    # Of each paragraph the first level that links anything, and of that the latest message.
+    nearest = F.max(F.when(earlier.isNotNull(), F.struct((-F.col("level")).alias("nearest"), "source_turn"))).alias("best")
+    by_part = pieces.join(first, ["conv_id", "hash"], "left").groupBy(*run, "part").agg(nearest)
+    by_part = by_part.groupBy(*run).agg(F.max("best.source_turn").alias("source_turn")).drop("n")
+    return whole.filter(F.col("source_turn").isNotNull()).select(*KEY, "place", "depth", "source_turn").union(by_part)
 
 
 def _roots(parents: DataFrame) -> DataFrame:

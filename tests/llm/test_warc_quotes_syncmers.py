@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import textwrap
 
 import duckdb
 import pytest
@@ -82,6 +83,20 @@ def test_long_chain_of_replies(spark):
     assert {(r.turn, r.depth, r.root_turn) for r in found.collect()} == {(i, i, 0) for i in range(40)}
 
 
+def test_rewrapped_paragraphs_and_single_sentences(spark):
+    paragraphs = [f"The {n} paragraph says that the river rose over its banks in the night. Nobody had seen the {n} flood coming, and the bridge was lost!" for n in ("first", "second", "third")]
+    wrapped = ["\n".join(f"> {line}" for line in textwrap.wrap(p, 40)) for p in paragraphs]
+    rows = [
+        (1, 0, "u", "\n\n".join(paragraphs)),
+        (1, 1, "a", wrapped[0] + "\n>\n" + wrapped[1] + "\n\nTwo of three."),
+        (1, 2, "u", "> Nobody had seen the second flood\n> coming, and the bridge was lost!\nOne sentence."),
+        (1, 3, "a", "> Nobody had seen the fourth flood\n> coming.\nNobody's."),
+        (1, 4, "u", "> Two of three.\n>\n" + wrapped[2] + "\nA newer one with an older one."),
+    ]
+    found = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((r.turn, r.n_quoted, r.n_linked, r.parent_turn, r.root_turn) for r in found.collect()) == [(0, 0, 0, None, 0), (1, 1, 1, 0, 0), (2, 1, 1, 0, 0), (3, 1, 0, None, 3), (4, 1, 1, 1, 0)]
+
+
 def sketch(text):
     data = text.encode()
     signed = lambda b: (x := xxhash.xxh64_intdigest(b, 42)) - (2**64 if x >= 2**63 else 0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_bucket
+from lexmill.llm.common import crc_bucket, materialize
 
 FOLDS = 5
 
@@ -24,6 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     """(text, label) of the sampled documents, and the share of class 1 among all rows that may be learned from."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("y")).filter(F.col("y").isin(0, 1))
+    usable = materialize(usable.join(docs.select("doc_id"), "doc_id", "left_semi"), "usable-labels")
     share = usable.agg(F.avg("y")).first()[0]
     order = F.xxhash64("doc_id")
     picked = [usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y]).select("doc_id", "y") for y in (0, 1)]

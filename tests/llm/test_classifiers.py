@@ -5,8 +5,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lexmill.llm import quality, toxicity
+from lexmill.llm import labelled, quality, toxicity
 from lexmill.llm.words import numbered_words
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +65,14 @@ def test_sliced_texts():
     numbers, words, counts = numbered_words(texts.slice(5, 150), lower=True)
     expected = ["".join(c.lower() if c.isascii() else c for c in w) for t in texts.slice(5, 150).to_pylist() for w in (t or "").split(" ") if w]
     assert [words[i].as_py() for i in numbers.tolist()] == expected and counts.sum() == len(expected)
+
+
+def test_labels_of_missing_documents_take_no_place(spark):
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    usable = [r.doc_id for r in labels.filter(~labelled.held_out(F.col("doc_id"))).collect()]
+    toxic = sorted(i for i in usable if i % 2 == 1)[-25:]
+    docs = spark.createDataFrame([(i, "x") for i in toxic + [i for i in range(400) if i % 2 == 0]], "doc_id long, text string")
+    sample, share = labelled.labelled_sample(docs, labels, "toxic", (10, 20))
+    counts = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    clean = sum(1 for i in usable if i % 2 == 0)
+    assert counts == {0: 10, 1: 20} and share == 25 / (25 + clean)

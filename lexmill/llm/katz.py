@@ -40,7 +40,7 @@ from lexmill.llm.files import read_range, write_file
 from lexmill.llm.words import numbered_words, slices_of
 
 FOLDS, HELD_OUT = 7, 2
-ORDER, GT_MAX = 2, 5
+ORDER, GT_MAX = 3, 5
 BLOCK_TOKENS, HOT = 1_200_000, 1_000_000
 #: White space is in no word.
 END, BEGIN = xxhash.xxh64_intdigest(" "), xxhash.xxh64_intdigest("\n")

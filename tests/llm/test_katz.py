@@ -93,6 +93,18 @@ def test_held_out_text_is_likelier_than_by_the_base(spark):
     assert len(scores) > 20 and sum(r.score for r in scores) > sum(r.base_score for r in scores)
 
 
+def test_registered_model_has_trigrams(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain, expected = Plain(rows, 3), []
+    for i, text in rows:
+        padded = ["\t"] * 2 + tokens(text or "")
+        expected.append((str(i), sum(math.log10(plain.p(3, tuple(padded[k : k + 2]), padded[k + 2])) for k in range(len(padded) - 2))))
+    found = sorted((str(r.doc_id), r.score) for r in katz.op1(spark, str(tmp_path)).collect())
+    for a, b in zip(found, sorted(expected), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert katz.train(none).scores().count() == 0

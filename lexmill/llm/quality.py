@@ -29,7 +29,8 @@ PASSAGE = 48
 SHAPE, HASHED = 9, 8
 ENCODED = SHAPE + HASHED + 4
 HIDDEN, GATE = 16, 8
-PER_CLASS, STEPS, RATE, DECAY = (1500, 1500), 150, 0.03, 1e-3
+PER_CLASS, MAX_CHARS = (1500, 1500), 32_000_000
+STEPS, RATE, DECAY = 150, 0.03, 1e-3
 THRESHOLD = 0.3
 WORD_CACHE = 300_000
 
@@ -114,34 +115,41 @@ def _forward(x: np.ndarray, sizes: np.ndarray, p: dict[str, np.ndarray]) -> dict
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "score": _sigmoid(z @ p["out"] + p["out_bias"]), "starts": starts}
 
 
+def initial_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
+    normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
+    return {"encode": normal(ENCODED, HIDDEN), "encode_bias": np.zeros(HIDDEN, np.float32), "attend": normal(HIDDEN, GATE), "gate": normal(HIDDEN, GATE), "weigh": normal(GATE), "out": normal(HIDDEN), "out_bias": np.zeros((), np.float32)}
+
+
+def gradients(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, importance: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the weighted cross-entropy, by every weight."""
+    f = _forward(x, sizes, p)
+    error = (f["score"] - y) * importance
+    to_z = np.repeat(error[:, None] * p["out"], sizes, axis=0)
+    to_a = (to_z * f["h"]).sum(axis=1)
+    to_logit = f["a"] * (to_a - np.repeat(np.add.reduceat(f["a"] * to_a, f["starts"]), sizes))
+    to_gated = to_logit[:, None] * p["weigh"]
+    to_t, to_g = to_gated * f["g"] * (1 - f["t"] ** 2), to_gated * f["t"] * f["g"] * (1 - f["g"])
+    to_h = (f["a"][:, None] * to_z + to_t @ p["attend"].T + to_g @ p["gate"].T) * (1 - f["h"] ** 2)
+    return {
+        "encode": x.T @ to_h, "encode_bias": to_h.sum(axis=0), "attend": f["h"].T @ to_t, "gate": f["h"].T @ to_g,
+        "weigh": to_logit @ (f["t"] * f["g"]), "out": error @ f["z"], "out_bias": error.sum(),
+    }
+
+
 def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float, seed: int = 0) -> Model:
     """Fit the network to bags of ``sizes`` passages; both classes weigh the same."""
     if not len(y) or len(set(y.tolist())) < 2:
         return Model(np.zeros(ENCODED), np.ones(ENCODED), {}, share if not len(y) else float(y[0]))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = ((x - mean) / scale).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-    p = {"encode": normal(ENCODED, HIDDEN), "encode_bias": np.zeros(HIDDEN, np.float32), "attend": normal(HIDDEN, GATE), "gate": normal(HIDDEN, GATE), "weigh": normal(GATE), "out": normal(HIDDEN), "out_bias": np.zeros((), np.float32)}
+    p = initial_weights(np.random.default_rng(seed))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     importance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
     for step in range(1, STEPS + 1):
-        f = _forward(x, sizes, p)
-        error = (f["score"] - y) * importance
-        to_z = np.repeat(error[:, None] * p["out"], sizes, axis=0)
-        to_a = (to_z * f["h"]).sum(axis=1)
-        to_logit = f["a"] * (to_a - np.repeat(np.add.reduceat(f["a"] * to_a, f["starts"]), sizes))
-        to_gated = to_logit[:, None] * p["weigh"]
-        to_t, to_g = to_gated * f["g"] * (1 - f["t"] ** 2), to_gated * f["t"] * f["g"] * (1 - f["g"])
-        to_h = (f["a"][:, None] * to_z + to_t @ p["attend"].T + to_g @ p["gate"].T) * (1 - f["h"] ** 2)
-        gradients = {
-            "encode": x.T @ to_h, "encode_bias": to_h.sum(axis=0), "attend": f["h"].T @ to_t, "gate": f["h"].T @ to_g,
-            "weigh": to_logit @ (f["t"] * f["g"]), "out": error @ f["z"], "out_bias": error.sum(),
-        }
-        for name, gradient in gradients.items():
+        for name, gradient in gradients(x, sizes, y, importance, p).items():
             gradient = gradient + DECAY * p[name]
             first, second = moments[name]
-            first = moments[name][0] + 0.1 * (gradient - first)
+            first = first + 0.1 * (gradient - first)
             second = second + 0.01 * (gradient**2 - second)
             moments[name] = (first, second)
             p[name] = (p[name] - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -173,11 +181,10 @@ def _bags(batches):
             yield pa.RecordBatch.from_pydict({"passages": pa.array(parts, pa.binary()), "y": batch.column("y").slice(first, last - first)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts)."""
-    sample, share = labelled_sample(docs, labels, "quality", per_class)
-    drawn = sample.select("text", F.col("y").cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "y", "text").select("text", "y")
-    rows = drawn.mapInArrow(_bags, "passages binary, y int").collect()
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts), ``max_chars`` in all."""
+    sample, share = labelled_sample(docs, labels, "quality", per_class, max_chars)
+    rows = sample.select("text", "y").mapInArrow(_bags, "passages binary, y int").collect()
     bags = [np.frombuffer(r.passages, np.float32).reshape(-1, ENCODED) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, ENCODED), np.float32)
     return train(x, np.array([len(b) for b in bags], dtype=np.int64), np.array([r.y for r in rows], dtype=np.int64), share)

@@ -2,7 +2,8 @@
 
 A word stands for itself and its character n-grams (with word borders), each hashed to one of
 ``BUCKETS`` embeddings; a document is the average over the features of all its distinct words, and a
-linear softmax on that average gives the two classes.  A word counts once in a document, so
+linear softmax on that average gives the two classes.  Features are hashed for many words at once,
+as differences of running sums over their code points.  A word counts once in a document, so
 long texts don't drown a rare word.  Embeddings and softmax are trained together in numpy, on
 a bounded sample of labelled documents, by full-batch gradient steps whose length is set by the
 largest entry of the whole embedding gradient: what many documents share moves first, and what
@@ -22,28 +23,52 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexmill.llm.common import table
 from lexmill.llm.labelled import held_out, labelled_sample
-from lexmill.llm.words import numbered_words, slices_of
+from lexmill.llm.words import numbered_words, slices_of, whole_texts
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-PER_CLASS, MIN_DOCS = (1300, 700), 5
+PER_CLASS, MAX_CHARS = (1300, 700), 16_000_000
 STEPS, RATE, SOFTMAX_RATE, MOMENTUM = 150, 1.0, 0.05, 0.8
 THRESHOLD = 0.5
+WORDS_AT_ONCE = 32_768
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
-WORD_CACHE = 300_000
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams."""
-    whole = f"<{word.strip(EDGES).lower()}>"
-    grams = [whole, *(whole[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(whole) - n + 1))]
-    return list({xxhash.xxh32_intdigest(g) % BUCKETS for g in grams})
+#: An odd number and its inverse modulo 2**64, for hashes of substrings.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of the features of distinct words: each word (with its borders) and its n-grams."""
+    edge = [pa.scalar(x, pa.large_string()) for x in ("<", ">", "")]
+    marked = pc.binary_join_element_wise(edge[0], pc.utf8_trim(pc.utf8_lower(whole_texts(words)), EDGES), *edge[1:])
+    lengths = pc.utf8_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    powers = np.cumprod(np.full(len(codes), _BASE, np.uint64))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * powers)))
+    shift_back = np.cumprod(np.full(len(codes), _INVERSE, np.uint64))
+    ends = np.cumsum(lengths)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))
+
+    def buckets(first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
+        x = (sums[last] - sums[first]) * shift_back[first] + np.uint64(kind)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(29))) >> np.uint64(8)).astype(np.int64) % BUCKETS
+
+    own, found = [np.arange(len(words), dtype=np.int32)], [buckets(ends - lengths, ends, 0).astype(np.int32)]
+    for n in range(SHORTEST, LONGEST + 1):
+        at = np.flatnonzero(left >= n)
+        own.append(word_of[at])
+        found.append(buckets(at, at + n, n).astype(np.int32))
+    return np.concatenate(own), np.concatenate(found)
 
 
 def _distinct(numbers: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +77,12 @@ def _distinct(numbers: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np
     return pairs // max(1, n_words), pairs % max(1, n_words)
 
 
-def feature_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, in how many distinct words) of each text."""
+def distinct_words(texts: pa.Array) -> pa.ListArray:
+    """The distinct words of each text."""
     numbers, words, counts = numbered_words(texts, lower=True)
-    features = [np.array(word_features(w), dtype=np.int64) for w in words.to_pylist()]
     text_of, word = _distinct(numbers, counts, len(words))
-    out = []
-    for own in np.split(word, np.searchsorted(text_of, np.arange(1, len(counts)))):
-        found, times = np.unique(np.concatenate([features[i] for i in own.tolist()]) if len(own) else np.zeros(0, np.int64), return_counts=True)
-        out.append((found.astype(np.int32), times.astype(np.float32)))
-    return out
+    offsets = np.searchsorted(text_of, np.arange(len(counts) + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(word)).cast(pa.string()))
 
 
 @dataclass
@@ -76,44 +97,45 @@ def _softmax_difference(values: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(values, -50, 50)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float, seed: int = 0) -> Model:
-    """Fit embeddings and softmax together; ``share`` (of class 1) is what is left to say without both classes."""
-    if not len(bags) or len(set(y.tolist())) < 2:
-        p = np.clip(share if not len(bags) else float(np.mean(y)), 1e-3, 1 - 1e-3)
+def train(bags: pa.ListArray, y: np.ndarray, share: float, seed: int = 0) -> Model:
+    """Fit embeddings and softmax together to documents' distinct words; ``share`` (of class 1) is
+    what is left to say without both classes."""
+    if not len(y) or len(set(y.tolist())) < 2:
+        p = np.clip(share if not len(y) else float(np.mean(y)), 1e-3, 1 - 1e-3)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    documents = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS)
-    kept = documents >= min(MIN_DOCS, max(1, len(bags) // 50))
-    parts = [(b[kept[b]], (c[kept[b]] / max(1.0, c.sum())).astype(np.float32)) for b, c in bags]
-    n = np.array([len(b) for b, _ in parts])
-    # 32-bit places throughout: the driver holds some million entries.
-    row, weight = np.repeat(np.arange(len(parts), dtype=np.int32), n), np.concatenate([w for _, w in parts])
-    all_buckets = np.concatenate([b for b, _ in parts])
-    used = np.unique(all_buckets)
-    place = np.zeros(BUCKETS, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    column = place[all_buckets]
-    by_column = np.argsort(column, kind="stable").astype(np.int32)
-    column_start = np.flatnonzero(np.diff(column[by_column], prepend=-1))
-    column_row, column_weight = row[by_column], weight[by_column]
-    row_start, filled = (np.cumsum(n) - n)[n > 0], np.flatnonzero(n > 0)
+    counts = pc.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = bags.flatten().dictionary_encode()
+    text_of, word = np.repeat(np.arange(len(y)), counts), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_words = len(encoded.dictionary)
+    own, bucket = word_features(encoded.dictionary)
+    used, column = np.unique(bucket, return_inverse=True)
+    per_word = np.bincount(own, minlength=n_words)
+    per_text = np.maximum(np.bincount(text_of, weights=per_word[word], minlength=len(y)), 1)
+    # Features by word, and words by feature, each with the places where a run begins.
+    by_word = column[np.argsort(own, kind="stable")]
+    by_column = own[np.argsort(column, kind="stable")].astype(np.int64)
+    word_start = np.cumsum(per_word) - per_word
+    column_start = np.cumsum(np.bincount(column, minlength=len(used)))[:-1]
+    column_start = np.concatenate(([0], column_start))[: len(used)]
+    del own, bucket, column
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.01, (DIMENSIONS, len(used))).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     # Each class counts as half.
     importance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
-    target = np.eye(2, dtype=np.float32)[y]
     parameters = [embedding, softmax, bias]
     momenta = [np.zeros_like(p) for p in parameters]
+    sides = np.array([-1, 1], np.float32)
     for _ in range(STEPS if len(used) else 0):
-        average = np.zeros((len(parts), DIMENSIONS), np.float32)
-        for d, own in enumerate(embedding):
-            average[filled, d] = np.add.reduceat(own[column] * weight, row_start)
-        logits = average @ softmax + bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        error = (p - target) * importance[:, None]
-        back = softmax @ error.T
-        gradients = [np.stack([np.add.reduceat(own[column_row] * column_weight, column_start) for own in back]), average.T @ error, error.sum(axis=0)]
+        # With two classes the errors of a document are -e and e, so all of the gradient follows from
+        # one pass from features to words to documents, and one back.
+        direction = softmax @ sides
+        of_words = np.add.reduceat((direction @ embedding)[by_word], word_start)
+        logit = np.bincount(text_of, weights=of_words[word], minlength=len(y)) / per_text + bias @ sides
+        error = (_softmax_difference(logit) - y) * importance
+        to_words = np.bincount(word, weights=(error / per_text)[text_of], minlength=n_words).astype(np.float32)
+        to_features = np.add.reduceat(to_words[by_column], column_start)
+        gradients = [np.outer(direction, to_features), np.outer(embedding @ to_features, sides), error.sum() * sides]
         for parameter, gradient, momentum in zip(parameters, gradients, momenta):
             momentum += (1 - MOMENTUM) * (gradient - momentum)
             largest = float(np.abs(momentum).max()) + 1e-12
@@ -124,31 +146,24 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, share: float
 
 
 class Scorer:
-    """Scores texts; keeps what distinct words add in a cache of bounded size."""
+    """Scores texts some megabytes at a time; a distinct word's features are added up once for each such slice."""
 
     def __init__(self, model: Model) -> None:
-        self._model, self._known = model, {}
-
-    def _word(self, word: str) -> tuple[float, int]:
-        features = word_features(word)
-        return float(self._model.per_bucket[features].sum()), len(features)
+        self._model = model
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         out = []
         for first, last in slices_of(texts):
             numbers, words, counts = numbered_words(texts.slice(first, last - first), lower=True)
-            if len(self._known) > WORD_CACHE:
-                self._known.clear()
-            known, parts = self._known, []
-            for w in words.to_pylist():
-                part = known.get(w)
-                if part is None:
-                    part = known[w] = self._word(w)
-                parts.append(part)
-            table = np.array(parts, dtype=np.float64).reshape(-1, 2)
+            added, features = np.zeros(len(words)), np.zeros(len(words))
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part = words.slice(at, WORDS_AT_ONCE)
+                own, bucket = word_features(part)
+                added[at : at + len(part)] = np.bincount(own, weights=self._model.per_bucket[bucket], minlength=len(part))
+                features[at : at + len(part)] = np.bincount(own, minlength=len(part))
             text_of, word = _distinct(numbers, counts, len(words))
-            total = np.bincount(text_of, weights=table[word, 0], minlength=len(counts))
-            n = np.bincount(text_of, weights=table[word, 1], minlength=len(counts))
+            total = np.bincount(text_of, weights=added[word], minlength=len(counts))
+            n = np.bincount(text_of, weights=features[word], minlength=len(counts))
             out.append(_softmax_difference(total / np.maximum(n, 1) + self._model.bias))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -156,17 +171,15 @@ class Scorer:
 def _bags(batches):
     for batch in batches:
         for first, last in slices_of(batch.column("text")):
-            part = feature_counts(batch.column("text").slice(first, last - first))
-            yield pa.RecordBatch.from_pydict({"buckets": pa.array([b.tobytes() for b, _ in part], pa.binary()), "counts": pa.array([c.tobytes() for _, c in part], pa.binary()), "y": batch.column("y").slice(first, last - first)})
+            yield pa.RecordBatch.from_pydict({"words": distinct_words(batch.column("text").slice(first, last - first)), "y": batch.column("y").slice(first, last - first)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts)."""
-    sample, share = labelled_sample(docs, labels, "toxic", per_class)
-    drawn = sample.select("text", F.col("y").cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "y", "text").select("text", "y")
-    rows = drawn.mapInArrow(_bags, "buckets binary, counts binary, y int").collect()
-    bags = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float32)) for r in rows]
-    return train(bags, np.array([r.y for r in rows], dtype=np.int64), share)
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+    """Train on at most ``per_class`` labelled documents of classes 0 and 1 (whole texts), ``max_chars`` in all."""
+    sample, share = labelled_sample(docs, labels, "toxic", per_class, max_chars)
+    rows = sample.select("text", "y").mapInArrow(_bags, "words array<string>, y int").toArrow()
+    bags = rows.column("words").combine_chunks()
+    return train(bags, rows.column("y").to_numpy().astype(np.int64), share)
 
 
 def scored(model: Model, text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Documents into chunks of whole lines that can be cited exactly.
 
 ``chunk_documents`` splits a document where its structure says so (headings, definitions, keys:
-``structure``), merges what is too small and cuts what is too large into overlapping windows of
+``outline``), packs what is small, merges what is too small and cuts what is too large into overlapping windows of
 lines; a document of any other language is cut into windows alone.  It is one pass over the
 documents without a shuffle; the per-document helpers below hold only line numbers.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pyarrow as pa
@@ -22,7 +22,7 @@ from lexmill.functions.languages import SYNTAX_LANGUAGES
 from lexmill.functions.text import is_blank, split_lines
 
 CHUNK = "ordinal int, start_line int, end_line int, symbol string, text string"
-NAME_CHARS = 80
+NAME_CHARS, MAX_DEPTH = 80, 200
 
 
 @dataclass(frozen=True)
@@ -122,30 +122,77 @@ _COMPILED = {k: [re.compile(p) for p in v] for k, v in OPENERS.items()}
 LEADING = re.compile(r"^\s*(?:#(?!#*\s)|//|/\*|\*|--|@)")
 
 
-def structure(lines: list[str], language: str) -> list[Piece]:
-    """A piece from each line that opens a name to the line before the next such line, with the
-    names of what it stands in (lines of smaller indent, or higher headings)."""
-    opened: list[tuple[int, int, str]] = []
-    fenced = False
+@dataclass
+class Section:
+    """Lines ``first`` to ``last`` that one opener (or the document) holds, with the sections inside."""
+
+    first: int
+    last: int
+    names: tuple[str, ...] = ()
+    inner: list[Section] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Each inner section ends before the next one, the last one with this section."""
+        for section, after in zip(self.inner, [*self.inner[1:], None]):
+            section.last = after.first - 1 if after else self.last
+            section.close()
+
+
+def outline(lines: list[str], language: str) -> Section:
+    """The document's sections by its openers: an opener holds what follows it with a larger indent (or
+    as a lower heading); comments and decorators right above an opener are its first lines."""
+    document = Section(0, len(lines) - 1)
+    around, fenced, latest = [(-1, document)], False, -1
     for i, line in enumerate(lines):
         if language == "markdown" and line.lstrip().startswith("```"):
             fenced = not fenced
         match = None if fenced else next((m for p in _COMPILED[language] if (m := p.match(line))), None)
-        if match:
-            indent = len(match["indent"].expandtabs(4))
-            opened.append((i, indent, match["name"].strip().strip("\"'")[:NAME_CHARS]))
-    starts: list[tuple[int, tuple[str, ...]]] = []
-    above: list[tuple[int, str]] = []
-    for i, indent, name in opened:
-        above = [a for a in above if a[0] < indent]
-        above.append((indent, name))
+        if not match:
+            continue
+        indent = len(match["indent"].expandtabs(4))
+        name = match["name"].strip().strip("\"'")[:NAME_CHARS]
+        while around[-1][0] >= indent or len(around) > MAX_DEPTH:
+            around.pop()
         first = i
-        while language != "markdown" and first > 0 and LEADING.match(lines[first - 1]) and (not starts or first - 1 > starts[-1][0]):
+        while language != "markdown" and first - 1 > latest and LEADING.match(lines[first - 1]):
             first -= 1
-        starts.append((first, tuple(n for _, n in above)))
-    if not starts or starts[0][0] > 0:
-        starts.insert(0, (0, ()))
-    return [Piece(first, (starts[k + 1][0] if k + 1 < len(starts) else len(lines)) - 1, names) for k, (first, names) in enumerate(starts)]
+        section = Section(first, len(lines) - 1, (*around[-1][1].names, name))
+        around[-1][1].inner.append(section)
+        around.append((indent, section))
+        latest = i
+    document.close()
+    return document
+
+
+def split(section: Section, ends: list[int], config: ChunkConfig) -> list[Piece]:
+    """Pieces of a section: itself if it fits; else its opening lines and its inner sections, packed side by
+    side while they fit.  What is too large inside is split the same way, and takes in a small head
+    right before it; lines without structure are cut into windows."""
+    size = lambda first, last: ends[last] - (ends[first - 1] if first else 0)
+    if size(section.first, section.last) <= config.max_chars:
+        return [Piece(section.first, section.last, section.names or (section.inner[0].names if section.inner else ()))]
+    parts = [*section.inner]
+    head_last = section.inner[0].first - 1 if section.inner else section.last
+    if head_last >= section.first:
+        parts.insert(0, Section(section.first, head_last, section.names))
+    out: list[Piece] = []
+    held: Piece | None = None
+    for part in parts:
+        if size(part.first, part.last) <= config.max_chars:
+            if held and size(held.first, part.last) <= config.max_chars:
+                held = Piece(held.first, part.last, held.names or part.names)
+            else:
+                out += [held] if held else []
+                held = Piece(part.first, part.last, part.names)
+            continue
+        cut = split(part, ends, config) if part.inner else [Piece(a, b, part.names) for a, b in line_windows(ends, part.first, part.last, config)]
+        if held and size(held.first, held.last) < config.min_chars:
+            cut[0] = Piece(held.first, cut[0].last, cut[0].names)
+        elif held:
+            out.append(held)
+        held = None
+        out += cut
+    return [*out, held] if held else out
 
 
 def chunk_document(text: str | None, language: str | None, config: ChunkConfig = ChunkConfig()) -> list[tuple[int, int, str, str]]:
@@ -155,11 +202,7 @@ def chunk_document(text: str | None, language: str | None, config: ChunkConfig =
         return []
     ends = list(accumulate(len(line) + 1 for line in lines))
     if language in SYNTAX_LANGUAGES:
-        pieces = []
-        for piece in structure(lines, language):
-            size = ends[piece.last] - (ends[piece.first - 1] if piece.first else 0)
-            cut = [(piece.first, piece.last)] if size <= config.max_chars else line_windows(ends, piece.first, piece.last, config)
-            pieces += [Piece(a, b, piece.names) for a, b in cut]
+        pieces = split(outline(lines, language), ends, config)
         pieces = merged_small(ends, without_overlaps(lines, pieces), config)
     else:
         pieces = [p for a, b in line_windows(ends, 0, len(lines) - 1, config) if (p := trimmed(lines, Piece(a, b)))]

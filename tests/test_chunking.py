@@ -6,11 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmill.operators.chunking import ChunkConfig, chunk_document, lines_of
+from lexmill.operators.chunking import ChunkConfig, chunk_document, lines_of, outline
 
 SMALL = ChunkConfig(60, 10, 3)
 SOURCES = {
-    "python": ("class A:\n    @retry\n    def fetch(self):\n        return 1\n\n    def store(self, x):\n        self.x = x\n", "A > fetch"),
+    "python": ("class A:\n    @retry\n    def fetch(self):\n        return 1\n\n    def store(self, x):\n        self.x = x\n", "A > store"),
     "javascript": ("const a = 1;\nasync function sendMail(to) {\n  await x(to);\n}\nmodule.exports = { sendMail };\n", "sendMail"),
     "tsx": ("export const UserCard = (props) => {\n  return <div/>;\n};\n", "UserCard"),
     "lua": ("local M = {}\nfunction Inventory:addItem(item)\n  M.x = item\nend\n", "Inventory:addItem"),
@@ -59,3 +59,30 @@ def test_every_filled_line_is_covered(lines, language):
     chunks = chunk_document("\n".join(lines), language, ChunkConfig(80, 20, 2))
     covered = {i for first, last, _, _ in chunks for i in range(first, last + 1)}
     assert all(i in covered for i, line in enumerate(lines, 1) if line.strip())
+
+
+def test_sections_are_packed_and_split_where_they_are_too_large():
+    body = "".join(f"    def m{i}(self):\n        return {i}\n\n" for i in range(6))
+    long = "def long():\n" + "".join(f"    x{i} = {i}\n" for i in range(40))
+    text = "import os\n\n\nclass A:\n" + body + "\n@cached\n" + long + "\ndef last():\n    pass\n"
+    chunks = chunk_document(text, "python", ChunkConfig(120, 20, 2))
+    symbols = [c[2] for c in chunks]
+    # The class is cut between methods, several to a piece; its first piece is described by the class itself.
+    assert symbols[0] in ("A", "") and "A > m3" in symbols and sum(s.startswith("A > m") for s in symbols) < 6
+    # The long function is cut into windows that all bear its name, the first with its decorator.
+    assert symbols.count("long") > 2 and any(c[2] == "long" and c[3].startswith("@cached\ndef long") for c in chunks)
+    assert symbols[-1] == "last" and all(len(c[3]) <= 120 + 20 for c in chunks)
+
+
+def test_a_small_head_goes_with_the_large_body():
+    text = "a: 1\nb:\n" + "".join(f"  k{i}: {i * 'x'}\n" for i in range(12))
+    first = chunk_document(text, "yaml", ChunkConfig(60, 20, 1))[0]
+    assert first[3].startswith("a: 1\nb:\n")
+
+
+def test_depth_is_bounded():
+    text = "".join(" " * i + f"k{i}:\n" for i in range(400))
+    depth, section = 0, outline(lines_of(text), "yaml")
+    while section.inner:
+        depth, section = depth + 1, section.inner[-1]
+    assert depth <= 201 and chunk_document(text, "yaml")

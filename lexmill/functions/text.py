@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,19 +56,45 @@ def search_text(*fields: Column) -> Column:
     return F.array_join(F.flatten(F.array(*(expand(F.coalesce(f, F.lit(""))) for f in fields))), " ")
 
 
-def terms(text: Column) -> Column:
-    """Lower-case terms of a text, in order, repeats kept."""
+def words(text: Column) -> Column:
+    """Lower-case words of a text, in order, repeats kept."""
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.lower)
 
 
-#: The accented Latin letters that fold to a plain one.
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžǎǐǒǔ"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzaiou"
+def _without_marks(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.category(c).startswith("M"))
+
+
+def _folding(plain) -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, and those letters."""
+    pairs = [(c, _without_marks(c)) for c in map(chr, range(0x80, 0x2000)) if c.isalpha()]
+    pairs = [(c, p) for c, p in pairs if len(p) == 1 and p != c and plain(p)]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+_ACCENTED, _PLAIN = _folding(lambda p: True)
+#: Latin letters that don't decompose, as the text index spells them.
+_STROKED, _UNSTROKED = "ØøĐđĦħŁłŦŧŊŋÐðı", "OoDdHhLlTtNnDdi"
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+_LATIN, _ASCII = (own + more for own, more in zip(_folding(str.isascii), (_STROKED, _UNSTROKED)))
 
 
 def fold(term: Column) -> Column:
-    """Lower case without accents (Latin letters and combining marks)."""
-    return F.regexp_replace(F.translate(F.lower(term), _ACCENTED, _PLAIN), r"\p{Mn}", "")
+    """Lower case without accents, in any script."""
+    return F.regexp_replace(F.lower(F.translate(term, _ACCENTED, _PLAIN)), r"\p{Mn}", "")
+
+
+def ascii_folded(text: Column) -> Column:
+    """Lower case, Latin letters without accents and as ASCII; one letter stays one word's part."""
+    out = F.lower(F.translate(text, _LATIN, _ASCII))
+    for letter, spelled in LIGATURES.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelled))
+    return out
+
+
+def terms(text: Column) -> Column:
+    """The terms that the text index holds: folded words, in order, repeats kept."""
+    return F.regexp_extract_all(ascii_folded(text), F.lit(WORD), F.lit(1))
 
 
 def query_terms(query: Column) -> Column:
@@ -76,6 +104,11 @@ def query_terms(query: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, F.lower)), 1, MAX_QUERY_TERMS)
 
 
+def index_terms(query: Column) -> Column:
+    """The terms of a query as the text index spells them."""
+    return F.array_distinct(F.transform(query_terms(query), ascii_folded))
+
+
 def text_query(query: Column) -> Column:
     return F.array_join(query_terms(query), " ")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import query_terms, terms
+from lexmill.functions.text import index_terms, terms
 from lexmill.operators.vectors import nearest
 
 K1, B = 1.2, 0.75
@@ -48,8 +49,9 @@ def in_scope(rows: DataFrame, roots: DataFrame, wanted: list[str] | None = None)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf) of every document."""
-    return docs.select(key, F.explode(terms(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    """(term, key, tf, dl) of every document; ``dl`` is the document's number of terms."""
+    counted = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("all_terms")).select(key, F.size("all_terms").alias("dl"), F.explode("all_terms").alias("term"))
+    return counted.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
 def document_lengths(posted: DataFrame, key: str) -> DataFrame:
@@ -65,56 +67,65 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def _matches(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(key, dl, term, tf) of the documents for the wanted terms, from one pass that explodes
-    nothing but matching terms' counts: the whole length stays a number."""
-    with_terms = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("all_terms")).select(key, F.size("all_terms").alias("dl"), "all_terms")
-    with_terms = with_terms.filter(F.size("all_terms") > 0)
-    hits = with_terms.select(key, "dl", F.explode("all_terms").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term")
-    return hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+def clustered_by_term(posted: DataFrame) -> DataFrame:
+    """Postings as a text index stores them: sorted by term over ranges of terms, so that a query reads
+    only the files and row groups its terms lie in."""
+    return posted.repartitionByRange("term").sortWithinPartitions("term")
 
 
-def _weighted(hits: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # df has a row for each query term, stats one row: both are of bounded size.
-    return hits.join(F.broadcast(frequency), "term").join(F.broadcast(stats)).select(key, "term", weight.alias("weight"))
+def _asked_terms(spark: SparkSession, query: str) -> list[str]:
+    """The index terms of one query: at most ``MAX_QUERY_TERMS``."""
+    return [r.term for r in spark.range(1).select(F.explode(index_terms(F.lit(query))).alias("term")).collect()]
 
 
-def _text_stats(docs: DataFrame, text: str) -> DataFrame:
-    sizes = docs.select(F.size(terms(F.coalesce(text, F.lit("")))).alias("dl")).filter("dl > 0")
-    return sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def _weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def bm25(docs: DataFrame, query: str, k: int, key: str, text: str, where: Column | None = None) -> DataFrame:
     """(key, score): the best documents for any of a query's terms.  ``where`` narrows what can
-    be returned; the statistics stay those of the whole corpus."""
-    spark = docs.sparkSession
-    wanted = spark.range(1).select(F.explode(query_terms(F.lit(query))).alias("term"))
-    hits = _matches(docs, key, text, wanted)
-    scored = _weighted(hits, _text_stats(docs, text), key).groupBy(key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
-    if where is not None:
-        scored = scored.join(docs.filter(where).select(key), key, "left_semi")
+    be returned; the statistics stay those of the whole corpus.
+
+    Two passes without a shuffle of rows: one counts the corpus and the asked terms, and one scores
+    each document where it is read.  (A written index, see ``bm25_from_index``, is not read whole.)"""
+    wanted = _asked_terms(docs.sparkSession, query)
+    sized = docs.withColumn("_terms", terms(F.coalesce(text, F.lit(""))))
+    hits = F.filter("_terms", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+    sized = sized.withColumn("_dl", F.size("_terms")).withColumn("_hits", hits)
+    stats = sized.filter("_dl > 0").agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *(F.count_if(F.array_contains("_hits", w)).alias(f"df{i}") for i, w in enumerate(wanted)))
+    chosen = sized.filter(F.size("_hits") > 0) if where is None else sized.filter((F.size("_hits") > 0) & where)
+
+    def part(i: int, word: str) -> Column:
+        tf = F.size(F.filter("_hits", lambda t: t == word))
+        return F.when(tf > 0, _weight(tf, F.col("_dl"), F.col(f"df{i}"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
+
+    score = reduce(lambda a, b: a + b, (part(i, w) for i, w in enumerate(wanted)), F.lit(0.0))
+    scored = chosen.select(key, "_dl", "_hits").join(F.broadcast(stats)).select(key, F.round(score, SCORE_DIGITS).alias("score"))  # stats is one row
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def bm25_each(docs: DataFrame, queries: DataFrame, k: int, key: str, text: str, query_key: str, query_text: str) -> DataFrame:
-    """(query_key, key, score, rank): the ``k`` best documents of every query."""
-    asked = queries.select(query_key, F.explode(query_terms(F.coalesce(query_text, F.lit("")))).alias("term"))
-    hits = _matches(docs, key, text, asked)
-    weighted = _weighted(hits, _text_stats(docs, text), key)
-    scored = weighted.join(F.broadcast(asked), "term").groupBy(query_key, key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+    """(query_key, key, score, rank): the ``k`` best documents of every query of a table."""
+    asked = queries.select(query_key, F.explode(index_terms(F.coalesce(query_text, F.lit("")))).alias("term"))
+    with_terms = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("all_terms")).select(key, F.size("all_terms").alias("dl"), "all_terms").filter(F.size("all_terms") > 0)
+    hits = with_terms.select(key, "dl", F.explode("all_terms").alias("term")).join(asked.select("term").distinct(), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    stats = with_terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = hits.join(frequency, "term").join(F.broadcast(stats)).select(key, "term", _weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")).alias("weight"))
+    scored = weighted.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def bm25_from_index(posted: DataFrame, lengths: DataFrame, query: str, k: int, key: str) -> DataFrame:
-    """The same ranking from stored postings: only the query's terms are read."""
-    spark = posted.sparkSession
-    wanted = [r.term for r in spark.range(1).select(F.explode(query_terms(F.lit(query))).alias("term")).collect()]
-    hits = posted.filter(F.col("term").isin(wanted)).join(lengths, key)
-    scored = _weighted(hits, corpus_stats(lengths), key).groupBy(key).agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+def bm25_from_index(posted: DataFrame, stats: DataFrame, query: str, k: int, key: str, among: DataFrame | None = None) -> DataFrame:
+    """The same ranking from stored postings (term, key, tf, dl) and one row of ``corpus_stats``: only
+    the query's terms are read.  ``among`` (key) narrows what can be returned."""
+    hits = posted.filter(F.col("term").isin(_asked_terms(posted.sparkSession, query)))
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    weighted = hits.join(F.broadcast(frequency), "term").join(F.broadcast(stats.select("n", "avgdl")))
+    weight = _weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))
+    scored = weighted.groupBy(key).agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
+    scored = scored if among is None else scored.join(among.select(key), key, "left_semi")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
@@ -135,12 +146,16 @@ def fuse(rankings: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     return union.groupBy(key).agg(F.sum("part").alias("score"))
 
 
-def hybrid(chunks: DataFrame, vector: list[float], query: str, key: str = "id", text: str = "search_text", embedding: str = "vector", limit: int = LIMIT, candidates: int = CANDIDATES, where: Column | None = None) -> DataFrame:
-    """(key, score, vector_rank, text_rank, vector_distance, text_score), best first."""
+def hybrid(chunks: DataFrame, vector: list[float], query: str, key: str = "id", text: str = "search_text", embedding: str = "vector", limit: int = LIMIT, candidates: int = CANDIDATES, where: Column | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(key, score, vector_rank, text_rank, vector_distance, text_score), best first.  ``index``: stored
+    postings and their statistics; without it the texts are read."""
     near = ranked(nearest(chunks.select(key, embedding, *_named(where, chunks)), vector, candidates, key, embedding, where), "distance", key)
     near = near.select(key, F.col("rank").alias("vector_rank"), F.col("distance").alias("vector_distance"))
-    said = ranked(bm25(chunks, query, candidates, key, text, where), F.desc("score"), key)
-    said = said.select(key, F.col("rank").alias("text_rank"), F.col("score").alias("text_score"))
+    if index is None:
+        texts = bm25(chunks, query, candidates, key, text, where)
+    else:
+        texts = bm25_from_index(*index, query, candidates, key, None if where is None else chunks.filter(where))
+    said = ranked(texts, F.desc("score"), key).select(key, F.col("rank").alias("text_rank"), F.col("score").alias("text_score"))
     both = near.join(said, key, "full")
     part = lambda rank: F.coalesce(1.0 / (RRF_K + F.col(rank)), F.lit(0.0))
     return both.withColumn("score", part("vector_rank") + part("text_rank")).orderBy(F.desc("score"), key).limit(limit)

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from lexmill.functions.text import terms
+from lexmill.functions.text import words
+from lexmill.operators.numbering import numbered
 
 HASH_DIM = 128
 #: The budget of one embedding batch, batch size x tokens squared.
 COST_BUDGET, MAX_BATCH = 16 * 512**2, 256
-#: Rows of the query matrix that one task multiplies at a time.
-QUERY_ROWS = 256
+#: Vectors in a block of rows and in a block of queries.
+ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,44 +44,59 @@ def nearest(rows: DataFrame, vector: list[float], k: int, key: str, column: str,
 
 
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, key: str, column: str, query_key: str, query_column: str) -> DataFrame:
-    """(query_key, key, distance, rank): the ``k`` nearest rows of every query.
-
-    The stated queries are collected in blocks (they are the bounded side) and multiplied with
-    each Arrow batch of rows; a task returns at most ``k`` candidates for each query and batch,
-    so nothing near a full cross product is ever made."""
-    out = None
-    ids = [r[0] for r in queries.select(query_key).distinct().orderBy(query_key).collect()]
-    for at in range(0, max(1, len(ids)), QUERY_ROWS):
-        block = queries.filter(F.col(query_key).isin(ids[at : at + QUERY_ROWS])).select(query_key, query_column).collect()
-        part = _block_candidates(rows, [r[0] for r in block], [list(r[1]) for r in block], k, key, column, query_key, queries.schema[query_key].dataType.simpleString())
-        out = part if out is None else out.union(part)
+    """(query_key, key, distance, rank): the ``k`` nearest rows of every query, exactly.
+
+    Both sides are packed into blocks of vectors, and every block of rows meets every block of the
+    stated queries in one matrix product that returns at most ``k`` candidates for each query.
+    Nothing goes through the driver, and rows are read once however many queries there are."""
+    left = _packed(rows, key, column, ROWS_IN_BLOCK).toDF("keys", "vectors")
+    right = _packed(queries, query_key, query_column, QUERIES_IN_BLOCK).toDF("query_keys", "query_vectors")
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, distance double"
+    candidates = left.crossJoin(right).mapInArrow(_block_candidates(k, key, query_key), schema)
     best = Window.partitionBy(query_key).orderBy("distance", key)
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _block_candidates(rows: DataFrame, ids: list, vectors: list, k: int, key: str, column: str, query_key: str, query_type: str) -> DataFrame:
-    matrix = np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+def _packed(rows: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """(keys, vectors): blocks of rows, their vectors scaled to unit length, as rows of one matrix of
+    64-bit floats; rows without a vector or with one of zeros are left out."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(column)
-            if not len(lists) or not len(ids):
-                continue
-            own = np.array(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
-            length = np.linalg.norm(own, axis=1)
-            distance = 1 - (matrix @ own.T) / np.where(length > 0, length, 1)
-            distance[:, length == 0] = np.inf
-            keys = np.array(batch.column(key))
-            take = min(k, len(keys))
-            for i, row in enumerate(distance):
-                near = np.flatnonzero((row <= np.partition(row, take - 1)[take - 1]) & np.isfinite(row))
-                near = near[np.lexsort((keys[near], row[near]))][:take]
-                yield pa.RecordBatch.from_pydict({query_key: pa.array([ids[i]] * len(near), pa.int64() if isinstance(ids[i], int) else pa.string()), key: pa.array(keys[near]), "distance": pa.array(row[near])})
-
-    schema = f"{query_key} {query_type}, {key} {rows.schema[key].dataType.simpleString()}, distance double"
-    return rows.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                matrix = np.array(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(matrix, axis=1)
+                kept = length > 0
+                keys = part.column(0).filter(pa.array(kept))
+                matrix = matrix[kept] / length[kept, None]
+                yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([matrix.tobytes()], pa.binary())], names=["keys", "vectors"])
+
+    return rows.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"keys array<{rows.schema[key].dataType.simpleString()}>, vectors binary")
+
+
+def _block_candidates(k: int, key: str, query_key: str):
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, ids = batch.column("keys")[row].values, batch.column("query_keys")[row].values
+                if not len(keys) or not len(ids):
+                    continue
+                own, asked = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(n, -1) for c, n in (("vectors", len(keys)), ("query_vectors", len(ids))))
+                distance = 1 - asked @ own.T
+                order = np.array(pc.array_sort_indices(keys))
+                rank_of = np.empty(len(keys), np.int64)
+                rank_of[order] = np.arange(len(keys))
+                take = min(k, len(keys))
+                bound = np.partition(distance, take - 1, axis=1)[:, take - 1]
+                query, near = np.nonzero(distance <= bound[:, None])  # ties with the last one too; the key decides
+                by = np.lexsort((rank_of[near], distance[query, near], query))
+                query, near = query[by], near[by]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                query, near = query[place < take], near[place < take]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), keys.take(pa.array(near)), pa.array(distance[query, near])], names=[query_key, key, "distance"])
+
+    return run
 
 
 # ---------------------------------------------------------------- embedding
@@ -94,6 +113,24 @@ class Embedder(Protocol):
     def embed_query(self, text: str) -> np.ndarray: ...
 
 
+class HashEmbedder:
+    """The offline embedder: hashed words, unit length; the same vectors as ``hash_embedding``."""
+
+    model_id = f"hash-{HASH_DIM}"
+    dim = HASH_DIM
+
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        for i, text in enumerate(texts):
+            for word in re.findall(r"\w+", text):
+                out[i, int(hashlib.sha256(word.lower().encode()).hexdigest()[:8], 16) % self.dim] += 1
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, length, out=out, where=length > 0)
+
+    def embed_query(self, text: str) -> np.ndarray:
+        return self.embed_documents([text])[0]
+
+
 def batches_by_cost(lengths: list[int], max_batch: int = MAX_BATCH) -> list[list[int]]:
     """Indices in batches of rising length; a batch holds as many texts as its longest one lets
     it (cost: the square of half the characters), one at least."""
@@ -107,6 +144,19 @@ def batches_by_cost(lengths: list[int], max_batch: int = MAX_BATCH) -> list[list
     return out
 
 
+def batches_of_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, room, batch): texts numbered into embedding batches over a whole table.
+
+    ``room`` is how many texts of a length one batch may hold; within a room texts stand in the order of
+    their length and every ``room`` of them are a batch.  A text's number is its row in its range of
+    (room, length, key) and what earlier ranges hold, so no room is counted in one task."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    half = F.greatest(F.floor(n / 2), F.lit(1))
+    room = F.least(F.lit(MAX_BATCH), F.greatest(F.lit(1), F.floor(COST_BUDGET / (half * half)))).cast("long")
+    sized = docs.select(key, n.alias("n"), room.alias("room"))
+    return numbered(sized, ["room"], ["n", key]).select(key, "room", F.floor((F.col("number") - 1) / F.col("room")).alias("batch"))
+
+
 def embedding_column(text: Column, embedder: Embedder) -> Column:
     """Vectors of a column of texts, batched by cost inside each Arrow batch."""
 
@@ -125,12 +175,12 @@ def embedding_column(text: Column, embedder: Embedder) -> Column:
 def hash_buckets(text: Column, dim: int = HASH_DIM) -> Column:
     """The bucket of each term of a text: the first 32 bits of its SHA-256, modulo ``dim``."""
     bucket = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    return F.transform(terms(text), bucket)
+    return F.transform(words(text), bucket)
 
 
 def hash_embedding(docs: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
     """(key, vector): counts of hashed terms, of unit length; all zeros for a text without terms."""
-    distinct = docs.select(key, F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    distinct = docs.select(key, F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
     bucket = (F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
     counts = distinct.groupBy(key, bucket.alias("bucket")).agg(F.sum("n").alias("n"))
     bags = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("bag"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import evaluate, search
 from lexmill.operators import vectors as vx
+from lexmill.operators.numbering import written
 from lexmill.plans.tables import literal_rows, table
-from lexmill.plans.text_queries import TERMS_SQL
+from lexmill.plans.text_queries import TERMS_SQL, WORDS_SQL, folded_sql
 
 QUERY = "the thing and thea with nicht enver, queaux de la ciónado"
 FIXED_VECTOR = [round(((7 * i) % 13 - 6) / 6, 6) for i in range(64)]
 _VECTOR_SQL = "[" + ", ".join(map(str, FIXED_VECTOR)) + "]::DOUBLE[]"
-_WORDS = "['thing', 'thea', 'nicht', 'enver', 'queaux', 'ciónado']"
+_WORDS = "['thing', 'thea', 'nicht', 'enver', 'queaux', 'cionado']"
 
 
 def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,19 @@ def bm25_prefilter_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.bm25_from_index(posted, search.document_lengths(posted, "doc_id"), QUERY, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25_from_index(*_text_index(spark, sf_dir), QUERY, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written text index of a folder's documents (postings, statistics), built once in a Spark application."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _INDEXES:
+        posted = written(search.clustered_by_term(search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")))
+        _INDEXES[own] = posted, written(search.corpus_stats(search.document_lengths(posted, "doc_id")))
+    return _INDEXES[own]
 
 
 def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -80,7 +92,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    found = search.hybrid(_scope(spark, sf_dir), FIXED_VECTOR, QUERY, key="doc_id", text="text", embedding="embedding", where=where)
+    found = search.hybrid(_scope(spark, sf_dir), FIXED_VECTOR, QUERY, key="doc_id", embedding="embedding", where=where, index=_text_index(spark, sf_dir))
     return found.select("doc_id", F.round("score", 9).alias("score"), "vector_rank", "text_rank", F.round("vector_distance", 6).alias("vector_distance"), F.round("text_score", 6).alias("text_score"))
 
 
@@ -94,13 +106,15 @@ def hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_hits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _scope(spark, sf_dir).withColumn("origin", F.lit("doc"))
-    found = search.hybrid(docs, FIXED_VECTOR, QUERY, key="doc_id", text="text", embedding="embedding").select("doc_id", F.round("score", 6).alias("score"))
-    rows = search.hits(docs.select("doc_id", "origin", F.substring("text", 1, 40).alias("text")), found, "doc_id")
-    return rows.select("doc_id", F.to_json(F.struct("doc_id", "origin", "text")).alias("hit"))
+    rows = search.hits(docs.select("doc_id", "origin", "text"), _hybrid(spark, sf_dir), "doc_id")
+    # Scores as whole billionths, since engines print fractions in different ways.
+    whole = [F.round(F.col(c) * 1e9).cast("long").alias(c) for c in ("score",)] + [F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("vector_distance", "text_score")]
+    fields = F.struct("doc_id", "origin", "text", "vector_rank", "text_rank", *whole)
+    return rows.select("doc_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("hit"))
 
 
 def hash_embed_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = vx.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", 64)
+    vectors = written(vx.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", 64))
     queries = vectors.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
     found = vx.nearest_each(vectors, queries, 3, "doc_id", "vector", "query_id", "query_vector")
     return found.select("query_id", "rank", F.round("distance", 5).alias("distance"))
@@ -200,7 +214,7 @@ def _question_hits() -> str:
     return f"""
 WITH {_BM25},
 qq AS ({_QUESTION_SQL}),
-q AS (SELECT DISTINCT item_id, unnest(string_split(terms, ' ')) AS term FROM benchmark JOIN qq USING (text)),
+q AS (SELECT DISTINCT item_id, {folded_sql('term')} AS term FROM (SELECT item_id, unnest(string_split(terms, ' ')) AS term FROM benchmark JOIN qq USING (text))),
 r AS (SELECT item_id, doc_id, source, round(sum(weight), 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(weight), 9) DESC, doc_id) AS rank FROM w JOIN q USING (term) GROUP BY item_id, doc_id, source)"""
 
 
@@ -241,9 +255,10 @@ t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FRO
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM t) GROUP BY doc_id""",
     "hybrid_search": _hybrid_sql("") + _HYBRID_COLUMNS,
     "hybrid_scoped": _hybrid_sql("WHERE source IN ('src1', 'src2', 'src3')") + _HYBRID_COLUMNS,
-    "search_hits_json": _hybrid_sql("") + " SELECT doc_id, to_json({'doc_id': doc_id, 'origin': 'doc', 'text': substr(text, 1, 40)})::VARCHAR AS hit FROM x JOIN documents USING (doc_id)",
+    "search_hits_json": _hybrid_sql("") + """ SELECT doc_id, to_json({'doc_id': doc_id, 'origin': 'doc', 'text': text, 'vector_rank': CAST(vector_rank AS INTEGER), 'text_rank': CAST(text_rank AS INTEGER), 'score': CAST(round(round(fused, 9) * 1e9) AS BIGINT),
+  'vector_distance': CAST(round(round(distance, 6) * 1e6) AS BIGINT), 'text_score': CAST(round(round(text_score, 6) * 1e6) AS BIGINT)})::VARCHAR AS hit FROM x JOIN documents USING (doc_id)""",
     "hash_embed_knn": f"""
-WITH t AS (SELECT doc_id, CAST(('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents)),
+WITH t AS (SELECT doc_id, CAST(('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket FROM (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents)),
 b AS (SELECT doc_id, bucket, count(*) AS n FROM t GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM b GROUP BY doc_id),
 x AS (SELECT q.doc_id AS query_id, e.doc_id, 1 - sum(q.n * e.n) / any_value(lq.len) / any_value(le.len) AS d FROM b q JOIN b e USING (bucket) JOIN l lq ON lq.doc_id = q.doc_id JOIN l le ON le.doc_id = e.doc_id WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, e.doc_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS INTEGER) AS rank, abs(round(d, 5)) AS distance FROM x QUALIFY rank <= 3""",

@@ -36,7 +36,18 @@ def _expanded(text: str) -> str:
     return rf"flatten(list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+'), lambda w: CASE WHEN len({_parts('w')}) > 1 THEN list_concat([w], {_parts('w')}) ELSE [w] END))"
 
 
-TERMS_SQL = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: lower(w))"
+WORDS_SQL = r"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: lower(w))"
+
+
+def folded_sql(word: str) -> str:
+    """DuckDB: a term as the text index spells it."""
+    out = f"strip_accents(lower({word}))"
+    for letter, plain in (("ø", "o"), ("đ", "d"), ("ħ", "h"), ("ł", "l"), ("ŧ", "t"), ("ŋ", "n"), ("ð", "d"), ("ı", "i"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return out
+
+
+TERMS_SQL = rf"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+'), lambda w: {folded_sql('w')})"
 
 
 def split_identifier_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +87,7 @@ def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text").select("term", "doc_id", "tf")
 
 
 def normalize_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +204,12 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_batches_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch size that a text's length allows, for whole-table planning."""
-    room = F.least(F.lit(vx.MAX_BATCH), F.greatest(F.lit(1), F.floor(vx.COST_BUDGET / F.pow(F.greatest(F.floor(F.col("n_chars") / 2), F.lit(1)), 2))))
-    docs = table(spark, sf_dir, "documents").select(room.cast("long").alias("room"))
-    return docs.groupBy("room").agg(F.count("*").alias("n"))
+    return vx.batches_of_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    return tokens.select("token", tx.fold(F.col("token")).alias("folded"))
 
 
 def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_identifier_cases, expand_terms, query_terms_stopwords, search_text_build, term_df, doc_length_stats, postings_build, normalize_newlines, split_lines_counts, blank_filter, line_prefix_sums,
-        line_windows, chunk_rows, heading_symbol_path, content_hash, stable_id_sha, chunk_ids, language_detect, path_algebra, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks,
+        line_windows, chunk_rows, heading_symbol_path, content_hash, stable_id_sha, chunk_ids, language_detect, path_algebra, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks, fold_terms,
     )
 }
 
@@ -258,8 +271,12 @@ SELECT substr(sha256(encode(d.source) || '\x00'::BLOB || encode(CAST(e.doc_id AS
     "embedding_texts": r"""SELECT doc_id, md5(substr(CASE WHEN lang = 'en' THEN source ELSE source || chr(10) || lang END || chr(10) || chr(10) || text, 1, 2000)) AS digest FROM documents""",
     "preview_lines": "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:4], lambda x: substr(x, 1, 110)), '|') AS preview FROM documents",
     "hash_embed": f"""
-WITH t AS (SELECT doc_id, CAST(('0x' || substr(sha256(term), 1, 8))::BIGINT % 128 AS INTEGER) AS bucket FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents)),
+WITH t AS (SELECT doc_id, CAST(('0x' || substr(sha256(term), 1, 8))::BIGINT % 128 AS INTEGER) AS bucket FROM (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents)),
 b AS (SELECT doc_id, bucket, count(*) AS n FROM t GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM b""",
-    "embed_batches_by_cost": "SELECT CAST(least(256, greatest(1, floor(4194304 / pow(greatest(floor(n_chars / 2), 1), 2)))) AS BIGINT) AS room, count(*) AS n FROM documents GROUP BY 1",
+    "embed_batches_by_cost": """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
+r AS (SELECT doc_id, n, CAST(least(256, greatest(1, floor(4194304 / pow(greatest(floor(n / 2), 1), 2)))) AS BIGINT) AS room FROM d)
+SELECT doc_id, room, (row_number() OVER (PARTITION BY room ORDER BY n, doc_id) - 1) // room AS batch FROM r""",
+    "fold_terms": "SELECT DISTINCT token, strip_accents(lower(token)) AS folded FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents)",
 }

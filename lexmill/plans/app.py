@@ -5,55 +5,36 @@ from __future__ import annotations
 import argparse
 import json
 import os
-import re
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import __version__, schema
 from lexmill.functions import text as tx
 from lexmill.operators import chunking, incremental, search, vectors
+from lexmill.operators.numbering import written
 from lexmill.sources import folder
-from lexmill.sources.store import IndexStore
+from lexmill.sources.store import IndexStore, bucket_of
 
 
 class LexmillError(Exception):
     """What a user did wrong; the command line exits with 2."""
 
 
-class HashEmbedder:
-    """The offline embedder: hashed terms, unit length (see ``vectors.hash_buckets``)."""
-
-    model_id = "hash-128"
-    dim = vectors.HASH_DIM
-
-    def embed_documents(self, texts: list[str]) -> np.ndarray:
-        import hashlib
-
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text):
-                out[i, int(hashlib.sha256(word.lower().encode()).hexdigest()[:8], 16) % self.dim] += 1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, length, out=out, where=length > 0)
-
-    def embed_query(self, text: str) -> np.ndarray:
-        return self.embed_documents([text])[0]
-
-
 #: The embedders that can be chosen; a real model is added under the same protocol.
-EMBEDDERS = {HashEmbedder.model_id: HashEmbedder}
+EMBEDDERS = {vectors.HashEmbedder.model_id: vectors.HashEmbedder}
 
 
 @dataclass
 class Settings:
     roots: list[dict] = field(default_factory=list)
-    embedding_model: str = HashEmbedder.model_id
+    embedding_model: str = vectors.HashEmbedder.model_id
     max_file_bytes: int = folder.MAX_FILE_BYTES
     extra_excludes: list[str] = field(default_factory=list)
 
@@ -133,52 +114,69 @@ class Lexmill:
 
     # -- indexing
 
-    def index(self, root_keys: list[str] | None = None, full: bool = False) -> dict:
-        """Bring the index up to date; returns the counters of the run."""
+    def index(self, root_keys: list[str] | None = None, full: bool = False, progress: Callable[[str, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
+        """Bring the index up to date; returns the counters of the run.
+
+        ``progress`` is told each step and how many files it has.  Once ``cancelled`` says so, what was
+        read so far is still committed, but nothing more is read and nothing is deleted."""
         chosen = [self.settings.find_root(k) for k in root_keys] if root_keys else self.settings.roots
-        store = self.store
+        store, tell, stop = self.store, progress or (lambda step, n: None), cancelled or (lambda: False)
         rebuild = full or store.identity() != self._identity()
-        if rebuild:
-            store.drop()
-        manifest, chunks = store.read("manifest"), store.read("chunks")
+        empty = {"indexed": 0, "unchanged": 0, "removed": 0, "unreadable": 0, "chunks": 0, "full_rebuild": rebuild}
+        if not chosen or stop():
+            return empty
+        work = store.working_folder()
+        try:
+            return self._index(store, chosen, rebuild, work, tell, stop)
+        finally:
+            store.discard(work)
+
+    def _index(self, store: IndexStore, chosen: list[dict], rebuild: bool, work: str, tell: Callable[[str, int], None], stop: Callable[[], bool]) -> dict:
+        manifest = store.read("manifest").limit(0) if rebuild else store.read("manifest")
         configured = [r["id"] for r in self.settings.roots]
-        stale = manifest.filter(~F.col("root_id").isin(configured)).select("root_id").distinct()
-        listing = None
-        for root in chosen:
-            part = folder.scan(self.spark, root["path"], root["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())])
-            listing = part if listing is None else listing.unionByName(part)
-        if listing is None:
-            return {"indexed": 0, "unchanged": 0, "removed": 0, "unreadable": 0, "chunks": 0, "full_rebuild": rebuild}
-        wanted = listing.filter(F.col("skip_reason").isNull()).select("root_id", "rel_path", "abs_path", "size", "mtime_ns", "language").checkpoint()
+        scans = [folder.scan(self.spark, r["path"], r["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())]) for r in chosen]
+        listing = reduce(DataFrame.unionByName, scans)
+        wanted = written(listing.filter(F.col("skip_reason").isNull()).select("root_id", "rel_path", "abs_path", "size", "mtime_ns", "language"), work)
+        tell("listed", wanted.count())
         recorded = manifest.filter(F.col("root_id").isin([r["id"] for r in chosen]))
-        state = incremental.classify(wanted, recorded)
+        state = written(incremental.classify(wanted, recorded), work)
         # Contents are read only of what the join says may have changed.
         to_read = state.filter(F.col("status").isin("new", "candidate")).join(wanted.select(*incremental.FILE_KEY, "abs_path", "language"), incremental.FILE_KEY)
-        read = incremental.settle(folder.read_files(to_read, self.settings.max_file_bytes)).checkpoint()
+        if stop():
+            to_read = to_read.limit(0)
         file_id = tx.stable_id(F.col("root_id"), F.col("rel_path"))
-        fresh = read.filter(F.col("outcome") == "indexed").withColumn("file_id", file_id)
-        new_chunks = self._chunks(fresh).checkpoint()
+        read = written(incremental.settle(folder.read_files(to_read, self.settings.max_file_bytes)).withColumn("file_id", file_id), work)
+        tell("read", read.count())
+        new_chunks = written(self._chunks(read.filter(F.col("outcome") == "indexed")), work)
+        tell("chunked", new_chunks.count())
         counts = new_chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
         now = datetime.now(UTC).isoformat(timespec="seconds")
-        done = read.filter(F.col("outcome") != "error").withColumn("file_id", file_id).join(counts, "file_id", "left")
+        done = read.filter(F.col("outcome") != "error").join(counts, "file_id", "left")
         touched = F.col("outcome") == "touched"
         records = done.select(
             "root_id", "rel_path", "file_id", "content_hash", "language", F.when(touched, F.col("old_status")).otherwise(F.col("outcome")).alias("status"), F.lit(now).alias("indexed_at"),
             "size", "mtime_ns", F.when(touched, F.col("old_chunk_count")).otherwise(F.coalesce("n_chunks", F.lit(0))).cast("long").alias("chunk_count"),
         )
+        cut_short = stop()
         gone = state.filter(F.col("status") == "removed").select(*incremental.FILE_KEY)
+        gone = gone.limit(0) if cut_short else gone
+        stale = manifest.filter(F.lit(not cut_short) & ~F.col("root_id").isin(configured))
         kept = incremental.delete(incremental.delete(manifest, gone, incremental.FILE_KEY), stale, ["root_id"])
-        replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select(file_id.alias("file_id"))
-        lost = gone.select(file_id.alias("file_id")).union(replaced)
-        kept_chunks = incremental.delete(incremental.delete(chunks, lost, ["file_id"]), stale, ["root_id"])
+        replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select("file_id")
+        lost = written(gone.select(file_id.alias("file_id")).union(replaced).union(stale.select("file_id")).distinct(), work)
         outcome = state.filter(F.col("status").isin("unchanged", "removed")).select("status", F.lit(None).cast("long").alias("n_chunks")).union(done.select(F.col("outcome").alias("status"), "n_chunks"))
         report = incremental.report(outcome).first().asDict()
-        changed = rebuild or any(report[k] for k in ("indexed", "removed", "unreadable")) or not stale.isEmpty() or not records.isEmpty()
-        if changed:
-            all_chunks = kept_chunks.select(*schema.CHUNKS.fieldNames()).unionByName(new_chunks).checkpoint()
-            posted = search.postings(all_chunks, "id", "search_text")
-            lengths = search.document_lengths(posted, "id")
-            store.commit({"chunks": all_chunks, "manifest": incremental.upsert(kept, records, incremental.FILE_KEY).select(*schema.MANIFEST.fieldNames()), "postings": posted, "lengths": lengths}, self._identity())
+        if cut_short:
+            report["removed"] = 0
+        if rebuild or not lost.isEmpty() or not records.isEmpty():
+            changed = lost.select("file_id").union(new_chunks.select("file_id"))
+            buckets = [r.b for r in changed.select(bucket_of(F.col("file_id")).alias("b")).distinct().collect()]  # at most ``BUCKETS``
+            old = new_chunks.limit(0) if rebuild else incremental.delete(store.read("chunks", buckets), lost, ["file_id"])
+            all_chunks = old.select(*schema.CHUNKS.fieldNames()).unionByName(new_chunks)
+            meta = incremental.upsert(store.read("meta"), self.spark.createDataFrame([("indexed_at", now)], schema.META), ["key"])
+            whole = {"manifest": incremental.upsert(kept, records, incremental.FILE_KEY).select(*schema.MANIFEST.fieldNames()), "meta": meta}
+            store.commit(all_chunks, buckets, whole, self._identity(), lambda chunks: search.postings(chunks, "id", "search_text"), rebuild)
+            tell("committed", len(buckets))
         return report | {"full_rebuild": rebuild}
 
     def _chunks(self, files: DataFrame) -> DataFrame:
@@ -203,7 +201,8 @@ class Lexmill:
         condition = F.col("root_id").isin(scope) if where is None else F.col("root_id").isin(scope) & where
         chunks = store.read("chunks")
         vector = [float(x) for x in self.embedder.embed_query(query)]
-        found = search.hybrid(chunks, vector, query, limit=limit, where=condition)
+        index = (store.read("postings"), store.corpus_stats())
+        found = search.hybrid(chunks, vector, query, limit=limit, where=condition, index=index)
         return search.hits(chunks, found).select(*names)
 
     def status(self) -> dict:

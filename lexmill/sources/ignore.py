@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +71,19 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(last_match(path, patterns), F.lit(False))
 
 
+def _compiled_rules(batches):
+    for batch in batches:
+        rows = [(base, seq, *p) for base, seq, pattern in zip(*(batch.column(n).to_pylist() for n in ("base", "seq", "pattern"))) if (p := pattern_regex(pattern))]
+        base, seq, regex, include = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(base, pa.string()), pa.array(seq, pa.int32()), pa.array(regex, pa.string()), pa.array(include, pa.bool_())], names=["base", "seq", "regex", "include"])
+
+
 def layered(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Paths with ``ignored`` by rules (base, seq, pattern) that each hold below their own folder.
 
     Deeper folders and later lines win; what an ignored folder holds stays ignored, whatever is
-    said of it further down.  The rules are few (a bounded file in a folder): they are compiled
-    on the driver and broadcast, and each path is only compared with rules of its ancestors."""
-    spark = paths.sparkSession
-    compiled_rules = [(r.base, r.seq, *p) for r in rules.collect() if (p := pattern_regex(r.pattern))]
-    known = spark.createDataFrame(compiled_rules, "base string, seq int, regex string, include boolean")
+    said of it further down.  Each path is only joined with rules of its ancestors."""
+    known = rules.select("base", "seq", "pattern").mapInArrow(_compiled_rules, "base string, seq int, regex string, include boolean")
     steps = F.split("path", "/")
     nodes = paths.select("path", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"))
     is_dir = F.col("depth") < F.size(F.split("path", "/"))
@@ -88,7 +93,7 @@ def layered(paths: DataFrame, rules: DataFrame) -> DataFrame:
     bases = bases.withColumn("base", F.array_join(F.slice(F.split("node", "/"), 1, F.col("up")), "/"))
     sub = F.when(F.col("base") == "", F.col("node")).otherwise(F.substring(F.col("node"), F.length("base") + 2, F.length("node")))
     subject = F.when(F.col("is_dir"), F.concat(sub, F.lit("/"))).otherwise(sub)
-    matched = bases.join(F.broadcast(known), "base").filter(F.regexp(subject, F.col("regex")))
+    matched = bases.join(known, "base").filter(F.regexp(subject, F.col("regex")))
     verdict = matched.groupBy("path", "depth").agg(F.max_by("include", F.struct("up", "seq")).alias("include"))
     hit = verdict.groupBy("path").agg(F.bool_or("include").alias("ignored"))
     return paths.join(hit, "path", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))

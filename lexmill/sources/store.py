@@ -1,8 +1,10 @@
-"""The index as versions of Parquet tables behind one pointer.
+"""The index as Parquet tables behind one pointer.
 
-A version is written whole beside the current one and becomes current by the rename of a small
-pointer file, so readers see the old version or the new one and a run that fails leaves nothing
-to repair.  Tables: chunks (partitioned by root), manifest, postings, lengths, meta.
+Chunks and postings are dealt by file over ``BUCKETS`` buckets, each bucket a folder of its own.  A
+commit writes new folders for the buckets whose files changed, beside the current ones, and becomes
+current when a new pointer file replaces the old one in one rename.  So readers see the old state or
+the new one, a run that fails leaves nothing to repair, and a change of one file costs one bucket.
+Tables: chunks and postings (by bucket), manifest, stats (a row for each bucket) and meta.
 """
 
 from __future__ import annotations
@@ -10,24 +12,31 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill import schema
 
-POINTER = "_CURRENT"
+POINTER, BUCKETS = "_CURRENT", 32
+BUCKETED = ("chunks", "postings")
+
+
+def bucket_of(file_id: Column) -> Column:
+    return F.pmod(F.xxhash64(file_id), F.lit(BUCKETS)).cast("int")
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str, dim: int) -> None:
         self._spark, self._path, self._dim = spark, path.rstrip("/"), dim
         jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._at(self._path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._at(self._path).getFileSystem(self._conf)
 
     # -- versions
 
     def current(self) -> dict:
-        """What the pointer says: tables' paths and the index identity; empty without an index."""
+        """What the pointer says: tables' folders and the index identity; empty without an index."""
         pointer = self._at(f"{self._path}/{POINTER}")
         if not self._fs.exists(pointer):
             return {}
@@ -37,44 +46,99 @@ class IndexStore:
         finally:
             stream.close()
 
-    def commit(self, tables: dict[str, DataFrame], identity: dict) -> None:
-        """Write tables as a new version, keep the others, and move the pointer."""
+    def working_folder(self) -> str:
+        """A new folder for what a run writes on its way; ``discard`` it at the end."""
+        return f"{self._path}/_work-{uuid.uuid4().hex}"
+
+    def discard(self, folder: str) -> None:
+        self._fs.delete(self._at(folder), True)
+
+    def commit(self, chunks: DataFrame | None, touched: list[int], whole: dict[str, DataFrame], identity: dict, postings_of, rebuild: bool = False) -> None:
+        """Put the chunks of the ``touched`` buckets and whole tables in the place of the old ones.
+
+        ``postings_of`` makes (term, id, tf, dl) of chunks; it reads the chunks that were just written.
+        With ``rebuild`` nothing of the old index stays."""
         old = self.current()
-        version, paths = uuid.uuid4().hex, dict(old.get("tables", {}))
-        for name, table in tables.items():
-            paths[name] = f"{self._path}/{version}/{name}"
-            by = ["root_id"] if name in ("chunks", "manifest") else []
-            table.write.partitionBy(*by).parquet(paths[name])
-        new = self._at(f"{self._path}/{POINTER}.{version}")
+        version, folders = uuid.uuid4().hex, {} if rebuild else dict(old.get("tables", {}))
+        if chunks is not None and touched:
+            own = bucket_of(F.col("file_id")).alias("bucket")
+            self._write_buckets("chunks", chunks.select("*", own), touched, version, folders)
+            new_chunks = self._read(schema.CHUNKS, self._folders(folders, "chunks", touched))
+            posted = postings_of(new_chunks).join(new_chunks.select("id", own), "id")
+            self._write_buckets("postings", posted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), touched, version, folders)
+            lengths = self._spark.read.parquet(f"{self._path}/{version}/postings").groupBy("bucket", "id").agg(F.max("dl").alias("dl")) if folders["postings"].keys() & set(map(str, touched)) else None
+            kept = self._read(schema.STATS, self._folders(folders, "stats")).filter(~F.col("bucket").isin(touched))
+            if lengths is not None:
+                kept = kept.unionByName(lengths.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")))
+            whole = whole | {"stats": kept.coalesce(1)}
+        for name, table in whole.items():
+            folders[name] = f"{self._path}/{version}/{name}"
+            table.write.parquet(folders[name])
+        self._point({"tables": folders, "identity": identity}, version)
+        for folder in set(_leaves(old.get("tables", {}))) - set(_leaves(folders)):
+            self._fs.delete(self._at(folder), True)
+
+    def _write_buckets(self, name: str, rows: DataFrame, touched: list[int], version: str, folders: dict) -> None:
+        rows.write.partitionBy("bucket").parquet(f"{self._path}/{version}/{name}")
+        own = {k: v for k, v in folders.get(name, {}).items() if int(k) not in touched}
+        for bucket in touched:
+            folder = f"{self._path}/{version}/{name}/bucket={bucket}"
+            if self._fs.exists(self._at(folder)):  # none for a bucket without rows
+                own[str(bucket)] = folder
+        folders[name] = own
+
+    def _point(self, state: dict, version: str) -> None:
+        """Replace the pointer in one step."""
+        jvm, gateway = self._spark.sparkContext._jvm, self._spark.sparkContext._gateway
+        new, pointer = self._at(f"{self._path}/{POINTER}.{version}"), self._at(f"{self._path}/{POINTER}")
         stream = self._fs.create(new)
-        stream.write(json.dumps({"tables": paths, "identity": identity}, sort_keys=True).encode())
+        stream.write(json.dumps(state, sort_keys=True).encode())
         stream.close()
-        pointer = self._at(f"{self._path}/{POINTER}")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(new, pointer)
-        for path in set(old.get("tables", {}).values()) - set(paths.values()):
-            self._fs.delete(self._at(path), True)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(context.makeQualified(new), context.makeQualified(pointer), options)
 
     def drop(self) -> None:
         self._fs.delete(self._at(self._path), True)
 
     # -- tables
 
-    def read(self, name: str) -> DataFrame:
-        """A table, empty with its schema where there is none."""
-        shape, path = schema.TABLES[name], self.current().get("tables", {}).get(name)
-        if path is None:
+    def _folders(self, folders: dict, name: str, buckets: list[int] | None = None) -> list[str]:
+        own = folders.get(name, [])
+        if isinstance(own, dict):
+            return [v for k, v in own.items() if buckets is None or int(k) in buckets]
+        return [own] if own else []
+
+    def _read(self, shape, folders: list[str]) -> DataFrame:
+        if not folders:
             return self._spark.createDataFrame([], shape)
-        return self._spark.read.schema(shape).parquet(path).select(*shape.fieldNames())
+        return self._spark.read.schema(shape).parquet(*folders).select(*shape.fieldNames())
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table (or some buckets of it), empty with its schema where there is none."""
+        return self._read(schema.TABLES[name], self._folders(self.current().get("tables", {}), name, buckets))
+
+    def corpus_stats(self) -> DataFrame:
+        """One row: the number of chunks with terms, and their mean length."""
+        return self.read("stats").agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("avgdl"))
 
     def identity(self) -> dict:
         return self.current().get("identity", {})
 
     def has_text_index(self) -> bool:
-        return "postings" in self.current().get("tables", {})
+        return bool(self.current().get("tables", {}).get("postings"))
 
     def check_dim(self) -> None:
         held = self.identity().get("dim", self._dim)
         if held != self._dim:
             raise ValueError(f"the index holds vectors of {held} dimensions, not {self._dim}")
+
+    def get_meta(self, key: str) -> str | None:
+        row = self.read("meta").filter(F.col("key") == key).first()
+        return row.value if row else None
+
+
+def _leaves(folders: dict) -> list[str]:
+    return [leaf for own in folders.values() for leaf in (own.values() if isinstance(own, dict) else [own])]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking as ch
+from lexmill.operators import evaluate
 from lexmill.operators import incremental as inc
 from lexmill.plans.tables import literal_rows, table
-from lexmill.sources import ignore
+from lexmill.sources import folder, ignore
 
 RULE_PATHS = ["build/a.js", "src/build/x.js", "a.min.js", ".env", ".env.example", "conf/.env.local", "keys/server.pem", "lib/user.g.dart", "src/user.dart", "node_modules/p/i.js", "out", "README.md", "id_rsa.pub", "x.lock", "docs/out.md"]
 IGNORED = {"build/a.js", "src/build/x.js", "a.min.js", ".env", "conf/.env.local", "keys/server.pem", "lib/user.g.dart", "node_modules/p/i.js", "id_rsa.pub", "x.lock"}
@@ -101,10 +102,60 @@ def walk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore.with_skip_reason(pages, 4000).groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as models and their parts as pinned files."""
+    files = F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").cast("long").alias("size")))
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("model")).agg(files.alias("files"))
+
+
+def installed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 300th file is missing and every 211th has another size."""
+    parts = table(spark, sf_dir, "part").filter("p_partkey % 300 <> 0")
+    size = (F.col("p_size") + F.when(F.col("p_partkey") % 211 == 0, 1).otherwise(0)).cast("long")
+    return evaluate.installed(_registry(spark, sf_dir), parts.select(F.col("p_brand").alias("model"), F.col("p_partkey").cast("string").alias("name"), size.alias("size")))
+
+
+def index_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select("event_type", F.lit(1).alias("items"), F.abs("value").alias("seconds"))
+    return evaluate.throughput(runs, ["event_type"], "items", "seconds").select("event_type", "items", F.round("per_second", 6).alias("per_second"))
+
+
+def max_end_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each document's lines that holds anything."""
+    lines = ch.exploded_lines(table(spark, sf_dir, "documents"), "doc_id").filter(F.trim("line") != "")
+    return lines.groupBy("doc_id").agg(F.max("i").alias("end_row"))
+
+
+def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as nested JSON, parsed as a query-set file is."""
+    items = table(spark, sf_dir, "benchmark")
+    nested = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.create_map(F.lit("en"), F.col("text"), F.lit("es"), F.concat(F.lit("¿"), "text")).alias("questions"), F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("expected")))
+    parsed = items.select(F.from_json(nested, "id string, questions map<string, string>, expected array<string>").alias("q")).select("q.*")
+    return evaluate.exploded_questions(parsed).select("query_id", "lang", "question", F.array_join("files", ",").alias("files"))
+
+
+def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key-value table of sources, overwritten where there is something newer."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.groupBy(F.col("source").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    new = docs.filter("doc_id % 50 = 0").groupBy(F.col("source").alias("key")).agg(F.max("doc_id").cast("string").alias("value"))
+    return inc.upsert(old, new, ["key"])
+
+
+def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' bytes as files: with a byte order mark, with a NUL, in cp1252, and plain."""
+    text, kind = F.col("text"), F.col("doc_id") % 4
+    plain = F.regexp_replace(text, "[^\\x01-\\x7f]", "")
+    data = F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary"))).when(kind == 1, F.concat(F.unhex(F.lit("00")), text.cast("binary"))).when(kind == 2, F.concat(plain.cast("binary"), F.unhex(F.lit("E9")))).otherwise(text.cast("binary"))
+    decoded = folder.decoded(table(spark, sf_dir, "documents").select("doc_id", data.alias("data")), "data")
+    return decoded.select("doc_id", F.md5("text").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ignore_rules_last_match, gitignore_scope, manifest_diff_status, content_settle, manifest_upsert, manifest_delete, stale_roots, replace_file_chunks, index_report, manifest_totals, distinct_roots, walk_counters,
+        installed_models, index_throughput, max_end_row, question_set, meta_upsert, decode_files,
     )
 }
 
@@ -140,4 +191,12 @@ SELECT count(*) FILTER (WHERE status IN ('new', 'changed')) AS indexed, count(*)
     "manifest_totals": f"WITH {_snap('o', 1)} SELECT count(*) AS files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks FROM o WHERE status = 'indexed'",
     "distinct_roots": f"WITH {_snap('o', 1)} SELECT DISTINCT root_id FROM o",
     "walk_counters": "SELECT CASE WHEN page_id % 9 = 0 THEN 'link' WHEN length(html) > 4000 THEN 'too_large' END AS skip_reason, count(*) AS n FROM pages GROUP BY 1",
+    "installed_models": """
+WITH f AS (SELECT p_brand AS model, p_partkey, CAST(p_size AS BIGINT) AS pinned, p_partkey % 300 <> 0 AND p_partkey % 211 <> 0 AS there FROM part)
+SELECT model, CAST(sum(pinned) AS BIGINT) AS total_size, count(*) FILTER (WHERE NOT there) AS n_missing, bool_and(there) AS is_installed FROM f GROUP BY model""",
+    "index_throughput": "SELECT event_type, count(*) AS items, round(count(*) / nullif(sum(abs(value)), 0), 6) AS per_second FROM events GROUP BY event_type",
+    "max_end_row": "WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS a FROM documents)) SELECT doc_id, CAST(max(i) AS INTEGER) AS end_row FROM l WHERE trim(line) <> '' GROUP BY doc_id",
+    "question_set": "SELECT CAST(item_id AS VARCHAR) AS query_id, lang, CASE WHEN lang = 'en' THEN text ELSE '¿' || text END AS question, 'src' || (item_id % 20) AS files FROM benchmark, (VALUES ('en'), ('es')) AS v(lang)",
+    "meta_upsert": "SELECT source AS key, CAST(coalesce(max(doc_id) FILTER (WHERE doc_id % 50 = 0), count(*)) AS VARCHAR) AS value FROM documents GROUP BY source",
+    "decode_files": r"SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN NULL WHEN 2 THEN md5(regexp_replace(text, '[^\x01-\x7f]', '', 'g') || 'é') ELSE md5(text) END AS digest FROM documents",
 }

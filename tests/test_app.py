@@ -6,9 +6,10 @@ import os
 
 import pytest
 
-from lexmill.operators.search import id_in, origin_is
+from lexmill.operators.search import bm25, bm25_from_index, id_in, origin_is
 from lexmill.plans.app import Lexmill, main
 from lexmill.sources import folder
+from lexmill.sources.store import IndexStore
 
 FILES = {
     ".gitignore": "generated/\nnotes_private.md\n",
@@ -91,6 +92,62 @@ def test_incremental_runs_and_search(spark, root, tmp_path, capsys):
     assert main(["--data-dir", str(tmp_path / "data"), "roots", "remove", "nothing"], spark) == 2
 
 
+def test_a_change_costs_one_bucket_and_a_cancelled_run_deletes_nothing(spark, root, tmp_path):
+    app = Lexmill(spark, str(tmp_path / "data"))
+    app.add_root(str(root))
+    steps = []
+    app.index(progress=lambda step, n: steps.append((step, n)))
+    assert [s for s, _ in steps] == ["listed", "read", "chunked", "committed"] and steps[0][1] == len(WANTED)
+    before = app.store.current()["tables"]
+    (root / "server/users.ts").write_text("export function somethingElse() {}\n")
+    (root / "config/app.yaml").unlink()
+    assert app.index(cancelled=lambda: True)["indexed"] == 0 and app.store.current()["tables"] == before
+    answers = iter([False, False, True])
+    cut = app.index(cancelled=lambda: next(answers))
+    assert (cut["indexed"], cut["removed"]) == (1, 0) and app.status()["files"] == len(WANTED)
+    after = app.store.current()["tables"]
+    assert sum(after["chunks"].get(b) != f for b, f in before["chunks"].items()) == 1
+    assert app.search("somethingElse").first().rel_path == "server/users.ts" and app.search("getUserById").filter("text_rank IS NOT NULL").count() == 0
+    assert app.index()["removed"] == 1 and app.store.get_meta("indexed_at") and app.store.get_meta("nothing") is None
+    assert not [n for n in os.listdir(tmp_path / "data/index") if n.startswith("_work")]
+
+
+def test_stored_index_ranks_as_the_texts_do(spark, root, tmp_path):
+    app = Lexmill(spark, str(tmp_path / "data"))
+    app.add_root(str(root))
+    app.index()
+    chunks = app.store.read("chunks")
+    for query in ("validate email", "AUTENTICACION login", "the of"):
+        plain = [tuple(r) for r in bm25(chunks, query, 9, "id", "search_text").collect()]
+        assert plain == [tuple(r) for r in bm25_from_index(app.store.read("postings"), app.store.corpus_stats(), query, 9, "id").collect()]
+    assert app.search("AUTENTICACION").first().rel_path == "docs/architecture.md"
+
+
+def test_a_crash_while_committing_leaves_the_old_index(spark, root, tmp_path, monkeypatch):
+    app = Lexmill(spark, str(tmp_path / "data"))
+    app.add_root(str(root))
+    app.index()
+    monkeypatch.setattr(IndexStore, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        app.index(full=True)
+    monkeypatch.undo()
+    assert app.search("getUserById").first().rel_path == "server/users.ts"
+
+
+def test_opened_files_stay_in_their_root(root, tmp_path):
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "auth.dart").write_text("secret")
+    os.rename(root / "lib", root / "lib_before")
+    os.symlink(outside, root / "lib")
+    with pytest.raises(OSError, match="not in"):
+        folder.read_bounded(str(root / "lib/auth.dart"), 1000, str(root))
+    assert folder.read_bounded(str(root / "server/users.ts"), 1000, str(root))
+    for path in ("/dev/null", "/proc/self/mem", "\\\\.\\pipe"):
+        with pytest.raises(ValueError):
+            folder.checked_path(path)
+
+
 def test_guards():
     with pytest.raises(ValueError):
         id_in("file_id", ["ab'; DROP"])

@@ -6,11 +6,12 @@ import math
 import pathlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import search, vectors
+from lexmill.operators import evaluate, search, vectors
 from lexmill.plans import index_queries, search_queries, text_queries
 from lexmill.streaming.landing import index_landing
 
@@ -70,6 +71,43 @@ def test_batches_by_cost():
     assert all(len(b) == 1 or len(b) * (max(lengths[i] for i in b) // 2) ** 2 <= vectors.COST_BUDGET for b in batches)
 
 
+def test_nearest_each_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS_IN_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERIES_IN_BLOCK", 3)
+    rng = np.random.default_rng(0)
+    own = [(f"k{i}", rng.integers(-2, 3, 4).astype(float).tolist() if i % 9 else None) for i in range(60)]
+    asked = [(i, rng.normal(size=4).tolist()) for i in range(10)]
+    found = vectors.nearest_each(spark.createDataFrame(own, "id string, v array<double>"), spark.createDataFrame(asked, "q long, w array<double>"), 4, "id", "v", "q", "w")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.q, []).append((r["rank"], r.id))
+    for q, w in asked:
+        all_of = sorted((round(1 - np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), 12), k) for k, v in own if v and any(v))
+        assert len(got[q]) == 4 and [round(1 - np.dot(dict(own)[k], w) / np.linalg.norm(dict(own)[k]) / np.linalg.norm(w), 12) for _, k in sorted(got[q])] == [d for d, _ in all_of[:4]]
+
+
+def test_both_hash_embedders_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    own = {r.doc_id: r.vector for r in vectors.hash_embedding(docs, "doc_id").collect()}
+    rows = docs.collect()
+    for row, vector in zip(rows, vectors.HashEmbedder().embed_documents([r.text or "" for r in rows])):
+        assert own[row.doc_id] == pytest.approx(vector.tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize(("word", "folded"), [("Straße", "strasse"), ("FUNCIÓN", "funcion"), ("Łódź", "lodz"), ("æØ", "aeo"), ("ế", "e"), ("Ñandú", "nandu"), ("日本", "日本"), ("İstanbul", "istanbul")])
+def test_index_folding(spark, word, folded):
+    assert spark.range(1).select(tx.terms(F.lit(word))).first()[0] == [folded]
+
+
+def test_resumable_report_and_query_set(spark, tmp_path):
+    results = spark.createDataFrame([("a", 1), ("b", 2)], "model string, n int")
+    path = str(tmp_path / "report")
+    assert evaluate.append_report(results.filter("model = 'a'"), path) == 1 and evaluate.append_report(results, path) == 1 and evaluate.append_report(results, path) == 0
+    assert spark.read.parquet(path).count() == 2
+    (tmp_path / "q.json").write_text('[{"id": "x", "questions": {"en": "why", "es": "por qué"},\n "expected": ["a.py"]}]')
+    assert sorted((r.query_id, r.lang, r.question, r.files) for r in evaluate.query_set(spark, str(tmp_path / "q.json")).collect()) == [("x", "en", "why", ["a.py"]), ("x", "es", "por qué", ["a.py"])]
+
+
 def test_landing_stream(spark, tmp_path):
     landing = tmp_path / "landing"
     docs = spark.createDataFrame([("a", "def f():\n    return 1\n", "python"), ("b", "", "text")], "file_id string, text string, language string")

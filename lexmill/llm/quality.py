@@ -14,16 +14,18 @@ every score is the share of class 1 (0.5 if unknown); repeated rows are scored a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexmill.llm.common import table
 from lexmill.llm.labelled import held_out, labelled_sample
-from lexmill.llm.words import numbered_words, slices_of
+from lexmill.llm.words import numbered_words, slices_of, whole_texts
 
 PASSAGE = 48
 SHAPE, HASHED = 9, 8
@@ -32,62 +34,66 @@ HIDDEN, GATE = 16, 8
 PER_CLASS, MAX_CHARS = (1500, 1500), 32_000_000
 STEPS, RATE, DECAY = 150, 0.03, 1e-3
 THRESHOLD = 0.3
-WORD_CACHE = 300_000
+SLICE_BYTES, WORDS_AT_ONCE = 2_000_000, 32_768
 
 
-def word_shape(word: str) -> list[float]:
-    """What a word looks like; nothing in it depends on a language."""
-    n = len(word)
-    letters = sum(map(str.isalpha, word))
-    digits = sum(map(str.isdigit, word))
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is: 1 a letter, 2 a digit, 4 upper case."""
+    every = [chr(c) for c in range(0x110000)]
+    kinds = [np.fromiter(map(test, every), bool, len(every)) for test in (str.isalpha, str.isdigit, str.isupper)]
+    return (kinds[0] | kinds[1] << 1 | kinds[2] << 2).astype(np.uint8)
+
+
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words in a row, the length of each)."""
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), lengths
+
+
+def word_shapes(words: pa.Array) -> np.ndarray:
+    """What words (none of them empty) look like, a row for each; nothing in it depends on a language."""
+    codes, n = _codes(words)
+    starts, kinds = np.cumsum(n) - n, _kinds()[codes]
+    letters, digits = (np.add.reduceat((kinds & k) > 0, starts, dtype=np.int64) for k in (1, 2))
     odd = n - letters - digits
-    tail = n - len(word.rstrip("!?.,;:*#$%&|-_=~"))
-    hashed = [0.0] * HASHED
-    bare = word.lower()
-    for a, b in zip(bare, bare[1:]):
-        hashed[(ord(a) * 31 + ord(b)) % HASHED] += 1 / n
-    return [
-        float(letters > 1 and word.isupper()), float(word[:1].isupper()), letters / n, digits / n, odd / n,
-        float(letters + digits == 0), float(tail > 1), min(n, 40) / 10, float(odd > tail), *hashed,
-    ]
-
-
-class Encoder:
-    """Encodes all passages of texts; keeps the shapes of distinct words in a bounded cache."""
-
-    def __init__(self) -> None:
-        self._known: dict[str, int] = {}
-        self._table = np.zeros((0, SHAPE + HASHED), np.float32)
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(passages x ENCODED, the number of passages of each text, at least one)."""
-        numbers, words, counts = numbered_words(texts, lower=False)
-        if len(self._known) > WORD_CACHE:
-            self._known.clear()
-            self._table = self._table[:0]
-        known, distinct_words = self._known, words.to_pylist()
-        new = [w for w in distinct_words if w not in known]
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            shapes = np.fromiter((x for w in new for x in word_shape(w)), np.float32, len(new) * (SHAPE + HASHED))
-            self._table = np.concatenate([self._table, shapes.reshape(len(new), -1)])
-        table = self._table[[known[w] for w in distinct_words]] if distinct_words else self._table[:0]
-        passages = np.maximum(-(-counts // PASSAGE), 1)
-        out = np.zeros((int(passages.sum()), ENCODED), np.float32)
-        if len(numbers):
-            within = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
-            passage = np.repeat(np.cumsum(passages) - passages, counts) + within // PASSAGE
-            starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            filled, n = passage[starts], np.diff(np.append(starts, len(numbers)))
-            for d in range(SHAPE + HASHED):
-                out[filled, d] = np.add.reduceat(table[:, d][numbers], starts) / n
-            again = np.concatenate(([False], (numbers[1:] == numbers[:-1]) & (passage[1:] == passage[:-1])))
-            distinct = np.bincount(np.unique(passage * len(words) + numbers) // len(words), minlength=len(out))
-            out[filled, -4] = np.add.reduceat(again.astype(np.float32), starts) / n
-            out[filled, -3] = distinct[filled] / n
-            out[filled, -2] = np.log1p(n)
-        out[:, -1] = np.repeat(np.log1p(counts), passages)
-        return out, passages
+    tail = n - pc.utf8_length(pc.utf8_rtrim(words, "!?.,;:*#$%&|-_=~")).to_numpy(zero_copy_only=False)
+    upper = pc.utf8_is_upper(words).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(words), SHAPE + HASHED), np.float32)
+    shape = [(letters > 1) & upper, (kinds[starts] & 4) > 0, letters / n, digits / n, odd / n, odd == n, tail > 1, np.minimum(n, 40) / 10, odd > tail]
+    out[:, :SHAPE] = np.stack(shape, axis=1)
+    bare, lengths = _codes(pc.utf8_lower(words))
+    word = np.repeat(np.arange(len(words)), lengths)
+    paired = word[1:] == word[:-1]
+    place = (bare[:-1].astype(np.int64) * 31 + bare[1:]) % HASHED
+    pairs = np.bincount(word[1:][paired] * HASHED + place[paired], minlength=len(words) * HASHED).reshape(-1, HASHED)
+    out[:, SHAPE:] = pairs / n[:, None]
+    return out
+
+
+def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(passages x ENCODED, the number of passages of each text, at least one)."""
+    numbers, words, counts = numbered_words(texts, lower=False)
+    table = np.zeros((len(words), SHAPE + HASHED), np.float32)
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        part = whole_texts(words.slice(at, WORDS_AT_ONCE))
+        table[at : at + len(part)] = word_shapes(part)
+    passages = np.maximum(-(-counts // PASSAGE), 1)
+    out = np.zeros((int(passages.sum()), ENCODED), np.float32)
+    if len(numbers):
+        within = np.arange(len(numbers)) - np.repeat(np.cumsum(counts) - counts, counts)
+        passage = np.repeat(np.cumsum(passages) - passages, counts) + within // PASSAGE
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        filled, n = passage[starts], np.diff(np.append(starts, len(numbers)))
+        for d in range(SHAPE + HASHED):
+            out[filled, d] = np.add.reduceat(table[:, d][numbers], starts) / n
+        again = np.concatenate(([False], (numbers[1:] == numbers[:-1]) & (passage[1:] == passage[:-1])))
+        distinct = np.bincount(np.unique(passage * len(words) + numbers) // len(words), minlength=len(out))
+        out[filled, -4] = np.add.reduceat(again.astype(np.float32), starts) / n
+        out[filled, -3] = distinct[filled] / n
+        out[filled, -2] = np.log1p(n)
+    out[:, -1] = np.repeat(np.log1p(counts), passages)
+    return out, passages
 
 
 @dataclass
@@ -158,24 +164,23 @@ def train(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float, seed: i
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self._model, self._encode = model, Encoder()
+        self._model = model
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if not self._model.layers:
             return np.full(len(texts), self._model.prior)
         out = []
-        for first, last in slices_of(texts, 4_000_000):
-            x, sizes = self._encode(texts.slice(first, last - first))
+        for first, last in slices_of(texts, SLICE_BYTES):
+            x, sizes = encoded(texts.slice(first, last - first))
             x = ((x - self._model.mean) / self._model.scale).astype(np.float32)
             out.append(_forward(x, sizes, self._model.layers)["score"].astype(np.float64))
         return np.concatenate(out) if out else np.zeros(0)
 
 
 def _bags(batches):
-    encode = Encoder()
     for batch in batches:
-        for first, last in slices_of(batch.column("text"), 4_000_000):
-            x, sizes = encode(batch.column("text").slice(first, last - first))
+        for first, last in slices_of(batch.column("text"), SLICE_BYTES):
+            x, sizes = encoded(batch.column("text").slice(first, last - first))
             cuts = np.cumsum(sizes)
             parts = [x[b - n : b].tobytes() for b, n in zip(cuts.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_pydict({"passages": pa.array(parts, pa.binary()), "y": batch.column("y").slice(first, last - first)})

@@ -35,10 +35,10 @@ from pyspark.sql.types import LongType
 
 from lexmill.llm.common import materialize, table
 from lexmill.llm.components import components
-from lexmill.llm.words import whole_texts
+from lexmill.llm.words import slices_of, whole_texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-HOT = 4096
+HOT, SLICE_BYTES = 4096, 2_000_000
 _BITS = np.arange(64, dtype=np.uint64)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -51,7 +51,12 @@ def _votes(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
-    """The fingerprint of each text, as a signed 64-bit number."""
+    """The fingerprint of each text, as a signed 64-bit number; some megabytes of texts at a time."""
+    parts = [_fingerprints(texts.slice(first, last - first), shingle) for first, last in slices_of(texts, SLICE_BYTES)]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+
+def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     lowered = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     out = np.zeros(len(texts), dtype=np.uint64)
     digest, hashes, rows, counts, pending = xxhash.xxh64_intdigest, [], [], [], 0
@@ -80,10 +85,10 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
         rows.append(i)
         counts.append(len(own))
         pending += len(own)
-        if pending > 100_000:
+        if pending > 50_000:
             flush()
     flush()
-    return pa.array(out.view(np.int64))
+    return out.view(np.int64)
 
 
 @F.arrow_udf(LongType())

@@ -36,7 +36,7 @@ BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 PER_CLASS, MAX_CHARS = (1300, 700), 16_000_000
 STEPS, RATE, SOFTMAX_RATE, MOMENTUM = 150, 1.0, 0.05, 0.8
 THRESHOLD = 0.5
-WORDS_AT_ONCE = 32_768
+SLICE_BYTES, WORDS_AT_ONCE = 2_000_000, 32_768
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 #: An odd number and its inverse modulo 2**64, for hashes of substrings.
 _BASE = 0x9E3779B97F4A7C15
@@ -153,7 +153,7 @@ class Scorer:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         out = []
-        for first, last in slices_of(texts):
+        for first, last in slices_of(texts, SLICE_BYTES):
             numbers, words, counts = numbered_words(texts.slice(first, last - first), lower=True)
             added, features = np.zeros(len(words)), np.zeros(len(words))
             for at in range(0, len(words), WORDS_AT_ONCE):
@@ -170,7 +170,7 @@ class Scorer:
 
 def _bags(batches):
     for batch in batches:
-        for first, last in slices_of(batch.column("text")):
+        for first, last in slices_of(batch.column("text"), SLICE_BYTES):
             yield pa.RecordBatch.from_pydict({"words": distinct_words(batch.column("text").slice(first, last - first)), "y": batch.column("y").slice(first, last - first)})
 
 

@@ -43,7 +43,7 @@ def test_attention_finds_the_one_bad_passage():
     rng = np.random.default_rng(1)
     good = lambda n: " ".join("abcdefg"[: k + 2] + "n" for k in rng.integers(0, 5, n))
     texts = [good(200) + (" ###" * 50 if i % 2 else "") + " " + good(150) for i in range(120)]
-    x, sizes = quality.Encoder()(pa.array(texts))
+    x, sizes = quality.encoded(pa.array(texts))
     model = quality.train(x, sizes, np.array([1 - i % 2 for i in range(120)]), 0.5)
     a, b = quality.Scorer(model)(pa.array([good(300), good(300) + " ###" * 50 + " " + good(60)]))
     assert a > 0.5 > b
@@ -126,3 +126,15 @@ def test_gradient_of_the_attention_by_differences():
             up[name][at] += 1e-5
             down[name][at] -= 1e-5
             assert found[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6), name
+
+
+def test_word_shapes_by_plain_strings():
+    words = ["Word", "HTTP", "a", "1.5!!", "Straße", "ÉTÉ", "日本", "---", "x#y?", "A1"]
+    for word, found in zip(words, quality.word_shapes(pa.array(words))):
+        n, letters, digits = len(word), sum(map(str.isalpha, word)), sum(map(str.isdigit, word))
+        odd, tail = n - letters - digits, n - len(word.rstrip("!?.,;:*#$%&|-_=~"))
+        hashed = [0.0] * quality.HASHED
+        for a, b in zip(word.lower(), word.lower()[1:]):
+            hashed[(ord(a) * 31 + ord(b)) % quality.HASHED] += 1 / n
+        shape = [letters > 1 and word.isupper(), word[0].isupper(), letters / n, digits / n, odd / n, odd == n, tail > 1, min(n, 40) / 10, odd > tail]
+        assert found.tolist() == pytest.approx([*map(float, shape), *hashed]), word

@@ -22,18 +22,21 @@ def _unplaned(data: bytes, dtype: str, n: int) -> np.ndarray:
 def pack_arrays(**arrays: np.ndarray) -> bytes:
     head, body = [], []
     for name, a in arrays.items():
+        told = a.dtype.str
+        if a.dtype.kind == "u" and len(a):  # as wide as the largest number needs
+            a = a.astype(np.min_scalar_type(a.max()))
         if not len(a):
-            head.append([name, a.dtype.str, 0, 0, 0])
+            head.append([name, told, told, 0, 0, 0])
             continue
         table = None
         if a.dtype.kind == "f":  # few distinct values: a table and places in it
             values, places = np.unique(a, return_inverse=True)
             if 4 * len(values) < len(a):
                 table = _planes(values)
-                head.append([name, a.dtype.str, len(a), len(table), len(values)])
+                head.append([name, told, a.dtype.str, len(a), len(table), len(values)])
                 body += [table, _planes(places.astype(np.uint32))]
         if table is None:
-            head.append([name, a.dtype.str, len(a), 0, 0])
+            head.append([name, told, a.dtype.str, len(a), 0, 0])
             body.append(_planes(a))
     sizes = [len(b) for b in body]
     start = json.dumps([head, sizes]).encode()
@@ -48,12 +51,12 @@ def unpack_arrays(data: bytes) -> dict[str, np.ndarray]:
         parts.append(data[at : at + size])
         at += size
     parts = iter(parts)
-    for name, dtype, length, table, values in head:
+    for name, told, dtype, length, table, values in head:
         if not length:
-            out[name] = np.zeros(0, dtype)
+            out[name] = np.zeros(0, told)
         elif table:
             known = _unplaned(next(parts), dtype, values)
             out[name] = known[_unplaned(next(parts), "<u4", length)]
         else:
-            out[name] = _unplaned(next(parts), dtype, length)
+            out[name] = _unplaned(next(parts), dtype, length).astype(told, copy=False)
     return out

@@ -5,11 +5,11 @@ shorter, but not empty, is one window).  A window occurs in a document exactly w
 words stand there in a row, so the wanted containment is 1 and the necessary prefix of a
 window is its rarest shingle:
 
-1. one pass over the documents keeps, of all their ``shingle``-word shingles, those that
-   some window has (a broadcast of the benchmark's distinct shingles, which is size-checked),
-   with the words around them;
-2. the shingles of each window are ordered by their frequency in the documents, rarest
-   first, and only the first is joined;
+1. the benchmark's words are counted in the documents, which orders the shingles of each window
+   by rarity; only the rarest is its prefix, and only prefixes are joined with the documents;
+2. up to ``BROADCAST_ROWS`` prefixes are broadcast (they are counted first), and one pass over the
+   documents keeps the shingles that are some prefix, with the words around them; more are
+   joined by a shuffle of (row, position, hash) alone;
 3. the shingle's offset in the window gives the only possible start; a match that would
    reach over either end of the document is dropped (positional and length bounds);
 4. what is left is verified word by word.
@@ -31,6 +31,8 @@ from lexmill.llm.common import ascii_lower, broadcast_if_small, materialize, tab
 #: Everything in ASCII but digits and letters parts words.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
+#: Shingles (two numbers each), words or windows that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def word_array(text: Column) -> Column:
@@ -58,42 +60,80 @@ def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return at.withColumn("h", by_size)
 
 
-def _shared_shingles(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: int, shingle: int) -> DataFrame:
-    """One pass over the documents: a row for each shingle that the benchmark has too, and one
-    closing row for each document (``pos`` = its number of words)."""
+def _word_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(word, n): how often each of the benchmark's words stands in the documents."""
+    wanted = windows.select(F.explode("w_words").alias("word")).distinct()
+    said = docs.select(F.explode(word_array(text_or_empty())).alias("word"))
+    return said.join(broadcast_if_small(wanted, BROADCAST_ROWS), "word").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _prefixes(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+    """(item_id, w_words, k, h, w_offset): the necessary prefix of each window, its rarest shingle.
+
+    A shingle is as rare as its rarest word in the documents, and then as their sum.  A window
+    with a word that no document has cannot occur and has no prefix."""
+    numbered = windows.withColumn("window", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered-windows")
+    words = numbered.select("window", F.posexplode("w_words").alias("place", "word")).join(materialize(_word_counts(docs, windows), "word-counts"), "word")
+    counts = words.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("counts"))
+    known = numbered.join(counts, "window").filter(F.size("counts") == F.size("w_words")).drop("window")
+    at = _window_shingles(known, shingle)
+    own = F.slice(F.col("counts.n"), F.col("w_offset") + 1, F.col("k"))
+    rarity = F.struct(F.array_min(own).alias("rarest_word"), F.aggregate(own, F.lit(0.0), lambda a, n: a + F.log2(n)).alias("all_words"), "h", "w_offset")
+    ranked = at.groupBy("item_id", "w_words", "k").agg(F.min(rarity).alias("first"))
+    return ranked.select("item_id", "w_words", "k", "first.h", "first.w_offset")
+
+
+def _hashes(words: Column, pos: Column, sizes: list[int]) -> Column:
+    """(k, h) of the shingles that begin at a position and end within the words."""
+    each = [F.when(pos + s <= F.size(words), F.struct(F.lit(s).alias("k"), shingle_hash(words, pos, s).alias("h"))) for s in sizes]
+    return F.filter(F.array(*each), lambda x: x.isNotNull()) if each else F.array().cast("array<struct<k:int,h:bigint>>")
+
+
+def _spans_in_one_pass(docs: DataFrame, prefix: DataFrame, keys: DataFrame, sizes: list[int], window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (row_id, doc_id, n_words) and the spans (row_id, start, end, item_id) of windows
+    in them, with ``keys`` broadcast: one pass keeps a row for each known shingle, with the words
+    around it, and a closing row for each document."""
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), word_array(text_or_empty()).alias("words"))
     # One place more than there are words: the closing row.
     at = base.select("*", F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
     for size in sizes:
-        known = shingles.filter(F.col("k") == size).select(F.col("h").alias(f"h{size}"), F.lit(True).alias(f"is{size}")).distinct()
-        at = at.withColumn(f"h{size}", shingle_hash(F.col("words"), F.col("pos"), size)).join(broadcast_if_small(known), f"h{size}", "left")
+        known = F.broadcast(keys.filter(F.col("k") == size).select(F.col("h").alias(f"h{size}"), F.lit(True).alias(f"is{size}")))
+        at = at.withColumn(f"h{size}", shingle_hash(F.col("words"), F.col("pos"), size)).join(known, f"h{size}", "left")
     last = F.col("pos") == F.size("words")
     found = at.filter(reduce(lambda a, b: a | b, (F.col(f"is{s}").isNotNull() for s in sizes), last))
     context_start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     context = F.when(~last, F.slice("words", context_start + 1, 2 * window + shingle))
     hits = F.filter(F.array(*(F.when(F.col(f"is{s}"), F.struct(F.lit(s).alias("k"), F.col(f"h{s}").alias("h"))) for s in sizes)), lambda x: x.isNotNull()) if sizes else F.array().cast("array<struct<k:int,h:bigint>>")
-    return found.select("row_id", "doc_id", "pos", F.size("words").alias("n_words"), context_start.alias("context_start"), context.alias("context"), hits.alias("hits"), last.alias("closing"))
+    shared = materialize(found.select("row_id", "doc_id", "pos", F.size("words").alias("n_words"), context_start.alias("context_start"), context.alias("context"), hits.alias("hits"), last.alias("closing")), "shared-shingles")
+    found = shared.filter(~F.col("closing")).select("row_id", "pos", "n_words", "context_start", "context", F.explode("hits").alias("s")).select("*", "s.k", "s.h").drop("s")
+    start, length = F.col("pos") - F.col("w_offset"), F.size("w_words")
+    candidates = found.join(broadcast_if_small(prefix, BROADCAST_ROWS), ["k", "h"]).filter((start >= 0) & (start + length <= F.col("n_words")))
+    verified = candidates.filter(F.slice("context", start - F.col("context_start") + 1, length) == F.col("w_words"))
+    return shared.filter("closing").select("row_id", "doc_id", "n_words"), verified.select("row_id", start.alias("start"), (start + length).alias("end"), "item_id")
+
+
+def _spans_by_shuffle(docs: DataFrame, prefix: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The same for a benchmark of any size: documents' shingles are shuffled as three numbers each, and
+    what has a partner is verified after a join by row.  No row of a word carries its document."""
+    base = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), word_array(text_or_empty()).alias("words")), "document-words")
+    at = base.select("row_id", "words", F.posexplode("words").alias("pos", "word")).select("row_id", "pos", F.explode(_hashes(F.col("words"), F.col("pos"), sizes)).alias("s"))
+    start, length = F.col("pos") - F.col("w_offset"), F.size("w_words")
+    candidates = at.select("row_id", "pos", "s.k", "s.h").join(prefix, ["k", "h"]).filter(start >= 0).select("row_id", start.alias("start"), "item_id", "w_words")
+    verified = base.join(candidates, "row_id").filter((F.col("start") + length <= F.size("words")) & (F.slice("words", F.col("start") + 1, length) == F.col("w_words")))
+    return base.select("row_id", "doc_id", F.size("words").alias("n_words")), verified.select("row_id", "start", (F.col("start") + length).alias("end"), "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = materialize(benchmark_windows(benchmark, window), "windows")
-    shingles = _window_shingles(windows, shingle)
-    sizes = sorted(r.k for r in shingles.select("k").distinct().collect())  # at most ``shingle`` values
-    shared = materialize(_shared_shingles(docs, shingles, sizes, window, shingle), "shared-shingles")
-
-    found = shared.filter(~F.col("closing")).select("row_id", "pos", "n_words", "context_start", "context", F.explode("hits").alias("s")).select("*", "s.k", "s.h").drop("s")
-    frequency = found.groupBy("k", "h").agg(F.count("*").alias("n"))
-    # Rarity order within each window; a window with a shingle that no document has cannot occur.
-    ranked = shingles.join(frequency, ["k", "h"], "left").groupBy("item_id", "w_words", "k").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "w_offset")).alias("rarest")
-    )
-    prefix = ranked.filter(F.col("rarest.n") > 0).select("item_id", "w_words", "k", F.col("rarest.h").alias("h"), F.col("rarest.w_offset").alias("w_offset"))
-    prefix = materialize(prefix, "prefix")
-    start, length = F.col("pos") - F.col("w_offset"), F.size("w_words")
-    candidates = found.join(broadcast_if_small(prefix), ["k", "h"]).filter((start >= 0) & (start + length <= F.col("n_words")))
-    verified = candidates.filter(F.slice("context", start - F.col("context_start") + 1, length) == F.col("w_words"))
-    spans = verified.select("row_id", start.alias("start"), (start + length).alias("end"), "item_id")
+    prefix = materialize(_prefixes(docs, windows, shingle), "prefix")
+    keys = materialize(prefix.select("k", "h").distinct(), "prefix-shingles")
+    sizes = sorted(r.k for r in keys.select("k").distinct().collect())  # at most ``shingle`` values
+    if keys.count() <= BROADCAST_ROWS:
+        documents, spans = _spans_in_one_pass(docs, prefix, keys, sizes, window, shingle)
+    else:
+        documents, spans = _spans_by_shuffle(docs, prefix, sizes)
 
     per_document = spans.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set("item_id").alias("items"))
     zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
@@ -104,10 +144,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     per_document = per_document.select("row_id", union.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("listed"))
-    closing = shared.filter("closing").select("row_id", "doc_id", F.col("n_words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return closing.join(per_document, "row_id", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+    return documents.join(per_document, "row_id", "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

@@ -33,7 +33,9 @@ def brute(docs, items, window=10):
 ITEMS = [(1, "lazy dog near the old river bank TODAY"), (2, "one two three four five six seven eight nine ten eleven twelve"), (10, "single"), (11, None), (12, "..."), (2, "word word word word word word word word word word word"), (None, "quick brown")]
 
 
-def test_against_brute_force(spark, documents, empty):
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_against_brute_force(spark, documents, empty, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
     more = spark.createDataFrame([(20, "x one, two three four five six seven eight nine ten eleven y two three four five six seven eight nine ten eleven twelve", "", "", 0, 0.0, "")], documents.schema)
     docs = documents.union(more)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -58,8 +60,18 @@ def test_only_the_hit_rows_of_an_id_go(spark):
 
 
 @pytest.mark.parametrize("size", [1, 2, 4, 5, 9])
-def test_short_items(spark, size):
+def test_short_items(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0 if size % 2 else 500_000)
     item = " ".join(f"w{i}" for i in range(size))
     docs = [(1, f"a {item} b {item}"), (2, " ".join(f"w{i}" for i in range(size - 1)))]
     found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs, [(1, item)])
+
+
+def test_the_prefix_is_the_rarest_shingle(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f " * 3 + "a b c d e g")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f a b"), (2, "b c d e g h i")], "item_id long, text string")
+    windows = decontaminate.benchmark_windows(items)
+    # The second item has words that no document has; of the first, "f" stands three times and all others four times.
+    (only,) = decontaminate._prefixes(docs, windows, 5).collect()
+    assert only.item_id == 1 and "f" in only.w_words[only.w_offset : only.w_offset + 5]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,17 +15,24 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in a local test, is one made here.
-    """
+    Where the session names none, the warehouse is such a folder; a folder of one machine never is."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="lexmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/lexmill/{spark.sparkContext.applicationId}"
+
+
+def clear_working_tables(spark: SparkSession) -> None:
+    """Remove all tables and files that this application's operators wrote on their way; call it once
+    their results are written elsewhere."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def with_scheme(spark: SparkSession, path: str) -> str:
@@ -94,3 +100,9 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 
 def chunks_by_total(n_units: int, per_chunk: int) -> int:
     return max(1, -(-n_units // per_chunk))
+
+
+def tasks_for(total_bytes: int, small: int = 16_000_000, many: int = 4096, large: int = 1_000_000_000) -> int:
+    """Partitions for so many bytes: some ``small`` bytes each until there are ``many`` of them, at
+    most ``large`` bytes each beyond that."""
+    return max(1, min(-(-total_bytes // small), many), -(-total_bytes // large))

@@ -1,7 +1,7 @@
 """WARC archives with an index, read back by coalesced byte ranges.
 
-Writing: payload digests are joined with the smallest page_id of each digest (only ids, sizes
-and digests are aggregated); a page is a ``response`` record if it is that page and a
+Writing: payload digests that repeat are joined with the smallest page_id of each (only ids, sizes
+and digests are aggregated; hot digests are broadcast, so no key holds many payloads); a page is a ``response`` record if it is that page and a
 ``revisit`` record otherwise.  Tasks write archive files of about ``ARCHIVE_BYTES`` and return
 an index row (file, offset, length, URL, digest) for every record.  The index is written as a
 table before anything is read: records are only ever found through it, so the archives of
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import materialize, new_path, table, with_scheme
+from lexmill.llm.common import broadcast_if_small, materialize, new_path, table, tasks_for, with_scheme
 from lexmill.llm.files import read_range, write_file
 
 ARCHIVE_BYTES = 16_000_000
@@ -36,21 +36,28 @@ GAP, SPAN = 65_536, 8_000_000
 MIN_PAYLOAD = 0
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+NO_URL = "urn:none"
+#: A digest of so large a share of the rows is hot; there are at most as many of them.
+HOT_SHARE = 10_000
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def target_uri(url: str | None) -> str | None:
+    """A URL as its record has it: what may not stand in a header is percent-encoded."""
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]", errors="replace") if url else None
+
+
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _record(page_id: int | None, target: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC record; the HTTP head tells the full payload's length, also in a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    target = quote(url, safe="%/:=&?~#+!$,;'@()*[]", errors="replace") if url else "urn:none"
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", f"WARC-Date: {_DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target or NO_URL}", f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
@@ -77,7 +84,7 @@ def parse_record(data: bytes) -> dict:
     http, body = _headers(block)
     revisit = head["warc-type"] == "revisit"
     return {
-        "page_id": _page(head["warc-record-id"]), "url": head["warc-target-uri"], "payload_bytes": int(http["content-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
+        "page_id": _page(head["warc-record-id"]), "url": None if head["warc-target-uri"] == NO_URL else head["warc-target-uri"], "payload_bytes": int(http["content-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
         "record_type": head["warc-type"], "refers_to": _page(head.get("warc-refers-to")), "payload": None if revisit else block[body:],
     }
 
@@ -100,8 +107,9 @@ def _write_archives(folder: str):
             for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to", "revisit"))):
                 page_id, url, payload, refers_to, revisit = row
                 digest = base32_digest(payload)
-                record = _record(page_id, url, payload, digest, refers_to, revisit)
-                index.append((size, len(record), page_id, url, digest, "revisit" if revisit else "response"))
+                target = target_uri(url)
+                record = _record(page_id, target, payload, digest, refers_to, revisit)
+                index.append((size, len(record), page_id, target, digest, "revisit" if revisit else "response"))
                 held.append(record)
                 size += len(record)
                 if size >= ARCHIVE_BYTES:
@@ -112,17 +120,27 @@ def _write_archives(folder: str):
     return run
 
 
+def _by_heat(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The digests of many rows, always broadcast since they are at most ``HOT_SHARE``, and all others:
+    broadcast too if a count says that they are few, so that no payload is shuffled."""
+    bound = (copies.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    return F.broadcast(copies.filter(F.col("n") > bound)), broadcast_if_small(copies.filter(F.col("n") <= bound))
+
+
 def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files; returns the index, a row for each record."""
     spark = pages.sparkSession
     folder = with_scheme(spark, new_path(spark, "warc"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    # Only digests that come more than once are joined; a missing partner means a response.
     copies = source.filter(F.octet_length("payload") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    copies = copies.filter("n > 1").select("digest", "first_id")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    known = source.join(copies, "digest", "left").select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
+    copies = materialize(copies.filter("n > 1"), "repeated-digests")
+    known = source
+    for part, repeated in enumerate(_by_heat(copies)):
+        known = known.join(repeated.select("digest", F.col("first_id").alias(f"first_{part}")), "digest", "left")
+    first_id = F.coalesce("first_0", "first_1")
+    revisit = first_id.isNotNull() & ~F.col("page_id").eqNullSafe(first_id)
+    known = known.select("page_id", "url", "payload", F.when(revisit, first_id).alias("refers_to"), revisit.alias("revisit"))
     return materialize(known.mapInArrow(_write_archives(folder), INDEX), "warc-index")
 
 
@@ -147,7 +165,10 @@ def read_records(index: DataFrame, wanted: Column | None = None) -> DataFrame:
     opens = (gap > GAP) | (piece != F.coalesce(F.lag(piece).over(by_offset), piece))
     ranged = chosen.withColumn("range", F.sum(opens.cast("int")).over(by_offset))
     ranges = ranged.groupBy("file", "range").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("records"))
-    return ranges.select("file", "start", "end", "records").mapInArrow(_read_ranges, RECORD)
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    # Dealt by what has to be read: the index rows alone are so few bytes that one task would get them all.
+    dealt = ranges.repartition(tasks_for(total), "file", "range")
+    return dealt.select("file", "start", "end", "records").mapInArrow(_read_ranges, RECORD)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

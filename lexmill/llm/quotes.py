@@ -10,23 +10,23 @@ whole, or else by its sentences, or else by its lines; the latest of these messa
 
 The parent of a message is the latest message that its shallowest linked passages come from.
 Messages without a linked quotation open a thread.  A conversation without quotations is the
-messages' own text (unquoted lines) in the order (root turn, depth, turn).
+messages' own text (unquoted lines) by ``position``: every branch under the message it replies to.
 
 Hot conversations and frequent passages: passages are aggregated to their earliest turn before
 anything is joined, so a passage costs one row for each conversation, and the roots are found
 by doubling steps over the replies only.
 
 Defined cases: a null text has no passages and an empty own text; a message whose conversation
-or turn is null links to nothing; rows of the same conversation and turn share one parent; an
+or turn is null links to nothing and has no position; rows of the same conversation and turn share one parent and one position; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_table, materialize, table, text_or_empty
+from lexmill.llm.common import drop_table, materialize, table, tasks_for, text_or_empty
 
 #: A line's marks: ``>`` signs with single blanks between or before them.
 MARKS = r"^[ \t]?(?:>[ \t]?)+"
@@ -60,17 +60,17 @@ def line_depths(text: Column) -> Column:
     return F.transform(lines, parted)
 
 
-def _runs(lines: Column) -> Column:
-    """Neighbouring lines of one depth, as an array of (depth, lines)."""
-    empty = F.array().cast("array<struct<depth:int,lines:array<string>>>")
+def _with_runs(messages: DataFrame) -> DataFrame:
+    """Adds ``runs``: neighbouring lines of one depth, as an array of (depth, lines); linear in the lines."""
+    at, depth = F.col("all_lines.line"), F.col("all_lines.depth")
+    opens = lambda i: (i == 0) | (F.get(depth, i) != F.get(depth, i - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size("all_lines") - 1), opens)
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.struct(last.depth.alias("depth"), F.concat(last.lines, F.array(line.line)).alias("lines"))
-        opened = F.struct(line.depth.cast("int").alias("depth"), F.array(line.line).alias("lines"))
-        return F.when(F.size(done) == 0, F.array(opened)).when(last.depth == line.depth, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(opened)))
+    def run(start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("starts", n + 1), F.size("all_lines"))
+        return F.struct(F.get(depth, start).cast("int").alias("depth"), F.slice(at, start + 1, end - start).alias("lines"))
 
-    return F.aggregate(lines, empty, add)
+    return messages.withColumn("starts", starts).withColumn("runs", F.transform("starts", run)).drop("starts")
 
 
 def _own_passages(runs: Column) -> Column:
@@ -88,9 +88,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
     lines = F.when(quoting, line_depths(text_or_empty())).otherwise(
         F.transform(F.split(F.regexp_replace(text_or_empty(), "\r\n?", "\n"), "\n"), lambda x: F.struct(F.lit(0).alias("depth"), x.alias("line"), (F.trim(x) == "").alias("blank")))
     )
-    base = messages.select(*KEY, "role", lines.alias("all_lines"), quoting.alias("quoting"))
-    whole = F.array(F.struct(F.lit(0).cast("int").alias("depth"), F.col("all_lines.line").alias("lines")))
-    return base.withColumn("runs", F.when(F.col("quoting"), _runs(F.col("all_lines"))).otherwise(whole))
+    return _with_runs(messages.select(*KEY, "role", lines.alias("all_lines"), quoting.alias("quoting"))).drop("all_lines")
 
 
 def _quoted(parsed: DataFrame) -> DataFrame:
@@ -134,49 +132,73 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
     return whole.filter(F.col("source_turn").isNotNull()).select(*KEY, "place", "depth", "source_turn").union(by_part)
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_turn, depth) of the replies, by doubling: each step looks up the
-    ancestor of the ancestor, so a chain of n replies takes log2(n) steps."""
-    now = materialize(parents.select(*KEY, F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("steps")), "ancestors")
+def _paths(parents: DataFrame) -> DataFrame:
+    """(conv_id, turn, path) of the replies: the turns from the root down to the message, by doubling:
+    each step looks up the ancestor of the ancestor, so a chain of n replies takes log2(n) steps."""
+    now = materialize(parents.select(*KEY, F.col("parent_turn").alias("up"), F.array("parent_turn", "turn").alias("path")), "ancestors")
     while True:
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next_up"), F.col("steps").alias("more"))
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("path_above"))
         joined = now.join(above, ["conv_id", "up"], "left")
-        after = materialize(joined.select("conv_id", "turn", F.coalesce("next_up", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next_up").isNotNull().alias("moved")), "ancestors")
+        # Both paths hold the message in which they meet.
+        longer = F.when(F.col("path_above").isNull(), F.col("path")).otherwise(F.concat("path_above", F.slice("path", 2, F.size("path") - 1)))
+        after = materialize(joined.select("conv_id", "turn", F.coalesce("next_up", "up").alias("up"), longer.alias("path"), F.col("next_up").isNotNull().alias("moved")), "ancestors")
         moved = after.filter("moved").limit(1).count()
         drop_table(now)
         now = after
         if not moved:
-            return now.select(*KEY, F.col("up").alias("root_turn"), F.col("steps").alias("depth"))
+            return now.select(*KEY, "path")
+
+
+def _positions(paths: DataFrame) -> DataFrame:
+    """(conv_id, turn, path, position): the place of each message in its conversation's reply order, from 1.
+
+    Rows are dealt by ranges of (conv_id, path), so a conversation of any size is spread over tasks; a
+    message's place is its row in its range and what the ranges before it have of its conversation."""
+    total = paths.count()
+    ranged = paths.repartitionByRange(tasks_for(total, 50_000, large=2_000_000), "conv_id", "path").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "reply-order")
+    counts = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = counts.select("conv_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("conv_id", "part").orderBy("path")
+    placed = ranged.withColumn("within", F.row_number().over(own)).join(offsets, ["conv_id", "part"])
+    return placed.select(*KEY, "path", (F.col("before") + F.col("within")).alias("position"))
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """Per message (conv_id, turn, role, text): the same keys with own_text (without quotations),
-    n_quoted, n_linked, parent_turn, root_turn, depth.  In the order (conv_id, root_turn, depth,
-    turn) the rows are the conversations in reply order."""
+    n_quoted, n_linked, parent_turn, root_turn, depth, reply_path and position.
+
+    In the order (conv_id, position) the rows are the conversations in reply order: each message
+    comes after its parent and before its parent's later replies, with all that replies to it.
+    ``reply_path``, the turns from the root to the message, sorts the same way."""
     parsed = materialize(_parsed(messages.select(*KEY, "role", "text")), "parsed-messages")
     links = materialize(quotation_links(parsed), "links")
     linked = links.filter(F.col("source_turn").isNotNull())
     counts = links.groupBy(*KEY).agg(F.count("*").alias("n_quoted"), F.count("source_turn").alias("n_linked"))
     shallowest = linked.groupBy(*KEY).agg(F.max(F.struct((-F.col("depth")).alias("nearest"), F.col("source_turn").alias("parent_turn"))).alias("best")).select(*KEY, "best.parent_turn")
     parents = materialize(shallowest, "parents")
-    replies = counts.join(parents, KEY, "left").join(_roots(parents), KEY, "left")
-    replies = materialize(replies, "replies")
+    replies = counts.join(parents, KEY, "left").join(materialize(_paths(parents), "reply-paths"), KEY, "left")
+    keys = parsed.select(*KEY).filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).distinct()
+    known = materialize(keys.join(replies, KEY, "left").withColumn("path", F.coalesce("path", F.array("turn"))), "replies")
+    placed = known.join(_positions(known.select(*KEY, "path")).drop("path"), KEY)
     own = F.array_join(F.flatten(F.transform(F.filter("runs", lambda r: r.depth == 0), lambda r: r.lines)), "\n")
     text = parsed.select(*KEY, "role", F.trim(own).alias("own_text"))
     zero = F.lit(0).cast("long")
-    return text.join(replies, KEY, "left").select(
-        *KEY, "role", "own_text", F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"),
-        "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", zero).alias("depth"),
-    )
+    return text.join(placed, KEY, "left").select(
+        *KEY, "role", "own_text", F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"), "parent_turn",
+        F.coalesce(F.get("path", F.lit(0)), "turn").alias("root_turn"), (F.coalesce(F.size("path"), F.lit(1)) - 1).cast("long").alias("depth"), F.col("path").alias("reply_path"), "position",
+    )
 
 
-def digests(messages: DataFrame) -> DataFrame:
-    """``linked_conversations`` with the length and hash of each own text in its place."""
-    return linked_conversations(messages).select(*KEY, "role", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth", F.char_length("own_text").cast("long").alias("own_chars"), F.sha2("own_text", 256).alias("own_sha256"))
+def as_rows(messages: DataFrame) -> DataFrame:
+    """``linked_conversations`` with the path as text."""
+    linked = linked_conversations(messages)
+    return linked.withColumn("reply_path", F.array_join(F.transform("reply_path", lambda t: t.cast("string")), "/"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "conversations"))
+    return as_rows(table(spark, sf_dir, "conversations"))
 
 
 OP3_SQL = r"""
@@ -203,10 +225,12 @@ s AS (SELECT w.n, max(CASE WHEN f.source < w.turn THEN f.source END) AS part FRO
 k AS (SELECT conv_id, turn, depth, coalesce(whole, part) AS source FROM w LEFT JOIN s USING (n)),
 c AS (SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked, arg_max(source, (-depth, source)) FILTER (WHERE source IS NOT NULL) AS parent FROM k GROUP BY conv_id, turn),
 u AS (
-  SELECT conv_id, turn, parent AS up, 1 AS steps FROM c WHERE parent IS NOT NULL
-  UNION ALL SELECT u.conv_id, u.turn, c.parent, u.steps + 1 FROM u JOIN c ON c.conv_id = u.conv_id AND c.turn = u.up WHERE c.parent IS NOT NULL),
-t AS (SELECT conv_id, turn, arg_max(up, steps) AS root, max(steps) AS steps FROM u GROUP BY conv_id, turn)
-SELECT m.conv_id, m.turn, m.role, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, c.parent AS parent_turn, coalesce(t.root, m.turn) AS root_turn, CAST(coalesce(t.steps, 0) AS BIGINT) AS depth,
-  CAST(length(trim(coalesce(o.body, ''))) AS BIGINT) AS own_chars, sha256(trim(coalesce(o.body, ''))) AS own_sha256
-FROM m LEFT JOIN o USING (id) LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn
+  SELECT conv_id, turn, parent AS up, [parent, turn] AS path FROM c WHERE parent IS NOT NULL
+  UNION ALL SELECT u.conv_id, u.turn, c.parent, list_prepend(c.parent, u.path) FROM u JOIN c ON c.conv_id = u.conv_id AND c.turn = u.up WHERE c.parent IS NOT NULL),
+t AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM u GROUP BY conv_id, turn),
+y AS (SELECT k.conv_id, k.turn, coalesce(t.path, [k.turn]) AS path FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL) k LEFT JOIN t USING (conv_id, turn)),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS position FROM y)
+SELECT m.conv_id, m.turn, m.role, trim(coalesce(o.body, '')) AS own_text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, c.parent AS parent_turn, coalesce(z.path[1], m.turn) AS root_turn,
+  CAST(coalesce(len(z.path), 1) - 1 AS BIGINT) AS depth, array_to_string(z.path, '/') AS reply_path, z.position
+FROM m LEFT JOIN o USING (id) LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN z ON z.conv_id = m.conv_id AND z.turn = m.turn
 """

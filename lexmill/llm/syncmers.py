@@ -10,7 +10,7 @@ the Jaccard index of their anchors as estimated from the sketches, and is exact
 has no more anchors than the sketch holds.
 
 ``with_edits`` puts each document beside the next in descending doc_id order.  Documents are
-dealt into ranges of ids of about ``RANGE_BYTES``; the first document of a range also visits
+dealt into ranges of ids of about ``RANGE_BYTES`` (up to a gigabyte once there are thousands of them); the first document of a range also visits
 the range before it (and the first of all the last), so a window inside each range sees every
 neighbour and texts are shuffled once.  Long texts are hashed in segments.
 
@@ -20,14 +20,17 @@ each other by a hash of their text; the only document of a table is its own next
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import chunks_by_total, materialize, table, text_or_empty
+from lexmill.llm.common import materialize, table, tasks_for, text_or_empty
 
 K, S = 12, 5
 SKETCH, SEGMENT = 64, 4096
-RANGE_BYTES, MAX_RANGES = 4_000_000, 4096
+RANGE_BYTES = 4_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -121,17 +124,25 @@ def positional_matches(pairs: DataFrame, anchored: DataFrame, min_anchors: int =
     return shared.groupBy("left_id", "right_id", (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n_anchors")).filter(F.col("n_anchors") >= min_anchors)
 
 
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most ``key``: first by runs of cuts, then inside one run."""
+    width = max(1, math.isqrt(len(cuts)))
+    runs = F.from_json(F.lit(json.dumps([cuts[i : i + width] for i in range(0, len(cuts), width)])), "array<array<bigint>>")
+    opened = F.size(F.filter(runs, lambda run: F.get(run, F.lit(0)) <= key))
+    inside = F.size(F.filter(F.get(runs, opened - 1), lambda c: c <= key))
+    return F.when(opened > 0, (opened - 1) * width + inside).otherwise(0)
+
+
 def _in_ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """The documents with their range of ids, guests included; the number of ranges."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = min(chunks_by_total(total, RANGE_BYTES), MAX_RANGES)
-    cuts = rows.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)] or [0.5], 20 * wanted)).first()[0] or []
-    bounds = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts))))
+    wanted = tasks_for(total, RANGE_BYTES)
+    cuts = rows.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)] or [0.5], max(1000, 8 * wanted))).first()[0] or []
     # Ranges are numbered downwards, as the documents are ordered.
-    ranged = rows.withColumn("id_range", -F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
-    heads = ranged.groupBy("id_range").agg(F.max(F.struct("key", "tie")).alias("head"))  # at most MAX_RANGES + 1 rows
+    ranged = rows.withColumn("id_range", -range_of(F.col("key"), sorted(set(cuts))))
+    heads = ranged.groupBy("id_range").agg(F.max(F.struct("key", "tie")).alias("head"))  # a row for each range
     heads = materialize(heads, "range-heads").coalesce(1)
     order = Window.orderBy("id_range")
     visits = F.coalesce(F.lag("id_range").over(order), F.max("id_range").over(Window.partitionBy()))

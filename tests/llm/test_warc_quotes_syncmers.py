@@ -44,6 +44,19 @@ def test_selected_records_are_read_in_few_ranges(pages):
     assert all(warc.write_archives(pages, min_payload=100).filter("payload_digest is not null").collect()[i].record_type for i in range(len(PAGES)))
 
 
+def test_hot_payloads_and_urls_read_back(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_SHARE", 3)
+    monkeypatch.setattr(warc, "broadcast_if_small", lambda df: df)
+    rows = [(i, f"http://h/{i} ü" if i % 2 else None, "same" if i < 40 else f"p{i % 50}") for i in range(100)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = {r.page_id: r for r in warc.read_records(index).collect()}
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    assert all(found[i].refers_to == (None if first[html] == i else first[html]) for i, _, html in rows)
+    assert {r.page_id: r.url for r in index.collect()} == {i: r.url for i, r in found.items()} and found[2].url is None and "%C3%BC" in found[3].url
+
+
 def test_no_pages(pages):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
@@ -73,7 +86,7 @@ def test_quotations_against_sql(spark):
     connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", THREADS)
     answer = connection.execute(quotes.OP3_SQL)
     columns = [c[0] for c in answer.description]
-    own = [tuple(r[c] for c in columns) for r in quotes.digests(frame).collect()]
+    own = [tuple(r[c] for c in columns) for r in quotes.as_rows(frame).collect()]
     assert sorted(own, key=str) == sorted(answer.fetchall(), key=str)
 
 
@@ -83,6 +96,21 @@ def test_long_chain_of_replies(spark):
     assert {(r.turn, r.depth, r.root_turn) for r in found.collect()} == {(i, i, 0) for i in range(40)}
 
 
+def test_branches_stand_under_their_parents(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "tasks_for", lambda *a, **k: 5)
+    rows = [(1, 0, "u", "zero"), (1, 1, "a", "> zero\none"), (1, 2, "b", "> zero\ntwo"), (1, 3, "u", "> one\nthree"), (1, 4, "a", "four"), (1, 5, "b", "> three\nfive"), (1, 6, "a", "> two\nsix"), (2, 0, "u", "other")]
+    found = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    order = [(r.turn, r.own_text) for r in sorted(found, key=lambda r: (r.conv_id, r.position))]
+    assert order == [(0, "zero"), (1, "one"), (3, "three"), (5, "five"), (2, "two"), (6, "six"), (4, "four"), (0, "other")]
+    assert {r.turn: r.reply_path for r in found if r.conv_id == 1}[5] == [0, 1, 3, 5] and sorted(r.position for r in found if r.conv_id == 1) == list(range(1, 8))
+
+
+def test_many_lines(spark):
+    text = "\n".join(("> " if i % 3 else "") + f"line {i}" for i in range(20_000))
+    found = quotes.linked_conversations(spark.createDataFrame([(1, 0, "u", "line 1\nline 2"), (1, 1, "a", text)], "conv_id long, turn long, role string, text string"))
+    assert {r.turn: (r.n_quoted, r.n_linked) for r in found.collect()} == {0: (0, 0), 1: (6667, 1)}
+
+
 def test_rewrapped_paragraphs_and_single_sentences(spark):
     paragraphs = [f"The {n} paragraph says that the river rose over its banks in the night. Nobody had seen the {n} flood coming, and the bridge was lost!" for n in ("first", "second", "third")]
     wrapped = ["\n".join(f"> {line}" for line in textwrap.wrap(p, 40)) for p in paragraphs]
@@ -129,6 +157,13 @@ def test_edited_texts(spark, documents, monkeypatch, range_bytes):
         assert (r.near_edited, r.near_next) == pytest.approx((likeness(sketch(text), sketch(edited)), likeness(sketch(text), sketch(following))))
 
 
+def test_ranges_by_two_levels(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        cuts = [3 * i for i in range(n)]
+        keys = spark.range(-2, 3 * n + 2)
+        assert all(r.found == sum(c <= r.id for c in cuts) for r in keys.select("id", syncmers.range_of(F.col("id"), cuts).alias("found")).collect())
+
+
 def test_fingerprint_edges(documents, empty):
     assert syncmers.with_edits(documents).count() == documents.count()
     assert syncmers.with_edits(empty).count() == 0
@@ -142,3 +177,27 @@ def test_positional_matches(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "left_id long, right_id long")
     found = syncmers.positional_matches(pairs, syncmers.anchors(docs)).collect()
     assert [(r.left_id, r.right_id, r.shift) for r in found] == [(1, 2, 10)]
+
+
+def test_likeness_is_near_the_exact_one(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    errors = []
+    for text in texts:
+        edited = text[: len(text) * 2 // 3] + texts[0][: len(text) // 3]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(syncmers, "SKETCH", 10**9)
+            exact = likeness(sketch(text), sketch(edited))
+        errors.append(abs(exact - likeness(sketch(text), sketch(edited))))
+    assert sum(errors) / len(errors) < 0.06 and max(errors) < 0.25
+
+
+def test_working_tables_go(spark, tmp_path):
+    import os
+
+    from lexmill.llm import common
+
+    common.materialize(spark.range(3), "three")
+    folder = common._own_folder(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    common.clear_working_tables(spark)
+    assert not os.path.exists(folder)

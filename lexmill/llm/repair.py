@@ -1,15 +1,16 @@
 """Token-id shards compressed by Re-Pair grammars.
 
 Documents are tokenized in ascending doc_id order and written as shard files.  In a shard,
-frequent adjacent id pairs are replaced by nonterminals, round by round; a round takes the
-most frequent pairs whose occurrences cannot overlap and that no document end parts.  The file
-holds the rules, the length of every rule's expansion, and where each document's symbols begin,
-so any document can be decoded alone.
+adjacent id pairs that repeat are replaced by nonterminals, the most frequent first, until no
+pair occurs twice (``min_count``) without overlapping itself.  The file holds the rules, the
+length of every rule's expansion, and where each document's symbols begin, so any document can
+be decoded alone.
 
 File: the magic bytes, a header of five unsigned 64-bit numbers (documents, rules, symbols,
-first nonterminal, bytes of one symbol), then arrays: doc ids (int64), null flags of ids
-(uint8), ids per document (uint64), first symbol per document (uint64), rules (2 x uint32),
-expansion lengths (uint32), symbols (uint16 or uint32); all little-endian.
+first nonterminal, bytes of one symbol: 3 or 4), then arrays: doc ids (int64), null flags of ids
+(uint8), ids per document (uint64), first symbol per document (uint64), rules (2 symbols each),
+expansion lengths (uint32), symbols; all little-endian, symbols of 3 bytes as all lower two
+bytes and then all third bytes.
 
 A manifest table lists the shard files in order with their numbers of ids; the first id of a
 shard is the sum over the shards before it.  The files of an attempt that did not commit are
@@ -33,85 +34,110 @@ from lexmill.llm.files import read_range, write_file
 from lexmill.llm.tokens import batches, chunk_tokenizer, crc32_of, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-FIRST_RULE, MAX_RULES = 49_408, 16_000  # symbols stay below 2**16
-MIN_COUNT, ROUNDS, PER_ROUND = 32, 10, 2_000
-SHARD_IDS, RANGE_BYTES = 2_000_000, 24_000_000
-MAGIC = b"LMRP0001"
-_BUCKETS = 1 << 18
-
-
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    """One of ``_BUCKETS`` for each pair, by multiplication in the width of the keys."""
-    factor, shift = (0x9E3779B1, 14) if keys.dtype == np.uint32 else (0x9E3779B97F4A7C15, 46)
-    return ((keys * keys.dtype.type(factor)) >> keys.dtype.type(shift)).astype(np.int32)
-
-
-def _frequent_pairs(keys: np.ndarray, buckets: np.ndarray, width: int, min_count: int, most: int) -> np.ndarray:
-    """The most frequent pairs, no two of which can overlap or share a bucket."""
-    in_bucket = np.bincount(buckets, minlength=_BUCKETS)
-    found, counts = np.unique(keys[in_bucket[buckets] >= min_count], return_counts=True)
-    frequent = np.flatnonzero(counts >= min_count)
-    frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
-    found, low = found[frequent], keys.dtype.type((1 << width) - 1)
-    lefts, rights, taken, chosen = set(), set(), set(), []
-    for key, a, b, place in zip(found.tolist(), (found >> keys.dtype.type(width)).tolist(), (found & low).tolist(), _bucket(found).tolist()):
-        if a in rights or b in lefts or (a == b and (a in lefts or b in rights)) or place in taken:
-            continue
-        lefts.add(a), rights.add(b), taken.add(place), chosen.append(key)
-        if len(chosen) == most:
+FIRST_RULE, MIN_COUNT = 49_408, 2
+SHARD_IDS, RANGE_BYTES = 1_000_000, 24_000_000
+MAGIC = b"LMRP0002"
+
+
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the pairs in sorted order, the places they stand at); ``top`` is the largest symbol.
+    Where a pair and its place fit in 64 bits, plain numbers are sorted."""
+    width, place = int(top).bit_length(), int(at[-1]).bit_length()
+    key = left.astype(np.uint64) << np.uint64(width) | right
+    if 2 * width + place > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order]
+    key = key << np.uint64(place) | at.astype(np.uint64)
+    key.sort()
+    return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols per document, rules) of documents of so many ids in a row.
+
+    A round ranks all pairs that occur ``min_count`` times by their counts and replaces every
+    occurrence that outranks the two it overlaps, so the most frequent pairs go first, and as many
+    others as don't touch them.  Rounds end when no pair is left that can be replaced ``min_count`` times.  A pair
+    of old symbols never becomes more frequent, so after the first round only pairs that repeat
+    and pairs with a new symbol are looked at."""
+    n = len(ids)
+    symbols = np.append(ids, 0).astype(np.uint32)
+    # Neighbours of each place; ``n`` stands for none, as no pair goes over a document's end.
+    place = np.int32 if n < 1 << 31 else np.int64
+    after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+    ends = np.cumsum(n_ids)[n_ids > 0]
+    after[ends - 1] = n
+    before[np.concatenate(([0], ends[:-1]))[: len(ends)]] = n
+    open_pair, alive = after != n, np.ones(n + 1, bool)
+    open_pair[n] = False
+    rank_at = np.zeros(n + 1, np.int32)
+    rules, n_rules, top = [], 0, int(max(first_rule, ids.max(initial=0)))
+    while len(active := np.flatnonzero(open_pair)):
+        keys, at = _sorted_pairs(symbols[active], symbols[after[active]], active, top)
+        open_pair[active] = False
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts = np.diff(starts, append=len(keys))
+        pairs = np.flatnonzero(counts >= min_count)
+        if not len(pairs):
             break
-    return np.array(chosen, dtype=keys.dtype)
-
-
-def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, min_count: int = MIN_COUNT, rounds: int = ROUNDS, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules) of documents of so many ids in a row."""
-    symbols, closes = ids.astype(np.uint32), np.zeros(len(ids), bool)
-    closes[np.cumsum(n_ids)[n_ids > 0] - 1] = True
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    # Pairs of symbols below 2**16 are 32-bit keys.
-    width, kind = (16, np.uint32) if max(int(symbols.max(initial=0)), first_rule + max_rules - 1) < 1 << 16 else (32, np.uint64)
-    for _ in range(rounds):
-        if len(symbols) < 2 or n_rules >= max_rules:
-            break
-        keys = symbols[:-1].astype(kind) << kind(width) | symbols[1:]
-        buckets = _bucket(keys)
-        inside = ~closes[:-1]
-        chosen = _frequent_pairs(keys[inside], buckets[inside], width, min_count, min(PER_ROUND, max_rules - n_rules))
-        if not len(chosen):
-            break
-        table = np.full(_BUCKETS, -1, dtype=np.int32)
-        table[_bucket(chosen)] = np.arange(len(chosen))
-        rule = table[buckets]
-        at = np.flatnonzero((rule >= 0) & inside)
-        at = at[chosen[rule[at]] == keys[at]]
-        # Neighbouring matches come only from runs of one id: every other one counts.
-        run_start = np.concatenate(([True], np.diff(at) > 1))
-        within = np.arange(len(at)) - np.flatnonzero(run_start)[np.cumsum(run_start) - 1]
-        at = at[within % 2 == 0]
-        symbols[at] = first_rule + n_rules + rule[at]
-        closes[at] = closes[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        before = len(symbols)
-        symbols, closes = symbols[keep], closes[keep]
-        rules.append(np.stack([chosen >> kind(width), chosen & kind((1 << width) - 1)], axis=1).astype(np.uint32))
-        n_rules += len(chosen)
-        if before - len(symbols) < before // 200:
-            break
-    ends = np.flatnonzero(closes) + 1
-    per_document = np.zeros(len(n_ids), np.int64)
-    per_document[n_ids > 0] = np.diff(ends, prepend=0)
-    return symbols, per_document, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """What each rule stands for, all in a row, and the length of each."""
-    whole: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        parts = [whole[x - first_rule] if x >= first_rule else np.array([x], dtype=np.uint32) for x in (a, b)]
-        whole.append(np.concatenate(parts))
-    return np.concatenate(whole) if whole else np.zeros(0, np.uint32), np.array([len(x) for x in whole], dtype=np.uint32)
+        pairs = pairs[np.argsort(counts[pairs], kind="stable")]  # a pair's rank is its place here, from 1
+        rank = np.zeros(len(starts), np.int32)
+        rank[pairs] = np.arange(1, len(pairs) + 1)
+        rank_of = np.repeat(rank, counts)
+        rank_at[at] = rank_of
+        left = at[starts[pairs]]
+        pairs, counts = np.stack([symbols[left], symbols[after[left]]], axis=1), counts[pairs]
+        active = np.flatnonzero(rank_at) if 8 * len(at) > n else np.sort(at[rank_of > 0])
+        del keys, at, starts, rank, rank_of
+        own = rank_at[active]
+        open_pair[active] = True
+        first = (own >= rank_at[before[active]]) & (own >= rank_at[after[active]])
+        rank_at[active] = 0
+        # Occurrences of equal rank overlap only in runs of one id: every other one is taken.
+        at, pair = active[first], own[first] - 1
+        opens = np.concatenate(([True], after[at[:-1]] != at[1:]))
+        taken = (np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0
+        used = np.bincount(pair[taken], minlength=len(pairs))
+        # Nothing outranks these, and still they are too few without overlaps: they are done with.
+        spent = (used < min_count) & (np.bincount(pair, minlength=len(pairs)) == counts)
+        open_pair[active[spent[own - 1]]] = False
+        ruled = used >= min_count
+        symbol_of = first_rule + n_rules + np.cumsum(ruled) - 1
+        chosen = taken & ruled[pair]
+        at, pair = at[chosen], pair[chosen]
+        gone = after[at]
+        beyond = after[gone]
+        symbols[at] = symbol_of[pair]
+        after[at], before[beyond], alive[gone], open_pair[gone] = beyond, at, False, False
+        changed = np.concatenate([before[at], at])
+        open_pair[changed] = after[changed] != n
+        open_pair[n] = False
+        rules.append(pairs[ruled])
+        n_rules += int(ruled.sum())
+        top = max(top, first_rule + n_rules)
+    alive[n] = False
+    document = np.repeat(np.arange(len(n_ids)), n_ids)
+    per_document = np.bincount(document[alive[:n]], minlength=len(n_ids)).astype(np.int64)
+    return symbols[:n][alive[:n]], per_document, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+
+
+def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """How many ids each rule stands for; a rule uses earlier ones only."""
+    lengths = np.zeros(len(rules), np.int64)
+    todo = np.arange(len(rules))
+    parts = rules.astype(np.int64) - first_rule
+    while len(todo):
+        known = np.where(parts[todo] < 0, 1, lengths[np.maximum(parts[todo], 0)])
+        ready = (known > 0).all(axis=1)
+        lengths[todo[ready]] = known[ready].sum(axis=1)
+        todo = todo[~ready]
+    return lengths
+
+
+def _wide(values: np.ndarray, width: int) -> bytes:
+    """Numbers as their lower two bytes, all in a row, and then their third (or all four bytes each)."""
+    values = np.ascontiguousarray(values, dtype=np.uint32).ravel()
+    return values.astype("<u4").tobytes() if width == 4 else (values & 0xFFFF).astype("<u2").tobytes() + (values >> 16).astype("u1").tobytes()
 
 
 class Shard:
@@ -129,38 +155,49 @@ class Shard:
             at += out.nbytes
             return out
 
+        def take_wide(n: int) -> np.ndarray:
+            if width == 4:
+                return take("<u4", n).astype(np.int64)
+            low = take("<u2", n)
+            return low.astype(np.int64) | take("u1", n).astype(np.int64) << 16
+
         self.doc_ids, self.null_ids = take("<i8", n_docs), take("u1", n_docs).astype(bool)
         self.n_ids, self.first_symbol = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
-        self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
-        self.symbols = take(f"<u{width}", n_symbols).astype(np.int64)
-        self._whole, _ = expansions(self.rules, self.first_rule)
-        self._begin = np.cumsum(self.lengths) - self.lengths
+        self.rules, self.lengths = take_wide(2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
+        self.symbols = take_wide(n_symbols)
 
     def decode(self, first: int, last: int) -> np.ndarray:
-        """The ids of the documents from ``first`` to before ``last``."""
+        """The ids of the documents from ``first`` to before ``last``: each nonterminal's two parts are
+        put where its expansion length says, until only ids are left."""
         if first >= last:
             return np.zeros(0, np.uint32)
         end = self.first_symbol[last] if last < len(self.first_symbol) else len(self.symbols)
         symbols = self.symbols[self.first_symbol[first] : end]
+        out = np.zeros(int(self.n_ids[first:last].sum()), np.uint32)
+        length = self._length(symbols)
+        place = np.cumsum(length) - length
+        while len(symbols):
+            plain = symbols < self.first_rule
+            out[place[plain]] = symbols[plain]
+            place, parts = place[~plain], self.rules[symbols[~plain] - self.first_rule]
+            place = np.concatenate([place, place + self._length(parts[:, 0])])
+            symbols = np.concatenate([parts[:, 0], parts[:, 1]])
+        return out
+
+    def _length(self, symbols: np.ndarray) -> np.ndarray:
         is_rule = symbols >= self.first_rule
-        which = np.where(is_rule, symbols - self.first_rule, 0)
-        length = np.ones(len(symbols), np.int64)
-        length[is_rule] = self.lengths[which[is_rule]]
-        source = np.concatenate([self._whole, np.arange(self.first_rule, dtype=np.uint32)])  # a plain id stands for itself
-        begin = len(self._whole) + symbols
-        begin[is_rule] = self._begin[which[is_rule]]
-        at = np.cumsum(length) - length
-        return source[np.repeat(begin - at, length) + np.arange(int(length.sum()))]
+        out = np.ones(len(symbols), np.int64)
+        out[is_rule] = self.lengths[symbols[is_rule] - self.first_rule]
+        return out
 
 
 def shard_bytes(doc_ids: np.ndarray, null_ids: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE) -> bytes:
     symbols, per_document, rules = compress(ids, n_ids, first_rule)
-    _, lengths = expansions(rules, first_rule)
-    width = 2 if first_rule + len(rules) <= 1 << 16 else 4
     first_symbol = np.cumsum(per_document) - per_document
+    width = 3 if max(first_rule + len(rules), int(ids.max(initial=0)) + 1) <= 1 << 24 else 4
     header = np.array([len(doc_ids), len(rules), len(symbols), first_rule, width], dtype="<u8")
-    parts = [header, doc_ids.astype("<i8"), null_ids.astype("u1"), n_ids.astype("<u8"), first_symbol.astype("<u8"), rules.astype("<u4"), lengths.astype("<u4"), symbols.astype(f"<u{width}")]
-    return MAGIC + b"".join(p.tobytes() for p in parts)
+    parts = [header, doc_ids.astype("<i8"), null_ids.astype("u1"), n_ids.astype("<u8"), first_symbol.astype("<u8")]
+    return MAGIC + b"".join(p.tobytes() for p in parts) + _wide(rules, width) + expansion_lengths(rules, first_rule).astype("<u4").tobytes() + _wide(symbols, width)
 
 
 def _write_shards(folder: str, path: str, end_id: int):

@@ -31,16 +31,35 @@ def test_chunks_give_the_ids_of_whole_texts(both, texts):
     assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
-@settings(max_examples=150, deadline=None)
+def _times(symbols, pair):
+    """How often a pair stands in symbols without overlapping itself."""
+    n = i = 0
+    while i + 1 < len(symbols):
+        hit = (symbols[i], symbols[i + 1]) == pair
+        n, i = n + hit, i + 1 + hit
+    return n
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=30), max_size=12), st.integers(2, 3))
-def test_repair_round_trip(documents, min_count):
+def test_repair_round_trip_and_no_pair_left(documents, min_count):
     ids = np.array([x for d in documents for x in d], dtype=np.uint32)
     n_ids = np.array([len(d) for d in documents], dtype=np.int64)
     symbols, per_document, rules = repair.compress(ids, n_ids, first_rule=10, min_count=min_count)
-    whole, lengths = repair.expansions(rules, 10)
-    begin = np.cumsum(lengths.astype(int)) - lengths.astype(int)
-    decoded = [y for s in symbols.tolist() for y in (whole[begin[s - 10] : begin[s - 10] + lengths[s - 10]].tolist() if s >= 10 else [s])]
-    assert decoded == ids.tolist() and per_document.sum() == len(symbols)
+    plain = lambda x: [x] if x < 10 else [z for y in rules[x - 10].tolist() for z in plain(y)]
+    assert [y for x in symbols.tolist() for y in plain(x)] == ids.tolist() and per_document.sum() == len(symbols)
+    assert repair.expansion_lengths(rules, 10).tolist() == [len(plain(10 + i)) for i in range(len(rules))]
+    cuts = np.concatenate(([0], np.cumsum(per_document))).tolist()
+    own = [symbols[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+    assert all(sum(_times(d, pair) for d in own) < min_count for pair in {p for d in own for p in zip(d, d[1:])})
+
+
+def test_repeated_passages_become_few_symbols():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40_000, 3000)
+    ids = np.concatenate([passage, rng.integers(0, 40_000, 500), passage]).astype(np.uint32)
+    symbols, _, rules = repair.compress(ids, np.array([len(ids)]))
+    assert len(symbols) < 520 and repair.expansion_lengths(rules, repair.FIRST_RULE).max() == 3000
 
 
 def test_random_access():
@@ -70,6 +89,38 @@ def test_shards_in_order(documents, empty):
     assert repair.read_shards(repair.write_shards(empty)).count() == 0
 
 
+def plain_best_two_fit(lengths, capacity):
+    left, bins = sorted(lengths), []
+    while left:
+        chosen = []
+        while fits := [x for x in left if x <= capacity - sum(chosen)]:
+            chosen.append(fits[-1])
+            left.remove(fits[-1])
+        gap = capacity - sum(chosen)
+        room, pairs = gap + chosen[-1], []
+        for i, a in enumerate(left):
+            pairs += [(a + b, a, b) for b in left[i + 1 :] if a + b <= room]
+        best = max(pairs, default=(0,))[0]
+        if gap and best > chosen[-1]:
+            left.append(chosen.pop())
+            for x in min((min(a, b), max(a, b)) for total, a, b in pairs if total == best):
+                chosen.append(x)
+                left.remove(x)
+            left.sort()
+        bins.append(sorted(chosen))
+    return sorted(bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=25))
+def test_best_two_fit_by_the_plain_rule(lengths):
+    bins, _ = packing.best_two_fit(np.array(lengths, dtype=np.int64), 20)
+    held = defaultdict(list)
+    for n, b in zip(lengths, bins.tolist()):
+        held[b].append(n)
+    assert sorted(sorted(v) for v in held.values()) == plain_best_two_fit(lengths, 20)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_two_fit_places_everything(lengths):
@@ -107,3 +158,12 @@ def test_pack(documents, empty):
         assert [p.offset for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))] and sum(p.length for p in own) <= 64
     assert len(by_sequence) <= -(-sum(p.length for p in pieces) // 64) + 1
     assert packing.pack(empty).count() == 0
+
+
+def test_sequences_are_nearly_full():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 2049, 4000), np.minimum(rng.zipf(1.3, 4000) * 7, 2048), rng.integers(600, 1100, 3000)):
+        bins, _ = packing.best_two_fit(lengths)
+        # No packing takes fewer sequences than the tokens fill, and none than pieces of over half a sequence.
+        least = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
+        assert bins.max() + 1 <= 1.01 * least + 3 or lengths.min() >= 600 and bins.max() + 1 <= 1.3 * least

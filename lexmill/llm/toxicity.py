@@ -33,7 +33,7 @@ from lexmill.llm.labelled import held_out, labelled_sample
 from lexmill.llm.words import numbered_words, slices_of, whole_texts
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
-PER_CLASS, MAX_CHARS = (1300, 700), 16_000_000
+PER_CLASS, MAX_CHARS = (2000, 1000), 16_000_000
 STEPS, RATE, SOFTMAX_RATE, MOMENTUM = 150, 1.0, 0.05, 0.8
 THRESHOLD = 0.5
 SLICE_BYTES, WORDS_AT_ONCE = 2_000_000, 32_768

@@ -30,7 +30,8 @@ def test_every_stage_against_plain_code(spark):
         texts = [r[text] for r in before]
         if name in ("quality", "toxicity"):
             module, bound = (quality, quality.THRESHOLD) if name == "quality" else (toxicity, toxicity.THRESHOLD)
-            scores = np.concatenate([module.Scorer(module.fit(docs, labels))(pa.array([t], pa.string())) for t in texts])
+            score = module.Scorer(module.fit(docs, labels))
+            scores = np.concatenate([score(pa.array([t], pa.string())) for t in texts])
             stays = scores >= bound if name == "quality" else scores < bound
             assert rows == [r for r, s in zip(before, stays.tolist()) if s]
         elif name == "near_duplicates":

@@ -212,6 +212,15 @@ def fold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("token", tx.fold(F.col("token")).alias("folded"))
 
 
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order books as Markdown, a section for each order: cut between sections, as many to a piece as fit."""
+    order = F.concat(F.lit("## Order "), F.col("o_orderkey"), F.lit("\nPriority "), F.col("o_orderpriority"), F.lit(", status "), F.col("o_orderstatus"), F.lit("\n"))
+    books = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_custkey") / 25).cast("long").alias("book")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", order.alias("part")))).alias("parts"))
+    text = F.concat(F.lit("# Book "), F.col("book").cast("string"), F.lit("\n"), F.array_join("parts.part", ""))
+    chunks = ch.chunk_documents(books.select("book", text.alias("text"), F.lit("markdown").alias("language")), "book")
+    return chunks.select("book", "ordinal", "start_line", "end_line", "symbol", F.md5("text").alias("digest"))
+
+
 def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured chunks of the documents as Markdown (no SQL: see the tests)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Document\n"), F.replace("text", F.lit("\n"), F.lit("\n## Part\n"))).alias("text"), F.lit("markdown").alias("language"))
@@ -222,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_identifier_cases, expand_terms, query_terms_stopwords, search_text_build, term_df, doc_length_stats, postings_build, normalize_newlines, split_lines_counts, blank_filter, line_prefix_sums,
-        line_windows, chunk_rows, heading_symbol_path, content_hash, stable_id_sha, chunk_ids, language_detect, path_algebra, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks, fold_terms,
+        line_windows, chunk_rows, heading_symbol_path, content_hash, stable_id_sha, chunk_ids, language_detect, path_algebra, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks, markdown_sections, fold_terms,
     )
 }
 
@@ -278,5 +287,15 @@ SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6)
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
 r AS (SELECT doc_id, n, CAST(least(256, greatest(1, floor(4194304 / pow(greatest(floor(n / 2), 1), 2)))) AS BIGINT) AS room FROM d)
 SELECT doc_id, room, (row_number() OVER (PARTITION BY room ORDER BY n, doc_id) - 1) // room AS batch FROM r""",
+    "markdown_sections": r"""
+WITH RECURSIVE
+o AS (SELECT o_custkey // 25 AS book, row_number() OVER (PARTITION BY o_custkey // 25 ORDER BY o_orderkey) AS i, ' > Order ' || o_orderkey AS name, '## Order ' || o_orderkey || chr(10) || 'Priority ' || o_orderpriority || ', status ' || o_orderstatus AS body FROM orders),
+u AS (SELECT * FROM o UNION ALL SELECT DISTINCT book, 0, '', '# Book ' || book FROM o),
+p AS (
+  SELECT book, i, 0 AS ordinal, length(body) + 1 AS held FROM u WHERE i = 0
+  UNION ALL
+  SELECT u.book, u.i, CASE WHEN held + length(body) + 1 <= 1800 THEN ordinal ELSE ordinal + 1 END, CASE WHEN held + length(body) + 1 <= 1800 THEN held ELSE 0 END + length(body) + 1 FROM p JOIN u ON u.book = p.book AND u.i = p.i + 1)
+SELECT book, CAST(ordinal AS INTEGER) AS ordinal, CAST(greatest(1, 2 * min(i)) AS INTEGER) AS start_line, CAST(2 * max(i) + 1 AS INTEGER) AS end_line, 'Book ' || book || arg_min(name, i) AS symbol, md5(string_agg(body, chr(10) ORDER BY i)) AS digest
+FROM p JOIN u USING (book, i) GROUP BY book, ordinal""",
     "fold_terms": "SELECT DISTINCT token, strip_accents(lower(token)) AS folded FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents)",
 }

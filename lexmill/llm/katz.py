@@ -45,7 +45,7 @@ from lexmill.llm.words import numbered_words, slices_of
 
 FOLDS, HELD_OUT = 7, 2
 ORDER, GT_MAX = 3, 5
-BLOCK_TOKENS, HOT, PARTS = 1_200_000, 1_000_000, 1
+BLOCK_TOKENS, HOT, PARTS = 1_200_000, 1_000_000, 2
 #: The end of a text; white space is in no word.
 END = xxhash.xxh64_intdigest(" ")
 #: Ids that are no word's: what stands before a document, and a word that training does not have.
@@ -616,8 +616,9 @@ def train(docs: DataFrame, order: int = ORDER) -> KatzModel:
     unigrams, discounts = Unigrams.of(total, distinct, documents, counts_of_counts), {}
     for n in range(2, order + 1):
         done, own = dict(counted), []
-        for part in range(PARTS):  # the questions of one part are on disk at a time
-            asked = _to_blocks(manifest, done).groupBy("block").applyInArrow(_ask_ngrams(n, buckets, unigrams, dict(discounts), part, PARTS), MESSAGE)
+        parts = PARTS if n > 2 else 1
+        for part in range(parts):  # the questions of one part are on disk at a time
+            asked = _to_blocks(manifest, done).groupBy("block").applyInArrow(_ask_ngrams(n, buckets, unigrams, dict(discounts), part, parts), MESSAGE)
             own.append(materialize(asked.groupBy("bucket").applyInArrow(_count_ngrams(n, unigrams, dict(discounts)), MESSAGE), f"ngrams-{n}", ["kind"]))
         counted[n] = reduce(DataFrame.union, own)
         discounts[n] = Discounts.of(_sums(counted[n])[2:])

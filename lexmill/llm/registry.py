@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontaminate, katz, packing, quality, quotes, repair, simhash, syncmers, toxicity, warc
+from lexmill.llm import ballkmeans, decontaminate, katz, packing, quality, quotes, repair, simhash, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_katz_backoff_lm": katz.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_attention_mil_quality": quality.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_closed_syncmer_fingerprints": syncmers.op10,
+    "op13_ball_kmeans": ballkmeans.op13,
 }
 
 ORACLES = {
     "op2_warc_index": warc.OP2_SQL,
     "op3_quotation_linking": quotes.OP3_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op13_ball_kmeans": ballkmeans.OP13_SQL,
 }

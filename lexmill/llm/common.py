@@ -80,6 +80,30 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+HOT_ROWS, HOT_SHARE, SALTS = 10_000, 1000, 64
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The keys of ``counted`` that hold over ``HOT_ROWS`` rows and over one in ``HOT_SHARE`` of all ``total``
+    rows: so at most ``HOT_SHARE`` keys."""
+    return counted.filter(F.col(n) > max(HOT_ROWS, total // HOT_SHARE)).select(*keys)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner", apart: Column | None = None) -> DataFrame:
+    """Join with ``right``, which has one row for each key; no key is null.
+
+    Rows of ``left`` with a key in ``hot`` (see ``hot_keys``: few, so it is broadcast) are dealt over ``SALTS``
+    salts by ``spread``, and rows of ``right`` with such a key are copied for each salt.  Rows where
+    ``apart`` holds have no partner in ``right`` and are dealt freely."""
+    marked = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    salt = F.when(F.col("is_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    if apart is not None:
+        salt = F.when(apart, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(salt)
+    salted = left.join(marked, keys, "left").withColumn("salt", salt).drop("is_hot")
+    copied = right.join(marked, keys, "left").withColumn("salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("is_hot")
+    return salted.join(copied, [*keys, "salt"], how).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

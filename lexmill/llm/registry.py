@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import ballkmeans, decontaminate, katz, packing, passages, quality, quotes, repair, simhash, syncmers, toxicity, warc
+from lexmill.llm import alignment, ballkmeans, decontaminate, katz, packing, passages, quality, quotes, repair, simhash, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_katz_backoff_lm": katz.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_attention_mil_quality": quality.op8,
     "op9_simhash_near_dedup": simhash.op9,
     "op10_closed_syncmer_fingerprints": syncmers.op10,
+    "op11_tokenizer_alignment": alignment.op11,
     "op12_relative_lz_passages": passages.op12,
     "op13_ball_kmeans": ballkmeans.op13,
 }

@@ -27,8 +27,8 @@ from lexmill.llm.words import numbered_words
 
 CACHE_CHUNKS, JOINED = 500_000, 500
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
-_SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
+SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,7 +72,7 @@ class ChunkTokenizer:
     def _odd(self, text: str) -> list[str]:
         if self._cut == "words":
             return [c for c in text.replace("\n", " ").split(" ") if c]
-        pieces = _SPACE_BETWEEN.split(text) if text else []
+        pieces = SPACE_BETWEEN.split(text) if text else []
         return pieces[:1] + [" " + p for p in pieces[1:]]
 
     def _add(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
@@ -136,7 +136,7 @@ class ChunkTokenizer:
             self._clear()
         column = pa.array(texts, pa.large_string())
         # Lower-casing could make a special token of what is none.
-        odd = pc.match_substring(column, "<|") if self._cut == "words" else pc.match_substring_regex(column, _UNEVEN)
+        odd = pc.match_substring(column, "<|") if self._cut == "words" else pc.match_substring_regex(column, UNEVEN)
         odd = odd.to_numpy(zero_copy_only=False).astype(bool)
         chunks, numbers, counts = self._even(column.filter(pa.array(~odd)))
         cut = {i: self._odd(texts[i]) for i in np.flatnonzero(odd).tolist()}

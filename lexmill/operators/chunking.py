@@ -3,15 +3,15 @@
 ``chunk_documents`` splits a document where its structure says so (headings, definitions, keys:
 ``outline``), packs what is small, merges what is too small and cuts what is too large into overlapping windows of
 lines; a document of any other language is cut into windows alone.  It is one pass over the
-documents without a shuffle; the per-document helpers below hold only line numbers.
+documents without a shuffle.  Python only finds line numbers; what is done with pieces after that
+(overlaps, merging, texts) are folds over arrays of structs, which serve any table that has some.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.languages import SYNTAX_LANGUAGES
 from lexmill.functions.text import is_blank, split_lines
+from lexmill.operators.outline import Section, outline, symbols
 
-CHUNK = "ordinal int, start_line int, end_line int, symbol string, text string"
-NAME_CHARS, MAX_DEPTH = 80, 200
+#: A piece of a document: lines (0-based, inclusive), sizes up to its start and its end, the names over it.
+PIECE = "struct<first:int,last:int,start_at:long,end_at:long,names:array<string>>"
+ARROW_PIECES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start_at", pa.int64()), ("end_at", pa.int64()), ("names", pa.list_(pa.string()))]))
 
 
 @dataclass(frozen=True)
@@ -61,175 +63,166 @@ def line_windows(ends: list[int], first: int, last: int, config: ChunkConfig) ->
         first = max(end + 1 - config.overlap_lines, first + 1)
 
 
-def trimmed(lines: list[str], piece: Piece) -> Piece | None:
-    """Without blank lines at either edge; None if nothing is left."""
-    filled = [i for i in range(piece.first, piece.last + 1) if lines[i].strip()]
-    return Piece(filled[0], filled[-1], piece.names) if filled else None
+def _parts(section: Section) -> list[tuple[Section, bool]]:
+    """The sections inside and the lines between them, in order, and which of them have a name of their own."""
+    out, at = [], section.first
+    for inner in [*section.inner, None]:
+        end = inner.first - 1 if inner else section.last
+        if end >= at:
+            out.append((Section(at, end, section.names), False))
+        if inner:
+            out.append((inner, True))
+            at = inner.last + 1
+    return out
 
 
-def without_overlaps(lines: list[str], pieces: list[Piece]) -> list[Piece]:
-    """Pieces in order, each pushed past the end of those before it, trimmed, none empty."""
-    out, end = [], -1
-    for piece in sorted(pieces, key=lambda p: (p.first, p.last)):
-        if piece.last > end:
-            rest = trimmed(lines, Piece(max(piece.first, end + 1), piece.last, piece.names))
-            if rest:
-                out.append(rest)
-            end = piece.last
+def split(section: Section, ends: list[int], config: ChunkConfig) -> list[Piece]:
+    """Pieces of a section: itself if it fits, else its parts, as many side by side to a piece as fit; a
+    part that doesn't fit alone is split the same way, and takes in the small piece right before it."""
+    before = lambda line: ends[line - 1] if line else 0
+    if ends[section.last] - before(section.first) <= config.max_chars:
+        first_inside = section.inner[0].names if section.inner and not section.names else ()
+        return [Piece(section.first, section.last, section.names or first_inside)]
+    if not section.inner:
+        return [Piece(a, b, section.names) for a, b in line_windows(ends, section.first, section.last, config)]
+    parts = _parts(section)
+    closing = [ends[part.last] for part, _ in parts]
+    out, at, packed = [], 0, False
+    while at < len(parts):
+        upto = bisect_right(closing, config.max_chars + before(parts[at][0].first), lo=at)
+        together = parts[at:upto]
+        if together:
+            names = next((part.names for part, own in together if own), section.names)
+            out.append(Piece(together[0][0].first, together[-1][0].last, names))
+        else:
+            body = split(parts[at][0], ends, config)
+            if packed and ends[out[-1].last] - before(out[-1].first) < config.min_chars:
+                body[0] = Piece(out.pop().first, body[0].last, body[0].names)
+            out += body
+        at, packed = max(upto, at + 1), bool(together)
+    out[0] = Piece(out[0].first, out[0].last, section.names or out[0].names)
     return out
 
 
-def merged_small(ends: list[int], pieces: list[Piece], config: ChunkConfig) -> list[Piece]:
-    """A piece under the least size takes in those after it while the union still fits; if it
-    stays too small it joins the piece before it, if that fits.  The deeper names win."""
+def pieces_of(text: str | None, language: str | None, config: ChunkConfig) -> list[dict]:
+    """What a document is cut into: first and last line (neither is blank), the sizes of all lines before
+    the piece and up to its end, and the names over it.  Pieces of structured languages don't overlap."""
+    lines = lines_of(text or "")
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    if not filled:
+        return []
+    ends = list(accumulate(len(line) + 1 for line in lines))
+    structured = language in SYNTAX_LANGUAGES
+    if structured:
+        cut = split(outline(lines, language), ends, config)
+    else:
+        cut = [Piece(a, b) for a, b in line_windows(ends, 0, len(lines) - 1, config)]
+    out, last = [], -1
+    for piece in cut:
+        # Windows inside a section overlap; each begins behind the one before it.
+        start = max(piece.first, last + 1) if structured else piece.first
+        a, b = bisect_left(filled, start), bisect_right(filled, piece.last) - 1
+        if a <= b:
+            first, last = filled[a], filled[b]
+            out.append({"first": first, "last": last, "start_at": ends[first - 1] if first else 0, "end_at": ends[last], "names": list(piece.names)})
+    return out
 
-    def size(a: Piece, b: Piece) -> int:
-        return ends[b.last] - (ends[a.first - 1] if a.first else 0)
 
-    def union(a: Piece, b: Piece) -> Piece:
-        return Piece(a.first, b.last, b.names if len(b.names) > len(a.names) else a.names)
+# ---------------------------------------------------------------- folds over pieces
 
-    out: list[Piece] = []
-    waiting = list(reversed(pieces))
-    while waiting:
-        piece = waiting.pop()
-        while size(piece, piece) < config.min_chars and waiting and size(piece, waiting[-1]) <= config.max_chars:
-            piece = union(piece, waiting.pop())
-        if out and size(piece, piece) < config.min_chars and size(out[-1], piece) <= config.max_chars:
-            piece = union(out.pop(), piece)
-        out.append(piece)
-    return out
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-# ---------------------------------------------------------------- structure by lines
 
-_C_LIKE = r"^(?P<indent>\s*)(?:export\s+|default\s+|abstract\s+|async\s+|static\s+|final\s+|public\s+|private\s+)*"
-#: A line that opens something with a name; the group ``name`` is what it is called.
-OPENERS = {
-    "python": [r"^(?P<indent>\s*)(?:async\s+)?(?:def|class)\s+(?P<name>\w+)"],
-    "javascript": [_C_LIKE + r"(?:function\*?|class)\s+(?P<name>[\w$]+)", _C_LIKE + r"(?:const|let|var)\s+(?P<name>[\w$]+)\s*=\s*(?:async\s*)?(?:function\b|class\b|\([^)]*\)\s*=>|[\w$]+\s*=>)", r"^(?P<indent>\s+)(?:async\s+|static\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b)(?P<name>[\w$#]+)\s*\([^;]*\)\s*\{\s*$"],
-    "typescript": [_C_LIKE + r"(?:interface|enum|type|namespace)\s+(?P<name>[\w$]+)"],
-    "dart": [_C_LIKE + r"(?:class|mixin|enum|extension)\s+(?P<name>\w+)", r"^(?P<indent>\s*)(?!return\b|if\b|for\b|while\b|switch\b|else\b|await\b|throw\b)[\w<>?,\s\[\]]+?\s(?P<name>\w+)\s*\([^;]*\)?\s*(?:async\*?\s*)?(?:\{|=>).*$"],
-    "lua": [r"^(?P<indent>\s*)(?:local\s+)?function\s+(?P<name>[\w.:]+)", r"^(?P<indent>\s*)(?:local\s+)?(?P<name>[\w.:]+)\s*=\s*function\b", r"^(?P<indent>\s*)(?:export\s+)?type\s+(?P<name>\w+)\s*="],
-    "markdown": [r"^(?P<indent>#{1,6})\s+(?P<name>.+?)\s*#*\s*$"],
-    "yaml": [r"^(?P<indent>\s*)(?:-\s+)?(?P<name>[^\s#:'\"][^:#]*|\"[^\"]+\"|'[^']+')\s*:(?:\s|$)"],
-    "json": [r"^(?P<indent>\s*)(?P<name>\"[^\"]+\")\s*:"],
-}
-OPENERS["typescript"] += OPENERS["javascript"]
-OPENERS |= {"tsx": OPENERS["typescript"], "luau": OPENERS["lua"]}
-_COMPILED = {k: [re.compile(p) for p in v] for k, v in OPENERS.items()}
-#: Lines that belong to what comes after them: comments, decorators, annotations.
-LEADING = re.compile(r"^\s*(?:#(?!#*\s)|//|/\*|\*|--|@)")
+def without_overlaps(pieces: Column) -> Column:
+    """Pieces (structs with first and last) in order, each pushed past the end of those before it, if
+    anything is left of it."""
+    shape = "array<struct<first:int,last:int>>"
+    plain = F.array_sort(F.transform(pieces, lambda p: F.struct(p["first"].cast("int").alias("first"), p["last"].cast("int").alias("last"))))
+    start = F.struct(F.array().cast(shape).alias("done"), F.lit(-1).alias("end"))
 
+    def step(state: Column, piece: Column) -> Column:
+        rest = F.struct(F.greatest(piece["first"], state["end"] + 1).alias("first"), piece["last"].alias("last"))
+        more = piece["last"] > state["end"]
+        return F.struct(F.when(more, F.concat(state["done"], F.array(rest))).otherwise(state["done"]).alias("done"), F.greatest(state["end"], piece["last"]).alias("end"))
 
-@dataclass
-class Section:
-    """Lines ``first`` to ``last`` that one opener (or the document) holds, with the sections inside."""
+    return F.aggregate(plain, start, step, lambda state: state["done"])
 
-    first: int
-    last: int
-    names: tuple[str, ...] = ()
-    inner: list[Section] = field(default_factory=list)
-
-    def close(self) -> None:
-        """Each inner section ends before the next one, the last one with this section."""
-        for section, after in zip(self.inner, [*self.inner[1:], None]):
-            section.last = after.first - 1 if after else self.last
-            section.close()
-
-
-def outline(lines: list[str], language: str) -> Section:
-    """The document's sections by its openers: an opener holds what follows it with a larger indent (or
-    as a lower heading); comments and decorators right above an opener are its first lines."""
-    document = Section(0, len(lines) - 1)
-    around, fenced, latest = [(-1, document)], False, -1
-    for i, line in enumerate(lines):
-        if language == "markdown" and line.lstrip().startswith("```"):
-            fenced = not fenced
-        match = None if fenced else next((m for p in _COMPILED[language] if (m := p.match(line))), None)
-        if not match:
-            continue
-        indent = len(match["indent"].expandtabs(4))
-        name = match["name"].strip().strip("\"'")[:NAME_CHARS]
-        while around[-1][0] >= indent or len(around) > MAX_DEPTH:
-            around.pop()
-        first = i
-        while language != "markdown" and first - 1 > latest and LEADING.match(lines[first - 1]):
-            first -= 1
-        section = Section(first, len(lines) - 1, (*around[-1][1].names, name))
-        around[-1][1].inner.append(section)
-        around.append((indent, section))
-        latest = i
-    document.close()
-    return document
 
+def trimmed(pieces: Column, lines: Column) -> Column:
+    """Pieces (first, last) without the blank lines at either edge, none of them blank."""
+
+    def trim(piece: Column) -> Column:
+        filled = F.transform(F.slice(lines, piece["first"] + 1, piece["last"] - piece["first"] + 1), lambda line: ~is_blank(line))
+        return _let(filled, lambda own: F.struct((piece["first"] + F.array_position(own, True).cast("int") - 1).alias("first"), (piece["last"] + 1 - F.array_position(F.reverse(own), True).cast("int")).alias("last"), F.array_contains(own, True).alias("filled")))
+
+    kept = F.filter(F.transform(pieces, trim), lambda p: p["filled"])
+    return F.transform(kept, lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last")))
 
-def split(section: Section, ends: list[int], config: ChunkConfig) -> list[Piece]:
-    """Pieces of a section: itself if it fits; else its opening lines and its inner sections, packed side by
-    side while they fit.  What is too large inside is split the same way, and takes in a small head
-    right before it; lines without structure are cut into windows."""
-    size = lambda first, last: ends[last] - (ends[first - 1] if first else 0)
-    if size(section.first, section.last) <= config.max_chars:
-        return [Piece(section.first, section.last, section.names or (section.inner[0].names if section.inner else ()))]
-    parts = [*section.inner]
-    head_last = section.inner[0].first - 1 if section.inner else section.last
-    if head_last >= section.first:
-        parts.insert(0, Section(section.first, head_last, section.names))
-    out: list[Piece] = []
-    held: Piece | None = None
-    for part in parts:
-        if size(part.first, part.last) <= config.max_chars:
-            if held and size(held.first, part.last) <= config.max_chars:
-                held = Piece(held.first, part.last, held.names or part.names)
-            else:
-                out += [held] if held else []
-                held = Piece(part.first, part.last, part.names)
-            continue
-        cut = split(part, ends, config) if part.inner else [Piece(a, b, part.names) for a, b in line_windows(ends, part.first, part.last, config)]
-        if held and size(held.first, held.last) < config.min_chars:
-            cut[0] = Piece(held.first, cut[0].last, cut[0].names)
-        elif held:
-            out.append(held)
-        held = None
-        out += cut
-    return [*out, held] if held else out
-
-
-def chunk_document(text: str | None, language: str | None, config: ChunkConfig = ChunkConfig()) -> list[tuple[int, int, str, str]]:
-    """(start_line, end_line, symbol, text) of the chunks; lines count from 1."""
-    lines = lines_of(text or "")
-    if not any(line.strip() for line in lines):
-        return []
-    ends = list(accumulate(len(line) + 1 for line in lines))
-    if language in SYNTAX_LANGUAGES:
-        pieces = split(outline(lines, language), ends, config)
-        pieces = merged_small(ends, without_overlaps(lines, pieces), config)
-    else:
-        pieces = [p for a, b in line_windows(ends, 0, len(lines) - 1, config) if (p := trimmed(lines, Piece(a, b)))]
-    return [(p.first + 1, p.last + 1, " > ".join(p.names), "\n".join(lines[p.first : p.last + 1])) for p in pieces]
+
+def merged_small(pieces: Column, config: ChunkConfig) -> Column:
+    """Pieces (``PIECE``) in order: one under the least size takes in those after it while the union fits; if it
+    stays too small it joins the piece before it, if that fits.  The deeper names win, of equals the earlier."""
+    size = lambda p: p["end_at"] - p["start_at"]
+
+    def union(a: Column, b: Column) -> Column:
+        names = F.when(F.size(b["names"]) > F.size(a["names"]), b["names"]).otherwise(a["names"])
+        return F.struct(a["first"].alias("first"), b["last"].alias("last"), a["start_at"].alias("start_at"), b["end_at"].alias("end_at"), names.alias("names"))
+
+    fits = lambda a, b: b["end_at"] - a["start_at"] <= config.max_chars
+
+    def put(done: Column, piece: Column) -> Column:
+        joins = (size(piece) < config.min_chars) & (F.size(done) > 0) & fits(F.element_at(done, -1), piece)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(union(F.element_at(done, -1), piece)))
+        return F.when(F.coalesce(joins, F.lit(False)), joined).otherwise(F.concat(done, F.array(piece)))
+
+    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("done"), F.lit(None).cast(PIECE).alias("open"))
+
+    def step(state: Column, piece: Column) -> Column:
+        held = state["open"]
+        grows = held.isNotNull() & (size(held) < config.min_chars) & fits(held, piece)
+        done = F.when(held.isNull() | grows, state["done"]).otherwise(put(state["done"], held))
+        return F.struct(done.alias("done"), F.when(grows, union(held, piece)).otherwise(piece).alias("open"))
+
+    return F.aggregate(pieces, start, step, lambda state: F.when(state["open"].isNull(), state["done"]).otherwise(put(state["done"], state["open"])))
 
 
 # ---------------------------------------------------------------- DataFrames
 
 
-def chunk_documents(docs: DataFrame, key: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(key, ordinal, start_line, end_line, symbol, text) for documents (key, text, language)."""
-
-    def run(batches):
-        for batch in batches:
-            keys, numbers, chunks = [], [], []
-            for k, text, language in zip(*(batch.column(n).to_pylist() for n in (key, "text", "language"))):
-                found = chunk_document(text, language, config)
-                keys += [k] * len(found)
-                numbers += range(len(found))
-                chunks += found
-            start, end, symbol, body = (list(c) for c in zip(*chunks)) if chunks else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field(key).type), pa.array(numbers, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(symbol, pa.string()), pa.array(body, pa.string())],
-                names=[key, "ordinal", "start_line", "end_line", "symbol", "text"],
-            )
-
-    return docs.select(key, "text", "language").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, {CHUNK}")
+def pieces_column(text: Column, language: Column, config: ChunkConfig) -> Column:
+    """The pieces (``PIECE``) of each document, as its structure says."""
+
+    @F.arrow_udf(f"array<{PIECE}>")
+    def cut(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return pa.array([pieces_of(t, own, config) for t, own in zip(texts.to_pylist(), languages.to_pylist())], ARROW_PIECES)
+
+    return cut(text, language)
+
+
+def chunk_documents(docs: DataFrame, key: str, config: ChunkConfig = ChunkConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ordinal, start_line, end_line, symbol, text) for documents (key, text, language), and their columns ``carry``."""
+    pieces = docs.select(key, *carry, F.coalesce("text", F.lit("")).alias("text"), "language", pieces_column(F.col("text"), F.col("language"), config).alias("pieces"))
+    merged = F.when(F.col("language").isin(*SYNTAX_LANGUAGES), merged_small(F.col("pieces"), config)).otherwise(F.col("pieces"))
+
+    def told(lines: Column) -> Column:
+        body = lambda p: F.array_join(F.slice(lines, p["first"] + 1, p["last"] - p["first"] + 1), "\n")
+        return F.transform(merged, lambda p: F.struct((p["first"] + 1).alias("start_line"), (p["last"] + 1).alias("end_line"), F.array_join(p["names"], " > ").alias("symbol"), body(p).alias("text")))
+
+    chunks = pieces.select(key, *carry, _let(split_lines(F.col("text")), told).alias("chunks"))
+    return chunks.select(key, *carry, F.posexplode("chunks").alias("ordinal", "chunk")).select(key, "ordinal", "chunk.*", *carry)
+
+
+def line_symbols(docs: DataFrame, key: str) -> DataFrame:
+    """(key, i, symbol): the names of the innermost section over each line of documents (key, text, language)."""
+
+    @F.arrow_udf("array<string>")
+    def named(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return pa.array([[" > ".join(n) for n in symbols(lines_of(t or ""), own)] if own in SYNTAX_LANGUAGES else [] for t, own in zip(texts.to_pylist(), languages.to_pylist())], pa.list_(pa.string()))
+
+    return docs.select(key, F.posexplode(named(F.col("text"), F.col("language"))).alias("i", "symbol"))
 
 
 def exploded_lines(docs: DataFrame, key: str) -> DataFrame:

@@ -180,9 +180,8 @@ class Lexmill:
         return report | {"full_rebuild": rebuild}
 
     def _chunks(self, files: DataFrame) -> DataFrame:
-        cut = chunking.chunk_documents(files.select("file_id", "text", "language"), "file_id", self.config)
-        own = files.select("file_id", "root_id", "rel_path", "language")
-        rows = cut.join(own, "file_id").withColumn("origin", F.lit("code")).withColumn("id", tx.chunk_id(F.col("file_id"), F.col("ordinal")))
+        cut = chunking.chunk_documents(files, "file_id", self.config, ("root_id", "rel_path", "language"))
+        rows = cut.withColumn("origin", F.lit("code")).withColumn("id", tx.chunk_id(F.col("file_id"), F.col("ordinal")))
         rows = rows.withColumn("search_text", tx.search_text(F.col("rel_path"), F.col("symbol"), F.col("text")))
         embedded = vectors.embedding_column(tx.embedding_text(F.col("rel_path"), F.col("symbol"), F.col("text")), self.embedder)
         return rows.withColumn("vector", embedded).select(*schema.CHUNKS.fieldNames())

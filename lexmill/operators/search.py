@@ -48,10 +48,10 @@ def in_scope(rows: DataFrame, roots: DataFrame, wanted: list[str] | None = None)
 # ---------------------------------------------------------------- the text index
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl) of every document; ``dl`` is the document's number of terms."""
-    counted = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("all_terms")).select(key, F.size("all_terms").alias("dl"), F.explode("all_terms").alias("term"))
-    return counted.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+def postings(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(term, key, tf, dl) of every document, and its columns ``carry``; ``dl`` is the document's number of terms."""
+    counted = docs.select(key, *carry, terms(F.coalesce(text, F.lit(""))).alias("all_terms")).select(key, *carry, F.size("all_terms").alias("dl"), F.explode("all_terms").alias("term"))
+    return counted.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"), *(F.first(c).alias(c) for c in carry))
 
 
 def document_lengths(posted: DataFrame, key: str) -> DataFrame:
@@ -117,12 +117,14 @@ def bm25_each(docs: DataFrame, queries: DataFrame, k: int, key: str, text: str,
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def bm25_from_index(posted: DataFrame, stats: DataFrame, query: str, k: int, key: str, among: DataFrame | None = None) -> DataFrame:
+def bm25_from_index(posted: DataFrame, stats: DataFrame, query: str, k: int, key: str, among: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """The same ranking from stored postings (term, key, tf, dl) and one row of ``corpus_stats``: only
-    the query's terms are read.  ``among`` (key) narrows what can be returned."""
+    the query's terms are read.  What can be returned is narrowed by ``where``, on columns that the postings
+    carry, or by the keys of ``among``."""
     hits = posted.filter(F.col("term").isin(_asked_terms(posted.sparkSession, query)))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    weighted = hits.join(F.broadcast(frequency), "term").join(F.broadcast(stats.select("n", "avgdl")))
+    chosen = hits if where is None else hits.filter(where)
+    weighted = chosen.join(F.broadcast(frequency), "term").join(F.broadcast(stats.select("n", "avgdl")))
     weight = _weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))
     scored = weighted.groupBy(key).agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score"))
     scored = scored if among is None else scored.join(among.select(key), key, "left_semi")
@@ -154,7 +156,9 @@ def hybrid(chunks: DataFrame, vector: list[float], query: str, key: str = "id",
     if index is None:
         texts = bm25(chunks, query, candidates, key, text, where)
     else:
-        texts = bm25_from_index(*index, query, candidates, key, None if where is None else chunks.filter(where))
+        carried = set(_named(where, chunks)) <= set(index[0].columns)
+        among = None if where is None or carried else chunks.filter(where)
+        texts = bm25_from_index(*index, query, candidates, key, among, where if carried else None)
     said = ranked(texts, F.desc("score"), key).select(key, F.col("rank").alias("text_rank"), F.col("score").alias("text_score"))
     both = near.join(said, key, "full")
     part = lambda rank: F.coalesce(1.0 / (RRF_K + F.col(rank)), F.lit(0.0))

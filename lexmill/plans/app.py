@@ -20,7 +20,11 @@ from lexmill.functions import text as tx
 from lexmill.operators import chunking, incremental, search, vectors
 from lexmill.operators.numbering import written
 from lexmill.sources import folder
-from lexmill.sources.store import IndexStore, bucket_of
+from lexmill.sources.store import Conflict, IndexStore, Snapshot
+
+
+#: Runs that are tried anew when another writer rebuilt the index meanwhile.
+RETRIES = 3
 
 
 class LexmillError(Exception):
@@ -121,18 +125,22 @@ class Lexmill:
         read so far is still committed, but nothing more is read and nothing is deleted."""
         chosen = [self.settings.find_root(k) for k in root_keys] if root_keys else self.settings.roots
         store, tell, stop = self.store, progress or (lambda step, n: None), cancelled or (lambda: False)
-        rebuild = full or store.identity() != self._identity()
-        empty = {"indexed": 0, "unchanged": 0, "removed": 0, "unreadable": 0, "chunks": 0, "full_rebuild": rebuild}
-        if not chosen or stop():
-            return empty
-        work = store.working_folder()
-        try:
-            return self._index(store, chosen, rebuild, work, tell, stop)
-        finally:
-            store.discard(work)
-
-    def _index(self, store: IndexStore, chosen: list[dict], rebuild: bool, work: str, tell: Callable[[str, int], None], stop: Callable[[], bool]) -> dict:
-        manifest = store.read("manifest").limit(0) if rebuild else store.read("manifest")
+        for attempt in range(RETRIES):
+            base = store.current()
+            rebuild = full or base.identity != self._identity()
+            if not chosen or stop():
+                return {"indexed": 0, "unchanged": 0, "removed": 0, "unreadable": 0, "chunks": 0, "full_rebuild": rebuild}
+            work = store.working_folder()
+            try:
+                return self._index(store, base, chosen, rebuild, work, tell, stop)
+            except Conflict:  # another writer rebuilt the index meanwhile
+                if attempt == RETRIES - 1:
+                    raise
+            finally:
+                store.discard(work)
+
+    def _index(self, store: IndexStore, base: Snapshot, chosen: list[dict], rebuild: bool, work: str, tell: Callable[[str, int], None], stop: Callable[[], bool]) -> dict:
+        manifest = store.read("manifest", base).limit(0) if rebuild else store.read("manifest", base)
         configured = [r["id"] for r in self.settings.roots]
         scans = [folder.scan(self.spark, r["path"], r["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())]) for r in chosen]
         listing = reduce(DataFrame.unionByName, scans)
@@ -144,12 +152,13 @@ class Lexmill:
         to_read = state.filter(F.col("status").isin("new", "candidate")).join(wanted.select(*incremental.FILE_KEY, "abs_path", "language"), incremental.FILE_KEY)
         if stop():
             to_read = to_read.limit(0)
-        file_id = tx.stable_id(F.col("root_id"), F.col("rel_path"))
+        file_id = tx.stable_id(F.col("root_id"), F.col("rel_path")).alias("file_id")
         read = written(incremental.settle(folder.read_files(to_read, self.settings.max_file_bytes)).withColumn("file_id", file_id), work)
         tell("read", read.count())
-        new_chunks = written(self._chunks(read.filter(F.col("outcome") == "indexed")), work)
-        tell("chunked", new_chunks.count())
-        counts = new_chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+        segment = store.new_segment()
+        chunks = store.write(segment, "chunks", self._chunks(read.filter(F.col("outcome") == "indexed")))
+        counts = chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+        tell("chunked", chunks.count())
         now = datetime.now(UTC).isoformat(timespec="seconds")
         done = read.filter(F.col("outcome") != "error").join(counts, "file_id", "left")
         touched = F.col("outcome") == "touched"
@@ -158,25 +167,27 @@ class Lexmill:
             "size", "mtime_ns", F.when(touched, F.col("old_chunk_count")).otherwise(F.coalesce("n_chunks", F.lit(0))).cast("long").alias("chunk_count"),
         )
         cut_short = stop()
-        gone = state.filter(F.col("status") == "removed").select(*incremental.FILE_KEY)
-        gone = gone.limit(0) if cut_short else gone
-        stale = manifest.filter(F.lit(not cut_short) & ~F.col("root_id").isin(configured))
-        kept = incremental.delete(incremental.delete(manifest, gone, incremental.FILE_KEY), stale, ["root_id"])
-        replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select("file_id")
-        lost = written(gone.select(file_id.alias("file_id")).union(replaced).union(stale.select("file_id")).distinct(), work)
+        gone = state.filter(F.col("status") == "removed").select(file_id)
+        stale = manifest.filter(~F.col("root_id").isin(configured)).select("file_id")
+        ended = gone.union(stale).filter(F.lit(not cut_short)).distinct()
         outcome = state.filter(F.col("status").isin("unchanged", "removed")).select("status", F.lit(None).cast("long").alias("n_chunks")).union(done.select(F.col("outcome").alias("status"), "n_chunks"))
         report = incremental.report(outcome).first().asDict()
         if cut_short:
             report["removed"] = 0
-        if rebuild or not lost.isEmpty() or not records.isEmpty():
-            changed = lost.select("file_id").union(new_chunks.select("file_id"))
-            buckets = [r.b for r in changed.select(bucket_of(F.col("file_id")).alias("b")).distinct().collect()]  # at most ``BUCKETS``
-            old = new_chunks.limit(0) if rebuild else incremental.delete(store.read("chunks", buckets), lost, ["file_id"])
-            all_chunks = old.select(*schema.CHUNKS.fieldNames()).unionByName(new_chunks)
-            meta = incremental.upsert(store.read("meta"), self.spark.createDataFrame([("indexed_at", now)], schema.META), ["key"])
-            whole = {"manifest": incremental.upsert(kept, records, incremental.FILE_KEY).select(*schema.MANIFEST.fieldNames()), "meta": meta}
-            store.commit(all_chunks, buckets, whole, self._identity(), lambda chunks: search.postings(chunks, "id", "search_text"), rebuild)
-            tell("committed", len(buckets))
+        records = store.write(segment, "manifest", records)
+        replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select("file_id")
+        # A file's record and content end with whatever this run has of it, also where it is new: another writer may have it, too.
+        tombstones = records.select("file_id").union(ended).withColumn("what", F.lit("record")).union(replaced.union(ended).withColumn("what", F.lit("content")))
+        tombstones = store.write(segment, "tombstones", tombstones)
+        if rebuild or not tombstones.isEmpty():
+            posted = search.postings(chunks, "id", "search_text", ("file_id", "root_id", "origin"))
+            posted = store.write(segment, "postings", posted.repartitionByRange("term").sortWithinPartitions("term"))
+            lengths = posted.groupBy("file_id", "id").agg(F.max("dl").alias("dl"))
+            store.write(segment, "sizes", lengths.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")))
+            snapshot = store.commit(base, segment, self._identity(), {"indexed_at": now}, rebuild)
+            tell("committed", snapshot.segments[-1]["bytes"])
+            store.compact()
+            store.expire()
         return report | {"full_rebuild": rebuild}
 
     def _chunks(self, files: DataFrame) -> DataFrame:
@@ -193,14 +204,15 @@ class Lexmill:
         allowed = [r["id"] for r in self.settings.roots]
         scope = [r for r in (root_ids or allowed) if r in allowed]
         store, where = self.store, search.origin_is(origin)
+        snapshot = store.current()  # what is read below stays as it is, whatever is committed meanwhile
         names = schema.SEARCH_HIT.fieldNames()
         if not query.strip() or not scope:
             return self.spark.createDataFrame([], schema.SEARCH_HIT)
         store.check_dim()
         condition = F.col("root_id").isin(scope) if where is None else F.col("root_id").isin(scope) & where
-        chunks = store.read("chunks")
+        chunks = store.read("chunks", snapshot)
         vector = [float(x) for x in self.embedder.embed_query(query)]
-        index = (store.read("postings"), store.corpus_stats())
+        index = (store.read("postings", snapshot), store.corpus_stats(snapshot))
         found = search.hybrid(chunks, vector, query, limit=limit, where=condition, index=index)
         return search.hits(chunks, found).select(*names)
 

@@ -1,28 +1,61 @@
-"""The index as Parquet tables behind one pointer.
+"""The index as Parquet segments behind numbered snapshots.
 
-Chunks and postings are dealt by file over ``BUCKETS`` buckets, each bucket a folder of its own.  A
-commit writes new folders for the buckets whose files changed, beside the current ones, and becomes
-current when a new pointer file replaces the old one in one rename.  So readers see the old state or
-the new one, a run that fails leaves nothing to repair, and a change of one file costs one bucket.
-Tables: chunks and postings (by bucket), manifest, stats (a row for each bucket) and meta.
+A run writes one new segment: rows of the files it indexed, and tombstones for the files whose
+earlier rows end with it.  It costs what changed, whatever the size of the index.  A snapshot is a small
+file that names the live segments in order; a row counts unless a later segment has a tombstone
+of its file (merge on read).  ``compact`` merges neighbours of one size class, so there are few segments, each
+row is rewritten a logarithmic number of times, and the dead rows go.
+
+Snapshots are numbered, and number ``n + 1`` can be created once (create if absent): of two writers the
+second sees the first one's snapshot, puts its own segment behind that, and tries again.  Every file
+that a segment holds has a tombstone in it, so of a file that both wrote only the later rows count.
+A rebuild, or a commit over one, cannot be put together like that and raises ``Conflict``: run again.
+
+Readers hold a snapshot's folders: nothing of them changes.  ``expire`` removes snapshots that were
+superseded some time ago, and folders that no snapshot names and that are as old.
+
+Tables of a segment: chunks, postings (sorted by term), manifest, sizes (the posted chunks and
+terms of each file) and tombstones.  The corpus's totals and the key-value pairs are in the snapshot.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import os
+import time
 import uuid
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import schema
 
-POINTER, BUCKETS = "_CURRENT", 32
-BUCKETED = ("chunks", "postings")
+SNAPSHOTS, SEGMENTS = "_snapshots", "segments"
+#: Neighbours of one size class that are merged, the ratio of classes, and the smallest class.
+FAN_IN, RATIO, SMALLEST = 4, 4, 1 << 20
+#: Tombstones up to this number are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 500_000
+RETAIN_SECONDS = 24 * 3600
+ATTEMPTS = 20
+
 
+class Conflict(Exception):
+    """Another writer's commit cannot be put together with this one: run again."""
 
-def bucket_of(file_id: Column) -> Column:
-    return F.pmod(F.xxhash64(file_id), F.lit(BUCKETS)).cast("int")
+
+@dataclass
+class Snapshot:
+    number: int = 0
+    identity: dict = field(default_factory=dict)
+    #: Oldest first: name, tables, rows (of files), tombstones, bytes.
+    segments: list[dict] = field(default_factory=list)
+    n: int = 0  # chunks with terms
+    terms: int = 0
+    meta: dict = field(default_factory=dict)
+    superseded: dict = field(default_factory=dict)  # when each older snapshot was, by number
 
 
 class IndexStore:
@@ -33,19 +66,60 @@ class IndexStore:
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._at(self._path).getFileSystem(self._conf)
 
-    # -- versions
+    # -- snapshots
+
+    def current(self) -> Snapshot:
+        """The latest snapshot; number 0, with nothing in it, where there is no index."""
+        numbers = [int(n.split(".")[0]) for n, _ in self._listed(SNAPSHOTS) if n.endswith(".json")]
+        return self.snapshot(max(numbers)) if numbers else Snapshot()
 
-    def current(self) -> dict:
-        """What the pointer says: tables' folders and the index identity; empty without an index."""
-        pointer = self._at(f"{self._path}/{POINTER}")
-        if not self._fs.exists(pointer):
-            return {}
-        stream = self._fs.open(pointer)
+    def snapshot(self, number: int) -> Snapshot:
+        stream = self._fs.open(self._at(f"{self._path}/{SNAPSHOTS}/{number:012d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return Snapshot(**json.loads(bytes(stream.readAllBytes()).decode()))
         finally:
             stream.close()
 
+    def _listed(self, folder: str) -> list[tuple[str, float]]:
+        """(name, seconds of the last change) of what is in a folder."""
+        path = self._at(f"{self._path}/{folder}")
+        if not self._fs.exists(path):
+            return []
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self._fs.listStatus(path)]
+
+    def _create(self, state: Snapshot) -> bool:
+        """Create the snapshot's file if its number is not taken, in one step."""
+        final = f"{self._path}/{SNAPSHOTS}/{state.number:012d}.json"
+        new = f"{self._path}/{SNAPSHOTS}/_{uuid.uuid4().hex}"
+        stream = self._fs.create(self._at(new))
+        stream.write(json.dumps(asdict(state), sort_keys=True).encode())
+        stream.close()
+        local = self._fs.getScheme() == "file"
+        plain = lambda p: self._at(p).toUri().getPath()
+        try:
+            if local:
+                os.link(plain(new), plain(final))  # fails where the name is taken
+            else:  # a rename without OVERWRITE does so, too
+                jvm, gateway = self._spark.sparkContext._jvm, self._spark.sparkContext._gateway
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                context.rename(context.makeQualified(self._at(new)), context.makeQualified(self._at(final)), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except FileExistsError:
+            return False
+        except Exception:
+            if self._fs.exists(self._at(final)):
+                return False
+            raise
+        finally:
+            self._fs.delete(self._at(new), False)
+        return True
+
+    def _succeed(self, old: Snapshot, new: Snapshot) -> bool:
+        new.number = old.number + 1
+        new.superseded = old.superseded | ({str(old.number): time.time()} if old.number else {})
+        return self._create(new)
+
+    # -- writing
+
     def working_folder(self) -> str:
         """A new folder for what a run writes on its way; ``discard`` it at the end."""
         return f"{self._path}/_work-{uuid.uuid4().hex}"
@@ -53,82 +127,139 @@ class IndexStore:
     def discard(self, folder: str) -> None:
         self._fs.delete(self._at(folder), True)
 
-    def commit(self, chunks: DataFrame | None, touched: list[int], whole: dict[str, DataFrame], identity: dict, postings_of, rebuild: bool = False) -> None:
-        """Put the chunks of the ``touched`` buckets and whole tables in the place of the old ones.
-
-        ``postings_of`` makes (term, id, tf, dl) of chunks; it reads the chunks that were just written.
-        With ``rebuild`` nothing of the old index stays."""
-        old = self.current()
-        version, folders = uuid.uuid4().hex, {} if rebuild else dict(old.get("tables", {}))
-        if chunks is not None and touched:
-            own = bucket_of(F.col("file_id")).alias("bucket")
-            self._write_buckets("chunks", chunks.select("*", own), touched, version, folders)
-            new_chunks = self._read(schema.CHUNKS, self._folders(folders, "chunks", touched))
-            posted = postings_of(new_chunks).join(new_chunks.select("id", own), "id")
-            self._write_buckets("postings", posted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), touched, version, folders)
-            lengths = self._spark.read.parquet(f"{self._path}/{version}/postings").groupBy("bucket", "id").agg(F.max("dl").alias("dl")) if folders["postings"].keys() & set(map(str, touched)) else None
-            kept = self._read(schema.STATS, self._folders(folders, "stats")).filter(~F.col("bucket").isin(touched))
-            if lengths is not None:
-                kept = kept.unionByName(lengths.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")))
-            whole = whole | {"stats": kept.coalesce(1)}
-        for name, table in whole.items():
-            folders[name] = f"{self._path}/{version}/{name}"
-            table.write.parquet(folders[name])
-        self._point({"tables": folders, "identity": identity}, version)
-        for folder in set(_leaves(old.get("tables", {}))) - set(_leaves(folders)):
-            self._fs.delete(self._at(folder), True)
-
-    def _write_buckets(self, name: str, rows: DataFrame, touched: list[int], version: str, folders: dict) -> None:
-        rows.write.partitionBy("bucket").parquet(f"{self._path}/{version}/{name}")
-        own = {k: v for k, v in folders.get(name, {}).items() if int(k) not in touched}
-        for bucket in touched:
-            folder = f"{self._path}/{version}/{name}/bucket={bucket}"
-            if self._fs.exists(self._at(folder)):  # none for a bucket without rows
-                own[str(bucket)] = folder
-        folders[name] = own
-
-    def _point(self, state: dict, version: str) -> None:
-        """Replace the pointer in one step."""
-        jvm, gateway = self._spark.sparkContext._jvm, self._spark.sparkContext._gateway
-        new, pointer = self._at(f"{self._path}/{POINTER}.{version}"), self._at(f"{self._path}/{POINTER}")
-        stream = self._fs.create(new)
-        stream.write(json.dumps(state, sort_keys=True).encode())
-        stream.close()
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(context.makeQualified(new), context.makeQualified(pointer), options)
+    def new_segment(self) -> str:
+        return uuid.uuid4().hex
+
+    def write(self, segment: str, name: str, rows: DataFrame) -> DataFrame:
+        """Write a table of a segment that is not committed yet, and read it back."""
+        shape = schema.TABLES[name]
+        rows.select(*shape.fieldNames()).write.parquet(f"{self._path}/{SEGMENTS}/{segment}/{name}")
+        return self._spark.read.schema(shape).parquet(f"{self._path}/{SEGMENTS}/{segment}/{name}")
+
+    def _described(self, segment: str, rows: int, tombstones: int) -> dict:
+        folder = self._at(f"{self._path}/{SEGMENTS}/{segment}")
+        return {"name": segment, "tables": sorted(n for n, _ in self._listed(f"{SEGMENTS}/{segment}")), "rows": rows, "tombstones": tombstones, "bytes": self._fs.getContentSummary(folder).getLength()}
+
+    def commit(self, base: Snapshot, segment: str, identity: dict, meta: dict | None = None, rebuild: bool = False) -> Snapshot:
+        """Make a written segment part of the index.  ``base`` is the snapshot that the run read; with ``rebuild``
+        nothing older stays."""
+        count = lambda name: self._read(name, [segment]).count() if self._has(segment, name) else 0
+        own = self._described(segment, count("manifest"), count("tombstones"))
+        added = self._totals(self._read("sizes", [segment])) if "sizes" in own["tables"] else (0, 0)
+        for _ in range(ATTEMPTS):
+            old = self.current()
+            if old.number != base.number and (rebuild or old.identity != base.identity):
+                raise Conflict(f"snapshot {old.number} was written since {base.number}")
+            if rebuild:
+                new = Snapshot(0, identity, [own], *added, meta or {})
+            else:
+                ended = self._ended(old, segment) if own["tombstones"] and old.segments else (0, 0)
+                new = Snapshot(0, identity, [*old.segments, own], old.n + added[0] - ended[0], old.terms + added[1] - ended[1], old.meta | (meta or {}))
+            if self._succeed(old, new):
+                return new
+        raise Conflict(f"{ATTEMPTS} other writers were faster")
+
+    def _has(self, segment: str, name: str) -> bool:
+        return self._fs.exists(self._at(f"{self._path}/{SEGMENTS}/{segment}/{name}"))
+
+    @staticmethod
+    def _totals(sizes: DataFrame) -> tuple[int, int]:
+        row = sizes.agg(F.sum("n"), F.sum("terms")).first()
+        return row[0] or 0, row[1] or 0
+
+    def _ended(self, state: Snapshot, segment: str) -> tuple[int, int]:
+        """Totals of the live rows that a segment's tombstones end."""
+        marked = self._read("tombstones", [segment]).filter(F.col("what") == "content").select("file_id").distinct()
+        return self._totals(self.read("sizes", state).join(marked, "file_id", "left_semi"))
+
+    def compact(self) -> Snapshot:
+        """Merge neighbouring segments of one size class until no ``FAN_IN`` of them are left."""
+        while True:
+            old = self.current()
+            run = _to_merge(old.segments)
+            if not run:
+                return old
+            first, last = run
+            merged, segment, oldest = old.segments[first:last], self.new_segment(), first == 0
+            names = {n for s in merged for n in s["tables"]} - {"tombstones"}
+            for name in sorted(names):
+                rows = self.read(name, old, range(first, last))
+                self.write(segment, name, _laid_out(rows, name, sum(s["bytes"] for s in merged)))
+            tombstones = 0
+            if not oldest:  # they still end rows of older segments
+                rows = self._read("tombstones", [s["name"] for s in merged if "tombstones" in s["tables"]]).distinct()
+                tombstones = self.write(segment, "tombstones", rows).count()
+            own = self._described(segment, self._read("manifest", [segment]).count() if "manifest" in names else 0, tombstones)
+            for _ in range(ATTEMPTS):
+                now = self.current()
+                places = [i for i, s in enumerate(now.segments) if s["name"] in {m["name"] for m in merged}]
+                if [now.segments[i]["name"] for i in places] != [m["name"] for m in merged]:
+                    break  # another writer has merged or rebuilt: begin anew
+                segments = [*now.segments[: places[0]], own, *now.segments[places[-1] + 1 :]]
+                if self._succeed(now, Snapshot(0, now.identity, segments, now.n, now.terms, now.meta)):
+                    break
+
+    def expire(self, seconds: float = RETAIN_SECONDS) -> int:
+        """Remove snapshots that were superseded so long ago, and folders as old that none of the others name.
+        Returns the number of folders that went."""
+        latest, limit = self.current(), time.time() - seconds
+        if not latest.number:
+            return 0
+        numbers = [int(n.split(".")[0]) for n, _ in self._listed(SNAPSHOTS) if n.endswith(".json")]
+        gone = [n for n in numbers if latest.superseded.get(str(n), math.inf) < limit]
+        held = {s["name"] for n in numbers if n not in gone for s in self.snapshot(n).segments}
+        for n in gone:
+            self._fs.delete(self._at(f"{self._path}/{SNAPSHOTS}/{n:012d}.json"), False)
+        # What a run is still writing is younger; where a run failed, its folders go like any other.
+        old = [f"{SEGMENTS}/{n}" for n, changed in self._listed(SEGMENTS) if n not in held and changed < limit] + [n for n, changed in self._listed("") if n.startswith("_work-") and changed < limit]
+        for name in old:
+            self._fs.delete(self._at(f"{self._path}/{name}"), True)
+        return len(old)
 
     def drop(self) -> None:
         self._fs.delete(self._at(self._path), True)
 
-    # -- tables
-
-    def _folders(self, folders: dict, name: str, buckets: list[int] | None = None) -> list[str]:
-        own = folders.get(name, [])
-        if isinstance(own, dict):
-            return [v for k, v in own.items() if buckets is None or int(k) in buckets]
-        return [own] if own else []
+    # -- reading
 
-    def _read(self, shape, folders: list[str]) -> DataFrame:
-        if not folders:
+    def _read(self, name: str, segments: list[str]) -> DataFrame:
+        shape = schema.TABLES[name]
+        if not segments:
             return self._spark.createDataFrame([], shape)
-        return self._spark.read.schema(shape).parquet(*folders).select(*shape.fieldNames())
+        return self._spark.read.schema(shape).parquet(*(f"{self._path}/{SEGMENTS}/{s}/{name}" for s in segments)).select(*shape.fieldNames())
 
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """A table (or some buckets of it), empty with its schema where there is none."""
-        return self._read(schema.TABLES[name], self._folders(self.current().get("tables", {}), name, buckets))
+    def read(self, name: str, state: Snapshot | None = None, places: range | None = None) -> DataFrame:
+        """The live rows of a table (or of those of some segments), empty with its schema where there are none.
 
-    def corpus_stats(self) -> DataFrame:
+        A tombstone of a segment ends rows of the segments before it.  Only segments with a later tombstone are
+        joined with them."""
+        state = state or self.current()
+        if name == "meta":
+            return self._spark.createDataFrame(sorted(state.meta.items()), schema.META)
+        chosen = [i for i in (places or range(len(state.segments))) if name in state.segments[i]["tables"]]
+        last = max((i for i, s in enumerate(state.segments) if s["tombstones"]), default=-1)
+        clean = self._read(name, [state.segments[i]["name"] for i in chosen if i >= last])
+        marked = [i for i in chosen if i < last]
+        if not marked:
+            return clean
+        numbered = lambda table, own: reduce(DataFrame.unionByName, (self._read(table, [state.segments[i]["name"]]).withColumn("_at", F.lit(i)) for i in own))
+        enders = [i for i, s in enumerate(state.segments) if s["tombstones"] and i > marked[0]]
+        what = "record" if name == "manifest" else "content"
+        ended = numbered("tombstones", enders).filter(F.col("what") == what).groupBy("file_id").agg(F.max("_at").alias("_ended"))
+        if sum(state.segments[i]["tombstones"] for i in enders) <= MAX_BROADCAST:
+            ended = F.broadcast(ended)
+        live = numbered(name, marked).join(ended, "file_id", "left").filter(F.col("_ended").isNull() | (F.col("_ended") <= F.col("_at")))
+        return clean.unionByName(live.select(*schema.TABLES[name].fieldNames()))
+
+    def corpus_stats(self, state: Snapshot | None = None) -> DataFrame:
         """One row: the number of chunks with terms, and their mean length."""
-        return self.read("stats").agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("avgdl"))
+        state = state or self.current()
+        return self._spark.createDataFrame([(state.n, state.terms / state.n if state.n else None)], "n long, avgdl double")
 
     def identity(self) -> dict:
-        return self.current().get("identity", {})
+        return self.current().identity
 
     def has_text_index(self) -> bool:
-        return bool(self.current().get("tables", {}).get("postings"))
+        return self.current().n > 0
 
     def check_dim(self) -> None:
         held = self.identity().get("dim", self._dim)
@@ -136,9 +267,25 @@ class IndexStore:
             raise ValueError(f"the index holds vectors of {held} dimensions, not {self._dim}")
 
     def get_meta(self, key: str) -> str | None:
-        row = self.read("meta").filter(F.col("key") == key).first()
-        return row.value if row else None
+        return self.current().meta.get(key)
+
+
+def _laid_out(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Files of some 128 MB; postings sorted by term, so that a query reads the row groups of its own terms."""
+    files = max(1, size // (128 << 20))
+    if name == "postings":
+        return rows.repartitionByRange(files, "term").sortWithinPartitions("term")
+    return rows.coalesce(files) if files < 200 else rows
+
+
+def _class(size: int) -> int:
+    return int(math.log(max(size, SMALLEST) / SMALLEST, RATIO))
 
 
-def _leaves(folders: dict) -> list[str]:
-    return [leaf for own in folders.values() for leaf in (own.values() if isinstance(own, dict) else [own])]
+def _to_merge(segments: list[dict]) -> tuple[int, int] | None:
+    """(first, behind the last) of the segments to merge: the latest run of at least ``FAN_IN`` neighbours, none of
+    a larger size class than the last one.  So each class keeps less than ``FAN_IN`` segments."""
+    first = len(segments)
+    while first and (first == len(segments) or _class(segments[first - 1]["bytes"]) <= _class(segments[-1]["bytes"])):
+        first -= 1
+    return (first, len(segments)) if len(segments) - first >= FAN_IN else None

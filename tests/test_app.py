@@ -92,26 +92,111 @@ def test_incremental_runs_and_search(spark, root, tmp_path, capsys):
     assert main(["--data-dir", str(tmp_path / "data"), "roots", "remove", "nothing"], spark) == 2
 
 
-def test_a_change_costs_one_bucket_and_a_cancelled_run_deletes_nothing(spark, root, tmp_path):
+def test_a_change_costs_a_small_segment_and_a_cancelled_run_deletes_nothing(spark, root, tmp_path):
     app = Lexmill(spark, str(tmp_path / "data"))
     app.add_root(str(root))
     steps = []
     app.index(progress=lambda step, n: steps.append((step, n)))
     assert [s for s, _ in steps] == ["listed", "read", "chunked", "committed"] and steps[0][1] == len(WANTED)
-    before = app.store.current()["tables"]
+    before = app.store.current()
     (root / "server/users.ts").write_text("export function somethingElse() {}\n")
     (root / "config/app.yaml").unlink()
-    assert app.index(cancelled=lambda: True)["indexed"] == 0 and app.store.current()["tables"] == before
+    assert app.index(cancelled=lambda: True)["indexed"] == 0 and app.store.current() == before
     answers = iter([False, False, True])
     cut = app.index(cancelled=lambda: next(answers))
     assert (cut["indexed"], cut["removed"]) == (1, 0) and app.status()["files"] == len(WANTED)
-    after = app.store.current()["tables"]
-    assert sum(after["chunks"].get(b) != f for b, f in before["chunks"].items()) == 1
+    after = app.store.current()
+    assert after.segments[0] == before.segments[0] and after.segments[1]["rows"] == 1 and after.number == before.number + 1
     assert app.search("somethingElse").first().rel_path == "server/users.ts" and app.search("getUserById").filter("text_rank IS NOT NULL").count() == 0
     assert app.index()["removed"] == 1 and app.store.get_meta("indexed_at") and app.store.get_meta("nothing") is None
     assert not [n for n in os.listdir(tmp_path / "data/index") if n.startswith("_work")]
 
 
+def _many(base, n, marker="v1"):
+    for i in range(n):
+        path = base / f"pkg{i % 7}/m{i}.py"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"def only_{i}():\n    return 'common {marker}'\n")
+
+
+def test_a_run_writes_in_proportion_to_what_changed(spark, tmp_path):
+    grown = []
+    for n in (40, 400):
+        base, app = tmp_path / f"repo{n}", Lexmill(spark, str(tmp_path / f"data{n}"))
+        _many(base, n)
+        app.add_root(str(base))
+        app.index()
+        first = app.store.current().segments[0]["bytes"]
+        (base / "pkg1/m1.py").write_text("def changed():\n    pass\n")
+        app.index()
+        grown.append((first, app.store.current().segments[1]["bytes"]))
+    assert grown[1][0] > 3 * grown[0][0] and abs(grown[1][1] - grown[0][1]) < 200  # the index is larger, the change is not
+
+
+def test_segments_are_merged_and_totals_stay_exact(spark, tmp_path):
+    base, app = tmp_path / "repo", Lexmill(spark, str(tmp_path / "data"))
+    _many(base, 12)
+    app.add_root(str(base))
+    app.index()
+    for step in range(5):
+        (base / f"pkg{step}/m{step}.py").write_text(f"def changed_{step}():\n    return 'again common'\n")
+        (base / f"pkg{step}/m{step + 7}.py").unlink(missing_ok=True)
+        app.index()
+        state = app.store.current()
+        posted = app.store.read("postings").groupBy("id").agg({"dl": "max"}).toPandas()["max(dl)"]
+        assert (state.n, state.terms) == (len(posted), posted.sum())
+        assert len(state.segments) <= 3
+        assert app.store.read("manifest").count() == 12 - step - 1 == app.status()["files"]
+        assert app.search(f"changed_{step}").first().text_rank == 1
+    assert app.store.read("chunks").select("id").distinct().count() == app.store.read("chunks").count() == 7
+
+
+def test_a_search_that_is_open_survives_commits(spark, root, tmp_path):
+    app = Lexmill(spark, str(tmp_path / "data"))
+    app.add_root(str(root))
+    app.index()
+    held = app.search("getUserById")
+    (root / "server/users.ts").write_text("export function somethingElse() {}\n")
+    app.index()
+    app.index(full=True)
+    assert held.first().rel_path == "server/users.ts" and "getUserById" in held.first().text
+    assert app.store.expire() == 0  # what it reads was superseded just now
+    assert app.store.expire(seconds=-1) > 0 and app.search("somethingElse").first().rel_path == "server/users.ts"
+
+
+def test_of_two_writers_neither_is_lost(spark, tmp_path):
+    roots = [tmp_path / "one", tmp_path / "two"]
+    for i, base in enumerate(roots):
+        _many(base, 3, f"root{i}")
+    apps = [Lexmill(spark, str(tmp_path / "data")) for _ in roots]
+    ids = [apps[0].add_root(str(base))["id"] for base in roots]
+    apps[0].index()
+    apps[1] = Lexmill(spark, str(tmp_path / "data"))
+    (roots[0] / "pkg0/m0.py").write_text("def from_first():\n    pass\n")
+    (roots[1] / "pkg0/m0.py").write_text("def from_second():\n    pass\n")
+    (roots[0] / "new.py").write_text("def both_have_it():\n    pass\n")
+
+    def other_writer(step, n):  # commits while the first one is between reading and committing
+        if step == "read":
+            apps[1].index(ids)
+
+    apps[0].index([ids[0]], progress=other_writer)
+    found = {q: [h.rel_path for h in apps[0].search(q).filter("text_rank = 1").collect()] for q in ("from_first", "from_second", "both_have_it")}
+    assert found == {"from_first": ["pkg0/m0.py"], "from_second": ["pkg0/m0.py"], "both_have_it": ["new.py"]}
+    assert apps[0].status()["files"] == 7 and apps[0].store.read("chunks").count() == 7
+    state = apps[0].store.current()
+    assert state.n == 7
+
+    def rebuilder(step, n):
+        if step == "read" and not rebuilt:
+            rebuilt.append(apps[1].index(full=True))
+
+    rebuilt: list = []
+    (roots[0] / "new.py").write_text("def last_change():\n    pass\n")
+    assert apps[0].index(full=True, progress=rebuilder)["indexed"] == 7 and rebuilt  # run again after the conflict
+    assert apps[0].search("last_change").first().rel_path == "new.py" and apps[0].store.read("manifest").count() == 7
+
+
 def test_stored_index_ranks_as_the_texts_do(spark, root, tmp_path):
     app = Lexmill(spark, str(tmp_path / "data"))
     app.add_root(str(root))
@@ -127,7 +212,7 @@ def test_a_crash_while_committing_leaves_the_old_index(spark, root, tmp_path, mo
     app = Lexmill(spark, str(tmp_path / "data"))
     app.add_root(str(root))
     app.index()
-    monkeypatch.setattr(IndexStore, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    monkeypatch.setattr(IndexStore, "_create", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
     with pytest.raises(RuntimeError):
         app.index(full=True)
     monkeypatch.undo()

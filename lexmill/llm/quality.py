@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from lexmill.llm.common import table
 from lexmill.llm.labelled import held_out, labelled_sample
-from lexmill.llm.words import numbered_words, slices_of, whole_texts
+from lexmill.llm.words import give_back, numbered_words, slices_of, whole_texts
 
 PASSAGE = 48
 SHAPE, HASHED = 9, 8
@@ -204,7 +204,9 @@ def scored(model: Model, text: Column) -> Column:
     def score(texts: pa.Array) -> pa.Array:
         if "scorer" not in kept:
             kept["scorer"] = Scorer(held.value)
-        return pa.array(kept["scorer"](texts))
+        scores = pa.array(kept["scorer"](texts))
+        give_back()
+        return scores
 
     return score(text)
 

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType
 
 from lexmill.llm.common import materialize, table
 from lexmill.llm.components import components
-from lexmill.llm.words import slices_of, whole_texts
+from lexmill.llm.words import give_back, slices_of, whole_texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 HOT, SLICE_BYTES = 4096, 2_000_000
@@ -93,7 +93,9 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
 
 @F.arrow_udf(LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
-    return fingerprints(texts)
+    out = fingerprints(texts)
+    give_back()
+    return out
 
 
 def fingerprint(text: Column) -> Column:

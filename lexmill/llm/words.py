@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,3 +43,13 @@ def slices_of(texts: pa.Array, max_bytes: int = 8_000_000):
         held += n
     if first < len(sizes):
         yield first, len(sizes)
+
+
+def give_back() -> None:
+    """Return memory that a batch has freed to the system: Python workers outlive their task, and what they
+    keep adds up with what the JVM needs in a later stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

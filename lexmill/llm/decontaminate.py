@@ -63,8 +63,12 @@ def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
 def _word_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(word, n): how often each of the benchmark's words stands in the documents."""
     wanted = windows.select(F.explode("w_words").alias("word")).distinct()
+    wanted = materialize(wanted, "benchmark-words")
     said = docs.select(F.explode(word_array(text_or_empty())).alias("word"))
-    return said.join(broadcast_if_small(wanted, BROADCAST_ROWS), "word").groupBy("word").agg(F.count("*").alias("n"))
+    if wanted.count() <= BROADCAST_ROWS:
+        return said.join(F.broadcast(wanted), "word").groupBy("word").agg(F.count("*").alias("n"))
+    # Words are counted before the join, so that a frequent word is one row of each task and not a key of many.
+    return said.groupBy("word").agg(F.count("*").alias("n")).join(wanted, "word", "left_semi")
 
 
 def _prefixes(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
@@ -157,7 +161,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     text_hash = F.unhex(F.sha2("text", 256))
     hit = contamination(docs.select(text_hash.alias("doc_id"), "text"), benchmark, window, shingle).filter("contaminated").select(F.col("doc_id").alias("hit_hash")).distinct()
     hit = materialize(hit, "contaminated")
-    return docs.join(hit, text_hash == hit["hit_hash"], "left_anti")
+    # Repeated texts share a hash: beyond the bound Spark splits such keys of the left side while it runs.
+    return docs.join(broadcast_if_small(hit, BROADCAST_ROWS), text_hash == hit["hit_hash"], "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexmill.llm.common import materialize, table
+from lexmill.llm.common import hot_keys, join_hot, materialize, table
 from lexmill.llm.components import components
 from lexmill.llm.words import give_back, slices_of, whole_texts
 
@@ -235,11 +235,13 @@ def _with_components(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     own = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     reach = _with_components(nodes, radius, hot)
     named = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = reach.join(named, "component").select("fp", "component_id")
-    return own.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Empty texts, and exact copies, share a fingerprint: rows of the frequent ones are dealt by their ids.
+    crowded = hot_keys(nodes, ["fp"], "n", own.count())
+    return join_hot(own, by_print, ["fp"], crowded, F.xxhash64("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _row_hash() -> Column:

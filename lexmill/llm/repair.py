@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import chunks_by_total, materialize, new_path, table, text_or_empty, with_scheme
+from lexmill.llm.common import materialize, new_path, table, tasks_for, text_or_empty, with_scheme
 from lexmill.llm.files import read_range, write_file
 from lexmill.llm.tokens import batches, chunk_tokenizer, crc32_of, tokenizer_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
-FIRST_RULE, MIN_COUNT = 49_408, 2
+MIN_COUNT = 2
 SHARD_IDS, RANGE_BYTES = 1_000_000, 24_000_000
 MAGIC = b"LMRP0002"
 
@@ -52,7 +52,7 @@ def _sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, top: int)
     return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules) of documents of so many ids in a row.
 
     A round ranks all pairs that occur ``min_count`` times by their counts and replaces every
@@ -191,7 +191,10 @@ class Shard:
         return out
 
 
-def shard_bytes(doc_ids: np.ndarray, null_ids: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, first_rule: int = FIRST_RULE) -> bytes:
+def shard_bytes(doc_ids: np.ndarray, null_ids: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, first_rule: int) -> bytes:
+    """A shard file of documents; nonterminals are numbered from ``first_rule``, above all ids."""
+    if len(ids) and int(ids.max()) >= first_rule:
+        raise ValueError(f"id {int(ids.max())} is no id of a vocabulary of {first_rule}")
     symbols, per_document, rules = compress(ids, n_ids, first_rule)
     first_symbol = np.cumsum(per_document) - per_document
     width = 3 if max(first_rule + len(rules), int(ids.max(initial=0)) + 1) <= 1 << 24 else 4
@@ -200,15 +203,16 @@ def shard_bytes(doc_ids: np.ndarray, null_ids: np.ndarray, ids: np.ndarray, n_id
     return MAGIC + b"".join(p.tobytes() for p in parts) + _wide(rules, width) + expansion_lengths(rules, first_rule).astype("<u4").tobytes() + _wide(symbols, width)
 
 
-def _write_shards(folder: str, path: str, end_id: int):
+def _write_shards(folder: str, path: str, end_id: int, cut: str):
     def run(record_batches):
-        tokenizer, part = chunk_tokenizer(path, "words"), TaskContext.get().partitionId()
+        tokenizer, part = chunk_tokenizer(path, cut), TaskContext.get().partitionId()
+        first_rule = max(tokenizer.size, end_id + 1)
         held, n_held, number = [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n_held, number
             doc_ids, null_ids, ids, n_ids = (np.concatenate(x) for x in zip(*held))
-            uri = write_file(folder, f"{part:06d}-{number:06d}", data := shard_bytes(doc_ids, null_ids, ids, n_ids))
+            uri = write_file(folder, f"{part:06d}-{number:06d}", data := shard_bytes(doc_ids, null_ids, ids, n_ids, first_rule))
             row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "uri": uri, "n_docs": len(doc_ids), "n_ids": int(n_ids.sum()), "n_bytes": len(data)}])
             held, n_held, number = [], 0, number + 1
             return row
@@ -243,26 +247,33 @@ def _read_shards(record_batches):
             yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "start": pa.array(start), "n_tokens": pa.array(shard.n_ids), "ids_crc32": pa.array(crc, pa.int64())})
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write the documents (integer doc_id, text) as shard files in ascending doc_id order.
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, cut: str = "words") -> DataFrame:
+    """Write the documents (integer doc_id, text) as shard files in ascending doc_id order, with the ids of any
+    tokenizer that ``tokens`` can cut texts for.
 
     Returns the manifest: part, number, uri, n_docs, n_ids, n_bytes, first_id."""
     spark = docs.sparkSession
     folder = with_scheme(spark, new_path(spark, "token-shards"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranged = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(chunks_by_total(total, RANGE_BYTES), "doc_id", "tie")
+    ranged = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks_for(total, RANGE_BYTES), "doc_id", "tie")
     ordered = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    manifest = ordered.mapInArrow(_write_shards(folder, path or tokenizer_path(TOKENIZER), end_id), "part long, number long, uri string, n_docs long, n_ids long, n_bytes long")
+    manifest = ordered.mapInArrow(_write_shards(folder, path or tokenizer_path(TOKENIZER), end_id, cut), "part long, number long, uri string, n_docs long, n_ids long, n_bytes long")
     manifest = materialize(manifest, "manifest")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not for each document
-    return materialize(manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest-starts")
+    # Starts are summed over the tasks that wrote (a row for each), and inside each task over its files.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before_part"))
+    before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.withColumn("within", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    starts = within.join(F.broadcast(tasks), "part").withColumn("first_id", F.col("before_part") + F.col("within"))
+    return materialize(starts.select(*manifest.columns, "first_id"), "manifest-starts")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     files = manifest.select("uri", "first_id")
-    return files.repartition(max(1, files.count()), "uri").mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = files.count()  # a task each, beyond some thousands up to 64 files to a task
+    return files.repartition(max(1, min(n, 4096), n // 64), "uri").mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ class ChunkTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._cut = cut
-        size = self._tokenizer.get_vocab_size()
+        self.size = size = self._tokenizer.get_vocab_size()
         marks = lambda t: t.endswith("</w>") if cut == "words" else t.startswith("Ġ")
         self._marked = np.array([marks(self._tokenizer.id_to_token(i) or "") for i in range(size)])
         self._clear()

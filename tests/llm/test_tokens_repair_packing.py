@@ -58,15 +58,15 @@ def test_repeated_passages_become_few_symbols():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 40_000, 3000)
     ids = np.concatenate([passage, rng.integers(0, 40_000, 500), passage]).astype(np.uint32)
-    symbols, _, rules = repair.compress(ids, np.array([len(ids)]))
-    assert len(symbols) < 520 and repair.expansion_lengths(rules, repair.FIRST_RULE).max() == 3000
+    symbols, _, rules = repair.compress(ids, np.array([len(ids)]), 49_408)
+    assert len(symbols) < 520 and repair.expansion_lengths(rules, 49_408).max() == 3000
 
 
 def test_random_access():
     rng = np.random.default_rng(0)
     n_ids = rng.integers(1, 50, 60)
     ids = rng.integers(0, 5, n_ids.sum()).astype(np.uint32)
-    shard = repair.Shard(repair.shard_bytes(np.arange(60), np.zeros(60, bool), ids, n_ids))
+    shard = repair.Shard(repair.shard_bytes(np.arange(60), np.zeros(60, bool), ids, n_ids, 50_000))
     cuts = np.concatenate(([0], np.cumsum(n_ids)))
     assert len(shard.rules) > 0
     for a, b in ((0, 60), (7, 8), (59, 60), (5, 5), (10, 40)):
@@ -77,6 +77,25 @@ def _ids(name, text, end):
     return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
+@pytest.mark.parametrize(("name", "cut", "end"), [("word_bpe_49k.json", "words", 1), ("byte_bpe_50k.json", "spaced", 60_000)])
+def test_shards_of_any_vocabulary(documents, name, cut, end):
+    """Ids above the smaller vocabulary, and an end id above both, come back as they were."""
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    found = repair.read_shards(repair.write_shards(documents, tokenizer_path(name), end, cut)).collect()
+    expected = []
+    for r in documents.collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, end], dtype="<u4")
+        expected.append((r["doc_id"], len(ids), zlib.crc32(ids)))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found), key=repr) == sorted(expected, key=repr)
+    starts = sorted((r["start"], r["n_tokens"]) for r in found)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_ids_beyond_the_vocabulary_are_refused():
+    with pytest.raises(ValueError, match="no id of a vocabulary"):
+        repair.shard_bytes(np.arange(1), np.zeros(1, bool), np.array([12], np.uint32), np.array([1]), 12)
+
+
 def test_shards_in_order(documents, empty):
     found = repair.read_shards(repair.write_shards(documents)).collect()
     rows = sorted(documents.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))

@@ -89,7 +89,8 @@ def ascii_folded(text: Column) -> Column:
     out = F.lower(F.translate(text, _LATIN, _ASCII))
     for letter, spelled in LIGATURES.items():
         out = F.replace(out, F.lit(letter), F.lit(spelled))
-    return out
+    # ASCII texts have nothing to fold: they need not go letter by letter through the tables.
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(out)
 
 
 def terms(text: Column) -> Column:

@@ -21,6 +21,8 @@ HASH_DIM = 128
 COST_BUDGET, MAX_BATCH = 16 * 512**2, 256
 #: Vectors in a block of rows and in a block of queries.
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+#: Distances of many queries are rounded before they rank, so that ties are ties and the key decides.
+DISTANCE_DIGITS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,7 +85,7 @@ def _block_candidates(k: int, key: str, query_key: str):
                 if not len(keys) or not len(ids):
                     continue
                 own, asked = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(n, -1) for c, n in (("vectors", len(keys)), ("query_vectors", len(ids))))
-                distance = 1 - asked @ own.T
+                distance = np.round(1 - asked @ own.T, DISTANCE_DIGITS) + 0.0
                 order = np.array(pc.array_sort_indices(keys))
                 rank_of = np.empty(len(keys), np.int64)
                 rank_of[order] = np.arange(len(keys))

@@ -142,7 +142,7 @@ class Lexmill:
     def _index(self, store: IndexStore, base: Snapshot, chosen: list[dict], rebuild: bool, work: str, tell: Callable[[str, int], None], stop: Callable[[], bool]) -> dict:
         manifest = store.read("manifest", base).limit(0) if rebuild else store.read("manifest", base)
         configured = [r["id"] for r in self.settings.roots]
-        scans = [folder.scan(self.spark, r["path"], r["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())]) for r in chosen]
+        scans = [folder.scan(self.spark, r["path"], r["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())], work) for r in chosen]
         listing = reduce(DataFrame.unionByName, scans)
         wanted = written(listing.filter(F.col("skip_reason").isNull()).select("root_id", "rel_path", "abs_path", "size", "mtime_ns", "language"), work)
         tell("listed", wanted.count())

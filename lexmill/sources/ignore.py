@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,32 @@ def compiled(patterns: list[str]) -> list[tuple[str, bool]]:
     return [p for p in map(pattern_regex, patterns) if p]
 
 
+def ruled_out(path: str, is_dir: bool, rules: list[tuple[str, str, bool]], hard: tuple[str, ...] | list[str] = ()) -> bool:
+    """Whether an entry, of a folder that is not ruled out itself, is: by the last match of ``hard`` patterns, or by that
+    of rules (base, regex, include), the deepest last, each on the path below its base."""
+    subject = path + "/" if is_dir else path
+    verdict = False
+    for regex, include in _hard(tuple(hard)):
+        if regex.match(subject):
+            verdict = include
+    if verdict:
+        return True
+    for base, regex, include in rules:
+        if _regex(regex).match(subject[len(base) + 1 :] if base else subject):
+            verdict = include
+    return verdict
+
+
+@lru_cache(maxsize=16)
+def _hard(patterns: tuple[str, ...]) -> list[tuple[re.Pattern, bool]]:
+    return [(re.compile(regex), include) for regex, include in compiled(list(patterns))]
+
+
+@lru_cache(maxsize=10_000)
+def _regex(regex: str) -> re.Pattern:
+    return re.compile(regex)
+
+
 def last_match(path: Column, patterns: list[str]) -> Column:
     """True or false by the last pattern that matches; null if none does."""
     verdict = F.lit(None).cast("boolean")

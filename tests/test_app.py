@@ -8,7 +8,7 @@ import pytest
 
 from lexmill.operators.search import bm25, bm25_from_index, id_in, origin_is
 from lexmill.plans.app import Lexmill, main
-from lexmill.sources import folder
+from lexmill.sources import folder, ignore
 from lexmill.sources.store import IndexStore
 
 FILES = {
@@ -61,6 +61,30 @@ def test_rules_of_a_folder(spark, root):
     assert "server/users.ts" not in _wanted(spark, root, max_file_bytes=60)
 
 
+@pytest.mark.parametrize("budget", [1, 3, 5000])
+def test_folders_that_are_ruled_out_are_never_entered(spark, root, budget):
+    (root / "generated/deep/deeper").mkdir(parents=True)
+    (root / "generated/deep/.gitignore").write_text("!api.ts\n")
+    (root / "game/.gitignore").write_text("mods/\n!../generated/\n*.tmp\n")
+    for name in ("game/mods/a/x.lua", "game/kept/mods/y.lua", "game/kept/z.lua", "game/kept/t.tmp", "docs/mods/m.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    rows = folder.walked(spark, folder.Walk(str(root), "r1"), budget).collect()
+    entered = sorted(r["rel_path"] for r in rows if r["kind"] == "dir")
+    assert entered == sorted(["", "assets", "config", "docs", "docs/mods", "game", "game/kept", "keys", "lib", "scripts", "server"])
+    ignored = {r["rel_path"]: r["ignored"] for r in rows if r["kind"] != "dir"}
+    assert ignored["game/kept/t.tmp"] and ignored[".env"] and not ignored["game/kept/z.lua"] and not ignored["docs/mods/m.md"]
+    # The same verdicts as by the join of paths with rules.
+    paths = spark.createDataFrame([(p,) for p in ignored], "path string")
+    rules = [("", i, x) for i, x in enumerate((root / ".gitignore").read_text().splitlines())] + [("game", i, x) for i, x in enumerate((root / "game/.gitignore").read_text().splitlines())]
+    joined = ignore.layered(paths, spark.createDataFrame(rules, "base string, seq int, pattern string"))
+    hard = joined.withColumn("ignored", joined["ignored"] | ignore.ignored(joined["path"], ignore.HARD_EXCLUDES))
+    assert {r["path"]: r["ignored"] for r in hard.collect()} == ignored
+    spark.dataSource.register(folder.FolderSource)
+    plain = spark.read.format("folder").option("path", str(root)).option("root_id", "r1").load()
+    assert {r["rel_path"] for r in plain.collect()} == set(ignored)
+
+
 def test_incremental_runs_and_search(spark, root, tmp_path, capsys):
     app = Lexmill(spark, str(tmp_path / "data"))
     assert app.search("anything").count() == 0

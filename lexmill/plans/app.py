@@ -25,6 +25,8 @@ from lexmill.sources.store import Conflict, IndexStore, Snapshot
 
 #: Runs that are tried anew when another writer rebuilt the index meanwhile.
 RETRIES = 3
+#: Before the root's id: the key of what a stream has committed last.
+STREAM = "stream:"
 
 
 class LexmillError(Exception):
@@ -141,7 +143,7 @@ class Lexmill:
 
     def _index(self, store: IndexStore, base: Snapshot, chosen: list[dict], rebuild: bool, work: str, tell: Callable[[str, int], None], stop: Callable[[], bool]) -> dict:
         manifest = store.read("manifest", base).limit(0) if rebuild else store.read("manifest", base)
-        configured = [r["id"] for r in self.settings.roots]
+        configured = self._root_ids(base)
         scans = [folder.scan(self.spark, r["path"], r["id"], self.settings.max_file_bytes, self.settings.extra_excludes, [str(self.data_dir.resolve())], work) for r in chosen]
         listing = reduce(DataFrame.unionByName, scans)
         wanted = written(listing.filter(F.col("skip_reason").isNull()).select("root_id", "rel_path", "abs_path", "size", "mtime_ns", "language"), work)
@@ -180,16 +182,50 @@ class Lexmill:
         tombstones = records.select("file_id").union(ended).withColumn("what", F.lit("record")).union(replaced.union(ended).withColumn("what", F.lit("content")))
         tombstones = store.write(segment, "tombstones", tombstones)
         if rebuild or not tombstones.isEmpty():
-            posted = search.postings(chunks, "id", "search_text", ("file_id", "root_id", "origin"))
-            posted = store.write(segment, "postings", posted.repartitionByRange("term").sortWithinPartitions("term"))
-            lengths = posted.groupBy("file_id", "id").agg(F.max("dl").alias("dl"))
-            store.write(segment, "sizes", lengths.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")))
-            snapshot = store.commit(base, segment, self._identity(), {"indexed_at": now}, rebuild)
-            tell("committed", snapshot.segments[-1]["bytes"])
-            store.compact()
-            store.expire()
+            tell("committed", self._finish(store, base, segment, chunks, {"indexed_at": now}, rebuild).segments[-1]["bytes"])
         return report | {"full_rebuild": rebuild}
 
+    def _finish(self, store: IndexStore, base: Snapshot, segment: str, chunks: DataFrame, meta: dict, rebuild: bool) -> Snapshot:
+        """Write the text index of a segment's chunks, commit the segment, and tidy up."""
+        posted = search.postings(chunks, "id", "search_text", ("file_id", "root_id", "origin"))
+        posted = store.write(segment, "postings", posted.repartitionByRange("term").sortWithinPartitions("term"))
+        lengths = posted.groupBy("file_id", "id").agg(F.max("dl").alias("dl"))
+        store.write(segment, "sizes", lengths.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("dl").alias("terms")))
+        snapshot = store.commit(base, segment, self._identity(), meta, rebuild)
+        store.compact()
+        store.expire()
+        return snapshot
+
+    def ingest(self, documents: DataFrame, root_id: str, meta: dict | None = None) -> Snapshot:
+        """Put documents (rel_path, language, text, deleted, version) in the place of what the index has of them.
+
+        Of a document that occurs several times the one of the highest version counts (of equals the
+        larger text); one that is deleted, or has no text, ends what was there.  ``meta`` is committed in the same step."""
+        store = self.store
+        base = store.current()
+        rebuild = base.identity != self._identity()
+        now = datetime.now(UTC).isoformat(timespec="seconds")
+        latest = documents.groupBy("rel_path").agg(F.max_by(F.struct("language", "text", "deleted"), F.struct("version", F.coalesce("text", F.lit("")))).alias("latest"))
+        work = store.working_folder()
+        try:
+            rows = latest.select(F.lit(root_id).alias("root_id"), "rel_path", "latest.*").withColumn("file_id", tx.stable_id(F.col("root_id"), F.col("rel_path")))
+            rows = written(rows.withColumn("live", F.col("text").isNotNull() & ~F.coalesce("deleted", F.lit(False))), work)
+            segment, live = store.new_segment(), rows.filter("live")
+            chunks = store.write(segment, "chunks", self._chunks(live))
+            counts = chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
+            store.write(segment, "manifest", live.join(counts, "file_id", "left").select(
+                "root_id", "rel_path", "file_id", F.sha2("text", 256).alias("content_hash"), "language", F.lit("indexed").alias("status"), F.lit(now).alias("indexed_at"),
+                F.octet_length("text").cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ns"), F.coalesce("n_chunks", F.lit(0).cast("long")).alias("chunk_count"),
+            ))
+            store.write(segment, "tombstones", rows.select("file_id", F.explode(F.array(F.lit("record"), F.lit("content"))).alias("what")))
+            return self._finish(store, base, segment, chunks, {"indexed_at": now, f"{STREAM}{root_id}": "-1"} | (meta or {}), rebuild)
+        finally:
+            store.discard(work)
+
+    def _root_ids(self, snapshot: Snapshot) -> list[str]:
+        """Configured roots, and those that streams keep."""
+        return [r["id"] for r in self.settings.roots] + [k.removeprefix(STREAM) for k in snapshot.meta if k.startswith(STREAM)]
+
     def _chunks(self, files: DataFrame) -> DataFrame:
         cut = chunking.chunk_documents(files, "file_id", self.config, ("root_id", "rel_path", "language"))
         rows = cut.withColumn("origin", F.lit("code")).withColumn("id", tx.chunk_id(F.col("file_id"), F.col("ordinal")))
@@ -201,10 +237,10 @@ class Lexmill:
 
     def search(self, query: str, limit: int = search.LIMIT, origin: str | None = None, root_ids: list[str] | None = None) -> DataFrame:
         """Search hits, best first; empty (with the hits' schema) for a blank query or an empty scope."""
-        allowed = [r["id"] for r in self.settings.roots]
-        scope = [r for r in (root_ids or allowed) if r in allowed]
         store, where = self.store, search.origin_is(origin)
         snapshot = store.current()  # what is read below stays as it is, whatever is committed meanwhile
+        allowed = self._root_ids(snapshot)
+        scope = [r for r in (root_ids or allowed) if r in allowed]
         names = schema.SEARCH_HIT.fieldNames()
         if not query.strip() or not scope:
             return self.spark.createDataFrame([], schema.SEARCH_HIT)

@@ -53,6 +53,14 @@ SOURCES = {
         [("# End", "End")],
     ),
 }
+#: Markdown for the windows over headings, with headings of three levels.
+HEADINGS = {
+    "headings": (
+        [("no heading", ""), ("# Book {b}", "Book {b}"), ("intro", "Book {b}")],
+        [("## Order {k} ##", "Book {b} > Order {k}"), ("text", "Book {b} > Order {k}"), ("### Status {s}", "Book {b} > Order {k} > Status {s}"), ("#no heading", "Book {b} > Order {k} > Status {s}")],
+        [("# End", "End"), ("### Deep", "End > Deep")],
+    ),
+}
 GROUP = 25
 CONFIG = ch.ChunkConfig()
 
@@ -62,13 +70,13 @@ def _filled(template: str, book: Column, key: Column | None = None, status: Colu
     return out if key is None else F.replace(F.replace(out, F.lit("{k}"), key.cast("string")), F.lit("{s}"), status)
 
 
-def _books(spark: SparkSession, sf_dir: str, languages: list[str]) -> DataFrame:
+def _books(spark: SparkSession, sf_dir: str, languages: list[str], sources: dict = SOURCES) -> DataFrame:
     """(id, language, text): the books as sources."""
     orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / GROUP).cast("long").alias("book"), "o_orderkey", "o_orderstatus")
     books = orders.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
 
     def source(language: str) -> Column:
-        head, part, foot = ("\n".join(line for line, _ in own) for own in SOURCES[language])
+        head, part, foot = ("\n".join(line for line, _ in own) for own in sources[language])
         own = F.transform("orders", lambda o: _filled(part, F.col("book"), o["o_orderkey"], o["o_orderstatus"]))
         return F.struct(F.lit(language).alias("language"), F.concat_ws("\n", _filled(head, F.col("book")), F.array_join(own, "\n"), _filled(foot, F.col("book"))).alias("text"))
 
@@ -81,6 +89,12 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.line_symbols(_books(spark, sf_dir, list(SOURCES)), "id").select("id", "i", "symbol")
 
 
+def heading_symbol_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of headings over every line, by window functions alone."""
+    lines = ch.exploded_lines(_books(spark, sf_dir, list(HEADINGS), HEADINGS), "id")
+    return ch.heading_paths(lines, "id").select("id", "i", "symbol")
+
+
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python sources in chunks: methods packed side by side, what is small merged."""
     chunks = ch.chunk_documents(_books(spark, sf_dir, ["python"]), "id", CONFIG)
@@ -107,23 +121,23 @@ def merge_small_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", "piece.first", "piece.last", F.array_join("piece.names", ",").alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_chunks, remove_overlaps, merge_small_pieces)}
+QUERIES = {f.__name__: f for f in (code_symbols, heading_symbol_path, code_chunks, remove_overlaps, merge_small_pieces)}
 
 
-def _symbols_sql() -> str:
+def _symbols_sql(sources: dict) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = [f"('{language}', {kind}, {j}, {quoted(symbol)})" for language, own in SOURCES.items() for kind, part in enumerate(own) for j, (_, symbol) in enumerate(part)]
-    sizes = [f"('{language}', {len(head)}, {len(part)})" for language, (head, part, _) in SOURCES.items()]
+    rows = [f"('{language}', {kind}, {j}, {quoted(symbol)})" for language, own in sources.items() for kind, part in enumerate(own) for j, (_, symbol) in enumerate(part)]
+    sizes = [f"('{language}', {len(head)}, {len(part)})" for language, (head, part, _) in sources.items()]
     return f"""
 WITH template(language, kind, j, symbol) AS (VALUES {", ".join(rows)}),
 sizes(language, n_head, n_part) AS (VALUES {", ".join(sizes)}),
-o AS (SELECT o_custkey // {GROUP} AS book, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey // {GROUP} ORDER BY o_orderkey) - 1 AS nth FROM orders),
+o AS (SELECT o_custkey // {GROUP} AS book, o_orderkey AS k, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey // {GROUP} ORDER BY o_orderkey) - 1 AS nth FROM orders),
 b AS (SELECT book, count(*) AS n FROM o GROUP BY book),
 told AS (
-  SELECT language, book, j AS i, symbol, 0 AS k FROM b, template WHERE kind = 0
-  UNION ALL SELECT language, book, n_head + nth * n_part + j, symbol, k FROM o, template JOIN sizes USING (language) WHERE kind = 1
-  UNION ALL SELECT language, book, n_head + n * n_part + j, symbol, 0 FROM b, template JOIN sizes USING (language) WHERE kind = 2)
-SELECT language || '-' || book AS id, CAST(i AS INTEGER) AS i, replace(replace(symbol, '{{b}}', book::VARCHAR), '{{k}}', k::VARCHAR) AS symbol FROM told"""
+  SELECT language, book, j AS i, symbol, 0 AS k, '' AS status FROM b, template WHERE kind = 0
+  UNION ALL SELECT language, book, n_head + nth * n_part + j, symbol, k, status FROM o, template JOIN sizes USING (language) WHERE kind = 1
+  UNION ALL SELECT language, book, n_head + n * n_part + j, symbol, 0, '' FROM b, template JOIN sizes USING (language) WHERE kind = 2)
+SELECT language || '-' || book AS id, CAST(i AS INTEGER) AS i, replace(replace(replace(symbol, '{{b}}', book::VARCHAR), '{{k}}', k::VARCHAR), '{{s}}', status) AS symbol FROM told"""
 
 
 def _merge_sql(pieces: str, key: str) -> str:
@@ -181,7 +195,8 @@ UNION ALL SELECT 'python-' || book, 0, 1, CAST(max(l) + 1 AS INTEGER), 'Book_' |
 
 
 ORACLES = {
-    "code_symbols": _symbols_sql(),
+    "code_symbols": _symbols_sql(SOURCES),
+    "heading_symbol_path": _symbols_sql(HEADINGS),
     "code_chunks": _code_chunks_sql(),
     "remove_overlaps": _WINDOWS_SQL
     + r""",

@@ -9,26 +9,9 @@ from lexmill.operators import chunking as ch
 from lexmill.operators import evaluate
 from lexmill.operators import incremental as inc
 from lexmill.plans.tables import literal_rows, table
+from lexmill.plans.text_queries import _WINDOWS_SQL
 from lexmill.sources import folder, ignore
 
-RULE_PATHS = ["build/a.js", "src/build/x.js", "a.min.js", ".env", ".env.example", "conf/.env.local", "keys/server.pem", "lib/user.g.dart", "src/user.dart", "node_modules/p/i.js", "out", "README.md", "id_rsa.pub", "x.lock", "docs/out.md"]
-IGNORED = {"build/a.js", "src/build/x.js", "a.min.js", ".env", "conf/.env.local", "keys/server.pem", "lib/user.g.dart", "node_modules/p/i.js", "id_rsa.pub", "x.lock"}
-LAYERS = ["'', 0, '*.log'", "'', 1, 'tmp/'", "'game', 0, '*.lua*'", "'game', 1, '!combat.luau'", "'', 2, '/top.txt'"]
-LAYER_PATHS = ["a.log", "game/a.lua", "game/combat.luau", "tmp/x/keep.txt", "game/tmp/y", "top.txt", "sub/top.txt", "game/deep/z.lua", "src/main.py"]
-LAYER_IGNORED = {"a.log", "game/a.lua", "tmp/x/keep.txt", "game/tmp/y", "top.txt", "game/deep/z.lua"}
-
-
-def ignore_rules_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = literal_rows(spark, [f"('{p}')" for p in RULE_PATHS], "path")
-    return paths.select("path", ignore.ignored(F.col("path"), ignore.HARD_EXCLUDES).alias("ignored"))
-
-
-def gitignore_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = literal_rows(spark, [f"({r})" for r in LAYERS], "base, seq, pattern")
-    paths = literal_rows(spark, [f"('{p}')" for p in LAYER_PATHS], "path")
-    return ignore.layered(paths, rules).select("path", "ignored")
-
-
 def _snapshot(docs: DataFrame, salt: int) -> DataFrame:
     """A manifest that documents would have had: some rows missing, some changed."""
     changed = F.when(F.col("doc_id") % 7 == salt, F.lit("x")).otherwise(F.lit(""))
@@ -55,7 +38,7 @@ def content_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _snapshots(spark, sf_dir)
     changed = inc.classify(new, old).filter(F.col("status").isin("new", "candidate"))
     read = changed.join(new.select(*inc.FILE_KEY, "content_hash"), inc.FILE_KEY).withColumn("error", F.lit(None).cast("string")).withColumn("text", F.when(F.col("rel_path").cast("long") % 13 != 0, F.lit("t")))
-    return inc.settle(read).groupBy("outcome").agg(F.count("*").alias("n"))
+    return inc.settle(read).select("root_id", "rel_path", "outcome")
 
 
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +60,7 @@ def replace_file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = ch.chunk_documents(docs, "file_id").select("file_id", "ordinal", F.lit("old").alias("version"))
     fresh = chunks.filter(F.col("file_id").cast("long") % 7 == 2).withColumn("version", F.lit("new"))
     gone = docs.filter(F.col("file_id").cast("long") % 11 == 1).select("file_id")
-    return inc.replace_chunks(chunks, fresh, gone).groupBy("version").agg(F.countDistinct("file_id").alias("files"))
+    return inc.replace_chunks(chunks, fresh, gone).select("file_id", "ordinal", "version")
 
 
 def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +80,10 @@ def distinct_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why files of a listing are skipped (pages as files)."""
-    pages = table(spark, sf_dir, "pages").select(F.length("html").alias("size"), F.when(F.col("page_id") % 9 == 0, "link").otherwise("file").alias("kind"), F.lit("html").alias("language"), F.lit(False).alias("ignored"), F.lit(False).alias("placeholder"))
+    """Why files of a listing are skipped (pages as files): links, placeholders, ignored ones, other kinds, languages, sizes."""
+    number = F.col("page_id")
+    kind = F.when(number % 9 == 0, "link").when(number % 10 == 0, "other").otherwise("file")
+    pages = table(spark, sf_dir, "pages").select(F.length("html").alias("size"), kind.alias("kind"), F.when(number % 13 != 0, F.lit("html")).alias("language"), (number % 11 == 0).alias("ignored"), (number % 7 == 0).alias("placeholder"))
     return ignore.with_skip_reason(pages, 4000).groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
@@ -154,7 +139,7 @@ def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ignore_rules_last_match, gitignore_scope, manifest_diff_status, content_settle, manifest_upsert, manifest_delete, stale_roots, replace_file_chunks, index_report, manifest_totals, distinct_roots, walk_counters,
+        manifest_diff_status, content_settle, manifest_upsert, manifest_delete, stale_roots, replace_file_chunks, index_report, manifest_totals, distinct_roots, walk_counters,
         installed_models, index_throughput, max_end_row, question_set, meta_upsert, decode_files,
     )
 }
@@ -174,23 +159,20 @@ x AS (SELECT root_id, rel_path, n.content_hash, o.content_hash AS old_hash, n.ch
   FROM o FULL JOIN n USING (root_id, rel_path))"""
 )
 ORACLES = {
-    "ignore_rules_last_match": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(p in IGNORED).lower()})" for p in RULE_PATHS) + ") AS v(path, ignored)",
-    "gitignore_scope": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(p in LAYER_IGNORED).lower()})" for p in LAYER_PATHS) + ") AS v(path, ignored)",
     "manifest_diff_status": _DIFF + " SELECT root_id, rel_path, status FROM x",
-    "content_settle": _DIFF + " SELECT CASE WHEN content_hash = old_hash THEN 'touched' WHEN CAST(rel_path AS BIGINT) % 13 = 0 THEN 'unreadable' ELSE 'indexed' END AS outcome, count(*) AS n FROM x WHERE status IN ('new', 'candidate') GROUP BY 1",
+    "content_settle": _DIFF + " SELECT root_id, rel_path, CASE WHEN content_hash = old_hash THEN 'touched' WHEN CAST(rel_path AS BIGINT) % 13 = 0 THEN 'unreadable' ELSE 'indexed' END AS outcome FROM x WHERE status IN ('new', 'candidate')",
     "manifest_upsert": _BOTH + " SELECT root_id, rel_path, CAST(size AS BIGINT) AS size, content_hash FROM n UNION ALL SELECT root_id, rel_path, CAST(size AS BIGINT), content_hash FROM o ANTI JOIN n USING (root_id, rel_path)",
     "manifest_delete": _BOTH + " SELECT root_id, rel_path FROM o ANTI JOIN n USING (root_id, rel_path)",
     "stale_roots": f"WITH {_snap('o', 1)} SELECT DISTINCT root_id FROM o WHERE root_id NOT IN ('src0', 'src1')",
-    "replace_file_chunks": r"""
-WITH d AS (SELECT doc_id FROM documents WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> '')
-SELECT CASE WHEN doc_id % 7 = 2 THEN 'new' ELSE 'old' END AS version, count(*) AS files FROM d WHERE doc_id % 7 = 2 OR doc_id % 11 <> 1 GROUP BY 1""",
+    "replace_file_chunks": _WINDOWS_SQL + """
+SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN doc_id % 7 = 2 THEN 'new' ELSE 'old' END AS version FROM c WHERE doc_id % 7 = 2 OR doc_id % 11 <> 1""",
     "index_report": _DIFF + """
 , y AS (SELECT CASE WHEN status <> 'candidate' THEN status WHEN content_hash = old_hash THEN 'touched' ELSE 'changed' END AS status, chunk_count FROM x)
 SELECT count(*) FILTER (WHERE status IN ('new', 'changed')) AS indexed, count(*) FILTER (WHERE status IN ('unchanged', 'touched')) AS unchanged, count(*) FILTER (WHERE status = 'removed') AS removed,
   CAST(0 AS BIGINT) AS unreadable, CAST(coalesce(sum(chunk_count) FILTER (WHERE status IN ('new', 'changed')), 0) AS BIGINT) AS chunks FROM y""",
     "manifest_totals": f"WITH {_snap('o', 1)} SELECT count(*) AS files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks FROM o WHERE status = 'indexed'",
     "distinct_roots": f"WITH {_snap('o', 1)} SELECT DISTINCT root_id FROM o",
-    "walk_counters": "SELECT CASE WHEN page_id % 9 = 0 THEN 'link' WHEN length(html) > 4000 THEN 'too_large' END AS skip_reason, count(*) AS n FROM pages GROUP BY 1",
+    "walk_counters": "SELECT CASE WHEN page_id % 9 = 0 THEN 'link' WHEN page_id % 7 = 0 THEN 'placeholder' WHEN page_id % 11 = 0 THEN 'ignored' WHEN page_id % 10 = 0 THEN 'other' WHEN page_id % 13 = 0 THEN 'unsupported' WHEN length(html) > 4000 THEN 'too_large' END AS skip_reason, count(*) AS n FROM pages GROUP BY 1",
     "installed_models": """
 WITH f AS (SELECT p_brand AS model, p_partkey, CAST(p_size AS BIGINT) AS pinned, p_partkey % 300 <> 0 AND p_partkey % 211 <> 0 AS there FROM part)
 SELECT model, CAST(sum(pinned) AS BIGINT) AS total_size, count(*) FILTER (WHERE NOT there) AS n_missing, bool_and(there) AS is_installed FROM f GROUP BY model""",

@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.functions.languages import EXTENSIONS, FILE_NAMES, _by_name, detect_language, extension
+from lexmill.functions.languages import extension
 from lexmill.operators import chunking as ch
 from lexmill.operators import search
 from lexmill.operators import vectors as vx
 from lexmill.plans.tables import literal_rows, table
 
-IDENTIFIERS = ["getUserById", "get_user_by_id", "HTTPServerError", "parseJSON2XML", "validación", "validaciónDeUsuario", "ÁrbolBinario", "utf8Decoder", "__init__", "x"]
 QUESTIONS = ["¿Cómo se calcula el daño de un ataque crítico?", "Where is the user validated?", "¿Dónde está?", '¿Dónde "se" valida getUserById? (AND -x)', "The Best of THE best"]
-PATHS = ["lib/main.dart", "src/App.tsx", "src/index.mts", "a/b/script.PY", "Dockerfile", "docker/Dockerfile.prod", "lib/l10n/app_es.arb", "game/x.luau", "logo.png", "app.exe", ".gitignore", "README", "data.bin", "a.tar.gz", "Makefile", "conf/.hidden.yaml"]
-RAW_PATHS = ["a//b/./c.txt", "/srv/data/", "C:\\\\x\\\\y.py", "./a/b", "a/b/c", "/"]
-HEADINGS = ["1, '# Top\\nintro\\n## First\\nbody\\n### Deep\\nx\\n## Second\\ny\\n# Other\\nz'", "2, 'no heading\\n## Only second\\ntext'", "3, ''"]
 ENDINGS = ["1, 'a\\r\\nb\\rc\\nd'", "2, 'one\\n'", "3, ''", "4, '\\n\\n'", "5, 'x\\r\\n\\r\\ny\\r'"]
 
 
@@ -50,11 +46,6 @@ def folded_sql(word: str) -> str:
 TERMS_SQL = rf"list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+'), lambda w: {folded_sql('w')})"
 
 
-def split_identifier_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, [f"('{v}')" for v in IDENTIFIERS], "token")
-    return rows.select("token", F.posexplode(tx.split_identifier(F.col("token"))).alias("place", "part"))
-
-
 def expand_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select("p_name").union(table(spark, sf_dir, "events").select("event_type"))
     return words.select(F.explode(tx.expand(F.col("p_name"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
@@ -147,11 +138,6 @@ c AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY first
 )
 
 
-def heading_symbol_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = literal_rows(spark, [f"({r})" for r in HEADINGS], "doc_id, text")
-    return ch.heading_paths(ch.exploded_lines(docs, "doc_id"), "doc_id").select("doc_id", "i", "symbol")
-
-
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text").cast("binary")).alias("content_hash"))
 
@@ -165,25 +151,6 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(tx.chunk_id(F.col("file_id"), F.col("ordinal")).alias("id"), F.length("line").alias("n_chars"))
 
 
-def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, [f"('{p}')" for p in PATHS], "path").select("path", detect_language(F.col("path")).alias("language"))
-
-
-def _language_sql() -> str:
-    cases = " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in _by_name(FILE_NAMES).items())
-    endings = " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in _by_name(EXTENSIONS).items())
-    return rf"""
-WITH p AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM (VALUES {_sql_list(PATHS)}) AS v(path)),
-x AS (SELECT path, name, regexp_extract(name, '^\.*[^.].*?(\.[^.]*)$', 1) AS ext FROM p)
-SELECT path, CASE {cases} WHEN starts_with(name, 'dockerfile.') THEN 'dockerfile' {endings} END AS language FROM x"""
-
-
-def path_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = literal_rows(spark, [f"('{p}')" for p in RAW_PATHS], "raw").withColumn("path", tx.normalize_path(F.col("raw")))
-    root = F.lit("a/b")
-    return paths.select("path", tx.is_within(F.col("path"), root).alias("within"), tx.relative_path(F.col("path"), root).alias("relative"), tx.join_path(root, F.col("path")).alias("joined"))
-
-
 def ext_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(extension(F.regexp_replace("url", r"[?#].*$", "")).alias("ext"))
     return pages.groupBy("ext").agg(F.count("*").alias("n"))
@@ -230,16 +197,13 @@ def syntax_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        split_identifier_cases, expand_terms, query_terms_stopwords, search_text_build, term_df, doc_length_stats, postings_build, normalize_newlines, split_lines_counts, blank_filter, line_prefix_sums,
-        line_windows, chunk_rows, heading_symbol_path, content_hash, stable_id_sha, chunk_ids, language_detect, path_algebra, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks, markdown_sections, fold_terms,
+        expand_terms, query_terms_stopwords, search_text_build, term_df, doc_length_stats, postings_build, normalize_newlines, split_lines_counts, blank_filter, line_prefix_sums,
+        line_windows, chunk_rows, content_hash, stable_id_sha, chunk_ids, ext_histogram, embedding_texts, preview_lines, hash_embed, embed_batches_by_cost, syntax_chunks, markdown_sections, fold_terms,
     )
 }
 
 _ENDINGS_SQL = ", ".join("(" + r.replace("'", "E'", 1) + ")" for r in ENDINGS)
 ORACLES = {
-    "split_identifier_cases": rf"""
-WITH t AS (SELECT token, {_parts('token')} AS parts FROM (VALUES {_sql_list(IDENTIFIERS)}) AS v(token))
-SELECT token, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS place, unnest(parts) AS part FROM t""",
     "expand_terms": rf"""
 SELECT term, count(*) AS n FROM (SELECT unnest({_expanded('x')}) AS term FROM (SELECT p_name AS x FROM part UNION ALL SELECT event_type FROM events)) GROUP BY term""",
     "query_terms_stopwords": _QUESTION_SQL,
@@ -262,20 +226,10 @@ WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> ''""",
     "chunk_rows": _WINDOWS_SQL + r""",
 x AS (SELECT c.doc_id, c.ordinal, c.a, c.b, string_agg(e.line, chr(10) ORDER BY e.i) AS text FROM c JOIN e ON e.doc_id = c.doc_id AND e.i BETWEEN c.a AND c.b GROUP BY ALL)
 SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) || '-' || printf('%05d', ordinal) AS id, CAST(a + 1 AS INTEGER) AS start_line, CAST(b + 1 AS INTEGER) AS end_line, md5(text) AS digest FROM x""",
-    "heading_symbol_path": "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({d}, {i}, '{s}')"
-        for d, own in ((1, ["Top", "Top", "Top > First", "Top > First", "Top > First > Deep", "Top > First > Deep", "Top > Second", "Top > Second", "Other", "Other"]), (2, ["", "Only second", "Only second"]))
-        for i, s in enumerate(own)
-    )
-    + ") AS v(doc_id, i, symbol)",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "stable_id_sha": "SELECT doc_id, substr(sha256(encode(source) || '\\x00'::BLOB || encode(CAST(doc_id AS VARCHAR))), 1, 16) AS file_id FROM documents",
     "chunk_ids": "WITH" + _LINES_SQL + r"""
 SELECT substr(sha256(encode(d.source) || '\x00'::BLOB || encode(CAST(e.doc_id AS VARCHAR))), 1, 16) || '-' || printf('%05d', e.i) AS id, CAST(length(line) AS INTEGER) AS n_chars FROM e JOIN documents d USING (doc_id)""",
-    "language_detect": _language_sql(),
-    "path_algebra": """SELECT * FROM (VALUES ('a/b/c.txt', true, 'c.txt', 'a/b/a/b/c.txt'), ('/srv/data', false, NULL, 'a/b//srv/data'), ('C:/x/y.py', false, NULL, 'a/b/C:/x/y.py'),
-('a/b', true, NULL, 'a/b/a/b'), ('a/b/c', true, 'c', 'a/b/a/b/c'), ('/', false, NULL, 'a/b//')) AS v(path, within, relative, joined)""",
     "ext_histogram": r"SELECT regexp_extract(lower(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1]), '^\.*[^.].*?(\.[^.]*)$', 1) AS ext, count(*) AS n FROM pages GROUP BY 1",
     "embedding_texts": r"""SELECT doc_id, md5(substr(CASE WHEN lang = 'en' THEN source ELSE source || chr(10) || lang END || chr(10) || chr(10) || text, 1, 2000)) AS digest FROM documents""",
     "preview_lines": "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:4], lambda x: substr(x, 1, 110)), '|') AS preview FROM documents",

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators import evaluate, search, vectors
-from lexmill.plans import code_queries, index_queries, search_queries, text_queries
+from lexmill.plans import code_queries, index_queries, path_queries, search_queries, text_queries
 from lexmill.streaming.landing import index_landing
 
 SF = "/root/testdata/sf0.001"
-QUERIES = text_queries.QUERIES | code_queries.QUERIES | search_queries.QUERIES | index_queries.QUERIES
-ORACLES = text_queries.ORACLES | code_queries.ORACLES | search_queries.ORACLES | index_queries.ORACLES
+QUERIES = text_queries.QUERIES | code_queries.QUERIES | path_queries.QUERIES | search_queries.QUERIES | index_queries.QUERIES
+ORACLES = text_queries.ORACLES | code_queries.ORACLES | path_queries.ORACLES | search_queries.ORACLES | index_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

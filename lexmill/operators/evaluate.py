@@ -29,10 +29,6 @@ def hit_rates(results: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     return out.select("mode", F.when(F.col("whole") == 1, "all").otherwise(F.col("lang")).alias("lang"), "n", *(f"hit_{k}" for k in ks), "mrr_10")
 
 
-def median_of(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-
-
 def pivoted(rates: DataFrame, value: str, langs: list[str]) -> DataFrame:
     """One row for each mode, one column for each language."""
     return rates.groupBy("mode").pivot("lang", langs).agg(F.first(value))

@@ -122,27 +122,28 @@ class HashEmbedder:
     dim = HASH_DIM
 
     def embed_documents(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text):
-                out[i, int(hashlib.sha256(word.lower().encode()).hexdigest()[:8], 16) % self.dim] += 1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, length, out=out, where=length > 0)
+        words = [[w.lower() for w in re.findall(r"\w+", text)] for text in texts]
+        return hashed_bags(pa.array(words, pa.list_(pa.string())), self.dim).astype(np.float32)
 
     def embed_query(self, text: str) -> np.ndarray:
         return self.embed_documents([text])[0]
 
 
+def room_for(lengths: np.ndarray, max_batch: int = MAX_BATCH) -> np.ndarray:
+    """How many texts of a length one batch may hold (cost: the square of half the characters), one at least."""
+    half = np.maximum(lengths // 2, 1).astype(np.int64)
+    return np.clip(COST_BUDGET // (half * half), 1, max_batch)
+
+
 def batches_by_cost(lengths: list[int], max_batch: int = MAX_BATCH) -> list[list[int]]:
-    """Indices in batches of rising length; a batch holds as many texts as its longest one lets
-    it (cost: the square of half the characters), one at least."""
-    out: list[list[int]] = []
-    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        room = max(1, min(max_batch, COST_BUDGET // max(1, lengths[i] // 2) ** 2))
-        if out and len(out[-1]) < room:
-            out[-1].append(i)
-        else:
-            out.append([i])
+    """Indices in batches: texts that have the same room, in the order of their length, as many to a batch as it holds
+    (the rule of ``batches_of_documents``)."""
+    lengths_ = np.asarray(lengths, dtype=np.int64)
+    rooms = room_for(lengths_, max_batch)
+    order = np.lexsort((np.arange(len(lengths_)), lengths_, -rooms))
+    out = []
+    for own in np.split(order, np.flatnonzero(np.diff(rooms[order])) + 1) if len(order) else []:
+        out += [own[i : i + rooms[own[0]]].tolist() for i in range(0, len(own), int(rooms[own[0]]))]
     return out
 
 
@@ -174,19 +175,25 @@ def embedding_column(text: Column, embedder: Embedder) -> Column:
     return embed(text)
 
 
-def hash_buckets(text: Column, dim: int = HASH_DIM) -> Column:
-    """The bucket of each term of a text: the first 32 bits of its SHA-256, modulo ``dim``."""
-    bucket = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    return F.transform(words(text), bucket)
+def hashed_bags(words_of: pa.Array, dim: int) -> np.ndarray:
+    """Counts of hashed words, a row of unit length for each list; zeros where a list is empty."""
+    counts = pc.fill_null(pc.list_value_length(words_of), 0).to_numpy(zero_copy_only=False)
+    encoded = words_of.flatten().dictionary_encode()
+    told = [int.from_bytes(hashlib.sha256(w.encode()).digest()[:4]) % dim for w in encoded.dictionary.to_pylist()]
+    bucket = np.array(told, dtype=np.int64)[encoded.indices.to_numpy(zero_copy_only=False)] if told else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    out = np.bincount(row * dim + bucket, minlength=len(counts) * dim).astype(np.float64).reshape(len(counts), dim)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 def hash_embedding(docs: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
-    """(key, vector): counts of hashed terms, of unit length; all zeros for a text without terms."""
-    distinct = docs.select(key, F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    bucket = (F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counts = distinct.groupBy(key, bucket.alias("bucket")).agg(F.sum("n").alias("n"))
-    bags = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("bag"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    filled = F.transform(places, lambda i: (F.coalesce(F.try_element_at("bag", i), F.lit(0)) / F.col("length")))
-    zeros = F.transform(places, lambda i: F.lit(0.0))
-    return docs.select(key).join(bags, key, "left").select(key, F.coalesce(filled, zeros).alias("vector"))
+    """(key, vector): counts of hashed terms, of unit length; all zeros for a text without terms.  A map: each distinct
+    word of an Arrow batch is hashed once."""
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        vectors = hashed_bags(lists, dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))
+
+    return docs.select(key, embed(words(F.coalesce("text", F.lit("")))).alias("vector"))

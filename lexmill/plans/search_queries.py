@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import blockmax, evaluate, search
+from lexmill.operators import blockmax, evaluate, ranks, search
 from lexmill.operators import vectors as vx
 from lexmill.operators.numbering import written
 from lexmill.plans.tables import literal_rows, table
@@ -185,7 +185,7 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def median_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.median_of(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"), "n")
+    return ranks.median(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"), "n")
 
 
 def resumed_models(spark: SparkSession, sf_dir: str) -> DataFrame:

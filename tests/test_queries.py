@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import evaluate, search, vectors
+from lexmill.operators import evaluate, ranks, search, vectors
 from lexmill.plans import code_queries, index_queries, path_queries, search_queries, text_queries
 from lexmill.streaming.landing import index_landing
 
@@ -71,6 +71,27 @@ def test_batches_by_cost():
     assert all(len(b) == 1 or len(b) * (max(lengths[i] for i in b) // 2) ** 2 <= vectors.COST_BUDGET for b in batches)
 
 
+def test_the_embedder_batches_as_the_query_says(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "x" * int(n)) for i, n in enumerate(rng.integers(0, 5000, 200))] + [(200, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked: dict = {}
+    for r in vectors.batches_of_documents(docs, "id", "text").collect():
+        asked.setdefault((r["room"], r["batch"]), set()).add(r["id"])
+    own = vectors.batches_by_cost([len(t or "") for _, t in rows])
+    assert sorted(map(sorted, own)) == sorted(map(sorted, asked.values()))
+
+
+def test_exact_medians_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    groups = {"even": rng.normal(size=300).tolist(), "odd": rng.normal(size=301).tolist(), "ties": [1.5] * 200 + [2.5] * 200, "one": [7.0], "wide": (10.0 ** rng.integers(-300, 300, 120)).tolist(), "ends": [float("-inf"), 1.0, float("inf")] * 30, "none": [None, None], None: [1.0, 2.0, 5.0, 9.0], "small": [0.0, 5e-324] * 20}
+    rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    expected = {g: float(np.median([v for v in values if v is not None])) if any(v is not None for v in values) else None for g, values in groups.items()}
+    for few, buckets in ((1, 2), (3, 7), (10_000, 1024)):
+        found = {r["g"]: (r["median"], r["n"]) for r in ranks.median(rows, ["g"], "v", few, buckets).collect()}
+        assert found == {g: (m, sum(v is not None for v in groups[g])) for g, m in expected.items()}
+
+
 def test_nearest_each_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROWS_IN_BLOCK", 7)
     monkeypatch.setattr(vectors, "QUERIES_IN_BLOCK", 3)

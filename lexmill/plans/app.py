@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
 import sys
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -29,6 +32,18 @@ RETRIES = 3
 STREAM = "stream:"
 
 
+#: Files that are read between two commits, and seconds between two questions whether a run is cancelled.
+ROUND_FILES, POLL_SECONDS = 100_000, 0.2
+
+
+class Cancelled(Exception):
+    """A run was cancelled while its jobs were running."""
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
 class LexmillError(Exception):
     """What a user did wrong; the command line exits with 2."""
 
@@ -123,8 +138,9 @@ class Lexmill:
     def index(self, root_keys: list[str] | None = None, full: bool = False, progress: Callable[[str, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> dict:
         """Bring the index up to date; returns the counters of the run.
 
-        ``progress`` is told each step and how many files it has.  Once ``cancelled`` says so, what was
-        read so far is still committed, but nothing more is read and nothing is deleted."""
+        ``progress`` is told each step and how many files it has.  ``cancelled`` is asked all the while, from another
+        thread: once it says so, jobs that read files are stopped within their tasks; what was read in full
+        rounds (``ROUND_FILES``) is committed, nothing more is read and nothing is deleted."""
         chosen = [self.settings.find_root(k) for k in root_keys] if root_keys else self.settings.roots
         store, tell, stop = self.store, progress or (lambda step, n: None), cancelled or (lambda: False)
         for attempt in range(RETRIES):
@@ -151,39 +167,76 @@ class Lexmill:
         recorded = manifest.filter(F.col("root_id").isin([r["id"] for r in chosen]))
         state = written(incremental.classify(wanted, recorded), work)
         # Contents are read only of what the join says may have changed.
-        to_read = state.filter(F.col("status").isin("new", "candidate")).join(wanted.select(*incremental.FILE_KEY, "abs_path", "language"), incremental.FILE_KEY)
-        if stop():
-            to_read = to_read.limit(0)
         file_id = tx.stable_id(F.col("root_id"), F.col("rel_path")).alias("file_id")
-        read = written(incremental.settle(folder.read_files(to_read, self.settings.max_file_bytes)).withColumn("file_id", file_id), work)
-        tell("read", read.count())
-        segment = store.new_segment()
-        chunks = store.write(segment, "chunks", self._chunks(read.filter(F.col("outcome") == "indexed")))
-        counts = chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"))
-        tell("chunked", chunks.count())
-        now = datetime.now(UTC).isoformat(timespec="seconds")
-        done = read.filter(F.col("outcome") != "error").join(counts, "file_id", "left")
+        to_read = state.filter(F.col("status").isin("new", "candidate")).join(wanted.select(*incremental.FILE_KEY, "abs_path", "language"), incremental.FILE_KEY).withColumn("file_id", file_id)
+        to_read = written(to_read, work)
+        rounds = max(1, -(-to_read.count() // ROUND_FILES))
+        gone = state.filter(F.col("status") == "removed").select(file_id)
+        ended = gone.union(manifest.filter(~F.col("root_id").isin(configured)).select("file_id")).distinct()
+        settled = state.filter(F.col("status").isin("unchanged", "removed")).select("status", F.lit(None).cast("long").alias("n_chunks"))
+        total, n_read, snapshot = incremental.report(settled).first().asDict(), 0, base
+        for i in range(rounds):
+            mine = to_read.filter(F.pmod(F.xxhash64("file_id"), F.lit(rounds)) == i)
+            segment = store.new_segment()
+            try:
+                with self._stopping(stop):
+                    read = written(incremental.settle(folder.read_files(mine, self.settings.max_file_bytes)), work)
+                    n_read += read.count()
+                    tell("read", n_read)
+                    chunks = store.write(segment, "chunks", self._chunks(read.filter(F.col("outcome") == "indexed")))
+                    tell("chunked", chunks.count())
+            except Cancelled:
+                return total | {"removed": 0, "full_rebuild": rebuild}
+            complete = i == rounds - 1 and not stop()
+            done = read.filter(F.col("outcome") != "error").join(chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks")), "file_id", "left")
+            own = incremental.report(done.select(F.col("outcome").alias("status"), "n_chunks")).first().asDict()
+            total = {k: v + own[k] for k, v in total.items()}
+            records = store.write(segment, "manifest", self._records(done))
+            replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select("file_id")
+            dropped = ended if complete else ended.limit(0)
+            # A file's record and content end with whatever this run has of it, also where it is new: another writer may have it, too.
+            tombstones = records.select("file_id").union(dropped).withColumn("what", F.lit("record")).union(replaced.union(dropped).withColumn("what", F.lit("content")))
+            tombstones = store.write(segment, "tombstones", tombstones)
+            if (rebuild and i == 0) or not tombstones.isEmpty():
+                snapshot = self._finish(store, snapshot, segment, chunks, {"indexed_at": _now()}, rebuild and i == 0)
+                tell("committed", snapshot.number)
+            if not complete and stop():
+                return total | {"removed": 0, "full_rebuild": rebuild}
+        return total | {"full_rebuild": rebuild}
+
+    @staticmethod
+    def _records(done: DataFrame) -> DataFrame:
+        """Manifest rows of files that were read; a touched one keeps its status and its chunks."""
         touched = F.col("outcome") == "touched"
-        records = done.select(
-            "root_id", "rel_path", "file_id", "content_hash", "language", F.when(touched, F.col("old_status")).otherwise(F.col("outcome")).alias("status"), F.lit(now).alias("indexed_at"),
+        return done.select(
+            "root_id", "rel_path", "file_id", "content_hash", "language", F.when(touched, F.col("old_status")).otherwise(F.col("outcome")).alias("status"), F.lit(_now()).alias("indexed_at"),
             "size", "mtime_ns", F.when(touched, F.col("old_chunk_count")).otherwise(F.coalesce("n_chunks", F.lit(0))).cast("long").alias("chunk_count"),
         )
-        cut_short = stop()
-        gone = state.filter(F.col("status") == "removed").select(file_id)
-        stale = manifest.filter(~F.col("root_id").isin(configured)).select("file_id")
-        ended = gone.union(stale).filter(F.lit(not cut_short)).distinct()
-        outcome = state.filter(F.col("status").isin("unchanged", "removed")).select("status", F.lit(None).cast("long").alias("n_chunks")).union(done.select(F.col("outcome").alias("status"), "n_chunks"))
-        report = incremental.report(outcome).first().asDict()
-        if cut_short:
-            report["removed"] = 0
-        records = store.write(segment, "manifest", records)
-        replaced = read.filter(F.col("outcome").isin("indexed", "unreadable")).select("file_id")
-        # A file's record and content end with whatever this run has of it, also where it is new: another writer may have it, too.
-        tombstones = records.select("file_id").union(ended).withColumn("what", F.lit("record")).union(replaced.union(ended).withColumn("what", F.lit("content")))
-        tombstones = store.write(segment, "tombstones", tombstones)
-        if rebuild or not tombstones.isEmpty():
-            tell("committed", self._finish(store, base, segment, chunks, {"indexed_at": now}, rebuild).segments[-1]["bytes"])
-        return report | {"full_rebuild": rebuild}
+
+    @contextlib.contextmanager
+    def _stopping(self, stop: Callable[[], bool]):
+        """Jobs that are run inside bear a tag, and are cancelled as soon as ``stop`` says so; then ``Cancelled`` is raised."""
+        context, tag, over, asked = self.spark.sparkContext, f"lexmill-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+        def watch() -> None:
+            while not over.wait(POLL_SECONDS):
+                if stop():
+                    asked.set()
+                    context.cancelJobsWithTag(tag)  # again and again: another job may have begun meanwhile
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        context.addJobTag(tag)
+        watcher.start()
+        try:
+            yield
+        except Exception as error:
+            if asked.is_set():
+                raise Cancelled from error
+            raise
+        finally:
+            over.set()
+            watcher.join()
+            context.removeJobTag(tag)
 
     def _finish(self, store: IndexStore, base: Snapshot, segment: str, chunks: DataFrame, meta: dict, rebuild: bool) -> Snapshot:
         """Write the text index of a segment's chunks, commit the segment, and tidy up."""
@@ -204,7 +257,7 @@ class Lexmill:
         store = self.store
         base = store.current()
         rebuild = base.identity != self._identity()
-        now = datetime.now(UTC).isoformat(timespec="seconds")
+        now = _now()
         latest = documents.groupBy("rel_path").agg(F.max_by(F.struct("language", "text", "deleted"), F.struct("version", F.coalesce("text", F.lit("")))).alias("latest"))
         work = store.working_folder()
         try:

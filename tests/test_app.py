@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 
 from lexmill.operators.search import bm25, bm25_from_index, id_in, origin_is
-from lexmill.plans.app import Lexmill, main
+from lexmill.plans.app import Cancelled, Lexmill, main
 from lexmill.sources import folder, ignore
 from lexmill.sources.store import IndexStore
 
@@ -126,8 +127,8 @@ def test_a_change_costs_a_small_segment_and_a_cancelled_run_deletes_nothing(spar
     (root / "server/users.ts").write_text("export function somethingElse() {}\n")
     (root / "config/app.yaml").unlink()
     assert app.index(cancelled=lambda: True)["indexed"] == 0 and app.store.current() == before
-    answers = iter([False, False, True])
-    cut = app.index(cancelled=lambda: next(answers))
+    told = []
+    cut = app.index(progress=lambda step, n: told.append(step), cancelled=lambda: "chunked" in told)
     assert (cut["indexed"], cut["removed"]) == (1, 0) and app.status()["files"] == len(WANTED)
     after = app.store.current()
     assert after.segments[0] == before.segments[0] and after.segments[1]["rows"] == 1 and after.number == before.number + 1
@@ -136,6 +137,33 @@ def test_a_change_costs_a_small_segment_and_a_cancelled_run_deletes_nothing(spar
     assert not [n for n in os.listdir(tmp_path / "data/index") if n.startswith("_work")]
 
 
+def test_a_cancelled_read_stops_within_its_tasks_and_full_rounds_stay(spark, tmp_path, monkeypatch):
+    base, app = tmp_path / "repo", Lexmill(spark, str(tmp_path / "data"))
+    _many(base, 20)
+    app.add_root(str(base))
+    monkeypatch.setattr("lexmill.plans.app.ROUND_FILES", 5)
+    told = []
+    cut = app.index(progress=lambda step, n: told.append(step), cancelled=lambda: told.count("committed") == 2)
+    n = app.store.read("manifest").count()
+    assert 0 < cut["indexed"] == n < 20 and told.count("committed") == 2
+    rest = app.index()
+    assert (rest["indexed"], rest["unchanged"]) == (20 - n, n) and app.status()["files"] == 20
+    assert app.search("only_13").first().rel_path == "pkg6/m13.py"
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(120)
+            yield batch
+
+    began, asked = time.monotonic(), time.monotonic() + 3
+    with pytest.raises(Cancelled), app._stopping(lambda: time.monotonic() > asked):
+        spark.range(4).repartition(2).mapInPandas(slow, "id long").count()
+    assert time.monotonic() - began < 60
+    assert spark.range(3).count() == 3  # later jobs bear no tag
+
+
 def _many(base, n, marker="v1"):
     for i in range(n):
         path = base / f"pkg{i % 7}/m{i}.py"

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: the checkpoint folder, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/lexmill-work"
+    """A folder that the driver and all executors share: the checkpoint folder.  On one machine the warehouse
+    will do where none is named; on a cluster that may be a folder of one machine, so it is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexmill-work"
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 _BLOCKS: dict[tuple[str, str], DataFrame] = {}
 
 
-def _blocked_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def blocked_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The written index in blocks (and the statistics), built once in a Spark application."""
     own = (spark.sparkContext.applicationId, sf_dir)
     posted, stats = _text_index(spark, sf_dir)
@@ -85,7 +85,7 @@ def _blocked_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return blockmax.BlockSearch(*_blocked_index(spark, sf_dir), queries, k, "doc_id", "item_id", "question").best()
+    return blockmax.BlockSearch(*blocked_index(spark, sf_dir), queries, k, "doc_id", "item_id", "question").best()
 
 
 def blockmax_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, the warehouse is such a folder; a folder of one machine never is."""
+    On one machine the warehouse will do where the session names none; on a cluster that is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 
 

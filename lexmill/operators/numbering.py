@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ def working_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the checkpoint folder.  On one machine the warehouse
     will do where none is named; on a cluster that may be a folder of one machine, so it is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local["):
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexmill-work"
 

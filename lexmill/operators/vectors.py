@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from lexmill.functions.text import words
-from lexmill.operators.numbering import numbered
+from lexmill.operators.numbering import numbered, written
 
 HASH_DIM = 128
 #: The budget of one embedding batch, batch size x tokens squared.
 COST_BUDGET, MAX_BATCH = 16 * 512**2, 256
 #: Vectors in a block of rows and in a block of queries.
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+#: Vectors that tell blocks apart, and what rounding may add to an angle.
+PIVOTS, ANGLE_SLACK = 64, 1e-7
 #: Distances of many queries are rounded before they rank, so that ties are ties and the key decides.
 DISTANCE_DIGITS = 12
 
@@ -48,33 +52,70 @@ def nearest(rows: DataFrame, vector: list[float], k: int, key: str, column: str,
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int, key: str, column: str, query_key: str, query_column: str) -> DataFrame:
     """(query_key, key, distance, rank): the ``k`` nearest rows of every query, exactly.
 
-    Both sides are packed into blocks of vectors, and every block of rows meets every block of the
-    stated queries in one matrix product that returns at most ``k`` candidates for each query.
-    Nothing goes through the driver, and rows are read once however many queries there are."""
-    left = _packed(rows, key, column, ROWS_IN_BLOCK).toDF("keys", "vectors")
-    right = _packed(queries, query_key, query_column, QUERIES_IN_BLOCK).toDF("query_keys", "query_vectors")
+    Both sides are packed into blocks of vectors that lie near the same pivot.  A block is a cap on the unit sphere:
+    its middle and the largest angle from it.  By the triangle inequality two caps bound the distances between
+    their vectors on both sides, so a look at the caps alone says within which distance each block of queries
+    has ``k`` rows, and which blocks of rows can hold any of them.  Those pairs meet in one matrix product
+    each.  Nothing but ``PIVOTS`` vectors goes through the driver."""
+    pivots = _pivots(rows, key, column)
+    left = written(_packed(rows, key, column, ROWS_IN_BLOCK, pivots).toDF("block", "keys", "vectors", "middle", "angle", "n"))
+    right = written(_packed(queries, query_key, query_column, QUERIES_IN_BLOCK, pivots).toDF("query_block", "query_keys", "query_vectors", "query_middle", "query_angle", "query_n"))
     schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, distance double"
-    candidates = left.crossJoin(right).mapInArrow(_block_candidates(k, key, query_key), schema)
+    near = pairs_of_blocks(left, right, k).filter("needed").select("block", "query_block")
+    met = near.join(left.select("block", "keys", "vectors"), "block").join(right.select("query_block", "query_keys", "query_vectors"), "query_block")
+    candidates = met.select("keys", "vectors", "query_keys", "query_vectors").mapInArrow(_block_candidates(k, key, query_key), schema)
     best = Window.partitionBy(query_key).orderBy("distance", key)
     return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, key: str, column: str, size: int) -> DataFrame:
-    """(keys, vectors): blocks of rows, their vectors scaled to unit length, as rows of one matrix of
-    64-bit floats; rows without a vector or with one of zeros are left out."""
+def pairs_of_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(block, query_block, needed): every block of rows with every block of queries, by their caps alone."""
+    caps = left.select("block", "middle", "angle", "n").crossJoin(right.select("query_block", "query_middle", "query_angle"))
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("middle"), F.col("query_middle")))))
+    reach = F.col("angle") + F.col("query_angle") + ANGLE_SLACK
+    bounds = caps.select("block", "query_block", "n", F.greatest(between - reach, F.lit(0.0)).alias("low"), F.least(between + reach, F.lit(math.pi)).alias("high"))
+    rising = Window.partitionBy("query_block").orderBy("high", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = bounds.withColumn("held", F.sum("n").over(rising))
+    within = held.groupBy("query_block").agg(F.min(F.when(F.col("held") >= k, F.col("high"))).alias("within"))
+    return bounds.join(within, "query_block").select("block", "query_block", (F.col("within").isNull() | (F.col("low") <= F.col("within"))).alias("needed"))
+
+
+def _pivots(rows: DataFrame, key: str, column: str) -> np.ndarray:
+    """At most ``PIVOTS`` directions of rows, chosen by a hash of their keys."""
+    found = rows.filter(F.col(column).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(column).cast("array<double>").alias("v")).orderBy("h").limit(PIVOTS).toArrow()
+    vectors = [np.array(v, dtype=np.float64) for v in found.column("v").to_pylist()]
+    lengths = [float(np.linalg.norm(v)) for v in vectors]
+    return np.array([v / n for v, n in zip(vectors, lengths) if n > 0 and np.isfinite(n)])
+
+
+def _packed(rows: DataFrame, key: str, column: str, size: int, pivots: np.ndarray) -> DataFrame:
+    """(block, keys, vectors, middle, angle, n): blocks of rows of the same nearest pivot, their vectors scaled to unit
+    length, as rows of one matrix of 64-bit floats; rows without a vector or with one of zeros are left out."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                matrix = np.array(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
-                length = np.linalg.norm(matrix, axis=1)
-                kept = length > 0
-                keys = part.column(0).filter(pa.array(kept))
-                matrix = matrix[kept] / length[kept, None]
-                yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([matrix.tobytes()], pa.binary())], names=["keys", "vectors"])
-
-    return rows.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"keys array<{rows.schema[key].dataType.simpleString()}>, vectors binary")
+            matrix = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            length = np.linalg.norm(matrix, axis=1)
+            kept = length > 0
+            keys, matrix = batch.column(0).filter(pa.array(kept)), matrix[kept] / length[kept, None]
+            pivot = (matrix @ pivots.T).argmax(axis=1) if len(pivots) and len(matrix) else np.zeros(len(matrix), np.int64)
+            order = np.argsort(pivot, kind="stable")
+            cuts = np.flatnonzero(np.diff(pivot[order])) + 1
+            for same in np.split(order, cuts) if len(order) else []:
+                for at in range(0, len(same), size):
+                    own = same[at : at + size]
+                    middle = matrix[own].sum(axis=0)
+                    norm = np.linalg.norm(middle)
+                    middle = middle / norm if norm > 1e-9 else matrix[own[0]]
+                    angle = float(np.arccos(np.clip((matrix[own] @ middle).min(), -1, 1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number]), pa.array([keys.take(pa.array(own)).to_pylist()], pa.list_(keys.type)), pa.array([matrix[own].tobytes()], pa.binary()), pa.array([middle.tolist()], pa.list_(pa.float64())), pa.array([angle]), pa.array([len(own)])],
+                        names=["block", "keys", "vectors", "middle", "angle", "n"],
+                    )
+                    number += 1
+
+    return rows.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"block long, keys array<{rows.schema[key].dataType.simpleString()}>, vectors binary, middle array<double>, angle double, n long")
 
 
 def _block_candidates(k: int, key: str, query_key: str):

@@ -107,6 +107,23 @@ def test_nearest_each_against_brute_force(spark, monkeypatch):
         assert len(got[q]) == 4 and [round(1 - np.dot(dict(own)[k], w) / np.linalg.norm(dict(own)[k]) / np.linalg.norm(w), 12) for _, k in sorted(got[q])] == [d for d, _ in all_of[:4]]
 
 
+def test_neighbours_in_clusters_skip_most_pairs_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 12))
+    own = [(i, (middles[i % 30] + rng.normal(scale=0.02, size=12)).tolist()) for i in range(900)]
+    asked = [(i, (middles[i % 30] + rng.normal(scale=0.02, size=12)).tolist()) for i in range(60)]
+    rows, queries = spark.createDataFrame(own, "id long, v array<double>"), spark.createDataFrame(asked, "q long, w array<double>")
+    pivots = vectors._pivots(rows, "id", "v")
+    left = vectors._packed(rows, "id", "v", 64, pivots)
+    right = vectors._packed(queries, "q", "w", 64, pivots).withColumnsRenamed({"block": "query_block", "middle": "query_middle", "angle": "query_angle"})
+    share = vectors.pairs_of_blocks(left, right, 5).agg({"needed": "count"}).first()[0], vectors.pairs_of_blocks(left, right, 5).filter("needed").count()
+    assert 0 < share[1] < 0.4 * share[0]
+    unit = lambda x: np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    distance = np.round(1 - unit([w for _, w in asked]) @ unit([v for _, v in own]).T, 12)
+    expected = {(q, int(i), r + 1) for q in range(60) for r, i in enumerate(np.lexsort((np.arange(900), distance[q]))[:5])}
+    assert {(r["q"], r["id"], r["rank"]) for r in vectors.nearest_each(rows, queries, 5, "id", "v", "q", "w").collect()} == expected
+
+
 def test_both_hash_embedders_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     own = {r.doc_id: r.vector for r in vectors.hash_embedding(docs, "doc_id").collect()}

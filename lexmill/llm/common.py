@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ def shared_root(spark: SparkSession) -> str:
 
     On one machine the warehouse will do where the session names none; on a cluster that is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local["):
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 

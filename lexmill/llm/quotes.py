@@ -211,17 +211,24 @@ d AS (
 g AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, CASE WHEN depth = lag(depth) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS opens FROM d)),
 r AS (SELECT id, conv_id, turn, run, any_value(depth) AS depth, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY id, conv_id, turn, run),
 o AS (SELECT id, conv_id, turn, string_agg(body, chr(10) ORDER BY run) AS body FROM r WHERE depth = 0 GROUP BY id, conv_id, turn),
+op AS (SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n[ \t]*\n')) AS body FROM r WHERE depth = 0),
 said AS (
-  SELECT conv_id, turn, body FROM o UNION ALL SELECT conv_id, turn, body FROM r WHERE depth = 0
-  UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n[ \t]*\n')) FROM r WHERE depth = 0 UNION ALL SELECT conv_id, turn, line FROM g WHERE depth = 0),
+  SELECT conv_id, turn, body FROM o UNION ALL SELECT conv_id, turn, body FROM r WHERE depth = 0 UNION ALL SELECT conv_id, turn, body FROM op
+  UNION ALL SELECT conv_id, turn, unnest(string_split(regexp_replace(trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')), '([.!?…]["''”’»)\]]{0,2}) ', '\1' || chr(1), 'g'), chr(1))) FROM op UNION ALL SELECT conv_id, turn, line FROM g WHERE depth = 0),
 f AS (SELECT conv_id, h, min(turn) AS source FROM (SELECT conv_id, turn, trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h FROM said) WHERE h <> '' AND turn IS NOT NULL GROUP BY conv_id, h),
 q0 AS (
-  SELECT conv_id, turn, row_number() OVER (PARTITION BY id ORDER BY run) AS place, depth, trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h,
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY id ORDER BY run) AS place, depth, body, trim(regexp_replace(lower(body), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h,
     list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(lower(x), '[\s\x0b\x{a0}]+', ' ', 'g'))), lambda x: x <> '') AS own_lines
   FROM r WHERE depth > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
-q AS (SELECT row_number() OVER () AS n, * FROM (SELECT DISTINCT * FROM q0 WHERE len(own_lines) > 0)),
+q AS (SELECT row_number() OVER () AS n, * FROM (SELECT conv_id, turn, place, depth, h, min(body) AS body FROM q0 WHERE len(own_lines) > 0 GROUP BY conv_id, turn, place, depth, h, own_lines)),
 w AS (SELECT q.*, CASE WHEN f.source < q.turn THEN f.source END AS whole FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.h = q.h),
-s AS (SELECT w.n, max(CASE WHEN f.source < w.turn THEN f.source END) AS part FROM (SELECT n, conv_id, turn, unnest(own_lines) AS x FROM w) w JOIN f ON f.conv_id = w.conv_id AND f.h = w.x GROUP BY w.n),
+qp AS (SELECT n, conv_id, turn, generate_subscripts(ps, 1) AS part, unnest(ps) AS p FROM (SELECT *, regexp_split_to_array(body, '\n[ \t]*\n') AS ps FROM w WHERE whole IS NULL)),
+pieces AS (  -- a paragraph, its sentences, its lines
+  SELECT n, conv_id, turn, part, 0 AS level, trim(regexp_replace(lower(p), '[\s\x0b\x{a0}]+', ' ', 'g')) AS h FROM qp
+  UNION ALL SELECT n, conv_id, turn, part, 1, unnest(string_split(regexp_replace(trim(regexp_replace(lower(p), '[\s\x0b\x{a0}]+', ' ', 'g')), '([.!?…]["''”’»)\]]{0,2}) ', '\1' || chr(1), 'g'), chr(1))) FROM qp
+  UNION ALL SELECT n, conv_id, turn, part, 2, trim(regexp_replace(lower(x), '[\s\x0b\x{a0}]+', ' ', 'g')) FROM (SELECT *, unnest(string_split(p, chr(10))) AS x FROM qp)),
+levels AS (SELECT pieces.n, part, level, max(f.source) AS source FROM pieces JOIN f ON f.conv_id = pieces.conv_id AND f.h = pieces.h WHERE f.source < pieces.turn GROUP BY pieces.n, part, level),
+s AS (SELECT n, max(source) AS part FROM (SELECT n, part, arg_min(source, level) AS source FROM levels GROUP BY n, part) GROUP BY n),
 k AS (SELECT conv_id, turn, depth, coalesce(whole, part) AS source FROM w LEFT JOIN s USING (n)),
 c AS (SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked, arg_max(source, (-depth, source)) FILTER (WHERE source IS NOT NULL) AS parent FROM k GROUP BY conv_id, turn),
 u AS (

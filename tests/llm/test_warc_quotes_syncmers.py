@@ -5,6 +5,7 @@ import hashlib
 import textwrap
 
 import duckdb
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,6 +124,12 @@ def test_rewrapped_paragraphs_and_single_sentences(spark):
     ]
     found = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert sorted((r.turn, r.n_quoted, r.n_linked, r.parent_turn, r.root_turn) for r in found.collect()) == [(0, 0, 0, None, 0), (1, 1, 1, 0, 0), (2, 1, 1, 0, 0), (3, 1, 0, None, 3), (4, 1, 1, 1, 0)]
+    # The SQL says the same of them.
+    conversations = pa.table({"conv_id": [r[0] for r in rows], "turn": [r[1] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
+    told = duckdb.connect().register("conversations", conversations).execute(quotes.OP3_SQL)
+    columns = [c[0] for c in told.description]
+    own = quotes.as_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*columns).collect()
+    assert sorted(map(tuple, own)) == sorted(told.fetchall())
 
 
 def sketch(text):

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_table, materialize, table, tasks_for, text_or_empty
+from lexmill.llm.common import SALTS, drop_table, materialize, table, tasks_for, text_or_empty
 
 #: A line's marks: ``>`` signs with single blanks between or before them.
 MARKS = r"^[ \t]?(?:>[ \t]?)+"
@@ -34,6 +34,8 @@ PARAGRAPH_BREAK = r"\n[ \t]*\n"
 #: In normalised text: the space after a sentence's last sign and what closes with it.
 SENTENCE_BREAK = r"(?<=[.!?…][\"'”’»)\]]{0,2}) "
 KEY = ["conv_id", "turn"]
+#: Ids of conversations that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def normalized(text: Column) -> Column:
@@ -115,8 +117,15 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
     quoted = materialize(quoted.withColumn("n", F.monotonically_increasing_id()), "quoted")
     wanted = quoted.select("conv_id", F.col("hash")).union(quoted.select("conv_id", F.explode(F.flatten("parts")).alias("piece")).select("conv_id", "piece.hash")).distinct()
     offered = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    # Only conversations that hold quotations offer anything.
-    offered = offered.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    # Only conversations that hold quotations offer anything.  Their ids are few (counted), or else the join is dealt
+    # by turn as well, so that one long conversation is not one task.
+    quoting = materialize(wanted.select("conv_id").distinct(), "quoting-conversations")
+    if quoting.count() <= BROADCAST_ROWS:
+        offered = offered.join(F.broadcast(quoting), "conv_id", "left_semi")
+    else:
+        salt = F.pmod(F.xxhash64("turn"), F.lit(SALTS))
+        salted = quoting.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        offered = offered.withColumn("salt", salt).join(salted, ["conv_id", "salt"], "left_semi").drop("salt")
     first = offered.select(*KEY, F.explode(_own_passages(F.col("runs"))).alias("said")).groupBy("conv_id", F.sha2("said", 256).alias("hash")).agg(F.min("turn").alias("source_turn"))
     first = first.join(wanted, ["conv_id", "hash"], "left_semi")
     earlier = F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn"))
@@ -185,7 +194,10 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     own = F.array_join(F.flatten(F.transform(F.filter("runs", lambda r: r.depth == 0), lambda r: r.lines)), "\n")
     text = parsed.select(*KEY, "role", F.trim(own).alias("own_text"))
     zero = F.lit(0).cast("long")
-    return text.join(placed, KEY, "left").select(
+    # Rows without a key have no partner: they are not dealt by it.
+    keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    rows = text.filter(keyed).join(placed, KEY, "left").unionByName(text.filter(~keyed), allowMissingColumns=True)
+    return rows.select(
         *KEY, "role", "own_text", F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"), "parent_turn",
         F.coalesce(F.get("path", F.lit(0)), "turn").alias("root_turn"), (F.coalesce(F.size("path"), F.lit(1)) - 1).cast("long").alias("depth"), F.col("path").alias("reply_path"), "position",
     )

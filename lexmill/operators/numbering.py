@@ -15,7 +15,13 @@ def working_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexmill-work"
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/lexmill-work/{spark.sparkContext.applicationId}"
+
+
+def clear_working_tables(spark: SparkSession) -> None:
+    """Remove what this application's ``written`` tables left; call it once their results are written elsewhere."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(working_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -89,6 +89,12 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.line_symbols(_books(spark, sf_dir, list(SOURCES)), "id").select("id", "i", "symbol")
 
 
+def unit_end_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last row over which each definition, heading or key is the innermost one."""
+    rows = code_symbols(spark, sf_dir).filter("symbol <> ''")
+    return rows.groupBy("id", "symbol").agg(F.min("i").alias("first_row"), F.max("i").alias("end_row"))
+
+
 def heading_symbol_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of headings over every line, by window functions alone."""
     lines = ch.exploded_lines(_books(spark, sf_dir, list(HEADINGS), HEADINGS), "id")
@@ -121,7 +127,7 @@ def merge_small_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", "piece.first", "piece.last", F.array_join("piece.names", ",").alias("names"))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, heading_symbol_path, code_chunks, remove_overlaps, merge_small_pieces)}
+QUERIES = {f.__name__: f for f in (code_symbols, unit_end_rows, heading_symbol_path, code_chunks, remove_overlaps, merge_small_pieces)}
 
 
 def _symbols_sql(sources: dict) -> str:
@@ -196,6 +202,7 @@ UNION ALL SELECT 'python-' || book, 0, 1, CAST(max(l) + 1 AS INTEGER), 'Book_' |
 
 ORACLES = {
     "code_symbols": _symbols_sql(SOURCES),
+    "unit_end_rows": f"SELECT id, symbol, min(i) AS first_row, max(i) AS end_row FROM ({_symbols_sql(SOURCES)}) WHERE symbol <> '' GROUP BY id, symbol",
     "heading_symbol_path": _symbols_sql(HEADINGS),
     "code_chunks": _code_chunks_sql(),
     "remove_overlaps": _WINDOWS_SQL

@@ -216,6 +216,14 @@ class IndexStore:
             self._fs.delete(self._at(f"{self._path}/{name}"), True)
         return len(old)
 
+    def truncate(self) -> Snapshot:
+        """An index of the same identity without rows; readers of older snapshots keep theirs."""
+        for _ in range(ATTEMPTS):
+            old = self.current()
+            if self._succeed(old, Snapshot(0, old.identity, [], 0, 0, old.meta)):
+                return self.current()
+        raise Conflict(f"{ATTEMPTS} other writers were faster")
+
     def drop(self) -> None:
         self._fs.delete(self._at(self._path), True)
 

@@ -212,6 +212,10 @@ def test_a_search_that_is_open_survives_commits(spark, root, tmp_path):
     app.index()
     app.index(full=True)
     assert held.first().rel_path == "server/users.ts" and "getUserById" in held.first().text
+    held = app.search("somethingElse")
+    app.store.truncate()
+    assert app.search("somethingElse").count() == 0 and app.status()["files"] == 0 and held.first().rel_path == "server/users.ts"
+    assert app.index()["indexed"] == len(WANTED)
     assert app.store.expire() == 0  # what it reads was superseded just now
     assert app.store.expire(seconds=-1) > 0 and app.search("somethingElse").first().rel_path == "server/users.ts"
 

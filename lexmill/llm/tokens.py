@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from lexmill.llm.words import numbered_words
 
 CACHE_CHUNKS, JOINED = 500_000, 500
+#: Signs that close a word and are parted from it.
+CLOSING = frozenset(".,;:!?)")
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNEVEN = f"{_WHITE} | {_WHITE}|^ | $"
 SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -47,6 +49,9 @@ class ChunkTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._cut = cut
         self.size = size = self._tokenizer.get_vocab_size()
+        # Nothing but the model has a say in a plain word, unless some added token is one.
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._plain = not any(t.strip().isalpha() for t in added)
         marks = lambda t: t.endswith("</w>") if cut == "words" else t.startswith("Ġ")
         self._marked = np.array([marks(self._tokenizer.id_to_token(i) or "") for i in range(size)])
         self._clear()
@@ -85,6 +90,14 @@ class ChunkTokenizer:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self._add(chunks, np.fromiter((x for own in ids for x in own), np.uint32, int(lengths.sum())), lengths)
 
+    def _encode_plain(self, chunks: list[str]) -> None:
+        """Chunks of ASCII letters only (cut as ``words``: in lower case; ``spaced``: after a space): each is one pre-token as it is, so the model's
+        merges are all there is to do."""
+        merge, opening = self._tokenizer.model.tokenize, self._cut == "spaced"
+        ids = [[t.id for t in merge("Ġ" + c[1:] if opening else c)] for c in chunks]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(chunks, np.fromiter((x for own in ids for x in own), np.uint32, int(lengths.sum())), lengths)
+
     def _encode_joined(self, chunks: list[str]) -> None:
         """Chunks of letters only (after the space, if it is cut ``spaced``)."""
         groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
@@ -105,18 +118,22 @@ class ChunkTokenizer:
         known, opening = self._number, self._cut == "spaced"
         closed, letters, rest = [], [], []
         for c in chunks:
-            if c[-1:] in (".", ",") and c[-2:-1].isascii() and c[-2:-1].isalpha():
+            if c[-1:] in CLOSING and c[-2:-1].isascii() and c[-2:-1].isalpha():
                 closed.append(c)
             elif (c[1:] if opening else c).isalpha() and (not opening or c[:1] == " "):
                 letters.append(c)
             else:
                 rest.append(c)
         if closed:
-            # A full stop or comma after a letter, with nothing behind it, is a pre-token of its own.
-            bare = {c[:-1] for c in closed} | {".", ","}
+            # Such a sign after a letter, with nothing behind it, is a pre-token of its own.
+            bare = {c[:-1] for c in closed} | {c[-1] for c in closed}
             bare.difference_update(known, letters, rest)
             letters += [c for c in bare if (c[1:] if opening else c).isalpha() and (not opening or c[:1] == " ")]
             rest += [c for c in bare if not ((c[1:] if opening else c).isalpha() and (not opening or c[:1] == " "))]
+        if self._plain:
+            plain = [c.isascii() and (opening or c.islower()) for c in letters]
+            self._encode_plain([c for c, own in zip(letters, plain) if own])
+            letters = [c for c, own in zip(letters, plain) if not own]
         if letters:
             self._encode_joined(letters)
         if rest:

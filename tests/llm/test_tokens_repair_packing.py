@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from lexmill.llm import packing, repair
 from lexmill.llm.tokens import ChunkTokenizer, tokenizer_path
 
-BITS = [" ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "a", "B", "word", "Word.", "x,", "y..", "é", "é", "İ", "ſ", "日本", "🎉", "'s", "it's", "1", "12", "<|endoftext|>", "<|STARTOFTEXT|>", "!!", "ß", "\r\n", "\x00"]
+BITS = ["a)", "wordy!", "b;", "Up?", "it:", "é!", "'s!", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "a", "B", "word", "Word.", "x,", "y..", "é", "é", "İ", "ſ", "日本", "🎉", "'s", "it's", "1", "12", "<|endoftext|>", "<|STARTOFTEXT|>", "!!", "ß", "\r\n", "\x00"]
 CASES = [("word_bpe_49k.json", "words", 1), ("byte_bpe_50k.json", "spaced", 0)]
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import materialize, new_path, table, tasks_for, text_or_empty, with_scheme
 from lexmill.llm.files import read_range, write_file
 from lexmill.llm.tokens import batches, chunk_tokenizer, crc32_of, tokenizer_path
+from lexmill.llm.words import give_back
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MIN_COUNT = 2
@@ -215,6 +216,7 @@ def _write_shards(folder: str, path: str, end_id: int, cut: str):
             uri = write_file(folder, f"{part:06d}-{number:06d}", data := shard_bytes(doc_ids, null_ids, ids, n_ids, first_rule))
             row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "uri": uri, "n_docs": len(doc_ids), "n_ids": int(n_ids.sum()), "n_bytes": len(data)}])
             held, n_held, number = [], 0, number + 1
+            give_back()
             return row
 
         for batch in record_batches:
@@ -244,6 +246,7 @@ def _read_shards(record_batches):
                 crc.extend(crc32_of(ids[a:b]) for a, b in zip([0, *cuts[:-1]], cuts))
                 first = last
             doc_id = pa.array(shard.doc_ids, mask=shard.null_ids)
+            give_back()
             yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "start": pa.array(start), "n_tokens": pa.array(shard.n_ids), "ids_crc32": pa.array(crc, pa.int64())})
 
 

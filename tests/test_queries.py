@@ -87,7 +87,7 @@ def test_exact_medians_by_ranges(spark):
     groups = {"even": rng.normal(size=300).tolist(), "odd": rng.normal(size=301).tolist(), "ties": [1.5] * 200 + [2.5] * 200, "one": [7.0], "wide": (10.0 ** rng.integers(-300, 300, 120)).tolist(), "ends": [float("-inf"), 1.0, float("inf")] * 30, "none": [None, None], None: [1.0, 2.0, 5.0, 9.0], "small": [0.0, 5e-324] * 20}
     rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
     expected = {g: float(np.median([v for v in values if v is not None])) if any(v is not None for v in values) else None for g, values in groups.items()}
-    for few, buckets in ((1, 2), (3, 7), (10_000, 1024)):
+    for few, buckets in ((1, 64), (10_000, 1024)):
         found = {r["g"]: (r["median"], r["n"]) for r in ranks.median(rows, ["g"], "v", few, buckets).collect()}
         assert found == {g: (m, sum(v is not None for v in groups[g])) for g, m in expected.items()}
 

@@ -14,13 +14,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.languages import SYNTAX_LANGUAGES
 from lexmill.functions.text import is_blank, split_lines
-from lexmill.operators.outline import Section, outline, symbols
+from lexmill.operators.outline import Section, innermost, outline
+from lexmill.operators.slices import sliced
 
 #: A piece of a document: lines (0-based, inclusive), sizes up to its start and its end, the names over it.
 PIECE = "struct<first:int,last:int,start_at:long,end_at:long,names:array<string>>"
@@ -192,12 +194,19 @@ def merged_small(pieces: Column, config: ChunkConfig) -> Column:
 # ---------------------------------------------------------------- DataFrames
 
 
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[str | None, str | None]]:
+    """The texts of a batch, one at a time, with their languages."""
+    return zip((t.as_py() for t in batch.column("text")), batch.column("language").to_pylist())
+
+
 def pieces_column(text: Column, language: Column, config: ChunkConfig) -> Column:
     """The pieces (``PIECE``) of each document, as its structure says."""
 
     @F.arrow_udf(f"array<{PIECE}>")
     def cut(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        return pa.array([pieces_of(t, own, config) for t, own in zip(texts.to_pylist(), languages.to_pylist())], ARROW_PIECES)
+        whole = pa.RecordBatch.from_arrays([texts, languages], names=["text", "language"])
+        told = [pa.array([pieces_of(t, own, config) for t, own in _documents(part)], ARROW_PIECES) for part in sliced(whole, "text")]
+        return pa.concat_arrays(told)
 
     return cut(text, language)
 
@@ -215,14 +224,63 @@ def chunk_documents(docs: DataFrame, key: str, config: ChunkConfig = ChunkConfig
     return chunks.select(key, *carry, F.posexplode("chunks").alias("ordinal", "chunk")).select(key, "ordinal", "chunk.*", *carry)
 
 
+def _named_lines(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """For each document of a batch: the number of the innermost section of each line, and what the sections are called."""
+    for text, language in _documents(part):
+        which, names = innermost(lines_of(text or ""), language) if language in SYNTAX_LANGUAGES else (np.zeros(0, np.int32), [])
+        yield which, [" > ".join(n) for n in names]
+
+
+def _of_documents(docs: DataFrame, key: str, columns: str, rows: Callable[[pa.RecordBatch], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """(key, ``columns``): rows of documents (key, text, language).  ``rows`` tells of a few documents the place of each
+    row's document, and the columns."""
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                place, own = rows(part)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(place)), *own], names=names)
+
+    return docs.select(key, "text", "language").mapInArrow(run, schema)
+
+
 def line_symbols(docs: DataFrame, key: str) -> DataFrame:
     """(key, i, symbol): the names of the innermost section over each line of documents (key, text, language)."""
 
-    @F.arrow_udf("array<string>")
-    def named(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        return pa.array([[" > ".join(n) for n in symbols(lines_of(t or ""), own)] if own in SYNTAX_LANGUAGES else [] for t, own in zip(texts.to_pylist(), languages.to_pylist())], pa.list_(pa.string()))
-
-    return docs.select(key, F.posexplode(named(F.col("text"), F.col("language"))).alias("i", "symbol"))
+    def rows(part: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        sizes, numbers, known = [], [np.zeros(0, np.int32)], []
+        for which, names in _named_lines(part):
+            sizes.append(len(which))
+            numbers.append(which + np.int32(len(known)))
+            known += names
+        i = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])
+        return np.repeat(np.arange(len(sizes)), sizes), [pa.array(i), pa.array(known, pa.string()).take(pa.array(np.concatenate(numbers)))]
+
+    return _of_documents(docs, key, "i int, symbol string", rows)
+
+
+def unit_rows(docs: DataFrame, key: str) -> DataFrame:
+    """(key, symbol, first_row, end_row): the first and the last line over which each named section of documents (key,
+    text, language; a row for each) is the innermost one; sections of one name count as one."""
+
+    def rows(part: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        place, told, first, end = [], [], [], []
+        for number, (which, names) in enumerate(_named_lines(part)):
+            starts = np.flatnonzero(np.diff(which, prepend=-1))
+            ends = [*(starts[1:] - 1).tolist(), len(which) - 1]
+            at: dict[str, list[int]] = {}
+            for k, a, b in zip(which[starts].tolist(), starts.tolist(), ends):
+                if names[k]:
+                    at.setdefault(names[k], [a, b])[1] = b
+            place += [number] * len(at)
+            told += at
+            first += [a for a, _ in at.values()]
+            end += [b for _, b in at.values()]
+        return np.array(place, np.int64), [pa.array(told, pa.string()), pa.array(first, pa.int32()), pa.array(end, pa.int32())]
+
+    return _of_documents(docs, key, "symbol string, first_row int, end_row int", rows)
 
 
 def exploded_lines(docs: DataFrame, key: str) -> DataFrame:

@@ -62,6 +62,8 @@ HEADINGS = {
     ),
 }
 GROUP = 25
+#: What the sources of a partition are meant to hold, roughly: all of them may be one Arrow batch.
+PARTITION_BYTES = 16 << 20
 CONFIG = ch.ChunkConfig()
 
 
@@ -73,7 +75,10 @@ def _filled(template: str, book: Column, key: Column | None = None, status: Colu
 def _books(spark: SparkSession, sf_dir: str, languages: list[str], sources: dict = SOURCES) -> DataFrame:
     """(id, language, text): the books as sources."""
     orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / GROUP).cast("long").alias("book"), "o_orderkey", "o_orderstatus")
-    books = orders.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+    # The orders are few bytes, the sources that are made of them many: partitions are counted by the latter.
+    size = sum(len(line) + 20 for language in languages for line, _ in sources[language][1])
+    dealt = orders.repartition(max(spark.sparkContext.defaultParallelism, orders.count() * size // PARTITION_BYTES), "book")
+    books = dealt.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
 
     def source(language: str) -> Column:
         head, part, foot = ("\n".join(line for line, _ in own) for own in sources[language])
@@ -91,8 +96,7 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_end_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the last row over which each definition, heading or key is the innermost one."""
-    rows = code_symbols(spark, sf_dir).filter("symbol <> ''")
-    return rows.groupBy("id", "symbol").agg(F.min("i").alias("first_row"), F.max("i").alias("end_row"))
+    return ch.unit_rows(_books(spark, sf_dir, list(SOURCES)), "id")
 
 
 def heading_symbol_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,13 @@ SLICE_BYTES = 4 << 20
 
 
 def sliced(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, in order: in each slice the texts (or bytes) of ``column`` hold less than ``size`` besides
-    those of one row."""
+    """The rows of a batch, in order: in each slice the texts (or bytes) of ``column`` hold less than ``size``, or it is
+    one row."""
     held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    for first, end in pairwise([0, *(np.flatnonzero(np.diff(held // size)) + 1).tolist(), batch.num_rows]):
+    first = 0
+    while True:
+        end = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + size)))
         yield batch.slice(first, end - first)
+        if end >= batch.num_rows:
+            return
+        first = end

@@ -7,6 +7,8 @@ truth without looking at the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ HEADINGS = {
 }
 GROUP = 25
 #: What the sources of a partition are meant to hold, roughly: all of them may be one Arrow batch.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 4 << 20
 CONFIG = ch.ChunkConfig()
 
 
@@ -83,10 +85,12 @@ def _books(spark: SparkSession, sf_dir: str, languages: list[str], sources: dict
     def source(language: str) -> Column:
         head, part, foot = ("\n".join(line for line, _ in own) for own in sources[language])
         own = F.transform("orders", lambda o: _filled(part, F.col("book"), o["o_orderkey"], o["o_orderstatus"]))
-        return F.struct(F.lit(language).alias("language"), F.concat_ws("\n", _filled(head, F.col("book")), F.array_join(own, "\n"), _filled(foot, F.col("book"))).alias("text"))
+        return F.concat_ws("\n", _filled(head, F.col("book")), F.array_join(own, "\n"), _filled(foot, F.col("book")))
 
-    rows = books.select("book", F.explode(F.array(*map(source, languages))).alias("source"))
-    return rows.select(F.concat_ws("-", "source.language", F.col("book").cast("string")).alias("id"), "source.*")
+    # A row holds the source of one language: those of all in one row would be many times a long book's orders.
+    each = books.select("book", "orders", F.explode(F.array(*map(F.lit, languages))).alias("language"))
+    text = reduce(lambda others, language: F.when(F.col("language") == language, source(language)).otherwise(others), languages, F.lit(None).cast("string"))
+    return each.select(F.concat_ws("-", "language", F.col("book").cast("string")).alias("id"), "language", text.alias("text"))
 
 
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

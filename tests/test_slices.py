@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking as ch
+from lexmill.operators.outline import outline
 from lexmill.operators.slices import sliced
 from lexmill.plans import code_queries
 
@@ -51,3 +54,22 @@ def test_partitions_of_books_are_counted_by_their_bytes(spark, tmp_path, monkeyp
     held = books.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n")).collect()
     assert books.count() == 20 * len(code_queries.SOURCES)
     assert len(held) > 5 and max(r.n for r in held) < 600_000
+
+
+@pytest.mark.parametrize("language", ["python", "javascript", "lua", "json"])
+def test_a_long_source_takes_a_few_times_its_size(language):
+    head, part, foot = ("\n".join(line for line, _ in own) for own in code_queries.SOURCES[language])
+    text = "\n".join([head, *(part.replace("{k}", str(k)) for k in range(20_000)), foot])
+    lines = ch.lines_of(text)
+    tracemalloc.start()
+    held = len(outline(lines, language).inner)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held and peak < 14 * len(text)
+
+
+def test_a_row_of_books_is_built_for_one_language(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 500 AS o_custkey", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = code_queries._books(spark, str(tmp_path), list(code_queries.SOURCES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in next(line for line in plan.splitlines() if "Generate" in line)
+    assert all("transform(" not in line for line in plan[plan.index("Generate") :].splitlines())

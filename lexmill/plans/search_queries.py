@@ -59,41 +59,45 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_from_index(*_text_index(spark, sf_dir), QUERY, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Bytes of texts whose postings one task sorts: some 10 bytes of text make a posting of some 80 bytes in memory.
+SORTED_BYTES = 24 << 20
+_COUNTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 _INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The written text index of a folder's documents (postings, statistics), built once in a Spark application."""
+def counted_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written terms of a folder's documents, a row for each, and their statistics, built once in a Spark application."""
     own = (spark.sparkContext.applicationId, sf_dir)
-    if own not in _INDEXES:
-        posted = written(search.clustered_by_term(search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")))
-        _INDEXES[own] = posted, written(search.corpus_stats(search.document_lengths(posted, "doc_id")))
-    return _INDEXES[own]
+    if own not in _COUNTED:
+        counted = written(search.counted_documents(table(spark, sf_dir, "documents"), "doc_id", "text", ("lang",)))
+        _COUNTED[own] = counted, written(search.corpus_stats(counted.filter("dl > 0")))
+    return _COUNTED[own]
 
 
-_BLOCKS: dict[tuple[str, str], DataFrame] = {}
+def _sorted_parts(spark: SparkSession, sf_dir: str) -> int:
+    size = table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, size // SORTED_BYTES)
 
 
-def blocked_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The written index in blocks (and the statistics), built once in a Spark application."""
+def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written text index of a folder's documents (postings, statistics), built once in a Spark application."""
     own = (spark.sparkContext.applicationId, sf_dir)
-    posted, stats = _text_index(spark, sf_dir)
-    if own not in _BLOCKS:
-        _BLOCKS[own] = written(search.clustered_by_term(blockmax.blocked(posted, "doc_id", stats.first()["n"])))
-    return _BLOCKS[own], stats
+    if own not in _INDEXES:
+        counted, stats = counted_index(spark, sf_dir)
+        _INDEXES[own] = written(search.clustered_by_term(search.postings_of(counted, "doc_id"), _sorted_parts(spark, sf_dir))), stats
+    return _INDEXES[own]
 
 
 def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return blockmax.BlockSearch(*blocked_index(spark, sf_dir), queries, k, "doc_id", "item_id", "question").best()
+    return search.bm25_each_counted(*counted_index(spark, sf_dir), queries, k, "doc_id", "item_id", "question")
 
 
 def blockmax_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best German documents of every question: the filter is applied to postings, which carry the language."""
-    docs = table(spark, sf_dir, "documents")
-    posted = search.postings(docs, "doc_id", "text", ("lang",))
-    stats = _text_index(spark, sf_dir)[1]
-    blocks = written(search.clustered_by_term(blockmax.blocked(posted, "doc_id", stats.first()["n"], ("lang",))))
+    counted, stats = counted_index(spark, sf_dir)
+    posted = search.postings_of(counted, "doc_id", ("lang",))
+    blocks = written(search.clustered_by_term(blockmax.blocked(posted, "doc_id", stats.first()["n"], ("lang",)), _sorted_parts(spark, sf_dir)))
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     found = blockmax.BlockSearch(blocks, stats, queries, 3, "doc_id", "item_id", "question", F.col("lang") == "de").best()
     return found.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))

@@ -23,6 +23,8 @@ HASH_DIM = 128
 COST_BUDGET, MAX_BATCH = 16 * 512**2, 256
 #: Vectors in a block of rows and in a block of queries.
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+#: Lists of words that are hashed at a time.
+LISTS_AT_ONCE = 2048
 #: Vectors that tell blocks apart, and what rounding may add to an angle.
 PIVOTS, ANGLE_SLACK = 64, 1e-7
 #: Distances of many queries are rounded before they rank, so that ties are ties and the key decides.
@@ -216,11 +218,19 @@ def embedding_column(text: Column, embedder: Embedder) -> Column:
     return embed(text)
 
 
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:4])
+
+
 def hashed_bags(words_of: pa.Array, dim: int) -> np.ndarray:
     """Counts of hashed words, a row of unit length for each list; zeros where a list is empty."""
+    return np.concatenate([_few_bags(words_of.slice(at, LISTS_AT_ONCE), dim) for at in range(0, max(1, len(words_of)), LISTS_AT_ONCE)])
+
+
+def _few_bags(words_of: pa.Array, dim: int) -> np.ndarray:
     counts = pc.fill_null(pc.list_value_length(words_of), 0).to_numpy(zero_copy_only=False)
     encoded = words_of.flatten().dictionary_encode()
-    told = [int.from_bytes(hashlib.sha256(w.encode()).digest()[:4]) % dim for w in encoded.dictionary.to_pylist()]
+    told = [_hash(w) % dim for w in encoded.dictionary.to_pylist()]
     bucket = np.array(told, dtype=np.int64)[encoded.indices.to_numpy(zero_copy_only=False)] if told else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(counts)), counts)
     out = np.bincount(row * dim + bucket, minlength=len(counts) * dim).astype(np.float64).reshape(len(counts), dim)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking as ch
+from lexmill.operators import vectors
 from lexmill.operators.outline import outline
 from lexmill.operators.slices import sliced
 from lexmill.plans import code_queries
+from lexmill.sources import folder
 
 TEXTS = ["class A:\n    def f(self):\n        return 1\n\n    x = 1\n", None, "", "def g():\n    pass\ndef g():\n    pass\n", "plain"] * 3
 
@@ -73,3 +77,22 @@ def test_a_row_of_books_is_built_for_one_language(spark, tmp_path):
     plan = code_queries._books(spark, str(tmp_path), list(code_queries.SOURCES))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in next(line for line in plan.splitlines() if "Generate" in line)
     assert all("transform(" not in line for line in plan[plan.index("Generate") :].splitlines())
+
+
+def test_files_are_decoded_and_words_hashed_a_few_at_a_time():
+    data = [b"\xef\xbb\xbfa", b"\0b", None, b"caf\xe9", "é".encode()] + [b"x" * 4000] * 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(data), pa.array(range(len(data)))], names=["data", "k"])
+    runs = []
+    files = SimpleNamespace(columns=["data", "k"], schema=[], select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: runs.append(run)))
+    folder.decoded(files, "data")
+    told = list(runs[0]([batch]))
+    assert max(part.num_rows for part in told) < 2000
+    assert [t for part in told for t in part.column("text").to_pylist()] == ["a", None, None, "café", "é"] + ["x" * 4000] * 10_000
+
+    lists = pa.array([["a", "b", "a"], [], None, ["b"]] + [[f"w{i % 997}" for i in range(n, n + 300)] for n in range(4000)])
+    tracemalloc.start()
+    bags = vectors.hashed_bags(lists, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(bags, np.concatenate([vectors.hashed_bags(lists.slice(i, 1), 16) for i in range(len(lists))]))
+    assert vectors.hashed_bags(lists.slice(0, 0), 16).shape == (0, 16) and peak < 20_000_000

@@ -23,12 +23,16 @@ HASH_DIM = 128
 COST_BUDGET, MAX_BATCH = 16 * 512**2, 256
 #: Vectors in a block of rows and in a block of queries.
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+#: Bytes of vectors: of a slice of rows, of a group of queries, and of what waits for a block to fill.
+SLICE_BYTES, GROUP_BYTES, WAITING_BYTES = 16 << 20, 8 << 20, 32 << 20
 #: Lists of words that are hashed at a time.
 LISTS_AT_ONCE = 2048
 #: Vectors that tell blocks apart, and what rounding may add to an angle.
 PIVOTS, ANGLE_SLACK = 64, 1e-7
 #: Distances of many queries are rounded before they rank, so that ties are ties and the key decides.
 DISTANCE_DIGITS = 12
+#: What rounding a distance may hide of a likeness.
+LIKENESS_SLACK = 1e-11
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,29 +61,47 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int, key: str, column:
     Both sides are packed into blocks of vectors that lie near the same pivot.  A block is a cap on the unit sphere:
     its middle and the largest angle from it.  By the triangle inequality two caps bound the distances between
     their vectors on both sides, so a look at the caps alone says within which distance each block of queries
-    has ``k`` rows, and which blocks of rows can hold any of them.  Those pairs meet in one matrix product
-    each.  Nothing but ``PIVOTS`` vectors goes through the driver."""
+    has ``k`` rows, and which blocks of rows can hold any of them.  Blocks are dealt to slices of rows and groups of
+    queries, each of bounded bytes; a task meets one slice with one group, and hands on ``k`` rows of each query.
+    A vector is shuffled once for each group (or slice) of the other side, not once for each pair of blocks.
+    Nothing but ``PIVOTS`` vectors goes through the driver."""
     pivots = _pivots(rows, key, column)
-    left = written(_packed(rows, key, column, ROWS_IN_BLOCK, pivots).toDF("block", "keys", "vectors", "middle", "angle", "n"))
-    right = written(_packed(queries, query_key, query_column, QUERIES_IN_BLOCK, pivots).toDF("query_block", "query_keys", "query_vectors", "query_middle", "query_angle", "query_n"))
+    left = written(_packed(rows, key, column, ROWS_IN_BLOCK, pivots))
+    asked = queries.select(query_key, query_column)
+    per_task = max(1, GROUP_BYTES // (8 * max(1, pivots.shape[-1])))
+    asked = asked.repartition(max(1, -(-asked.count() // per_task)))  # many to a task, else they make blocks of a few
+    right = written(_packed(asked, query_key, query_column, QUERIES_IN_BLOCK, pivots).withColumnsRenamed({"block": "query_block", "middle": "query_middle", "angle": "query_angle"}))
+    held = lambda blocks, most: max(1, -(-(blocks.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0) // most))
+    slices, groups = held(left, SLICE_BYTES), held(right, GROUP_BYTES)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = left.select(F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"), each(groups).alias("group"), "keys", "vectors", "middle", "angle")
+    bounded = right.join(_within(_bounds(left, right), k), "query_block", "left")
+    posed = bounded.select(each(slices).alias("slice"), F.pmod(F.xxhash64("query_block"), F.lit(groups)).cast("int").alias("group"), "keys", "vectors", F.col("query_middle").alias("middle"), F.col("query_angle").alias("angle"), "within")
     schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, distance double"
-    near = pairs_of_blocks(left, right, k).filter("needed").select("block", "query_block")
-    met = near.join(left.select("block", "keys", "vectors"), "block").join(right.select("query_block", "query_keys", "query_vectors"), "query_block")
-    candidates = met.select("keys", "vectors", "query_keys", "query_vectors").mapInArrow(_block_candidates(k, key, query_key), schema)
+    candidates = dealt.groupBy("slice", "group").cogroup(posed.groupBy("slice", "group")).applyInArrow(_slice_candidates(k, key, query_key), schema)
     best = Window.partitionBy(query_key).orderBy("distance", key)
     return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def pairs_of_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(block, query_block, needed): every block of rows with every block of queries, by their caps alone."""
+def _bounds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, query_block, n, low, high): within which angles the vectors of two blocks lie, by their caps alone."""
     caps = left.select("block", "middle", "angle", "n").crossJoin(right.select("query_block", "query_middle", "query_angle"))
     between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("middle"), F.col("query_middle")))))
     reach = F.col("angle") + F.col("query_angle") + ANGLE_SLACK
-    bounds = caps.select("block", "query_block", "n", F.greatest(between - reach, F.lit(0.0)).alias("low"), F.least(between + reach, F.lit(math.pi)).alias("high"))
+    return caps.select("block", "query_block", "n", F.greatest(between - reach, F.lit(0.0)).alias("low"), F.least(between + reach, F.lit(math.pi)).alias("high"))
+
+
+def _within(bounds: DataFrame, k: int) -> DataFrame:
+    """(query_block, within): the angle within which each of its queries has ``k`` rows; null if there are fewer rows."""
     rising = Window.partitionBy("query_block").orderBy("high", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = bounds.withColumn("held", F.sum("n").over(rising))
-    within = held.groupBy("query_block").agg(F.min(F.when(F.col("held") >= k, F.col("high"))).alias("within"))
-    return bounds.join(within, "query_block").select("block", "query_block", (F.col("within").isNull() | (F.col("low") <= F.col("within"))).alias("needed"))
+    return held.groupBy("query_block").agg(F.min(F.when(F.col("held") >= k, F.col("high"))).alias("within"))
+
+
+def pairs_of_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(block, query_block, needed): every block of rows with every block of queries, by their caps alone."""
+    bounds = _bounds(left, right)
+    return bounds.join(_within(bounds, k), "query_block").select("block", "query_block", (F.col("within").isNull() | (F.col("low") <= F.col("within"))).alias("needed"))
 
 
 def _pivots(rows: DataFrame, key: str, column: str) -> np.ndarray:
@@ -94,8 +116,28 @@ def _packed(rows: DataFrame, key: str, column: str, size: int, pivots: np.ndarra
     """(block, keys, vectors, middle, angle, n): blocks of rows of the same nearest pivot, their vectors scaled to unit
     length, as rows of one matrix of 64-bit floats; rows without a vector or with one of zeros are left out."""
 
+    def told(keys: pa.Array, matrix: np.ndarray, number: int) -> pa.RecordBatch:
+        middle = matrix.sum(axis=0)
+        norm = np.linalg.norm(middle)
+        middle = middle / norm if norm > 1e-9 else matrix[0]
+        angle = float(np.arccos(np.clip((matrix @ middle).min(), -1, 1)))
+        own = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), own, pa.array([matrix.tobytes()], pa.binary()), pa.array([middle.tolist()], pa.list_(pa.float64())), pa.array([angle]), pa.array([len(matrix)])],
+            names=["block", "keys", "vectors", "middle", "angle", "n"],
+        )
+
     def run(batches):
         number = TaskContext.get().partitionId() << 32
+        # What waits for a block of its pivot to fill; over ``WAITING_BYTES`` the fullest goes as it is.
+        waiting: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+        sizes: dict[int, int] = {}
+
+        def taken(pivot: int) -> tuple[pa.Array, np.ndarray]:
+            keys, parts = zip(*waiting.pop(pivot))
+            sizes.pop(pivot)
+            return pa.concat_arrays(keys), np.concatenate(parts)
+
         for batch in batches:
             matrix = np.array(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             length = np.linalg.norm(matrix, axis=1)
@@ -105,41 +147,75 @@ def _packed(rows: DataFrame, key: str, column: str, size: int, pivots: np.ndarra
             order = np.argsort(pivot, kind="stable")
             cuts = np.flatnonzero(np.diff(pivot[order])) + 1
             for same in np.split(order, cuts) if len(order) else []:
-                for at in range(0, len(same), size):
-                    own = same[at : at + size]
-                    middle = matrix[own].sum(axis=0)
-                    norm = np.linalg.norm(middle)
-                    middle = middle / norm if norm > 1e-9 else matrix[own[0]]
-                    angle = float(np.arccos(np.clip((matrix[own] @ middle).min(), -1, 1)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number]), pa.array([keys.take(pa.array(own)).to_pylist()], pa.list_(keys.type)), pa.array([matrix[own].tobytes()], pa.binary()), pa.array([middle.tolist()], pa.list_(pa.float64())), pa.array([angle]), pa.array([len(own)])],
-                        names=["block", "keys", "vectors", "middle", "angle", "n"],
-                    )
-                    number += 1
+                near = int(pivot[same[0]])
+                waiting.setdefault(near, []).append((keys.take(pa.array(same)), matrix[same]))
+                sizes[near] = sizes.get(near, 0) + len(same)
+                if sizes[near] >= size:
+                    own, held = taken(near)
+                    full = len(held) // size * size
+                    for at in range(0, full, size):
+                        yield told(own.slice(at, size), held[at : at + size], number)
+                        number += 1
+                    if full < len(held):
+                        waiting[near], sizes[near] = [(own.slice(full), held[full:].copy())], len(held) - full
+            while sum(sizes.values()) * 8 * matrix.shape[1] > WAITING_BYTES:
+                yield told(*taken(max(sizes, key=sizes.get)), number)
+                number += 1
+        for near in list(waiting):
+            yield told(*taken(near), number)
+            number += 1
 
     return rows.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"block long, keys array<{rows.schema[key].dataType.simpleString()}>, vectors binary, middle array<double>, angle double, n long")
 
 
-def _block_candidates(k: int, key: str, query_key: str):
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, ids = batch.column("keys")[row].values, batch.column("query_keys")[row].values
-                if not len(keys) or not len(ids):
+def _matrices(blocks: pa.Table) -> list[np.ndarray]:
+    """The vectors of each block."""
+    sizes = pc.list_value_length(blocks.column("keys")).to_pylist()
+    return [np.frombuffer(v.as_buffer(), np.float64).reshape(n, -1) for v, n in zip(blocks.column("vectors"), sizes)]
+
+
+def _slice_candidates(k: int, key: str, query_key: str):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, ids = (t.column("keys").combine_chunks().flatten() for t in (left, right))
+        asked_blocks, numbers, nears, distances = [], [], [], []
+        if len(keys) and len(ids):
+            rank_of = np.empty(len(keys), np.int64)
+            rank_of[np.array(pc.array_sort_indices(keys))] = np.arange(len(keys))
+            own_blocks, asked_blocks = _matrices(left), _matrices(right)
+            first = np.cumsum([0, *map(len, own_blocks)])
+            middle, query_middle = (np.array(t.column("middle").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (left, right))
+            between = np.arccos(np.clip(query_middle @ middle.T, -1, 1))
+            low = np.maximum(between - np.array(left.column("angle")) - np.array(right.column("angle"))[:, None] - ANGLE_SLACK, 0)
+            within = right.column("within").to_numpy()
+            needed = np.isnan(within)[:, None] | (low <= within[:, None])
+        at = 0
+        for number, asked in enumerate(asked_blocks):
+            # The best of each query so far, in order, and the least likeness that may still be among them.
+            query, near, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            least = np.full(len(asked), -np.inf)
+            for block in np.flatnonzero(needed[number])[np.argsort(low[number][needed[number]], kind="stable")].tolist():
+                like = asked @ own_blocks[block].T
+                take = min(k, like.shape[1])
+                floor = least
+                if np.isinf(least).any():
+                    floor = np.maximum(least, np.partition(like, -take, axis=1)[:, -take] - LIKENESS_SLACK)
+                more, place = np.nonzero(like >= floor[:, None])
+                if not len(more):
                     continue
-                own, asked = (np.frombuffer(batch.column(c)[row].as_py(), np.float64).reshape(n, -1) for c, n in (("vectors", len(keys)), ("query_vectors", len(ids))))
-                distance = np.round(1 - asked @ own.T, DISTANCE_DIGITS) + 0.0
-                order = np.array(pc.array_sort_indices(keys))
-                rank_of = np.empty(len(keys), np.int64)
-                rank_of[order] = np.arange(len(keys))
-                take = min(k, len(keys))
-                bound = np.partition(distance, take - 1, axis=1)[:, take - 1]
-                query, near = np.nonzero(distance <= bound[:, None])  # ties with the last one too; the key decides
-                by = np.lexsort((rank_of[near], distance[query, near], query))
-                query, near = query[by], near[by]
-                place = np.arange(len(query)) - np.searchsorted(query, query)
-                query, near = query[place < take], near[place < take]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), keys.take(pa.array(near)), pa.array(distance[query, near])], names=[query_key, key, "distance"])
+                query, near = np.concatenate([query, more]), np.concatenate([near, first[block] + place])
+                distance = np.concatenate([distance, np.round(1 - like[more, place], DISTANCE_DIGITS) + 0.0])
+                by = np.lexsort((rank_of[near], distance, query))
+                query, near, distance = query[by], near[by], distance[by]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                kept = rank < k  # ties with the last one came in, too; the key decides
+                query, near, distance, last = query[kept], near[kept], distance[kept], rank[kept] == k - 1
+                least[query[last]] = 1 - distance[last] - LIKENESS_SLACK
+            numbers.append(at + query)
+            nears.append(near)
+            distances.append(distance)
+            at += len(asked)
+        query, near, distance = (np.concatenate([np.zeros(0, kind), *own]) for kind, own in ((np.int64, numbers), (np.int64, nears), (np.float64, distances)))
+        return pa.table([ids.take(pa.array(query)), keys.take(pa.array(near)), pa.array(distance)], names=[query_key, key, "distance"])
 
     return run
 

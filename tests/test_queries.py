@@ -107,6 +107,29 @@ def test_nearest_each_against_brute_force(spark, monkeypatch):
         assert len(got[q]) == 4 and [round(1 - np.dot(dict(own)[k], w) / np.linalg.norm(dict(own)[k]) / np.linalg.norm(w), 12) for _, k in sorted(got[q])] == [d for d, _ in all_of[:4]]
 
 
+def test_blocks_fill_over_batches_and_meet_by_slices_and_groups(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    own = [(f"k{i}", rng.integers(-1, 2, 6).astype(float).tolist()) for i in range(600)]  # many ties
+    asked = [(i, own[i][1]) for i in range(0, 600, 9)]
+    rows, queries = spark.createDataFrame(own, "id string, v array<double>").coalesce(1), spark.createDataFrame(asked, "q long, w array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        pivots = vectors._pivots(rows, "id", "v")[:4]
+        sizes = [r.n for r in vectors._packed(rows, "id", "v", 50, pivots).collect()]
+        assert sum(sizes) == sum(any(v) for _, v in own) and max(sizes) == 50 and len(sizes) < 20
+        monkeypatch.setattr(vectors, "WAITING_BYTES", 100 * 48)
+        assert sum(r.n for r in vectors._packed(rows, "id", "v", 400, pivots).collect()) == sum(sizes)
+        monkeypatch.setattr(vectors, "SLICE_BYTES", 5000)
+        monkeypatch.setattr(vectors, "GROUP_BYTES", 1500)
+        found = vectors.nearest_each(rows, queries, 3, "id", "v", "q", "w")
+        got = {(r["q"], r["rank"]): r.id for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q, w in asked:
+        best = sorted((round(1 - np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), 12) + 0.0, k) for k, v in own if any(v) and any(w))[:3]
+        assert [got.get((q, r)) for r in range(1, len(best) + 1)] == [k for _, k in best]
+
+
 def test_neighbours_in_clusters_skip_most_pairs_of_blocks(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(30, 12))

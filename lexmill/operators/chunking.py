@@ -9,8 +9,9 @@ documents without a shuffle.  Python only finds line numbers; what is done with
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.languages import SYNTAX_LANGUAGES
 from lexmill.functions.text import is_blank, split_lines
-from lexmill.operators.outline import Section, innermost, outline
+from lexmill.operators.outline import Section, innermost, outline_of, split_text
 from lexmill.operators.slices import sliced
 
 #: A piece of a document: lines (0-based, inclusive), sizes up to its start and its end, the names over it.
@@ -48,12 +49,16 @@ class Piece:
 # ---------------------------------------------------------------- per document
 
 
+def source_of(text: str) -> str:
+    """The text with its lines parted by ``\\n``, none behind the last one."""
+    return text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n")
+
+
 def lines_of(text: str) -> list[str]:
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    return lines[:-1] if lines[-1] == "" else lines
+    return source_of(text).split("\n") if text else []
 
 
-def line_windows(ends: list[int], first: int, last: int, config: ChunkConfig) -> Iterator[tuple[int, int]]:
+def line_windows(ends: Sequence[int], first: int, last: int, config: ChunkConfig) -> Iterator[tuple[int, int]]:
     """Greedy windows over lines ``first`` to ``last``; ``ends[i]`` is the size of lines 0 to i,
     each with its newline.  A longer line than a window may be is a window of its own."""
     while True:
@@ -78,7 +83,7 @@ def _parts(section: Section) -> list[tuple[Section, bool]]:
     return out
 
 
-def split(section: Section, ends: list[int], config: ChunkConfig) -> list[Piece]:
+def split(section: Section, ends: Sequence[int], config: ChunkConfig) -> list[Piece]:
     """Pieces of a section: itself if it fits, else its parts, as many side by side to a piece as fit; a
     part that doesn't fit alone is split the same way, and takes in the small piece right before it."""
     before = lambda line: ends[line - 1] if line else 0
@@ -109,16 +114,17 @@ def split(section: Section, ends: list[int], config: ChunkConfig) -> list[Piece]
 def pieces_of(text: str | None, language: str | None, config: ChunkConfig) -> list[dict]:
     """What a document is cut into: first and last line (neither is blank), the sizes of all lines before
     the piece and up to its end, and the names over it.  Pieces of structured languages don't overlap."""
-    lines = lines_of(text or "")
-    filled = [i for i, line in enumerate(lines) if line.strip()]
+    source = source_of(text or "")
+    # Arrays, and no list of lines: a long text's would be many times its size.
+    filled = array("q", (i for i, line in enumerate(split_text(source)) if line and not line.isspace()))
     if not filled:
         return []
-    ends = list(accumulate(len(line) + 1 for line in lines))
+    ends = array("q", accumulate(len(line) + 1 for line in split_text(source)))
     structured = language in SYNTAX_LANGUAGES
     if structured:
-        cut = split(outline(lines, language), ends, config)
+        cut = split(outline_of(source, language), ends, config)
     else:
-        cut = [Piece(a, b) for a, b in line_windows(ends, 0, len(lines) - 1, config)]
+        cut = [Piece(a, b) for a, b in line_windows(ends, 0, len(ends) - 1, config)]
     out, last = [], -1
     for piece in cut:
         # Windows inside a section overlap; each begins behind the one before it.
@@ -227,7 +233,7 @@ def chunk_documents(docs: DataFrame, key: str, config: ChunkConfig = ChunkConfig
 def _named_lines(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
     """For each document of a batch: the number of the innermost section of each line, and what the sections are called."""
     for text, language in _documents(part):
-        which, names = innermost(lines_of(text or ""), language) if language in SYNTAX_LANGUAGES else (np.zeros(0, np.int32), [])
+        which, names = innermost(source_of(text), language) if text and language in SYNTAX_LANGUAGES else (np.zeros(0, np.int32), [])
         yield which, [" > ".join(n) for n in names]
 
 

@@ -96,3 +96,20 @@ def test_files_are_decoded_and_words_hashed_a_few_at_a_time():
     tracemalloc.stop()
     assert np.allclose(bags, np.concatenate([vectors.hashed_bags(lists.slice(i, 1), 16) for i in range(len(lists))]))
     assert vectors.hashed_bags(lists.slice(0, 0), 16).shape == (0, 16) and peak < 20_000_000
+
+
+def _long_source(language: str, orders: int) -> str:
+    head, part, foot = ("\n".join(line for line, _ in own) for own in code_queries.SOURCES[language])
+    return "\n".join([head, *(part.replace("{k}", str(k)) for k in range(orders)), foot])
+
+
+@pytest.mark.parametrize("language", ["python", "javascript", "dart", "lua", "yaml", "json"])
+def test_lines_of_one_form_are_looked_at_once(language, monkeypatch):
+    from lexmill.operators import outline as ol
+
+    looked, look = [], ol._line
+    monkeypatch.setattr(ol, "_line", lambda *own: looked.append(own) or look(*own))
+    text = _long_source(language, 2000)
+    which, names = ol.innermost(text, language)
+    assert len(which) == text.count("\n") + 1 and len(names) > 2000 and len(looked) < 100
+    assert sum("1987" in name[-1] for name in names if name) >= 1

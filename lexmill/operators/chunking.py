@@ -227,7 +227,9 @@ def chunk_documents(docs: DataFrame, key: str, config: ChunkConfig = ChunkConfig
         return F.transform(merged, lambda p: F.struct((p["first"] + 1).alias("start_line"), (p["last"] + 1).alias("end_line"), F.array_join(p["names"], " > ").alias("symbol"), body(p).alias("text")))
 
     chunks = pieces.select(key, *carry, _let(split_lines(F.col("text")), told).alias("chunks"))
-    return chunks.select(key, *carry, F.posexplode("chunks").alias("ordinal", "chunk")).select(key, "ordinal", "chunk.*", *carry)
+    # Of a plain explode Spark infers a filter on the array, below it, and so has Python cut every document twice.
+    each = chunks.select(key, *carry, F.posexplode_outer("chunks").alias("ordinal", "chunk")).filter(F.col("chunk").isNotNull())
+    return each.select(key, "ordinal", "chunk.*", *carry)
 
 
 def _named_lines(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:

@@ -121,8 +121,8 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping line windows, each pushed past the end of those before it and trimmed."""
-    rows = _pieces(spark, sf_dir).select("doc_id", F.explode(ch.trimmed(ch.without_overlaps(F.col("pieces")), ch.split_lines(F.col("text")))).alias("piece"))
-    return rows.select("doc_id", "piece.first", "piece.last")
+    rows = _pieces(spark, sf_dir).select("doc_id", F.explode_outer(ch.trimmed(ch.without_overlaps(F.col("pieces")), ch.split_lines(F.col("text")))).alias("piece"))
+    return rows.filter(F.col("piece").isNotNull()).select("doc_id", "piece.first", "piece.last")
 
 
 def merge_small_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

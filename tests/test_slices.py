@@ -103,6 +103,20 @@ def _long_source(language: str, orders: int) -> str:
     return "\n".join([head, *(part.replace("{k}", str(k)) for k in range(orders)), foot])
 
 
+def test_documents_are_cut_once_and_a_long_one_takes_a_few_times_its_size(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 500 AS o_custkey", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = code_queries.code_chunks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
+    empty = spark.createDataFrame([(1, "", "python"), (2, None, "text"), (3, "a", "text")], "k long, text string, language string")
+    assert [tuple(r)[:4] for r in ch.chunk_documents(empty, "k").collect()] == [(3, 0, 1, 1)]
+    text = _long_source("python", 20_000)
+    tracemalloc.start()
+    cut = ch.pieces_of(text, "python", code_queries.CONFIG)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cut[-1]["last"] == text.count("\n") and peak < 9 * len(text)
+
+
 @pytest.mark.parametrize("language", ["python", "javascript", "dart", "lua", "yaml", "json"])
 def test_lines_of_one_form_are_looked_at_once(language, monkeypatch):
     from lexmill.operators import outline as ol

@@ -1,4 +1,4 @@
-"""Named numpy arrays as one compressed binary, for messages between tasks."""
+"""Named numpy arrays as one compressed binary, for messages between tasks, and sorting of pairs."""
 
 from __future__ import annotations
 
@@ -10,13 +10,38 @@ import zstandard
 
 def _planes(a: np.ndarray) -> bytes:
     """Byte by byte of the entries' width, so that small numbers cost little."""
-    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+    rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+    planes = np.empty((a.itemsize, len(a)), np.uint8)
+    for i in range(a.itemsize):
+        planes[i] = rows[:, i]
+    return zstandard.compress(planes, 1)
 
 
 def _unplaned(data: bytes, dtype: str, n: int) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     raw = np.frombuffer(zstandard.decompress(data, max_output_size=max(1, n * width)), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, n).T).view(dtype).reshape(n)
+    rows = np.empty((n, width), np.uint8)
+    for i in range(width):
+        rows[:, i] = raw[i * n : (i + 1) * n]
+    return rows.view(dtype).reshape(n)
+
+
+def sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, left_top: int, right_top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the pairs in sorted order, the places they stand at); the tops are no less than the largest numbers.
+    Where a pair and its place fit in 64 bits, plain numbers are sorted."""
+    width, place = int(right_top).bit_length(), int(at[-1]).bit_length() if len(at) else 0
+    key = left.astype(np.uint64)
+    key <<= np.uint64(width)
+    key |= right
+    if int(left_top).bit_length() + width + place > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order]
+    key <<= np.uint64(place)
+    key |= at.view(np.uint64)
+    key.sort()
+    sorted_at = (key & np.uint64((1 << place) - 1)).view(np.int64)
+    key >>= np.uint64(place)
+    return key, sorted_at
 
 
 def pack_arrays(**arrays: np.ndarray) -> bytes:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.arrays import pack_arrays, unpack_arrays
+from lexmill.llm.arrays import pack_arrays, sorted_pairs, unpack_arrays
 from lexmill.llm.common import crc_bucket, materialize, new_path, table, with_scheme
 from lexmill.llm.files import read_range, write_file
 from lexmill.llm.words import numbered_words, slices_of
@@ -161,13 +161,17 @@ def _make_blocks(folder: str):
 
         def flush(test: bool) -> pa.RecordBatch:
             nonlocal number
-            hashes, n_tokens, doc_ids, null_ids = (np.concatenate(x) for x in zip(*held[test]))
-            words, tokens, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            by_count = np.argsort(-counts, kind="stable")  # small numbers for frequent words
+            numbers, hashes, *rest = zip(*held[test])
+            n_tokens, doc_ids, null_ids = map(np.concatenate, rest)
+            words, number_of = np.unique(np.concatenate(hashes), return_inverse=True)
+            parts = np.split(number_of, np.cumsum([len(h) for h in hashes])[:-1])
+            tokens = np.concatenate([part[n] for part, n in zip(parts, numbers)])
+            counts = np.bincount(tokens, minlength=len(words))
+            by_count = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]  # small numbers for frequent words
             rank = np.empty(len(words), np.uint64)
-            rank[by_count] = np.arange(len(words))
+            rank[by_count] = np.arange(len(by_count))
             data = pack_arrays(words=words[by_count], tokens=rank[tokens], n_tokens=n_tokens.astype(np.uint64), doc_ids=doc_ids, null_ids=null_ids, test=np.array([test]))
-            row = {"block": (part << 24) | number, "uri": write_file(folder, f"{part:06d}-{number:04d}", data), "documents": 0 if test else len(n_tokens), "tokens": len(hashes)}
+            row = {"block": (part << 24) | number, "uri": write_file(folder, f"{part:06d}-{number:04d}", data), "documents": 0 if test else len(n_tokens), "tokens": len(tokens)}
             held[test], n_held[test], number = [], 0, number + 1
             return pa.RecordBatch.from_pylist([row])
 
@@ -175,18 +179,19 @@ def _make_blocks(folder: str):
             for first, last in slices_of(batch.column("text"), 4_000_000):
                 part_of = batch.slice(first, last - first)
                 numbers, words, counts = numbered_words(part_of.column("text"), lower=True)
-                hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+                hashes = np.full(len(words) + 1, END, np.uint64)
+                hashes[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
                 n_tokens = counts + 1
-                hashes = np.full(int(n_tokens.sum()), END, np.uint64)
-                inside = np.ones(len(hashes), bool)
+                tokens = np.full(int(n_tokens.sum()), len(words), np.int32)
+                inside = np.ones(len(tokens), bool)
                 inside[np.cumsum(n_tokens) - 1] = False
-                hashes[inside] = hashed[numbers]
+                tokens[inside] = numbers
                 ids, is_test = part_of.column("doc_id"), part_of.column("test").to_numpy(zero_copy_only=False).astype(bool)
                 doc_ids, null_ids, in_test = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), np.repeat(is_test, n_tokens)
                 for test in (False, True):
                     if (is_test == test).any():
                         own = is_test == test
-                        held[test].append((hashes[in_test == test], n_tokens[own], doc_ids[own], null_ids[own]))
+                        held[test].append((tokens[in_test == test], hashes, n_tokens[own], doc_ids[own], null_ids[own]))
                         n_held[test] += len(held[test][-1][0])
                         if n_held[test] >= BLOCK_TOKENS:
                             yield flush(test)
@@ -218,10 +223,16 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _by_bucket(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(the order in which a block asks for its words, their buckets in that order)."""
     bucket = _bucket_of(words, buckets)
-    order = np.lexsort((words, bucket))
+    order = np.argsort(words)
+    order = order[_sorting(bucket[order], buckets)]
     return order, bucket[order]
 
 
+def _sorting(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The stable order by bucket."""
+    return np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+
+
 def _ask_words(buckets: int):
     """Each block's distinct words and their training counts, by bucket."""
 
@@ -294,41 +305,56 @@ class Block:
         ids[n == 0] = UNKNOWN_ID
         tokens = data["tokens"].astype(np.int64)
         self.word, self.count = ids[tokens], n[tokens]
+        self.words, an_own, rank = np.unique(ids, return_index=True, return_inverse=True)
+        self.word_rank = rank[tokens]
+        #: The distinct n-grams of the order that was laid out last in the order of their ids, each token's place among
+        #: them, and their counts.
+        self.grams, self.gram_rank, self.gram_n = [self.words], self.word_rank, n[an_own]
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
         self.unigrams, self.buckets = unigrams, buckets
         #: Of the order that was taken in last: how often each token's n-gram stands in training, what its
         #: history's counts are divided by (training blocks), its probability (held-out blocks).
         self.gram_count, self.divisor = self.count, np.full(len(tokens), unigrams.divisor)
         self.p = unigrams.p(n)[tokens] if self.test else np.zeros(0)
-        self.before: list[np.ndarray] = []  # the word before each token, and the one before that
-
-    def lay_out(self, order: int) -> None:
-        """The distinct n-grams to ask for, by bucket and sorted, and which of them each token is."""
-        while len(self.before) < order - 1:
-            latest, previous = self.before[-1] if self.before else self.word, np.empty_like(self.word)
-            previous[1:] = latest[:-1]
-            previous[self.first] = BEGIN_ID
-            self.before.append(previous)
+
+    def lay_out(self) -> None:
+        """The next order's distinct n-grams to ask for, by bucket and sorted, and which of them each token in ``known`` is."""
         c_h = np.empty_like(self.gram_count)
         c_h[1:] = self.gram_count[:-1]
         c_h[self.first] = self.unigrams.documents
-        self.known = np.flatnonzero(c_h > 0)  # else the shorter history's probability stays
-        columns = [c[self.known] for c in (*reversed(self.before[: order - 1]), self.word)]
-        by, opens = sorted_groups(columns)
-        salts = np.maximum(-(-c_h[self.known] // HOT), 1).astype(np.uint64)
-        bucket = _bucket_of(mixed(joined(columns[:-1]), mixed(columns[-1], np.uint64(1) + np.zeros_like(salts)) % salts), self.buckets)[by]
-        again = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
-        by, opens, bucket = by[again], opens[again], bucket[again]
-        self.pair_of = np.empty(len(by), np.int64)
-        self.pair_of[by] = np.cumsum(opens) - 1
-        self.times = np.diff(np.append(np.flatnonzero(opens), len(by)))
-        pairs = by[opens]
-        self.history, self.asked_word, self.bucket = [c[pairs] for c in columns[:-1]], columns[-1][pairs], bucket[opens]
-        self.pairs, self.c_h = self.known[pairs], c_h[self.known[pairs]]
-        self.run_opens = np.ones(len(pairs), bool)
-        self.run_opens[1:] = self.bucket[1:] != self.bucket[:-1]
-        for column in self.history:
-            self.run_opens[1:] |= column[1:] != column[:-1]
+        known = np.flatnonzero(c_h > 0)  # else the shorter history's probability stays
+        # A history is the n-gram before the token; what begins a document comes before all others.
+        history = np.empty_like(self.gram_rank)
+        history[1:] = self.gram_rank[:-1] + 1
+        history[self.first] = 0
+        keys, self.known = sorted_pairs(history[known], self.word_rank[known].view(np.uint64), known, len(self.grams[0]), len(self.words))
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+        self.sorted_times = np.diff(starts, append=len(keys))
+        width = np.uint64(len(self.words).bit_length())
+        word, history = self.words[keys[starts] & ((np.uint64(1) << width) - np.uint64(1))], (keys[starts] >> width).astype(np.int64)
+        heads = np.flatnonzero(np.diff(history, prepend=-1))
+        lengths, head = np.diff(heads, append=len(history)), history[heads]
+        of_history = [np.concatenate((np.full(1, BEGIN_ID, np.uint64), c))[head] for c in self.grams]
+        key, c_h = joined(of_history), np.concatenate(([self.unigrams.documents], self.gram_n))[head]
+        bucket = np.repeat(_bucket_of(mixed(key, np.zeros_like(key)), self.buckets), lengths)
+        columns, key, c_h = [np.repeat(h, lengths) for h in of_history], np.repeat(key, lengths), np.repeat(c_h, lengths)
+        hot = np.flatnonzero(c_h > HOT)
+        salts = (-(-c_h[hot] // HOT)).astype(np.uint64)
+        bucket[hot] = _bucket_of(mixed(key[hot], mixed(word[hot], np.ones_like(salts)) % salts), self.buckets)
+        by = _sorting(bucket, self.buckets)
+        self.place = np.empty_like(by)
+        self.place[by] = np.arange(len(by))
+        self.grams = [*columns, word]
+        self.gram_rank = np.zeros_like(self.gram_rank)
+        self.gram_rank[self.known] = np.repeat(np.arange(len(starts)), self.sorted_times)
+        self.history, self.asked_word, self.bucket = [c[by] for c in columns], word[by], bucket[by]
+        self.pairs, self.c_h, self.times, history = self.known[starts][by], c_h[by], self.sorted_times[by], history[by]
+        self.run_opens = np.ones(len(by), bool)
+        self.run_opens[1:] = (self.bucket[1:] != self.bucket[:-1]) | (history[1:] != history[:-1])
+
+    def of_known(self, values: np.ndarray) -> np.ndarray:
+        """For each token in ``known`` the value of its n-gram."""
+        return np.repeat(values[self.place], self.sorted_times)
 
     def questions(self, block: int, order: int, part: int, parts: int) -> list[tuple[int, int, str, bytes]]:
         """To the buckets of one of the ``parts`` of all buckets."""
@@ -370,14 +396,14 @@ class Block:
             else:
                 divisors = (c_h + ((sums["mask"] & _losing(discounts)) == 0))[run_of]
         count = np.zeros_like(self.gram_count)
-        count[self.known] = n[self.pair_of]
-        self.gram_count = count
+        count[self.known] = self.of_known(n)
+        self.gram_count, self.gram_n = count, n[self.place]
         if self.test:
             self.p = self.p.copy()
-            self.p[self.known] = p[self.pair_of]
+            self.p[self.known] = self.of_known(p)
         else:
             self.divisor = np.empty(len(count))
-            self.divisor[self.known] = divisors[self.pair_of]
+            self.divisor[self.known] = self.of_known(divisors)
 
     def probabilities(self, discounts: Discounts) -> np.ndarray:
         """Of the highest order that was taken in; in training blocks every n-gram is seen."""
@@ -506,7 +532,7 @@ def _block_of(group: pa.Table, buckets: int, unigrams: Unigrams, discounts: dict
             kinds.setdefault(row["kind"], {})[row["bucket"]] = unpack_arrays(row["payload"])
     block = Block(uri, kinds["answer1"], buckets, unigrams)
     for order in sorted(discounts):
-        block.lay_out(order)
+        block.lay_out()
         hot = kinds.get(f"hot-answer{order}", {}).get(-2, {})
         block.answered(kinds.get(f"answer{order}", {}), hot, discounts[order])
     return rows[0]["block"], block
@@ -515,7 +541,7 @@ def _block_of(group: pa.Table, buckets: int, unigrams: Unigrams, discounts: dict
 def _ask_ngrams(order: int, buckets: int, unigrams: Unigrams, discounts: dict[int, Discounts], part: int, parts: int):
     def run(group: pa.Table) -> pa.Table:
         number, block = _block_of(group, buckets, unigrams, discounts)
-        block.lay_out(order)
+        block.lay_out()
         return _messages(block.questions(number, order, part, parts))
 
     return run

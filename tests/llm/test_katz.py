@@ -4,14 +4,17 @@ import math
 import zlib
 from collections import Counter
 from functools import cache
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.llm import katz
-from lexmill.llm.arrays import pack_arrays, unpack_arrays
+from lexmill.llm.arrays import pack_arrays, sorted_pairs, unpack_arrays
+from lexmill.llm.files import read_range
 
 WORDS = ["the", "a", "fox", "dog", "Über", "runs", "home", "x\x1dy", "é"]
 
@@ -129,3 +132,25 @@ def test_sorted_groups(rows):
 def test_packed_arrays(numbers, floats):
     out = unpack_arrays(pack_arrays(a=np.array(numbers, np.uint64), b=np.array(floats, np.float64), c=np.array([], bool)))
     assert out["a"].tolist() == numbers and out["b"].tolist() == floats and len(out["c"]) == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=40), st.sampled_from([9, 2**31]))
+def test_sorted_pairs(pairs, top):
+    left, right = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1))
+    keys, at = sorted_pairs(left, right, np.arange(len(pairs)), top, top)
+    assert at.tolist() == sorted(range(len(pairs)), key=lambda i: (pairs[i], i))
+    assert np.flatnonzero(keys[1:] != keys[:-1]).tolist() == [i for i in range(len(at) - 1) if pairs[at[i]] != pairs[at[i + 1]]]
+
+
+def test_a_block_hashes_each_history_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["the fox runs home " * 500], "test": [False]})
+    (row,) = [r for b in katz._make_blocks(tmp_path.as_uri())(iter([batch])) for r in b.to_pylist()]
+    data = unpack_arrays(read_range(row["uri"]))
+    n = np.bincount(data["tokens"].astype(np.int64))[np.argsort(data["words"])].astype(np.uint64)
+    block = katz.Block(row["uri"], {0: {"ids": np.arange(5, dtype=np.uint64) + 2, "n": n}}, 1, katz.Unigrams.of(2001, 5, 1, [0] * 8))
+    hashed, mixed = [], katz.mixed
+    monkeypatch.setattr(katz, "mixed", lambda a, b: hashed.append(len(a)) or mixed(a, b))
+    block.lay_out()
+    assert sorted(block.times.tolist()) == [1, 1, 499, 500, 500, 500] and max(hashed) == 5

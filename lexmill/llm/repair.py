@@ -29,10 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.arrays import sorted_pairs
 from lexmill.llm.common import materialize, new_path, table, tasks_for, text_or_empty, with_scheme
 from lexmill.llm.files import read_range, write_file
-from lexmill.llm.tokens import batches, chunk_tokenizer, crc32_of, tokenizer_path
-from lexmill.llm.words import give_back
+from lexmill.llm.tokens import chunk_tokenizer, crc32_of, tokenizer_path
+from lexmill.llm.words import give_back, slices_of
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MIN_COUNT = 2
@@ -40,19 +41,6 @@ SHARD_IDS, RANGE_BYTES = 1_000_000, 24_000_000
 MAGIC = b"LMRP0002"
 
 
-def _sorted_pairs(left: np.ndarray, right: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the pairs in sorted order, the places they stand at); ``top`` is the largest symbol.
-    Where a pair and its place fit in 64 bits, plain numbers are sorted."""
-    width, place = int(top).bit_length(), int(at[-1]).bit_length()
-    key = left.astype(np.uint64) << np.uint64(width) | right
-    if 2 * width + place > 64:
-        order = np.argsort(key, kind="stable")
-        return key[order], at[order]
-    key = key << np.uint64(place) | at.astype(np.uint64)
-    key.sort()
-    return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
-
-
 def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules) of documents of so many ids in a row.
 
@@ -64,8 +52,7 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int, min_count: int
     n = len(ids)
     symbols = np.append(ids, 0).astype(np.uint32)
     # Neighbours of each place; ``n`` stands for none, as no pair goes over a document's end.
-    place = np.int32 if n < 1 << 31 else np.int64
-    after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
     ends = np.cumsum(n_ids)[n_ids > 0]
     after[ends - 1] = n
     before[np.concatenate(([0], ends[:-1]))[: len(ends)]] = n
@@ -74,14 +61,15 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int, min_count: int
     rank_at = np.zeros(n + 1, np.int32)
     rules, n_rules, top = [], 0, int(max(first_rule, ids.max(initial=0)))
     while len(active := np.flatnonzero(open_pair)):
-        keys, at = _sorted_pairs(symbols[active], symbols[after[active]], active, top)
+        keys, at = sorted_pairs(symbols[active], symbols[after[active]], active, top, top)
         open_pair[active] = False
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts = np.diff(starts, append=len(keys))
         pairs = np.flatnonzero(counts >= min_count)
         if not len(pairs):
             break
-        pairs = pairs[np.argsort(counts[pairs], kind="stable")]  # a pair's rank is its place here, from 1
+        own = counts[pairs]
+        pairs = pairs[np.argsort(own.astype(np.uint16) if own.max() < 1 << 16 else own, kind="stable")]  # a pair's rank is its place here, from 1
         rank = np.zeros(len(starts), np.int32)
         rank[pairs] = np.arange(1, len(pairs) + 1)
         rank_of = np.repeat(rank, counts)
@@ -95,9 +83,12 @@ def compress(ids: np.ndarray, n_ids: np.ndarray, first_rule: int, min_count: int
         first = (own >= rank_at[before[active]]) & (own >= rank_at[after[active]])
         rank_at[active] = 0
         # Occurrences of equal rank overlap only in runs of one id: every other one is taken.
+        first = np.flatnonzero(first)
         at, pair = active[first], own[first] - 1
-        opens = np.concatenate(([True], after[at[:-1]] != at[1:]))
-        taken = (np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 0
+        taken = np.ones(len(at), bool)
+        overlaps = np.flatnonzero(after[at[:-1]] == at[1:]) + 1
+        opens = np.diff(overlaps, prepend=-1) != 1
+        taken[overlaps] = (overlaps - overlaps[opens][np.cumsum(opens) - 1]) % 2 == 1
         used = np.bincount(pair[taken], minlength=len(pairs))
         # Nothing outranks these, and still they are too few without overlaps: they are done with.
         spent = (used < min_count) & (np.bincount(pair, minlength=len(pairs)) == counts)
@@ -166,17 +157,27 @@ class Shard:
         self.n_ids, self.first_symbol = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
         self.rules, self.lengths = take_wide(2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
         self.symbols = take_wide(n_symbols)
+        self._expanded: np.ndarray | None = None
 
     def decode(self, first: int, last: int) -> np.ndarray:
-        """The ids of the documents from ``first`` to before ``last``: each nonterminal's two parts are
-        put where its expansion length says, until only ids are left."""
+        """The ids of the documents from ``first`` to before ``last``."""
         if first >= last:
             return np.zeros(0, np.uint32)
         end = self.first_symbol[last] if last < len(self.first_symbol) else len(self.symbols)
         symbols = self.symbols[self.first_symbol[first] : end]
-        out = np.zeros(int(self.n_ids[first:last].sum()), np.uint32)
+        if len(symbols) < len(self.rules) or int(self.lengths.sum()) > len(symbols) + int(self.n_ids.sum()):
+            return self._expand(symbols)
+        # Many symbols: every rule is expanded once (the first entries are the plain ids' own), and the expansions are copied.
+        if self._expanded is None:
+            self._expanded = np.concatenate([np.arange(self.first_rule, dtype=np.uint32), self._expand(np.arange(len(self.rules)) + self.first_rule)])
+        length = self._length(symbols)
+        starts = np.append(np.arange(self.first_rule), self.first_rule + np.cumsum(self.lengths) - self.lengths)[symbols]
+        return self._expanded[np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Each nonterminal's two parts are put where its expansion length says, until only ids are left."""
         length = self._length(symbols)
-        place = np.cumsum(length) - length
+        out, place = np.zeros(int(length.sum()), np.uint32), np.cumsum(length) - length
         while len(symbols):
             plain = symbols < self.first_rule
             out[place[plain]] = symbols[plain]
@@ -220,10 +221,10 @@ def _write_shards(folder: str, path: str, end_id: int, cut: str):
             return row
 
         for batch in record_batches:
-            texts, doc_id = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, doc_id = batch.column("text"), batch.column("doc_id")
             null_ids, doc_ids = doc_id.is_null().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(zero_copy_only=False)
-            for first, last in batches(texts):
-                ids, n_ids = tokenizer.encode(texts[first:last], end_id)
+            for first, last in slices_of(texts):
+                ids, n_ids = tokenizer.encode(texts.slice(first, last - first), end_id)
                 held.append((doc_ids[first:last], null_ids[first:last], ids, n_ids))
                 n_held += len(ids)
                 if n_held >= SHARD_IDS:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexmill.llm import packing, repair
+from lexmill.llm import packing, repair, tokens
 from lexmill.llm.tokens import ChunkTokenizer, tokenizer_path
 
 BITS = ["a)", "wordy!", "b;", "Up?", "it:", "é!", "'s!", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "a", "B", "word", "Word.", "x,", "y..", "é", "é", "İ", "ſ", "日本", "🎉", "'s", "it's", "1", "12", "<|endoftext|>", "<|STARTOFTEXT|>", "!!", "ß", "\r\n", "\x00"]
@@ -31,6 +31,34 @@ def test_chunks_give_the_ids_of_whole_texts(both, texts):
     assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
+SIGNED = ["é$$$", "Éa!!", "x'.", "'s.", "µ]", "ªº", "İ.", "ß\\", "a|.", "a<.", "<|endoftext|>.", "$$$", "ﬁ.", "œ!!", "e\u0301.", "d,###", "que,ks", "A_", "1.", "À", " ", " ", " ", "\n"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(batches=st.lists(st.lists(st.lists(st.sampled_from(SIGNED), max_size=12).map("".join), min_size=1, max_size=4), min_size=1, max_size=4))
+def test_signs_and_latin_letters_in_a_small_cache(both, batches):
+    chunked, plain, end = both
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "CACHE_CHUNKS", 6)
+        for texts in batches:
+            ids, counts = chunked.encode(texts, end)
+            expected = [[*e.ids, end] for e in plain.encode_batch(texts, add_special_tokens=False)]
+            assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+@pytest.mark.parametrize(("name", "cut", "end"), CASES)
+def test_known_parts_are_not_encoded_again(name, cut, end, monkeypatch):
+    """Chunks that came again outlast a full cache, and runs of signs are encoded once for all words before them."""
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 24)
+    chunked, each, plain = ChunkTokenizer(tokenizer_path(name), cut), [], []
+    whole, model = chunked._encode_each, chunked._encode_plain
+    monkeypatch.setattr(chunked, "_encode_each", lambda chunks: each.extend(chunks) or whole(chunks))
+    monkeypatch.setattr(chunked, "_encode_plain", lambda chunks: plain.extend(chunks) or model(chunks))
+    for i in range(8):
+        chunked.encode(["a tone " + " ".join(f"{c}{chr(97 + i)}é$$$" for c in "bcdfghj")], end)
+    assert each.count("$$$") == 1 and len(each) == (cut == "spaced") + 1 and plain.count(" tone" if cut == "spaced" else "tone") == 1
+
+
 def _times(symbols, pair):
     """How often a pair stands in symbols without overlapping itself."""
     n = i = 0

@@ -24,11 +24,12 @@ def clear_working_tables(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The same rows from Parquet files: later steps read them, whatever becomes of the executors."""
+def written(df: DataFrame, folder: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """The same rows from Parquet files: later steps read them, whatever becomes of the executors.  Rows are read thousands
+    at a time, but of one row group only: where rows are long, ``group_bytes`` bounds what a task holds of them."""
     spark = df.sparkSession
     path = f"{folder or working_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -96,7 +96,7 @@ def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 def blockmax_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best German documents of every question: the filter is applied to blocks, which carry the language."""
     counted, stats = counted_index(spark, sf_dir)
-    blocks = written(blockmax.blocked_documents(counted, "doc_id", ("lang",)))
+    blocks = written(blockmax.blocked_documents(counted, "doc_id", ("lang",)), group_bytes=blockmax.GROUP_BYTES)
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     found = blockmax.BlockSearch(blocks, stats, queries, 3, "doc_id", "item_id", "question", F.col("lang") == "de").best()
     return found.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
